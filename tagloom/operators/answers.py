@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
@@ -43,11 +43,11 @@ def reconcile(df: DataFrame, rows: str = "rows", elements: str = "elements", out
     return df.withColumn(out, F.slice(pairs, F.lit(1), F.size(rows)))
 
 
-def check_answers(df: DataFrame, spec: PromptSpec, rules: tuple[Rule, ...] = STANDARD_RULES,
-                  pairs: str = "pairs") -> DataFrame:
-    """Turn pairs into ``answers`` (array of struct(row, values, ok)) and ``ok`` of the answer as a whole.
+def answers_column(spec: PromptSpec, rules: tuple[Rule, ...] = STANDARD_RULES, pairs: str = "pairs") -> Column:
+    """Pairs as array of struct(row, values, ok). Depends on the spec only, so one column serves many DataFrames.
 
-    Every row meets its element inside one projection, so the all-or-nothing decision needs no shuffle.
+    Every row meets its element inside one projection, so the all-or-nothing decision needs no shuffle. Each step is a
+    ``transform`` of its own to have every key map and every text made once per element.
     """
     def keys(p):
         return F.when(p["element"].isNull(), A.pad_keys(spec)).otherwise(A.as_object(p["element"]))
@@ -57,27 +57,33 @@ def check_answers(df: DataFrame, spec: PromptSpec, rules: tuple[Rule, ...] = STA
         k["row"].alias("row"), k["keys"].isNotNull().alias("is_object"), A.raw_values(k["keys"], spec).alias("raw")))
     settled = F.transform(raw, lambda r: F.struct(
         r["row"].alias("row"), r["is_object"].alias("is_object"), A.settle(r["raw"], spec, rules).alias("s")))
-    answers = F.transform(settled, lambda s: F.struct(
+    return F.transform(settled, lambda s: F.struct(
         s["row"].alias("row"), s["s"]["values"].alias("values"), (s["is_object"] & s["s"]["ok"]).alias("ok")))
-    cols = [c for c in df.columns if c != pairs]
-    out = df.select(*cols, answers.alias("answers"))
-    return out.withColumn("ok", F.coalesce(F.forall("answers", lambda a: a["ok"]), F.lit(False)))
 
 
-def read_answers(df: DataFrame, spec: PromptSpec, kind: str = "batch",
-                 rules: tuple[Rule, ...] = STANDARD_RULES) -> DataFrame:
-    """Responses with ``content`` and ``rows`` in, ``answers`` and ``ok`` added. An ``error`` makes it not ok."""
-    parsed = parse_answers(df, kind=kind)
-    checked = check_answers(reconcile(parsed), spec, rules).drop("elements")
+def check_answers(df: DataFrame, answers: Column, pairs: str = "pairs") -> DataFrame:
+    """Replace the pairs by ``answers`` and ``ok`` of the answer as a whole; ``answers`` is an ``answers_column``."""
+    out = df.select(*[c for c in df.columns if c != pairs], answers.alias("answers"))
+    ok = F.coalesce(F.forall("answers", lambda a: a["ok"]), F.lit(False))
     if "error" in df.columns:
-        checked = checked.withColumn("ok", F.col("ok") & F.col("error").isNull())
-    return checked
+        ok = ok & F.col("error").isNull()
+    return out.withColumn("ok", ok)
+
+
+def read_answers(df: DataFrame, spec: PromptSpec, kind: str = "batch", rules: tuple[Rule, ...] = STANDARD_RULES,
+                 answers: Column | None = None) -> DataFrame:
+    """Responses with ``content`` and ``rows`` in, ``answers`` and ``ok`` added. An ``error`` makes it not ok."""
+    answers = answers_column(spec, rules) if answers is None else answers
+    return check_answers(reconcile(parse_answers(df, kind=kind)), answers).drop("elements")
 
 
 def coded_rows(responses: DataFrame, spec: PromptSpec, keep: Sequence[str] = ("RowID", "Sentiment"),
                carry: Sequence[str] = ()) -> DataFrame:
     """One row per answered message of usable responses: ``keep`` of the message, then the coded columns."""
-    exploded = responses.filter("ok").select(*carry, F.inline("answers"))
+    # Not a filter on "ok": that would be pushed below and repeat all the parsing that "ok" stands for. The outer form
+    # keeps Spark from adding such a filter itself.
+    exploded = responses.select(*carry, F.inline_outer(F.when(F.col("ok"), F.col("answers"))))
+    exploded = exploded.filter(F.col("row").isNotNull())
     names = output_names(spec, keep)
     return exploded.select(
         *carry, *[F.col("row").getField(k).alias(k) for k in keep],

@@ -135,7 +135,7 @@ ORACLES = {
                count(*) FILTER (o_orderpriority = '5-LOW') AS oorderpriority_5_LOW,
                count(*) FILTER (o_orderstatus = 'F') AS oorderstatus_F,
                count(*) FILTER (o_orderstatus = 'O') AS oorderstatus_O,
-               count(*) FILTER (o_orderstatus = 'P') AS oorderstatus_P, 0 AS error_count
+               count(*) FILTER (o_orderstatus = 'P') AS oorderstatus_P, CAST(0 AS BIGINT) AS error_count
         FROM orders""",
     "error_cells": """
         SELECT CAST(sum(2 * CAST(event_type = 'error' AS INTEGER) + CAST(event_id % 3 = 0 AS INTEGER)) AS BIGINT)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
-from ..functions.labels import STANDARD_RULES
-from ..operators.answers import check_answers, parse_answers, read_answers, reconcile
+from ..operators.answers import answers_column, check_answers, parse_answers, read_answers, reconcile
 from ..operators.batches import batch_units
 from ..spec import PromptSpec
 from .common import BATCH, MESSAGES_SQL, messages, placed, placed_sql, table
@@ -133,8 +132,8 @@ def _units_with_answers(spark, sf_dir):
 
 def _aligned(spark, sf_dir):
     pairs = reconcile(parse_answers(_units_with_answers(spark, sf_dir)))
-    checked = check_answers(pairs, TOPIC_SPEC, STANDARD_RULES)
-    return checked.select("worker_id", "batch_id", F.inline("answers"))
+    checked = check_answers(pairs, answers_column(TOPIC_SPEC))
+    return checked.select("worker_id", "batch_id", F.inline_outer("answers"))
 
 
 def reconcile_pad(spark, sf_dir):
@@ -164,16 +163,22 @@ def not_applicable(spark, sf_dir):
 
 
 _TEXTS = f"t AS (SELECT event_id, trim({DAMAGED}, chr(10) || ' ') AS c FROM events)"
-_STRICT = "CASE WHEN json_valid({0}) THEN {0} END"
+
+
+def _valid(text):
+    """DuckDB takes a comma before a closing bracket as valid, JSON does not."""
+    return f"(json_valid({text}) AND NOT regexp_matches({text}, ',\\s*[]}}]'))"
+
+
 _BRACES = """CASE WHEN contains(c, '{') AND contains(c, '}') AND strpos(c, '{') <= length(c) - strpos(reverse(c), '}') + 1
     THEN substring(c, strpos(c, '{'), length(c) - strpos(reverse(c), '}') + 2 - strpos(c, '{')) END"""
 _BRACKETS = _BRACES.replace("'{'", "'['").replace("'}'", "']'")
 _OBJECT = f"""s AS (SELECT event_id, c, {_BRACES} AS b FROM t),
-    o AS (SELECT event_id, CASE WHEN json_valid(c) THEN c WHEN json_valid(b) THEN b END AS j FROM s)"""
+    o AS (SELECT event_id, CASE WHEN {_valid('c')} THEN c WHEN {_valid('b')} THEN b END AS j FROM s)"""
 _ARRAY = f"""s AS (SELECT event_id, c, {_BRACES} AS b, {_BRACKETS} AS q FROM t),
-    o AS (SELECT event_id, CASE WHEN json_valid(c) THEN c
-                                WHEN contains(c, '[') AND contains(c, ']') THEN CASE WHEN json_valid(q) THEN q END
-                                WHEN json_valid(b) THEN b END AS j FROM s),
+    o AS (SELECT event_id, CASE WHEN {_valid('c')} THEN c
+                                WHEN contains(c, '[') AND contains(c, ']') THEN CASE WHEN {_valid('q')} THEN q END
+                                WHEN {_valid('b')} THEN b END AS j FROM s),
     a AS (SELECT event_id, CASE json_type(j) WHEN 'ARRAY' THEN j WHEN 'OBJECT' THEN '[' || j || ']' END AS j FROM o)"""
 _PLACED = f"WITH {MESSAGES_SQL}, {placed_sql()}"
 _BATCHED = f"""{_PLACED}, g AS (SELECT *, worker_id * 1000 + batch_id AS g,
@@ -184,8 +189,8 @@ QUERIES = {f.__name__: f for f in (
 
 ORACLES = {
     "parse_strict": f"""WITH {_TEXTS}
-        SELECT event_id, json_valid(c) AS parsed,
-               CASE WHEN json_valid(c) THEN json_extract_string(c, '$.k') END AS k FROM t""",
+        SELECT event_id, {_valid('c')} AS parsed,
+               CASE WHEN {_valid('c')} THEN json_extract_string(c, '$.k') END AS k FROM t""",
     "parse_object": f"""WITH {_TEXTS}, {_OBJECT}
         SELECT event_id, j IS NOT NULL AS parsed, coalesce(json_type(j) = 'OBJECT', false) AS is_object,
                json_extract_string(j, '$.k') AS k FROM o""",

@@ -142,8 +142,8 @@ def resume_files(spark, sf_dir):
                           F.col("state").alias("status"), stored.alias("ranges"))
     listing = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(
         F.concat(F.lit("in_"), F.col("c_custkey").cast("string")).alias("input_file"))
-    planned = ranges.plan_ranges(events, 2, ["worker_id"])
-    plan = planned.groupBy(name.alias("label")).agg(
+    planned = ranges.plan_ranges(events.withColumnRenamed("worker_id", "owner"), 2, ["owner"])
+    plan = planned.groupBy(F.col("owner").cast("string").alias("label")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges"))
     left = resume.resume_files(files, listing, plan)
     shown = F.transform("ranges", lambda r: F.concat_ws("-", r["start"], r["end"]))

@@ -16,7 +16,7 @@ def main() -> int:
     sf_dir = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")] or list(QUERIES)
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(sf_dir), 0
@@ -26,7 +26,7 @@ def main() -> int:
             df = QUERIES[name](spark, sf_dir)
             problem = compare(df, con, ORACLES[name]) if name in ORACLES else f"no SQL, {df.count()} rows"
         except Exception as e:
-            problem = f"{type(e).__name__}: {str(e)[:1500]}"
+            problem = f"{type(e).__name__}: {str(e)[:600]}"
         bad += problem is not None
         print(f"{name}: {problem or 'ok'} ({time.time() - start:.1f}s)", flush=True)
     print(f"{len(names) - bad} of {len(names)} agree")
