@@ -12,24 +12,28 @@ from ..spec import BATCH_MISMATCH, MISSING_KEY, NOT_APPLICABLE, PromptSpec
 from .labels import STANDARD_RULES, Rule, apply_rules, gate_rule
 from .text import stripped
 
-# Closes the array that a text is wrapped into: try_parse_json alone accepts text behind the value.
-END_MARK = "end"
+def _mark(text: Column) -> Column:
+    """Number that a text does not contain by chance."""
+    return F.xxhash64(text)
 
 
 def wrapped(text: Column) -> Column:
-    """``[<text>,"end"]`` parsed; only a text that is one JSON value leaves the mark in second place."""
-    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END_MARK}"]')))
+    """``[<text>,<mark>]`` parsed; only a text that is one JSON value leaves the mark in second place.
+
+    ``try_parse_json`` alone accepts more text behind the value.
+    """
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), _mark(text).cast("string"), F.lit("]")))
 
 
-def unwrapped(value: Column) -> Column:
+def unwrapped(value: Column, text: Column) -> Column:
     """The value in a wrapped text, NULL if there was not exactly one. A JSON ``null`` is a variant null, not NULL."""
-    alone = F.try_variant_get(value, "$[1]", "string") == END_MARK
+    alone = F.try_variant_get(value, "$[1]", "long") == _mark(text)
     return F.when(alone, F.try_variant_get(value, "$[0]", "variant"))
 
 
 def parse_strict(text: Column) -> Column:
     """The whole text as one JSON value, else NULL."""
-    return unwrapped(wrapped(text))
+    return unwrapped(wrapped(text), text)
 
 
 def has_pair(text: Column, opening: str, closing: str) -> Column:

@@ -13,38 +13,48 @@ from ..functions.text import stripped
 from ..spec import RETRIES_FAILED, PromptSpec
 
 
-def parse_answers(df: DataFrame, content: str = "content", kind: str = "batch", out: str = "elements") -> DataFrame:
-    """Add the elements of each answer as ``array<variant>``, NULL where the text cannot be used.
+Stages = list[tuple[str, Column]]
 
-    A single-row answer must be one object. Each stage is a projection of its own: the strict parse of the whole text,
-    then, only where that failed, the parse of the slice that the text's brackets allow.
+
+def add_stages(df: DataFrame, stages: Stages) -> DataFrame:
+    """Add columns one projection after the other, so that a later one reads an earlier one and does not repeat it."""
+    for name, column in stages:
+        df = df.select("*", column.alias(name))
+    return df
+
+
+def parse_stages(kind: str, content: str = "content") -> Stages:
+    """``elements`` of each answer as ``array<variant>``, NULL where the text cannot be used.
+
+    The strict parse of the whole text comes first; only where it failed, the slice that the text's brackets allow is
+    parsed. A single-row answer must be one object.
     """
     candidate = A.array_candidate if kind == "batch" else A.object_candidate
-    cols = [c for c in df.columns if c != out]
-    staged = df.select(*cols, stripped(F.col(content)).alias("_clean"))
-    staged = staged.select(*cols, "_clean", A.wrapped(F.col("_clean")).alias("_w1"))
-    staged = staged.select(*cols, "_clean", A.unwrapped(F.col("_w1")).alias("_v1"))
-    again = F.when(F.col("_v1").isNull(), candidate(F.col("_clean")))
-    staged = staged.select(*cols, "_v1", A.wrapped(again).alias("_w2"))
-    staged = staged.select(*cols, F.coalesce("_v1", A.unwrapped(F.col("_w2"))).alias("_value"))
-    if kind == "batch":
-        elements = A.elements_of(F.col("_value"))
-    else:
-        elements = F.when(F.col("_value").isNotNull(), F.array("_value"))
-    return staged.select(*cols, elements.alias(out))
-
-
-def reconcile(df: DataFrame, rows: str = "rows", elements: str = "elements", out: str = "pairs") -> DataFrame:
-    """Pair the i-th row with the i-th element: missing elements are NULL, surplus ones are dropped.
+    value = F.col("_value")
+    elements = A.elements_of(value) if kind == "batch" else F.when(value.isNotNull(), F.array(value))
+    clean, again = F.col("_clean"), F.col("_slice")
+    return [
+        ("_clean", stripped(F.col(content))),
+        ("_whole", A.wrapped(clean)),
+        ("_first", A.unwrapped(F.col("_whole"), clean)),
+        ("_slice", F.when(F.col("_first").isNull(), candidate(clean))),
+        ("_second", A.wrapped(again)),
+        ("_value", F.coalesce("_first", A.unwrapped(F.col("_second"), again))),
+        ("elements", elements),
+    ]
+
+
+def pairs_column(rows: str = "rows", elements: str = "elements") -> Column:
+    """The i-th row with the i-th element: missing elements are NULL, surplus ones are dropped.
 
     NULL elements is a failed answer and stays NULL. A JSON ``null`` element is a variant null, so it is not padding.
     """
     pairs = F.zip_with(rows, elements, lambda r, e: F.struct(r.alias("row"), e.alias("element")))
-    return df.withColumn(out, F.slice(pairs, F.lit(1), F.size(rows)))
+    return F.slice(pairs, F.lit(1), F.size(rows))
 
 
 def answers_column(spec: PromptSpec, rules: tuple[Rule, ...] = STANDARD_RULES, pairs: str = "pairs") -> Column:
-    """Pairs as array of struct(row, values, ok). Depends on the spec only, so one column serves many DataFrames.
+    """Pairs as array of struct(row, values, ok).
 
     Every row meets its element inside one projection, so the all-or-nothing decision needs no shuffle. Each step is a
     ``transform`` of its own to have every key map and every text made once per element.
@@ -61,20 +71,28 @@ def answers_column(spec: PromptSpec, rules: tuple[Rule, ...] = STANDARD_RULES, p
         s["row"].alias("row"), s["s"]["values"].alias("values"), (s["is_object"] & s["s"]["ok"]).alias("ok")))
 
 
-def check_answers(df: DataFrame, answers: Column, pairs: str = "pairs") -> DataFrame:
-    """Replace the pairs by ``answers`` and ``ok`` of the answer as a whole; ``answers`` is an ``answers_column``."""
-    out = df.select(*[c for c in df.columns if c != pairs], answers.alias("answers"))
-    ok = F.coalesce(F.forall("answers", lambda a: a["ok"]), F.lit(False))
-    if "error" in df.columns:
-        ok = ok & F.col("error").isNull()
-    return out.withColumn("ok", ok)
+class AnswerReader:
+    """Reads responses of one kind (``batch`` or ``row``): ``answers`` and ``ok`` from ``content`` and ``rows``.
 
+    The columns depend on the spec only; a reader is made once and used for every wave.
+    """
 
-def read_answers(df: DataFrame, spec: PromptSpec, kind: str = "batch", rules: tuple[Rule, ...] = STANDARD_RULES,
-                 answers: Column | None = None) -> DataFrame:
-    """Responses with ``content`` and ``rows`` in, ``answers`` and ``ok`` added. An ``error`` makes it not ok."""
-    answers = answers_column(spec, rules) if answers is None else answers
-    return check_answers(reconcile(parse_answers(df, kind=kind)), answers).drop("elements")
+    def __init__(self, spec: PromptSpec, kind: str = "batch", rules: tuple[Rule, ...] = STANDARD_RULES):
+        self.parse = parse_stages(kind)
+        self.pair = [("pairs", pairs_column())]
+        usable = F.forall("answers", lambda a: a["ok"])
+        self.check = [("answers", answers_column(spec, rules)), ("ok", F.coalesce(usable, F.lit(False)))]
+        self.without_error = F.col("ok") & F.col("error").isNull()
+
+    def elements(self, responses: DataFrame) -> DataFrame:
+        """Responses with their ``elements``."""
+        return add_stages(responses, self.parse).select(*responses.columns, "elements")
+
+    def __call__(self, responses: DataFrame) -> DataFrame:
+        """Responses with ``answers`` and ``ok``; a response with an ``error`` is not ok."""
+        checked = add_stages(responses, self.parse + self.pair + self.check)
+        ok = self.without_error if "error" in responses.columns else F.col("ok")
+        return checked.select(*responses.columns, "answers", ok.alias("ok"))
 
 
 def coded_rows(responses: DataFrame, spec: PromptSpec, keep: Sequence[str] = ("RowID", "Sentiment"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import label_class
@@ -46,14 +46,15 @@ def category_counts(df: DataFrame, limit: int = 50, skip: Sequence[str] = UNCOUN
     return counts.join(few.select("column"), "column", "left_semi")
 
 
-def error_cells(df: DataFrame) -> DataFrame:
-    """Cells (not rows) whose text contains the error mark, over all columns, in one pass."""
+def _error_cells(df: DataFrame) -> Column:
     hits = [F.coalesce(F.contains(F.col(f"`{c}`").cast("string"), F.lit(ERROR_TEXT)).cast("int"), F.lit(0))
             for c in df.columns]
-    total = hits[0]
-    for hit in hits[1:]:
-        total = total + hit
-    return df.agg(F.coalesce(F.sum(total), F.lit(0)).alias("error_count"))
+    return F.coalesce(F.sum(sum(hits[1:], hits[0])), F.lit(0)).alias("error_count")
+
+
+def error_cells(df: DataFrame) -> DataFrame:
+    """Cells (not rows) whose text contains the error mark, over all columns, in one pass."""
+    return df.agg(_error_cells(df))
 
 
 def metric_counts(counts: DataFrame) -> DataFrame:
@@ -64,16 +65,13 @@ def metric_counts(counts: DataFrame) -> DataFrame:
 def analytics_row(df: DataFrame, facts: Mapping[str, object], limit: int = 50) -> DataFrame:
     """One wide row: the run's facts, total rows, one column per metric, error count.
 
-    The metric names become columns and are read first; there are at most ``limit`` per counted column.
+    The metrics become column names, so they are read first: fewer than ``limit`` per counted column.
     """
-    metrics = metric_counts(category_counts(df, limit))
-    names = sorted(r["metric"] for r in metrics.select("metric").collect())
-    wide = metrics.agg(*[F.sum(F.when(F.col("metric") == m, F.col("n"))).alias(m) for m in names])
-    totals = df.agg(F.count("*").alias("total_rows"))
-    # Three one-row results side by side.
-    side = [d.withColumn("_one", F.lit(1)) for d in (totals, wide, error_cells(df))]
-    joined = side[0].join(side[1], "_one").join(side[2], "_one").drop("_one")
-    return joined.select(*[F.lit(v).alias(k) for k, v in facts.items()], *joined.columns)
+    metrics = metric_counts(category_counts(df, limit)).orderBy("metric").collect()
+    totals = df.agg(F.count("*").alias("total_rows"), _error_cells(df))
+    return totals.select(
+        *[F.lit(v).alias(k) for k, v in facts.items()], "total_rows",
+        *[F.lit(r["n"]).cast("long").alias(r["metric"]) for r in metrics], "error_count")
 
 
 def label_audit(df: DataFrame, allowed: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -89,19 +89,20 @@ def _block_from_bounds(key: Column, bounds: list[str], key_type: str) -> Column:
     return F.when(group == 0, F.lit(0)).otherwise((group - 1) * width + inside).cast("long")
 
 
-def block_column(df: DataFrame, key: str, stats: KeyStats) -> Column:
-    """Block of a row, a pure function of its key; blocks are in key order."""
+def block_column(df: DataFrame, key: str, stats: KeyStats) -> tuple[Column, int]:
+    """Block of a row, a pure function of its key with blocks in key order, and the most rows a block can hold."""
+    one_block = F.lit(0).cast("long")
     if stats.rows <= BLOCK_ROWS:
-        return F.lit(0).cast("long")
+        return one_block, BLOCK_ROWS
     if stats.integral:
         span = stats.high - stats.low + 1
         width = max(BLOCK_ROWS, math.ceil(span / MAX_BLOCKS))
-        if span <= MAX_SPREAD * stats.rows and stats.high - stats.low < 1 << 62:
-            return whole_div(F.col(key).cast("long") - F.lit(stats.low).cast("long"), width)
+        if span <= MAX_SPREAD * stats.rows and span < 1 << 62:
+            return whole_div(F.col(key).cast("long") - F.lit(stats.low).cast("long"), width), width
     bounds = _sample_bounds(df, key, stats.rows)
     if not bounds:
-        return F.lit(0).cast("long")
-    return _block_from_bounds(F.col(key), bounds, df.schema[key].dataType.simpleString())
+        return one_block, stats.rows
+    return _block_from_bounds(F.col(key), bounds, df.schema[key].dataType.simpleString()), stats.rows
 
 
 def with_position(df: DataFrame, key: str, out: str = "position", stats: KeyStats | None = None) -> DataFrame:
@@ -111,11 +112,14 @@ def with_position(df: DataFrame, key: str, out: str = "position", stats: KeyStat
         return df.withColumn(out, F.lit(None).cast("long"))
     if stats.dense:
         return df.withColumn(out, F.col(key).cast("long") - F.lit(stats.low).cast("long") + 1)
-    block = block_column(df, key, stats)
+    block, most = block_column(df, key, stats)
     counts = df.select(block.alias("_block")).groupBy("_block").agg(F.count("*").alias("_n"))
+    # A block with more rows than key values has repeated keys, which have no definite order.
+    n = F.when(F.col("_n") > most, F.raise_error(F.lit(f"order key {key} is not unique")).cast("long")).otherwise(F.col("_n"))
     # One row per block, at most MAX_BLOCKS: the sum over all blocks and the broadcast stay small.
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = counts.select("_block", n.alias("_n")).select(
+        "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_block").orderBy(key)
     numbered = df.withColumn("_block", block).withColumn("_rank", F.row_number().over(inside))
     placed = numbered.join(F.broadcast(offsets), "_block")

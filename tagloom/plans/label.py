@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import STANDARD_RULES, Rule
 from ..functions.text import Wording
-from ..operators.answers import answers_column, coded_rows, read_answers, terminal_fill
+from ..operators.answers import AnswerReader, coded_rows, terminal_fill
 from ..operators.batches import UNIT_KEYS, batch_units, chunk_batches, part_number, single_units
 from ..operators.position import KeyStats, key_stats, with_position
 from ..operators.ranges import assign_worker, range_join
@@ -64,14 +64,14 @@ def _units(rows: DataFrame, kind: str, plan: RunPlan, keep: Sequence[str], wordi
     return single_units(rows, keep, wording)
 
 
-def _wave(units: DataFrame, caller: Caller, spec: PromptSpec, kind: str, attempt: int, folder: str,
-          answers: Column) -> DataFrame:
+def _wave(units: DataFrame, caller: Caller, reader: AnswerReader, kind: str, attempt: int, folder: str) -> DataFrame:
     """One attempt for all given units: call, read, write. A wave that was written before is not called again."""
     path = f"{folder}/kind={kind}/attempt={attempt}"
     spark = units.sparkSession
+    read = reader(caller(units, attempt))
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        read_answers(caller(units, attempt), spec, kind, answers=answers).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).withColumns({"kind": F.lit(kind), "attempt": F.lit(attempt)})
+        read.write.mode("overwrite").parquet(path)
+    return spark.read.schema(read.schema).parquet(path).withColumns({"kind": F.lit(kind), "attempt": F.lit(attempt)})
 
 
 @dataclass(frozen=True)
@@ -99,16 +99,15 @@ def label_run(messages: DataFrame, spec: PromptSpec, caller: Caller, plan: RunPl
     kept = list(dict.fromkeys([*keep, "pos_in_worker", "part"]))
     packed = list(dict.fromkeys([*kept, *extra]))
 
-    answers = answers_column(spec, rules)
     log: list[DataFrame] = []
     failed = None
     for kind in ("batch", "row") if plan.batch_size > 1 else ("row",):
         if failed is not None:
             rows = rows.join(failed.select(*UNIT_KEYS), list(UNIT_KEYS), "left_semi")
-        only = None
+        reader, only = AnswerReader(spec, kind, rules), None
         for attempt in range(1, plan.retries + 1):
             units = _units(rows, kind, plan, packed, wording, only)
-            log.append(_wave(units, caller, spec, kind, attempt, folder, answers))
+            log.append(_wave(units, caller, reader, kind, attempt, folder))
             only = log[-1].filter(~F.col("ok")).select(*UNIT_KEYS, "row_id")
             if only.isEmpty():
                 only = None

@@ -87,7 +87,7 @@ def _called(units, spark, kind):
     caller = ClientCaller(EchoClient(), model="echo", tasks=spark.sparkContext.defaultParallelism)
     path = work_folder(spark, "calls")
     caller(units, 1).write.parquet(path)
-    read = answers.read_answers(spark.read.parquet(path), ECHO_SPEC, kind)
+    read = answers.AnswerReader(ECHO_SPEC, kind)(spark.read.parquet(path))
     return answers.coded_rows(read, ECHO_SPEC)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
-from ..operators.answers import answers_column, check_answers, parse_answers, read_answers, reconcile
+from ..operators.answers import AnswerReader
 from ..operators.batches import batch_units
 from ..spec import PromptSpec
 from .common import BATCH, MESSAGES_SQL, messages, placed, placed_sql, table
@@ -71,14 +71,14 @@ def parse_strict(spark, sf_dir):
 
 
 def parse_object(spark, sf_dir):
-    parsed = parse_answers(_texts(spark, sf_dir), kind="row")
+    parsed = AnswerReader(K_SPEC, "row").elements(_texts(spark, sf_dir))
     first = F.get("elements", F.lit(0))
     return parsed.select("event_id", F.col("elements").isNotNull().alias("parsed"),
                          A.as_object(first).isNotNull().alias("is_object"), _k(first).alias("k"))
 
 
 def parse_array(spark, sf_dir):
-    parsed = parse_answers(_texts(spark, sf_dir))
+    parsed = AnswerReader(K_SPEC).elements(_texts(spark, sf_dir))
     return parsed.select("event_id", F.when(F.col("elements").isNotNull(), F.size("elements")).alias("n"),
                          _k(F.get("elements", F.lit(0))).alias("k"))
 
@@ -89,7 +89,7 @@ def _two_rows(df):
 
 def admissible(spark, sf_dir):
     """Whether an answer can be used for two rows."""
-    read = read_answers(_two_rows(_texts(spark, sf_dir)), K_SPEC)
+    read = AnswerReader(K_SPEC)(_two_rows(_texts(spark, sf_dir)))
     values = F.transform("answers", lambda a: F.coalesce(a["values"]["k"], F.lit("null")))
     return read.select("event_id", "ok", F.when(F.col("ok"), F.array_join(values, "|")).alias("k_values"))
 
@@ -106,7 +106,7 @@ def project_coded(spark, sf_dir):
 def typed_ok(spark, sf_dir):
     """The type check with its exemptions, and the repaired values of usable answers."""
     one = _texts(spark, sf_dir, TYPED).withColumn("rows", F.array(F.struct(F.lit(1).alias("pos"))))
-    read = read_answers(one, TYPED_SPEC, kind="row")
+    read = AnswerReader(TYPED_SPEC, "row")(one)
     values = F.when(F.col("ok"), F.get("answers", F.lit(0))["values"])
     return read.select("event_id", "ok", values["flag"].alias("flag"), values["label"].alias("label"))
 
@@ -131,8 +131,7 @@ def _units_with_answers(spark, sf_dir):
 
 
 def _aligned(spark, sf_dir):
-    pairs = reconcile(parse_answers(_units_with_answers(spark, sf_dir)))
-    checked = check_answers(pairs, answers_column(TOPIC_SPEC))
+    checked = AnswerReader(TOPIC_SPEC)(_units_with_answers(spark, sf_dir))
     return checked.select("worker_id", "batch_id", F.inline_outer("answers"))
 
 

@@ -13,14 +13,6 @@ from ..operators.merge import concat_by_name
 REQUIRED = ("RowID", "Message")
 OPTIONAL = ("Title", "Sentiment")
 
-SCHEMA = T.StructType([
-    T.StructField("RowID", T.LongType()),
-    T.StructField("Title", T.StringType()),
-    T.StructField("Message", T.StringType()),
-    T.StructField("Sentiment", T.StringType()),
-])
-
-
 def require_columns(df: DataFrame, required: Sequence[str] = REQUIRED,
                     optional: Sequence[str] = OPTIONAL) -> DataFrame:
     """Fail on a missing required column; add missing optional ones as NULL."""
@@ -38,21 +30,19 @@ def na_as_null(df: DataFrame, tokens: Sequence[str]) -> DataFrame:
         for f in df.schema.fields])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header; quoted line breaks and doubled quotes are right. Without a schema every column is text.
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header, every column as text; quoted line breaks and doubled quotes are right.
 
     Such files cannot be split, so one task reads one file: write the result as Parquet once and go on from there.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    return (reader.schema(schema) if schema else reader).csv(path)
+    return spark.read.options(header=True, multiLine=True, escape='"').csv(path)
 
 
-def read_messages(spark: SparkSession, path: str, na_tokens: Sequence[str] | None = None) -> DataFrame:
-    """Messages from Parquet or CSV. Empty cells are NULL; texts such as ``None`` stay unless listed in ``na_tokens``."""
-    if path.rstrip("/").endswith(".csv"):
-        df = read_csv(spark, path)
-    else:
-        df = spark.read.parquet(path)
+def read_messages(spark: SparkSession, path: str, na_tokens: Sequence[str] | None = None,
+                  form: str | None = None) -> DataFrame:
+    """Messages from CSV or Parquet; without ``form`` a path that ends in ``.csv`` is CSV. Empty cells are NULL; texts such as ``None`` stay unless listed in ``na_tokens``."""
+    form = form or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
+    df = read_csv(spark, path) if form == "csv" else spark.read.format(form).load(path)
     df = require_columns(df)
     df = df.withColumn("RowID", F.col("RowID").cast("long"))
     return na_as_null(df, na_tokens) if na_tokens else df
