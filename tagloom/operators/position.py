@@ -82,8 +82,8 @@ def _block_from_bounds(key: Column, bounds: list[str], key_type: str) -> Column:
     """Number of bounds not above the key, found in two steps of about sqrt(n) comparisons each."""
     width = max(1, math.isqrt(len(bounds)))
     groups = [bounds[i:i + width] for i in range(0, len(bounds), width)]
-    heads = F.from_json(F.lit(json.dumps([g[0] for g in groups])), f"array<{key_type}>")
-    tails = F.from_json(F.lit(json.dumps(groups)), f"array<array<{key_type}>>")
+    heads = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<string>").cast(f"array<{key_type}>")
+    tails = F.from_json(F.lit(json.dumps(groups)), "array<array<string>>").cast(f"array<array<{key_type}>>")
     group = F.size(F.filter(heads, lambda b: b <= key))
     inside = F.size(F.filter(F.get(tails, group - 1), lambda b: b <= key))
     return F.when(group == 0, F.lit(0)).otherwise((group - 1) * width + inside).cast("long")
@@ -91,9 +91,6 @@ def _block_from_bounds(key: Column, bounds: list[str], key_type: str) -> Column:
 
 def block_column(df: DataFrame, key: str, stats: KeyStats) -> tuple[Column, int]:
     """Block of a row, a pure function of its key with blocks in key order, and the most rows a block can hold."""
-    one_block = F.lit(0).cast("long")
-    if stats.rows <= BLOCK_ROWS:
-        return one_block, BLOCK_ROWS
     if stats.integral:
         span = stats.high - stats.low + 1
         width = max(BLOCK_ROWS, math.ceil(span / MAX_BLOCKS))
@@ -101,7 +98,7 @@ def block_column(df: DataFrame, key: str, stats: KeyStats) -> tuple[Column, int]
             return whole_div(F.col(key).cast("long") - F.lit(stats.low).cast("long"), width), width
     bounds = _sample_bounds(df, key, stats.rows)
     if not bounds:
-        return one_block, stats.rows
+        raise ValueError(f"order key {key} is not unique")
     return _block_from_bounds(F.col(key), bounds, df.schema[key].dataType.simpleString()), stats.rows
 
 
@@ -112,6 +109,9 @@ def with_position(df: DataFrame, key: str, out: str = "position", stats: KeyStat
         return df.withColumn(out, F.lit(None).cast("long"))
     if stats.dense:
         return df.withColumn(out, F.col(key).cast("long") - F.lit(stats.low).cast("long") + 1)
+    if stats.rows <= BLOCK_ROWS:
+        # Counted above: few enough rows for one task.
+        return df.withColumn(out, F.row_number().over(Window.orderBy(key)).cast("long"))
     block, most = block_column(df, key, stats)
     counts = df.select(block.alias("_block")).groupBy("_block").agg(F.count("*").alias("_n"))
     # A block with more rows than key values has repeated keys, which have no definite order.
