@@ -98,8 +98,8 @@ class AnswerReader:
 def coded_rows(responses: DataFrame, spec: PromptSpec, keep: Sequence[str] = ("RowID", "Sentiment"),
                carry: Sequence[str] = ()) -> DataFrame:
     """One row per answered message of usable responses: ``keep`` of the message, then the coded columns."""
-    # Not a filter on "ok": that would be pushed below and repeat all the parsing that "ok" stands for. The outer form
-    # keeps Spark from adding such a filter itself.
+    # Not a filter on "ok": where answers are not read from a table it would be pushed below and repeat all the parsing
+    # that "ok" stands for. The outer form keeps Spark from adding such a filter itself.
     exploded = responses.select(*carry, F.inline_outer(F.when(F.col("ok"), F.col("answers"))))
     exploded = exploded.filter(F.col("row").isNotNull())
     names = output_names(spec, keep)

@@ -73,10 +73,14 @@ def part_number(df: DataFrame, size: int, interval: int) -> DataFrame:
     return df.withColumn("part", part_column(F.col("pos_in_worker"), size, interval))
 
 
-def progress_points(batches: DataFrame, size: int) -> DataFrame:
-    """Of batch rows (worker_id, batch_id, done, total), those that report progress.
+def progress_points(rows: DataFrame, size: int, total: Column) -> DataFrame:
+    """After which batches a worker reports progress, and the rows done by then.
 
-    Reported are counts that are a multiple of max(size, total div 20), and the end.
+    Reported are counts that are a multiple of max(size, total div 20), and the end. The count only moves by whole
+    batches, so the last row of a batch stands for it: a filter, without any grouping. ``total`` is the worker's number
+    of rows, for an even plan from ``ranges.worker_rows``.
     """
-    step = F.greatest(F.lit(size).cast("long"), whole_div(F.col("total"), 20))
-    return batches.filter((F.col("done") % step == 0) | (F.col("done") == F.col("total")))
+    done = rows.select("worker_id", "batch_id", F.col("pos_in_worker").alias("done"), total.alias("total"))
+    at, end = F.col("done"), F.col("total")
+    step = F.greatest(F.lit(size).cast("long"), whole_div(end, 20))
+    return done.filter((at == end) | ((at % size == 0) & (at % step == 0)))

@@ -78,6 +78,12 @@ def worker_columns(position: Column, n_rows: int, n_workers: int) -> tuple[Colum
     return worker.cast("int"), inside.cast("long")
 
 
+def worker_rows(worker: Column, n_rows: int, n_workers: int) -> Column:
+    """Number of rows of a worker in an even plan."""
+    base, extra = divmod(n_rows, n_workers)
+    return (F.lit(base) + F.when(worker <= extra, 1).otherwise(0)).cast("long")
+
+
 def assign_worker(df: DataFrame, n_rows: int, n_workers: int, position: str = "position") -> DataFrame:
     """Add ``worker_id`` and ``pos_in_worker`` of an even plan."""
     worker, inside = worker_columns(F.col(position), n_rows, n_workers)

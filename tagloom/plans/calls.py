@@ -35,14 +35,15 @@ class Caller(Protocol):
 class ClientCaller:
     """Calls a client from tasks, Arrow batch by Arrow batch; the only place where Python sees data.
 
-    ``tasks`` times ``threads`` caps how many calls run at once. Write the result before using it twice, because a
-    recomputation would call again.
+    Calls at one time are at most ``threads`` per running task, and ``tasks`` in all if that is less than the cluster's
+    slots. More and smaller tasks (the default is four per slot) lose fewer calls when an executor is lost. Write the
+    result before using it twice, because a recomputation would call again.
     """
 
     client: ModelClient
     model: str = ""
     system: str = ""
-    tasks: int = 8
+    tasks: int | None = None
     threads: int = 1
 
     def __call__(self, units: DataFrame, attempt: int) -> DataFrame:
@@ -71,7 +72,8 @@ class ClientCaller:
                     yield pa.RecordBatch.from_pydict(columns)
 
         keys = [c for c in ("worker_id", "batch_id", "row_id") if c in units.columns]
-        return units.repartition(self.tasks, *keys).mapInArrow(call, schema)
+        tasks = self.tasks or 4 * units.sparkSession.sparkContext.defaultParallelism
+        return units.repartition(tasks, *keys).mapInArrow(call, schema)
 
 
 @dataclass(frozen=True)

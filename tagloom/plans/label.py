@@ -5,12 +5,13 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.labels import STANDARD_RULES, Rule
+from ..functions.numbers import whole_div
 from ..functions.text import Wording
 from ..operators.answers import AnswerReader, coded_rows, terminal_fill
 from ..operators.batches import UNIT_KEYS, batch_units, chunk_batches, part_number, single_units
@@ -26,7 +27,11 @@ KEEP = ("RowID", "Sentiment")
 
 @dataclass(frozen=True)
 class RunPlan:
-    """Numbers of a run. ``ranges`` replaces the even split over ``n_workers``."""
+    """Numbers of a run. ``ranges`` replaces the even split over ``n_workers``.
+
+    ``workers_per_step`` cuts a big run into steps of that many workers (row ranges): each step is saved on its own, so
+    that a run that breaks off goes on with the step it was in. A step should still fill the cluster.
+    """
 
     n_workers: int = 4
     batch_size: int = 10
@@ -34,10 +39,25 @@ class RunPlan:
     interval: int = 25
     delay_sec: float = 0.0
     ranges: tuple[tuple[int, int], ...] = ()
+    workers_per_step: int | None = None
 
     def __post_init__(self):
-        if self.retries < 1 or self.batch_size < 1 or self.n_workers < 1:
-            raise ValueError("workers, batch size and retries must be positive")
+        if min(self.retries, self.batch_size, self.n_workers, self.interval, self.workers_per_step or 1) < 1:
+            raise ValueError("workers, batch size, retries and interval must be positive")
+
+    def steps(self) -> list[tuple[int, int]]:
+        """First and last worker of each step."""
+        workers = len(self.ranges) or self.n_workers
+        size = self.workers_per_step or workers
+        return [(w, min(w + size - 1, workers)) for w in range(1, workers + 1, size)]
+
+    def extent(self, first: int, last: int, n_rows: int) -> tuple[int, int]:
+        """First and last position of a group of workers."""
+        if self.ranges:
+            held = [r for r in self.ranges[first - 1:last] if r[0] <= r[1]] or [(1, 0)]
+            return min(r[0] for r in held), max(r[1] for r in held)
+        base, extra = divmod(n_rows, self.n_workers)
+        return (first - 1) * base + min(first - 1, extra) + 1, last * base + min(last, extra)
 
 
 def place_rows(messages: DataFrame, plan: RunPlan, stats: KeyStats | None = None) -> DataFrame:
@@ -51,6 +71,32 @@ def place_rows(messages: DataFrame, plan: RunPlan, stats: KeyStats | None = None
     return part_number(chunk_batches(placed, plan.batch_size), plan.batch_size, plan.interval)
 
 
+def _with_folders(schema: T.StructType, **folders: T.DataType) -> T.StructType:
+    """Schema of a saved table with the columns that its folder names hold."""
+    return T.StructType(schema.fields + [T.StructField(name, kind) for name, kind in folders.items()])
+
+
+def _placed_steps(messages: DataFrame, plan: RunPlan, stats: KeyStats, folder: str) -> list[DataFrame]:
+    """Placed rows of each step.
+
+    With gap-free ids a step is a range of ids that reaches the scan, so a step reads only its own rows. Otherwise
+    placing takes a shuffle, and a run of several steps does it once and saves the result by step.
+    """
+    placed, steps = place_rows(messages, plan, stats), plan.steps()
+    if len(steps) == 1:
+        return [placed]
+    if stats.dense:
+        extents = [plan.extent(first, last, stats.rows) for first, last in steps]
+        ids = [(stats.low + start - 1, stats.low + end - 1) for start, end in extents]
+        return [placed.filter(F.col("RowID").between(*i) & F.col("worker_id").between(*w)) for i, w in zip(ids, steps)]
+    path, size = f"{folder}/placed", steps[0][1]
+    if not path_exists(messages.sparkSession, f"{path}/_SUCCESS"):
+        saved = placed.withColumn("step", whole_div(F.col("worker_id") - 1, size))
+        saved.write.mode("overwrite").partitionBy("step").parquet(path)
+    saved = messages.sparkSession.read.schema(_with_folders(placed.schema, step=T.IntegerType())).parquet(path)
+    return [saved.filter(F.col("step") == n).drop("step") for n in range(len(steps))]
+
+
 def _units(rows: DataFrame, kind: str, plan: RunPlan, keep: Sequence[str], wording: Wording,
            only: DataFrame | None = None) -> DataFrame:
     """Units of one kind; with ``only`` just those, cut down before anything is shuffled."""
@@ -64,19 +110,18 @@ def _units(rows: DataFrame, kind: str, plan: RunPlan, keep: Sequence[str], wordi
     return single_units(rows, keep, wording)
 
 
-def _wave(units: DataFrame, caller: Caller, reader: AnswerReader, kind: str, attempt: int, folder: str) -> DataFrame:
+def _wave(units: DataFrame, caller: Caller, reader: AnswerReader, attempt: int, path: str) -> DataFrame:
     """One attempt for all given units: call, read, write. A wave that was written before is not called again."""
-    path = f"{folder}/kind={kind}/attempt={attempt}"
     spark = units.sparkSession
-    read = reader(caller(units, attempt))
+    read = reader(caller(units, attempt)).drop("kind")
     if not path_exists(spark, f"{path}/_SUCCESS"):
         read.write.mode("overwrite").parquet(path)
-    return spark.read.schema(read.schema).parquet(path).withColumns({"kind": F.lit(kind), "attempt": F.lit(attempt)})
+    return spark.read.schema(read.schema).parquet(path)
 
 
 @dataclass(frozen=True)
 class LabelRun:
-    """Result of a run: ``rows`` (one per message) and ``log`` (one per response)."""
+    """Result of a run: ``rows`` (one per message and range) and ``log`` (one per response)."""
 
     rows: DataFrame
     log: DataFrame
@@ -95,37 +140,38 @@ def label_run(messages: DataFrame, spec: PromptSpec, caller: Caller, plan: RunPl
     """
     spark = prepare(messages.sparkSession)
     folder = folder or work_folder(spark, "label-run")
-    rows = place_rows(require_columns(messages), plan, stats)
+    messages = require_columns(messages)
+    stats = stats or key_stats(messages, "RowID")
     kept = list(dict.fromkeys([*keep, "pos_in_worker", "part"]))
     packed = list(dict.fromkeys([*kept, *extra]))
-
-    log: list[DataFrame] = []
-    failed = None
-    for kind in ("batch", "row") if plan.batch_size > 1 else ("row",):
-        if failed is not None:
-            rows = rows.join(failed.select(*UNIT_KEYS), list(UNIT_KEYS), "left_semi")
-        reader, only = AnswerReader(spec, kind, rules), None
-        for attempt in range(1, plan.retries + 1):
-            units = _units(rows, kind, plan, packed, wording, only)
-            log.append(_wave(units, caller, reader, kind, attempt, folder))
-            only = log[-1].filter(~F.col("ok")).select(*UNIT_KEYS, "row_id")
-            if only.isEmpty():
-                only = None
+    readers = {kind: AnswerReader(spec, kind, rules) for kind in ("batch", "row")}
+
+    for step, rows in enumerate(_placed_steps(messages, plan, stats, folder)):
+        failed = None
+        for kind in ("batch", "row") if plan.batch_size > 1 else ("row",):
+            if failed is not None:
+                rows = rows.join(failed.select(*UNIT_KEYS), list(UNIT_KEYS), "left_semi")
+            failed = None
+            for attempt in range(1, plan.retries + 1):
+                units = _units(rows, kind, plan, packed, wording, failed)
+                path = f"{folder}/waves/step={step}/kind={kind}/attempt={attempt}"
+                wave = _wave(units, caller, readers[kind], attempt, path)
+                failed = wave.filter(~F.col("ok")).select(*UNIT_KEYS, "row_id")
+                if failed.isEmpty():
+                    failed = None
+                    break
+                if attempt < plan.retries and plan.delay_sec:
+                    time.sleep(plan.delay_sec * attempt)
+            if failed is None:
                 break
-            if attempt < plan.retries and plan.delay_sec:
-                time.sleep(plan.delay_sec * attempt)
-        failed = only
-        if failed is None:
-            break
 
+    schema = _with_folders(wave.schema, step=T.IntegerType(), kind=T.StringType(), attempt=T.IntegerType())
+    log = spark.read.schema(schema).parquet(f"{folder}/waves")
     carry = ["worker_id", "batch_id", "kind", "attempt"]
-    pieces = [coded_rows(wave, spec, kept, carry) for wave in log]
-    if failed is not None:
-        lost = log[-1].filter(~F.col("ok")).select(*carry, F.inline("rows"))
-        pieces.append(terminal_fill(lost, spec, kept, carry))
-    return LabelRun(
-        rows=reduce(DataFrame.unionByName, pieces),
-        log=reduce(DataFrame.unionByName, [wave.drop("answers", "rows") for wave in log]))
+    out_of_attempts = (F.col("kind") == "row") & (F.col("attempt") == plan.retries) & ~F.col("ok")
+    lost = log.filter(out_of_attempts).select(*carry, F.inline("rows"))
+    labelled = coded_rows(log, spec, kept, carry).unionByName(terminal_fill(lost, spec, kept, carry))
+    return LabelRun(rows=labelled, log=log.drop("answers", "rows"))
 
 
 def label_table(messages: DataFrame, spec: PromptSpec, caller: Caller, plan: RunPlan = RunPlan(),

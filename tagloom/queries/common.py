@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import whole_div
 from ..operators.batches import chunk_batches
-from ..operators.position import key_stats, with_position
+from ..operators.position import KeyStats, key_stats, with_position
 from ..operators.ranges import assign_worker
 from ..session import prepare
 
@@ -40,9 +40,10 @@ messages AS (
 """
 
 
-def placed(df: DataFrame, key: str = "RowID", workers: int = WORKERS, size: int = BATCH) -> DataFrame:
+def placed(df: DataFrame, key: str = "RowID", workers: int = WORKERS, size: int = BATCH,
+           stats: KeyStats | None = None) -> DataFrame:
     """Position, worker and batch of every row."""
-    stats = key_stats(df, key)
+    stats = stats or key_stats(df, key)
     return chunk_batches(assign_worker(with_position(df, key, stats=stats), stats.rows, workers), size)
 
 

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import whole_div
 from ..operators import audit, batches, usage
-from .common import BATCH, INTERVAL, LOG_SQL, MESSAGES_SQL, as_messages, placed, placed_sql, response_log, table
+from ..operators.position import key_stats
+from ..operators.ranges import worker_rows
+from .common import (BATCH, INTERVAL, LOG_SQL, MESSAGES_SQL, WORKERS, as_messages, placed, placed_sql, response_log,
+                     table)
 
 
 def token_usage(spark, sf_dir):
@@ -43,10 +46,10 @@ def part_number(spark, sf_dir):
 
 def progress_points(spark, sf_dir):
     """Batches after which a worker reports, with the rows done by then."""
-    rows = placed(as_messages(table(spark, sf_dir, "documents"))).select("worker_id", "batch_id", "pos_in_worker")
-    done = rows.groupBy("worker_id", "batch_id").agg(F.max("pos_in_worker").alias("done"))
-    total = rows.groupBy("worker_id").agg(F.max("pos_in_worker").alias("total"))
-    return batches.progress_points(done.join(total, "worker_id"), BATCH)
+    docs = as_messages(table(spark, sf_dir, "documents"))
+    stats = key_stats(docs, "RowID")
+    rows = placed(docs, stats=stats)
+    return batches.progress_points(rows, BATCH, worker_rows(F.col("worker_id"), stats.rows, WORKERS))
 
 
 def category_counts(spark, sf_dir):

@@ -30,6 +30,12 @@ def read_status(spark: SparkSession, folder: str) -> DataFrame:
     return df.filter(F.col("worker_id").isNotNull())
 
 
+def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """Paths below a folder; only the listing is used, no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    return files.load(folder).select("path")
+
+
 def append(df: DataFrame, path: str) -> None:
     """Add entries to a ledger; earlier ones stay."""
     df.write.mode("append").parquet(path)

@@ -171,10 +171,9 @@ def test_parts_close_where_the_save_loop_would_close_them(spark, size, interval,
 @pytest.mark.parametrize("size, total", [(10, 1000), (3, 50), (1, 7)])
 def test_progress_points(spark, size, total):
     done = [min(d, total) for d in range(size, total + size, size)]
-    df = spark.createDataFrame([(1, i, d, total) for i, d in enumerate(done)],
-                               "worker_id int, batch_id long, done long, total long")
+    df = batches.chunk_batches(spark.range(1, total + 1).select(F.lit(1).alias("worker_id"), F.col("id").alias("pos_in_worker")), size)
     step = max(size, total // 20)
-    assert {r["done"] for r in batches.progress_points(df, size).collect()} == {
+    assert {r["done"] for r in batches.progress_points(df, size, F.lit(total).cast("long")).collect()} == {
         d for d in done if d % step == 0 or d == total}
 
 

@@ -163,3 +163,15 @@ def test_silent_workers_are_not_done(spark):
     planned = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "worker_id int, label string")
     status = spark.createDataFrame([(1, "completed"), (3, "failed")], "worker_id int, state string")
     assert {r["label"]: r["all_done"] for r in runs.all_done(planned, status).collect()} == {"a": False, "b": True}
+
+
+def test_files_found_and_missing(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name in ("a_w1.csv", "sub/a_w2.csv", "a_w3.txt"):
+        (tmp_path / name).write_text("x")
+    found = ledger.list_files(spark, str(tmp_path), "*.csv")
+    base = f"file:{tmp_path}"
+    assert {r["path"] for r in found.collect()} == {f"{base}/a_w1.csv", f"{base}/sub/a_w2.csv"}
+    planned = spark.createDataFrame([("a", [f"{base}/a_w1.csv", f"{base}/a_w3.csv"]), ("b", [])],
+                                    "label string, expected_outputs array<string>")
+    assert [r["path"] for r in runs.missing_outputs(planned, found).collect()] == [f"{base}/a_w3.csv"]
