@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rates as R
+from ..functions.text import output_name
 
 # States and outcomes.
 FINISHED = ("completed", "failed")
@@ -37,6 +38,21 @@ def upsert_run_file(entries: DataFrame, keys: Sequence[str] = ("run_id", "label"
     return latest_by(entries, keys, order, keep)
 
 
+def file_entries(queue: DataFrame, ranges: DataFrame, pattern: str, **fields: Column) -> DataFrame:
+    """Manifest entries of planned files (label, input_file): pending, with their ranges and expected outputs.
+
+    ``fields`` fill the naming pattern; ``label`` is the file's own. A file has one range per worker of the plan.
+    """
+    named = ranges.withColumn("_path", output_name(pattern, F.col("worker_id"), label=F.col("label"), **fields))
+    one = F.struct("worker_id", "start", "end", "_path")
+    listed = named.groupBy("label").agg(F.sort_array(F.collect_list(one)).alias("_r"))
+    return queue.join(listed, "label", "left").select(
+        "label", "input_file", F.lit("pending").alias("status"),
+        F.transform("_r", lambda r: F.struct(r["worker_id"].alias("worker_id"), r["start"].alias("start"),
+                                             r["end"].alias("end"))).alias("ranges"),
+        F.col("_r._path").alias("expected_outputs"), F.lit(None).cast("string").alias("merged_output"))
+
+
 def patch_run_file(patches: DataFrame, keys: Sequence[str] = ("run_id", "label"), order: str = "updated_at") -> DataFrame:
     """Manifest state after status patches: last status, and the last merged path that was given at all."""
     given = F.when(F.col("merged_output").isNotNull(), F.col(order))

@@ -27,6 +27,16 @@ def _entries(spark, sf_dir):
     return status_events(spark, sf_dir).withColumn("label", F.concat(F.lit("f"), number))
 
 
+def manifest_entries(spark, sf_dir):
+    """Entries of one file per language, with four ranges each."""
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("label"))
+    queue = docs.distinct().withColumn("input_file", F.concat(F.lit("in_"), F.col("label")))
+    entries = runs.file_entries(queue, ranges.plan_ranges(docs, 4, ["label"]), "{project}_{label}", project=F.lit("p"))
+    shown = F.transform("ranges", lambda r: F.concat_ws("-", r["start"], r["end"]))
+    return entries.select("label", "input_file", "status", F.array_join(shown, "|").alias("ranges"),
+                          F.array_join("expected_outputs", "|").alias("expected_outputs"))
+
+
 def manifest_upsert(spark, sf_dir):
     entries = _entries(spark, sf_dir).select(
         "run_id", "label", "event_id", F.col("state").alias("status"), "output_file")
@@ -173,12 +183,20 @@ gone AS (SELECT label, w, concat('r_', label, '_w', w, '.csv') AS path FROM expe
          WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = k AND l_linenumber = w))"""
 
 QUERIES = {f.__name__: f for f in (
-    status_latest, manifest_upsert, manifest_patch, failed_ranges, all_done, progress_eta, run_rollup, merge_gate,
+    status_latest, manifest_entries, manifest_upsert, manifest_patch, failed_ranges, all_done, progress_eta, run_rollup, merge_gate,
     final_summary, run_summary, missing_outputs, manifest_summary, unplanned_files, resume_files)}
 
 ORACLES = {
     "status_latest": f"""{_PER_RUN}
         SELECT run_id, worker_id, state, rows_processed, event_id, last_error FROM per_run""",
+    "manifest_entries": """
+        WITH c AS (SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang),
+        r AS (SELECT label, w, CASE WHEN w <= n % 4 THEN (w - 1) * (n // 4 + 1) ELSE (w - 1) * (n // 4) + n % 4 END + 1 AS s,
+                     n // 4 + CASE WHEN w <= n % 4 THEN 1 ELSE 0 END AS size FROM c, range(1, 5) t(w))
+        SELECT label, 'in_' || label AS input_file, 'pending' AS status,
+               string_agg(concat(s, '-', s + size - 1), '|' ORDER BY w) AS ranges,
+               string_agg(concat('p_', label, '_w', w, '.csv'), '|' ORDER BY w) AS expected_outputs
+        FROM r GROUP BY label""",
     "manifest_upsert": f"""{_ENTRIES}
         SELECT run_id, label, max(event_id) AS event_id, arg_max(state, event_id) AS status,
                arg_max_null(output_file, event_id) AS output_file FROM e GROUP BY run_id, label""",

@@ -7,11 +7,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Runtime settings the operators rely on. Duplicate JSON keys must be accepted (the last one wins). Prompts can be long,
-# so few of them make one Arrow batch.
+# Runtime settings the operators rely on. Duplicate JSON keys must be accepted (the last one wins).
 SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }

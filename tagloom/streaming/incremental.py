@@ -15,7 +15,9 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, form: st
     """Message files of a folder as a stream."""
     reader = spark.readStream.schema(schema).format(form)
     if form == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = reader.options(header=True, multiLine=True, escape='"')
+    elif form == "json":
+        reader = reader.options(multiLine=True, mode="DROPMALFORMED")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if glob:
@@ -24,12 +26,13 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, form: st
 
 
 def label_stream(messages: DataFrame, label: Callable[[DataFrame, str], DataFrame], out: str, checkpoint: str,
-                 folder: str) -> StreamingQuery:
+                 folder: str, **trigger) -> StreamingQuery:
     """Label what is new in each micro-batch and add it to ``out``.
 
     ``label(rows, wave_folder)`` is usually ``label_table`` with its options bound. The output is partitioned by
     micro-batch and a repeated one replaces its own partition only; its waves have a folder of their own, so a restart
-    in the middle does not call the model again for waves that were complete. Run with ``availableNow`` semantics.
+    in the middle does not call the model again for waves that were complete. ``trigger`` is that of ``writeStream``, by
+    default ``availableNow=True``.
     """
     def handle(rows: DataFrame, batch_id: int) -> None:
         labelled = label(rows, f"{folder}/stream_batch={batch_id}")
@@ -37,4 +40,4 @@ def label_stream(messages: DataFrame, label: Callable[[DataFrame, str], DataFram
          .option("partitionOverwriteMode", "dynamic").partitionBy("stream_batch").parquet(out))
 
     return (messages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or {"availableNow": True})).start())

@@ -12,7 +12,8 @@ from ..operators.runs import latest_by
 
 
 def status_stream(events: DataFrame, out: str, checkpoint: str, keys: Sequence[str] = ("run_id", "worker_id"),
-                  order: Sequence[str] = ("updated_at", "event_id"), keep: Sequence[str] = ("state",)) -> StreamingQuery:
+                  order: Sequence[str] = ("updated_at", "event_id"), keep: Sequence[str] = ("state",),
+                  **trigger) -> StreamingQuery:
     """Keep the newest event per worker as streaming state, one entry per worker, and log every change to ``out``."""
     newest = F.max_by(F.struct(*order, *keep), F.struct(*order)).alias("_newest")
     latest = events.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
@@ -22,7 +23,7 @@ def status_stream(events: DataFrame, out: str, checkpoint: str, keys: Sequence[s
          .option("partitionOverwriteMode", "dynamic").partitionBy("stream_batch").parquet(out))
 
     return (latest.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def read_status_table(spark: SparkSession, out: str, keys: Sequence[str] = ("run_id", "worker_id"),
