@@ -33,15 +33,18 @@ def estimate_calls(df: DataFrame, size: int, by: Sequence[str] = ("worker_id",))
     return counts.withColumn("calls", F.ceil(F.col("rows") / size))
 
 
-def batch_units(df: DataFrame, size: int, keep: Sequence[str] = ("RowID", "Sentiment"),
-                wording: Wording = Wording()) -> DataFrame:
+def batch_units(df: DataFrame, size: int, keep: Sequence[str] = ("RowID", "Sentiment"), wording: Wording = Wording(),
+                partitions: int | None = None) -> DataFrame:
     """One row per batch: its rows in order (``keep`` columns only) and its prompt.
 
-    A group holds at most ``size`` rows. The texts travel through one shuffle and leave as part of the prompt. With
-    batch size 1 the single-row prompt is used; a one-row rest of a larger size keeps the batch form.
+    A group holds at most ``size`` rows. The texts travel through one shuffle, into ``partitions`` partitions if that is
+    given, and leave as part of the prompt. With batch size 1 the single-row prompt is used; a one-row rest of a larger
+    size keeps the batch form.
     """
     if size == 1:
-        return single_units(df, keep, wording)
+        return single_units(df, keep, wording, partitions)
+    if partitions:
+        df = df.repartition(partitions, *UNIT_KEYS)
     body = row_body(F.col("RowID"), F.col("Sentiment"), F.col("Title"), F.col("Message"), wording)
     item = F.struct("pos", F.struct(*keep).alias("row"), body.alias("body"))
     groups = df.groupBy(*UNIT_KEYS).agg(F.sort_array(F.collect_list(item)).alias("_items"))
@@ -51,8 +54,11 @@ def batch_units(df: DataFrame, size: int, keep: Sequence[str] = ("RowID", "Senti
     )
 
 
-def single_units(df: DataFrame, keep: Sequence[str] = ("RowID", "Sentiment"), wording: Wording = Wording()) -> DataFrame:
-    """One row per message with the single-row prompt; no shuffle."""
+def single_units(df: DataFrame, keep: Sequence[str] = ("RowID", "Sentiment"), wording: Wording = Wording(),
+                 partitions: int | None = None) -> DataFrame:
+    """One row per message with the single-row prompt; no shuffle unless ``partitions`` is given."""
+    if partitions:
+        df = df.repartition(partitions, *UNIT_KEYS, "RowID")
     prompt = single_prompt(F.col("RowID"), F.col("Sentiment"), F.col("Title"), F.col("Message"), wording)
     return df.select(
         *UNIT_KEYS, F.lit("row").alias("kind"), F.col("RowID").cast("long").alias("row_id"),

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,14 +30,19 @@ class Caller(Protocol):
         """``units`` without the prompt, with content, error and counters, for one attempt."""
         ...
 
+    def partitions(self, spark: SparkSession) -> int | None:
+        """In how many partitions the units should come, if that matters."""
+        ...
+
 
 @dataclass(frozen=True)
 class ClientCaller:
     """Calls a client from tasks, Arrow batch by Arrow batch; the only place where Python sees data.
 
-    Calls at one time are at most ``threads`` per running task, and ``tasks`` in all if that is less than the cluster's
-    slots. More and smaller tasks (the default is four per slot) lose fewer calls when an executor is lost. Write the
-    result before using it twice, because a recomputation would call again.
+    Calls at one time are at most ``threads`` per running task; fewer ``tasks`` than slots cap them further. More and
+    smaller tasks (the default is four per slot) lose fewer calls when an executor is lost. The units bring that many
+    partitions from the shuffle that makes them. Write the result before using it twice, because a recomputation would
+    call again.
     """
 
     client: ModelClient
@@ -71,9 +76,10 @@ class ClientCaller:
                         columns[name] = pa.array([a.get(name) for a in answers], pa.int64())
                     yield pa.RecordBatch.from_pydict(columns)
 
-        keys = [c for c in ("worker_id", "batch_id", "row_id") if c in units.columns]
-        tasks = self.tasks or 4 * units.sparkSession.sparkContext.defaultParallelism
-        return units.repartition(tasks, *keys).mapInArrow(call, schema)
+        return units.mapInArrow(call, schema)
+
+    def partitions(self, spark: SparkSession) -> int:
+        return self.tasks or 4 * spark.sparkContext.defaultParallelism
 
 
 @dataclass(frozen=True)
@@ -87,3 +93,6 @@ class ColumnCaller:
         content = F.when(F.col("kind") == "batch", self.batch(attempt)).otherwise(self.row(attempt))
         empty = {c: F.lit(None).cast("long") for c in COUNTERS}
         return units.drop("prompt").withColumns({"content": content, "error": F.lit(None).cast("string"), **empty})
+
+    def partitions(self, spark: SparkSession) -> None:
+        return None

@@ -97,8 +97,8 @@ def _placed_steps(messages: DataFrame, plan: RunPlan, stats: KeyStats, folder: s
     return [saved.filter(F.col("step") == n).drop("step") for n in range(len(steps))]
 
 
-def _units(rows: DataFrame, kind: str, plan: RunPlan, keep: Sequence[str], wording: Wording,
-           only: DataFrame | None = None) -> DataFrame:
+def _units(rows: DataFrame, kind: str, plan: RunPlan, keep: Sequence[str], wording: Wording, partitions: int | None,
+           only: DataFrame | None) -> DataFrame:
     """Units of one kind; with ``only`` just those, cut down before anything is shuffled."""
     if only is not None:
         keys = list(UNIT_KEYS)
@@ -106,8 +106,8 @@ def _units(rows: DataFrame, kind: str, plan: RunPlan, keep: Sequence[str], wordi
             only, keys = only.withColumnRenamed("row_id", "RowID"), [*keys, "RowID"]
         rows = rows.join(only.select(*keys), keys, "left_semi")
     if kind == "batch":
-        return batch_units(rows, plan.batch_size, keep, wording)
-    return single_units(rows, keep, wording)
+        return batch_units(rows, plan.batch_size, keep, wording, partitions)
+    return single_units(rows, keep, wording, partitions)
 
 
 def _wave(units: DataFrame, caller: Caller, reader: AnswerReader, attempt: int, path: str) -> DataFrame:
@@ -153,7 +153,7 @@ def label_run(messages: DataFrame, spec: PromptSpec, caller: Caller, plan: RunPl
                 rows = rows.join(failed.select(*UNIT_KEYS), list(UNIT_KEYS), "left_semi")
             failed = None
             for attempt in range(1, plan.retries + 1):
-                units = _units(rows, kind, plan, packed, wording, failed)
+                units = _units(rows, kind, plan, packed, wording, caller.partitions(spark), failed)
                 path = f"{folder}/waves/step={step}/kind={kind}/attempt={attempt}"
                 wave = _wave(units, caller, readers[kind], attempt, path)
                 failed = wave.filter(~F.col("ok")).select(*UNIT_KEYS, "row_id")

@@ -70,34 +70,44 @@ def label_documents(spark, sf_dir):
     return labelled.select("RowID", "Sentiment", *SPEC.columns, "worker_id", "batch_id", "part", "kind", "attempt")
 
 
-class EchoClient:
-    """Stands for a model: reads the ids out of the prompt and answers one object per message."""
+def echo_client():
+    """Stands for a model: reads the ids out of the prompt and answers one object per message.
 
-    def complete(self, model, system, prompt):
-        ids = [int(x) for x in re.findall(r"^RowID: (\d+)$", prompt, re.MULTILINE)]
-        found = [{"Topic": ("Product", "Support", "Billing")[i % 3], "Key": f"k{i}"} for i in ids]
-        single = prompt.startswith("Please label the message below.")
-        return {"content": json.dumps(found[0] if single else found), "prompt_eval_count": len(prompt)}
+    The class is local, so that it travels to the executors with the task and needs no package there.
+    """
+    class EchoClient:
+        def complete(self, model, system, prompt):
+            ids = [int(x) for x in re.findall(r"^RowID: (\d+)$", prompt, re.MULTILINE)]
+            found = [{"Topic": ("Product", "Support", "Billing")[i % 3], "Key": f"k{i}"} for i in ids]
+            single = prompt.startswith("Please label the message below.")
+            return {"content": json.dumps(found[0] if single else found), "prompt_eval_count": len(prompt)}
+
+    return EchoClient()
 
 
 ECHO_SPEC = PromptSpec(columns=("Topic", "Key"), rules={"topic_options": ["Product", "Support"]})
 
 
-def _called(units, spark, kind):
-    caller = ClientCaller(EchoClient(), model="echo", tasks=spark.sparkContext.defaultParallelism)
+ECHO = ClientCaller(echo_client(), model="echo")
+
+
+def _called(units, kind):
+    """Units through a client in Python, written, read back and parsed."""
+    spark = units.sparkSession
     path = work_folder(spark, "calls")
-    caller(units, 1).write.parquet(path)
+    ECHO(units, 1).write.parquet(path)
     read = answers.AnswerReader(ECHO_SPEC, kind)(spark.read.parquet(path))
     return answers.coded_rows(read, ECHO_SPEC)
 
 
 def infer_batches(spark, sf_dir):
-    """Batches through a client in Python, written, read back and parsed."""
-    return _called(batch_units(placed(messages(spark, sf_dir)), BATCH), spark, "batch")
+    rows = placed(messages(spark, sf_dir))
+    return _called(batch_units(rows, BATCH, partitions=ECHO.partitions(spark)), "batch")
 
 
 def infer_rows(spark, sf_dir):
-    return _called(single_units(placed(messages(spark, sf_dir))), spark, "row")
+    rows = placed(messages(spark, sf_dir))
+    return _called(single_units(rows, partitions=ECHO.partitions(spark)), "row")
 
 
 def retry_pending(spark, sf_dir):

@@ -120,13 +120,16 @@ def test_steps_are_saved_one_by_one(spark, tmp_path, gap):
     plan = RunPlan(n_workers=5, batch_size=3, retries=2, workers_per_step=2)
     good = ClientCaller(Client(str(calls), bad=[4 * gap]), tasks=2)
 
-    def broken(units, attempt):
-        if not units.filter("worker_id > 2").isEmpty():
-            raise RuntimeError("lost")
-        return good(units, attempt)
+    class Broken:
+        partitions = good.partitions
+
+        def __call__(self, units, attempt):
+            if not units.filter("worker_id > 2").isEmpty():
+                raise RuntimeError("lost")
+            return good(units, attempt)
 
     with pytest.raises(RuntimeError, match="lost"):
-        label_table(df, SPEC, broken, plan, folder=folder)
+        label_table(df, SPEC, Broken(), plan, folder=folder)
     first = _calls(calls)
     rows = label_table(df, SPEC, good, plan, folder=folder).collect()
     assert {r["RowID"]: r["Topic"] for r in rows} == {

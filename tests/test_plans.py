@@ -2,7 +2,11 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from tagloom.operators.batches import batch_units
 from tagloom.queries import QUERIES, common
+from tagloom.queries.labelling import ECHO
 
 SF_DIR = "/root/testdata/sf0.001"
 LAZY = sorted(set(QUERIES) - {
@@ -44,6 +48,14 @@ def test_answers_are_parsed_once(spark):
     assert text.count("parseJson") == 2
 
 
+def test_texts_are_shuffled_once(spark):
+    """The shuffle that makes the batches also gives the model calls their partitions."""
+    rows = common.placed(common.as_messages(common.table(spark, SF_DIR, "documents")).withColumn("Sentiment", F.lit(None).cast("string")))
+    units = batch_units(rows, 10, partitions=13)
+    text = _plan(ECHO(units, 1))
+    assert text.count("Exchange") == 1 and "hashpartitioning(worker_id" in text and ", 13)" in text
+
+
 def test_latest_wins_without_a_window(spark):
     for name in ("status_latest", "manifest_upsert", "manifest_patch", "resolve_attempts"):
         text = _plan(QUERIES[name](spark, SF_DIR))
