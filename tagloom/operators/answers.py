@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions.labels import STANDARD_RULES, Rule
 from ..functions.text import stripped
+from ..session import prepare
 from ..spec import RETRIES_FAILED, PromptSpec
 
 
@@ -86,10 +87,12 @@ class AnswerReader:
 
     def elements(self, responses: DataFrame) -> DataFrame:
         """Responses with their ``elements``."""
+        prepare(responses.sparkSession)
         return add_stages(responses, self.parse).select(*responses.columns, "elements")
 
     def __call__(self, responses: DataFrame) -> DataFrame:
         """Responses with ``answers`` and ``ok``; a response with an ``error`` is not ok."""
+        prepare(responses.sparkSession)
         checked = add_stages(responses, self.parse + self.pair + self.check)
         ok = self.without_error if "error" in responses.columns else F.col("ok")
         return checked.select(*responses.columns, "answers", ok.alias("ok"))

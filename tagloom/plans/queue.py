@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +20,13 @@ from ..operators.usage import token_usage
 from ..session import prepare
 from ..sources import ledger
 from ..sources.messages import path_exists, read_messages
-from ..sources.parts import read_parts, write_output, write_parts
+from ..sources.parts import read_partitioned, read_parts, write_output, write_parts
 from ..spec import RETRIES_FAILED, PromptSpec
 from .calls import Caller
 from .label import RunPlan, label_run
 
 ENTRY_SCHEMA = (
-    "run_id string, label string, updated_at timestamp, status string, input_file string, "
+    "run_id string, updated_at timestamp, status string, input_file string, "
     "ranges array<struct<worker_id int, start long, end long>>, merged_output string"
 )
 
@@ -33,7 +35,8 @@ ENTRY_SCHEMA = (
 class QueueRun:
     """One run: where its tables are and how its files are handled.
 
-    ``out`` is shared storage and holds: runs, files (manifest log), status, waves, parts, merged and analytics.
+    ``out`` is shared storage and holds: runs, files (manifest log), status, waves, parts, merged and analytics. With
+    ``files_at_once`` above 1 the jobs of that many files are handed to Spark side by side.
     """
 
     run_id: str
@@ -47,25 +50,27 @@ class QueueRun:
     form: str = "parquet"
     parts_per_folder: int = 100
     na_tokens: tuple[str, ...] = ()
+    files_at_once: int = 1
 
     def files(self, spark: SparkSession) -> DataFrame | None:
         """Current manifest of the run: the newest entry per label."""
         path = f"{self.out}/files"
         if not path_exists(spark, path):
             return None
-        return runs.upsert_run_file(spark.read.parquet(path).filter(F.col("run_id") == self.run_id))
+        return runs.upsert_run_file(read_partitioned(spark, path, ("label",)).filter(F.col("run_id") == self.run_id))
 
     def status(self, spark: SparkSession) -> DataFrame:
         """Newest status of every worker and file."""
-        log = spark.read.parquet(f"{self.out}/status").filter(F.col("run_id") == self.run_id)
+        log = read_partitioned(spark, f"{self.out}/status", ("label",)).filter(F.col("run_id") == self.run_id)
         return runs.latest_by(log, ("run_id", "label", "worker_id"), ("updated_at",),
                               [c for c in log.columns if c not in ("run_id", "label", "worker_id")])
 
 
 def _note(spark: SparkSession, run: QueueRun, label: str, status: str, path: str, ranges: list | None = None,
           merged: str | None = None) -> None:
-    entry = [(run.run_id, label, datetime.now(timezone.utc), status, path, ranges, merged)]
-    ledger.append_run_file(spark.createDataFrame(entry, ENTRY_SCHEMA), f"{run.out}/files")
+    # A folder per label, so that files handled side by side do not append to the same one.
+    entry = [(run.run_id, datetime.now(timezone.utc), status, path, ranges, merged)]
+    ledger.append_run_file(spark.createDataFrame(entry, ENTRY_SCHEMA), f"{run.out}/files/label={label}")
 
 
 def _worker_status(run: QueueRun, label: str, rows: DataFrame, planned: DataFrame, n_rows: int) -> DataFrame:
@@ -81,7 +86,7 @@ def _worker_status(run: QueueRun, label: str, rows: DataFrame, planned: DataFram
     full = F.col("rows_processed") == total
     part = F.concat(F.lit(f"{run.out}/parts/run_id={run.run_id}/label={label}/worker_id="), F.col("worker_id").cast("string"))
     return joined.select(
-        F.lit(run.run_id).alias("run_id"), F.lit(label).alias("label"), "worker_id", F.current_timestamp().alias("updated_at"),
+        F.lit(run.run_id).alias("run_id"), "worker_id", F.current_timestamp().alias("updated_at"),
         F.when(full, "completed").otherwise("failed").alias("state"), "rows_processed", total.alias("total_rows"),
         "errors", F.when(~full, "rows are missing").alias("last_error"),
         F.when(F.col("rows_processed") > 0, part).alias("output_file"))
@@ -100,7 +105,7 @@ def _label_file(spark: SparkSession, run: QueueRun, path: str, label: str) -> No
     meta = {"Model_Name": F.lit(run.model), "Batch_Size": F.lit(run.plan.batch_size)}
     write_parts(labelled.rows.withColumns(meta), f"{run.out}/parts", run.run_id, label, run.parts_per_folder)
     saved = read_parts(spark, f"{run.out}/parts", run.run_id, label)
-    ledger.append(_worker_status(run, label, saved, planned, stats.rows), f"{run.out}/status")
+    ledger.append(_worker_status(run, label, saved, planned, stats.rows), f"{run.out}/status/label={label}")
 
     rollup = runs.run_rollup(run.status(spark).filter(F.col("label") == label))
     gate = runs.merge_gate(rollup, run.merge_when).first()
@@ -135,13 +140,17 @@ def run_queue(spark: SparkSession, run: QueueRun, queue: Sequence[tuple[str, str
     known = run.files(spark)
     # One entry per file of the queue.
     done = {r["label"]: r["status"] for r in known.select("label", "status").collect()} if known is not None else {}
-    for path, label in queue:
-        if done.get(label) == "completed":
-            continue
+
+    def handle(path: str, label: str) -> None:
         if path_exists(spark, path):
             _label_file(spark, run, path, label)
         else:
             _note(spark, run, label, "input_missing", path)
+
+    todo = [(path, label) for path, label in queue if done.get(label) != "completed"]
+    with ThreadPoolExecutor(run.files_at_once) as pool:
+        for handled in [pool.submit(inheritable_thread_target(spark)(handle), *item) for item in todo]:
+            handled.result()
     return queue_summary(spark, run)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import whole_div
 from ..operators.merge import merge_parts
@@ -27,13 +28,19 @@ def write_parts(df: DataFrame, path: str, run_id: str, label: str, parts_per_fol
      .partitionBy(*PART_KEYS).parquet(path))
 
 
+def read_partitioned(spark: SparkSession, path: str, text: tuple[str, ...], **options) -> DataFrame:
+    """Parquet in named folders; the ``text`` folder columns stay text even if they look like numbers."""
+    reader = spark.read.options(**options)
+    found = reader.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name in text else f for f in found.fields]
+    return reader.schema(T.StructType(fields)).parquet(path)
+
+
 def read_parts(spark: SparkSession, path: str, run_id: str, label: str | None = None,
                skip_corrupt: bool = False) -> DataFrame:
-    """Saved rows of a run, and of one label if given; only the folders needed are listed and read."""
-    reader = spark.read.option("mergeSchema", True)
-    if skip_corrupt:
-        reader = reader.option("ignoreCorruptFiles", True)
-    df = reader.parquet(path).filter(F.col("run_id") == run_id)
+    """Saved rows of a run, and of one label if given; only the folders needed are read."""
+    options = {"mergeSchema": True, "ignoreCorruptFiles": skip_corrupt}
+    df = read_partitioned(spark, path, ("run_id", "label"), **options).filter(F.col("run_id") == run_id)
     return df if label is None else df.filter(F.col("label") == label)
 
 

@@ -14,31 +14,31 @@ def _write(path, ids):
 def test_queue_run(spark, tmp_path):
     calls = tmp_path / "calls"
     calls.mkdir()
-    queue = [(_write(tmp_path / "a.csv", range(1, 24)), "a"), (str(tmp_path / "b.csv"), "b"),
+    queue = [(_write(tmp_path / "a.csv", range(1, 24)), "01"), (str(tmp_path / "b.csv"), "b"),
              (_write(tmp_path / "c.csv", range(10, 100, 10)), "c")]
     run = QueueRun(run_id="run1", out=str(tmp_path / "out"), spec=SPEC, model="echo",
                    caller=ClientCaller(Client(str(calls), bad=[5]), tasks=2),
-                   plan=RunPlan(n_workers=2, batch_size=4, retries=2, interval=8))
+                   plan=RunPlan(n_workers=2, batch_size=4, retries=2, interval=8), files_at_once=3)
     rows = {r["label"]: r for r in run_queue(spark, run, queue, {"project": "p"}, {"batch": 4}).collect()}
     assert {k: (r["status"], r["total_rows"], r["failed_workers"]) for k, r in rows.items()} == {
-        "a": ("completed", 23, 0), "b": ("input_missing", 0, 0), "c": ("completed", 9, 0)}
+        "01": ("completed", 23, 0), "b": ("input_missing", 0, 0), "c": ("completed", 9, 0)}
 
-    merged = spark.read.parquet(rows["a"]["merged_output"]).orderBy("RowID").collect()
+    merged = spark.read.parquet(rows["01"]["merged_output"]).orderBy("RowID").collect()
     assert [r["RowID"] for r in merged] == list(range(1, 24))
     assert [r["Topic"] for r in merged[3:6]] == ["t4", FAILED, "t6"]
     assert merged[0]["Model_Name"] == "echo" and merged[0]["Batch_Size"] == 4 and merged[0]["run_id"] == "run1"
-    facts = spark.read.parquet(str(tmp_path / "out/analytics/run1/a")).first()
+    facts = spark.read.parquet(str(tmp_path / "out/analytics/run1/01")).first()
     assert facts["total_rows"] == 23 and facts["error_count"] == 2 and facts["tokens_total"] > 23
     assert facts["validatedsentiment_Positive"] == 22
     status = {(r["label"], r["worker_id"]): (r["state"], r["rows_processed"], r["errors"]) for r in run.status(spark).collect()}
-    assert status == {("a", 1): ("completed", 12, 1), ("a", 2): ("completed", 11, 0),
+    assert status == {("01", 1): ("completed", 12, 1), ("01", 2): ("completed", 11, 0),
                       ("c", 1): ("completed", 5, 0), ("c", 2): ("completed", 4, 0)}
 
     # The missing file turns up: only it is worked on.
     before = _calls(calls)
     _write(tmp_path / "b.csv", range(101, 104))
     rows = {r["label"]: (r["status"], r["total_rows"]) for r in run_queue(spark, run, queue).collect()}
-    assert rows == {"a": ("completed", 23), "b": ("completed", 3), "c": ("completed", 9)}
+    assert rows == {"01": ("completed", 23), "b": ("completed", 3), "c": ("completed", 9)}
     after = _calls(calls)
     assert {k: n for k, n in after.items() if before.get(k) != n} == {"batch-101-102": 1, "batch-103": 1}
     assert spark.read.parquet(str(tmp_path / "out/runs")).count() == 1

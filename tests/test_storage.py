@@ -54,6 +54,10 @@ def test_saving_parts_twice_changes_nothing(spark, tmp_path):
     merged = parts.merged_parts(spark, path, "r1", "a").collect()
     assert [r["RowID"] for r in merged] == list(range(1, 101))
     assert parts.read_parts(spark, path, "r1").count() == 103
+    # Names that look like numbers stay as they are.
+    for label in ("007", "7"):
+        parts.write_parts(rows.limit(1), str(tmp_path / "numbers"), "01", label)
+    assert [r["label"] for r in parts.read_parts(spark, str(tmp_path / "numbers"), "01", "007").collect()] == ["007"]
 
 
 def test_lost_parts_are_found_and_redone(spark, tmp_path):
