@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import audit, catalog
+from ..spec import MISSING_KEY
 from .common import table
 
 SEGMENTS = ("BUILDING", "MACHINERY")
@@ -39,7 +40,7 @@ def _apply(df, columns, rules):
 
 def gate_no(spark, sf_dir):
     """Return flag as first coded column; lineitem has no unique key, so the result is counted."""
-    mode = F.when(F.col("l_linenumber") == 1, A_MISSING).when(F.col("l_linenumber") > 2, F.col("l_linestatus"))
+    mode = F.when(F.col("l_linenumber") == 1, MISSING_KEY).when(F.col("l_linenumber") > 2, F.col("l_linestatus"))
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), mode.alias("mode"))
     coded = _apply(rows, ["flag", "status", "mode"], [L.gate_rule(["flag", "status", "mode"])])
@@ -101,7 +102,6 @@ def label_audit(spark, sf_dir):
     return audit.label_audit(customers, {"segment": SEGMENTS, "plain": SEGMENTS, "name": ()})
 
 
-A_MISSING = "ERROR_MISSING_KEY"
 _CLASS = """CASE WHEN label IN ('BUILDING', 'MACHINERY') THEN 'valid' WHEN label LIKE 'ERROR!_%' ESCAPE '!' THEN 'error'
     WHEN label LIKE '[%]' THEN 'bracketed' WHEN label IN ('-', 'NONE', 'Unknown', '') THEN 'marker'
     WHEN contains(label, '_') OR regexp_matches(label, '^[A-Z]') THEN 'organic' ELSE 'unexpected' END"""

@@ -21,6 +21,16 @@ def status_latest(spark, sf_dir):
     return latest.select("run_id", "worker_id", "state", "rows_processed", "event_id", "last_error")
 
 
+def read_status(spark, sf_dir):
+    """Newest status of every run and file, written as one JSON file each and read back."""
+    path = work_folder(spark, "status")
+    latest = runs.status_latest(status_events(spark, sf_dir), ("run_id", "label"))
+    latest = latest.withColumn("updated_at", F.col("updated_at").cast("string"))
+    latest.write.option("maxRecordsPerFile", 1).json(path)
+    return ledger.read_status(spark, path, "part-*.json").select(
+        "worker_id", "run_id", "state", "rows_processed", "total_rows", "last_error", "output_file")
+
+
 def _entries(spark, sf_dir):
     """Events as manifest log entries of forty files."""
     number = (F.col("worker_id") % 40).cast("string")
@@ -183,12 +193,17 @@ gone AS (SELECT label, w, concat('r_', label, '_w', w, '.csv') AS path FROM expe
          WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = k AND l_linenumber = w))"""
 
 QUERIES = {f.__name__: f for f in (
-    status_latest, manifest_entries, manifest_upsert, manifest_patch, failed_ranges, all_done, progress_eta, run_rollup, merge_gate,
+    status_latest, read_status, manifest_entries, manifest_upsert, manifest_patch, failed_ranges, all_done, progress_eta, run_rollup, merge_gate,
     final_summary, run_summary, missing_outputs, manifest_summary, unplanned_files, resume_files)}
 
 ORACLES = {
     "status_latest": f"""{_PER_RUN}
         SELECT run_id, worker_id, state, rows_processed, event_id, last_error FROM per_run""",
+    "read_status": f"""{_WITH}
+        SELECT CAST(worker_id AS INTEGER) AS worker_id, run_id, state, rows_processed, CAST(total_rows AS BIGINT) AS total_rows,
+               last_error, output_file FROM (
+          SELECT *, row_number() OVER (PARTITION BY run_id, label ORDER BY updated_at DESC, event_id DESC) AS rn FROM status)
+        WHERE rn = 1""",
     "manifest_entries": """
         WITH c AS (SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang),
         r AS (SELECT label, w, CASE WHEN w <= n % 4 THEN (w - 1) * (n // 4 + 1) ELSE (w - 1) * (n // 4) + n % 4 END + 1 AS s,

@@ -8,7 +8,7 @@ from ..operators import batches, merge, resume
 from ..session import work_folder
 from ..sources import parts
 from .common import BATCH, INTERVAL, MESSAGES_SQL, as_messages, placed, placed_sql, table
-from .text import _RUN_ID, _run_ids
+from .text import RUN_ID_SQL, run_ids
 
 
 def _coded(spark, sf_dir):
@@ -65,7 +65,7 @@ def resume_missing(spark, sf_dir):
 
 def latest_run(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    return resume.latest_run(orders.select(_run_ids(orders).alias("run_id")))
+    return resume.latest_run(orders.select(run_ids(orders).alias("run_id")))
 
 
 _PLACED = f"WITH {MESSAGES_SQL}, {placed_sql()}"
@@ -92,5 +92,5 @@ ORACLES = {
     "resume_high_water": "SELECT doc_id + 1 AS RowID FROM documents WHERE doc_id > (SELECT max(doc_id) FROM labels)",
     "resume_missing": """
         SELECT doc_id + 1 AS RowID, source AS Title FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
-    "latest_run": f"SELECT max({_RUN_ID}) AS run_id FROM orders",
+    "latest_run": f"SELECT max({RUN_ID_SQL}) AS run_id FROM orders",
 }

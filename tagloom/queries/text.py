@@ -58,7 +58,7 @@ def catalog_lookup(spark, sf_dir):
     return catalog.catalog_lookup(rows, _catalog(parts)).select("p_partkey", "name", "id", "position")
 
 
-def _run_ids(orders):
+def run_ids(orders):
     stamp = F.date_format("o_orderdate", RUN_STAMP)
     tag = T.model_tag(F.nullif(F.col("o_custkey") % 3, F.lit(0)), F.col("o_orderstatus"))
     return T.run_id(F.col("o_orderpriority"), F.lit("v 1.0"), tag, stamp)
@@ -66,7 +66,7 @@ def _run_ids(orders):
 
 def run_id(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    return orders.select("o_orderkey", _run_ids(orders).alias("run_id"))
+    return orders.select("o_orderkey", run_ids(orders).alias("run_id"))
 
 
 def output_name(spark, sf_dir):
@@ -122,7 +122,7 @@ def _sql_template(template: str, **values: str) -> str:
 _CATALOG = """cat AS (
   SELECT p_name AS name, arg_min(p_size, p_partkey) AS id, min(p_partkey) AS position FROM part WHERE p_size > 45
   GROUP BY p_name)"""
-_RUN_ID = """concat_ws('_', regexp_replace(o_orderpriority, '[^\\p{L}\\p{N}_-]', '_', 'g'), 'v_1_0',
+RUN_ID_SQL = """concat_ws('_', regexp_replace(o_orderpriority, '[^\\p{L}\\p{N}_-]', '_', 'g'), 'v_1_0',
     'm' || CASE WHEN o_custkey % 3 = 0 THEN o_orderstatus ELSE CAST(o_custkey % 3 AS VARCHAR) END,
     strftime(o_orderdate, '%Y%m%d_%H%M%S'))"""
 
@@ -155,7 +155,7 @@ ORACLES = {
         FROM part LEFT JOIN cat ON name = p_name""",
     "catalog_lookup": f"""WITH {_CATALOG}
         SELECT p_partkey, p_name AS name, id, position FROM part LEFT JOIN cat ON name = p_name""",
-    "run_id": f"SELECT o_orderkey, {_RUN_ID} AS run_id FROM orders",
+    "run_id": f"SELECT o_orderkey, {RUN_ID_SQL} AS run_id FROM orders",
     "output_name": """
         SELECT o_orderkey,
                concat('demo_v2_', o_orderpriority, '_', strftime(o_orderdate, '%Y%m%d'), '_w', o_custkey % 9, '.csv')

@@ -23,10 +23,10 @@ RUN_SCHEMA = (
 )
 
 
-def read_status(spark: SparkSession, folder: str) -> DataFrame:
-    """Worker status files ``worker_*.json``; an unreadable or half-written file counts as absent."""
+def read_status(spark: SparkSession, folder: str, glob: str = "worker_*.json") -> DataFrame:
+    """Worker status, one JSON file per worker; an unreadable or half-written file counts as absent."""
     df = (spark.read.schema(STATUS_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED")
-          .option("pathGlobFilter", "worker_*.json").json(folder))
+          .option("pathGlobFilter", glob).json(folder))
     return df.filter(F.col("worker_id").isNotNull())
 
 

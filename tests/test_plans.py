@@ -10,7 +10,7 @@ from tagloom.queries.labelling import ECHO
 
 SF_DIR = "/root/testdata/sf0.001"
 LAZY = sorted(set(QUERIES) - {
-    "read_messages", "read_queue", "write_parts", "merge_parts", "write_output", "failed_ranges", "label_documents",
+    "read_messages", "read_queue", "read_status", "write_parts", "merge_parts", "write_output", "failed_ranges", "label_documents",
     "infer_batches", "infer_rows", "label_stream", "status_stream"})
 
 
