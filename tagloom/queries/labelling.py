@@ -154,7 +154,7 @@ def zip_results(spark, sf_dir):
 
 def stamp_metrics(spark, sf_dir):
     """Run constants and per-batch figures on every row."""
-    rows = placed(messages(spark, sf_dir, "n_chars")).withColumnRenamed("batch_id", "part")
+    rows = placed(as_messages(table(spark, sf_dir, "documents"), "n_chars")).withColumnRenamed("batch_id", "part")
     slim = rows.select("RowID", "worker_id", "part", "n_chars")
     figures = slim.groupBy("worker_id", "part").agg(
         F.count("*").alias("Rows_In_Part"), F.sum("n_chars").alias("Tokens_Total"))
