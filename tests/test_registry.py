@@ -20,6 +20,7 @@ def test_query(spark, con, name):
 
 
 def test_contract(spark):
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES) and set(contract.oracle_sql()) <= set(contract.queries())
     df = contract.entry(spark)
     assert df.columns[:2] == ["RowID", "Sentiment"] and df.count() == 200
