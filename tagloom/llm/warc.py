@@ -107,7 +107,7 @@ class Bundle:
         fs, place = _open(path)
         fs.create_dir(place.rpartition("/")[0], recursive=True)
         self.path, self.frame_bytes = path, frame_bytes
-        self.out = fs.open_output_stream(place)
+        self.out = fs.open_output_stream(place, compression=None)
         self.zstd = zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.frames: list[tuple[int, int]] = []
         self.at, self.pending, self.size = 0, [], 0
