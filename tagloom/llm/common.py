@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,20 +81,33 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
+@lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, np.uint64(base))
-    if n:
-        out[0] = 1
+    out[:1] = 1
     return np.multiply.accumulate(out)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every ``data[start:end]``; equal bytes give equal hashes wherever they stand."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * _powers(_BASE, n), out=sums[1:])
-    shift = _powers(_INVERSE, n + 1)
-    return mix64((sums[ends] - sums[starts]) * shift[starts] + (ends - starts).astype(np.uint64))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of every ``data[start:end]``; equal bytes give equal hashes wherever they stand.
+
+    Spans must be in order and not overlap. Only about ``step`` bytes (or one span) are in work at a time.
+    """
+    out, a = np.empty(len(starts), np.uint64), 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + step, "right")))
+        low, high = int(starts[a]), int(ends[b - 1])
+        n = max(step, high - low)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTE_CODES[data[low:high]] * _powers(_BASE, n)[:high - low], out=sums[1:])
+        first, last = starts[a:b] - low, ends[a:b] - low
+        out[a:b] = mix64((sums[last] - sums[first]) * _powers(_INVERSE, n)[first] + (last - first).astype(np.uint64))
+        a = b
+    return out
+
+
+def translated(data: np.ndarray, table: bytes) -> np.ndarray:
+    return np.frombuffer(data.tobytes().translate(table), np.uint8)
 
 
 def words_table(keep: str, lower: bool = True) -> bytes:
@@ -120,7 +134,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     edge[len(data)] = True
     last = word & (edge[1:] | ~np.concatenate((word[1:], [False])))
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+    return starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
 
 
 def hot_join(left: DataFrame, groups: DataFrame, on: list[str], rows: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import topk, url_filter, warc
+from . import decontaminate, topk, url_filter, warc
 from .common import table
 
 RULES = [
@@ -13,6 +13,11 @@ RULES = [
     url_filter.Rule("net", "/fr/", "block")]
 
 
+def op2_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("spans", "items")
+
+
 def op3_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -25,6 +30,30 @@ def op8_url_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+OP2_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, list_slice(w, i, i + least(10, len(w)) - 1) AS seq
+  FROM item_words, unnest(generate_series(1, greatest(1, len(w) - 9))) AS u(i) WHERE len(w) > 0),
+places AS (
+  SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS seq
+  FROM doc_words, (SELECT DISTINCT n FROM windows), unnest(generate_series(1, len(w) - n + 1)) AS u(i)),
+hits AS (SELECT doc_id, i, n, item_id FROM places JOIN windows USING (n, seq)),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(generate_series(i, i + n - 1)) AS u(p) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
 OP3_SQL = """
 WITH usable AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -75,8 +104,9 @@ SELECT page_id, host, path, name AS rule, coalesce(rv, 'allow') AS verdict FROM
 """
 
 QUERIES = {
+    "op2_positional_index": op2_positional_index,
     "op3_bit_sliced_top_k": op3_bit_sliced_top_k,
     "op7_warc_bundles": op7_warc_bundles,
     "op8_url_globs": op8_url_globs,
 }
-ORACLES = {"op3_bit_sliced_top_k": OP3_SQL, "op7_warc_bundles": OP7_SQL, "op8_url_globs": OP8_SQL}
+ORACLES = {"op2_positional_index": OP2_SQL, "op3_bit_sliced_top_k": OP3_SQL, "op7_warc_bundles": OP7_SQL, "op8_url_globs": OP8_SQL}
