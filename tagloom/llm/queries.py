@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, partenum, topk, url_filter, warc
+from . import decontaminate, partenum, suffix_dedup, topk, url_filter, warc
 from .common import table
 
 RULES = [
@@ -13,6 +13,11 @@ RULES = [
     url_filter.Rule("net", "/fr/", "block")]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", suffix_dedup.kept_hash().alias("kept_sha256"))
+
+
 def op2_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans", "items")
@@ -126,6 +131,7 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM roots LEFT JOIN s
 """
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_positional_index": op2_positional_index,
     "op3_bit_sliced_top_k": op3_bit_sliced_top_k,
     "op7_warc_bundles": op7_warc_bundles,
