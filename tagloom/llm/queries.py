@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, partenum, suffix_dedup, topk, url_filter, warc
+from . import decontaminate, language, partenum, quality, suffix_dedup, topk, toxicity, url_filter, warc
 from .common import table
 
 RULES = [
@@ -27,6 +27,14 @@ def op3_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select(*warc.columns_of())
 
@@ -35,6 +43,10 @@ def op8_url_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op9_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_partenum_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
@@ -134,9 +146,13 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_positional_index": op2_positional_index,
     "op3_bit_sliced_top_k": op3_bit_sliced_top_k,
+    "op5_positive_unlabelled": op5_positive_unlabelled,
+    "op6_cross_parsing": op6_cross_parsing,
     "op7_warc_bundles": op7_warc_bundles,
     "op8_url_globs": op8_url_globs,
+    "op9_subword_softmax": op9_subword_softmax,
     "op10_partenum_components": op10_partenum_components,
 }
 ORACLES = {"op2_positional_index": OP2_SQL, "op3_bit_sliced_top_k": OP3_SQL, "op7_warc_bundles": OP7_SQL, "op8_url_globs": OP8_SQL,
-           "op10_partenum_components": OP10_SQL}
+           "op9_subword_softmax": op9_subword_softmax,
+    "op10_partenum_components": OP10_SQL}
