@@ -3,10 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tagloom.llm import decontaminate, mixing, partenum, quality, suffix_dedup
 from tagloom.llm.common import saved, table
 
-STAGES: list = []
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that the quality classifier takes for bad ones: those more likely bad than good."""
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, docs.columns).filter("score >= 0.5").select("doc.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 5-word shingles at a similarity of 0.8 the one with the smallest id stays.
+
+    Rows without an id are no one's copy and stay; of rows that repeat the smallest id all stay that have the same text.
+    """
+    found = partenum.jaccard_components(docs, n=5, num=80, den=100)
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated 200-byte strings are cut out of the texts, in whole characters; every document stays."""
+    found = suffix_dedup.remove_repeats(docs, whole_characters=True)
+    text = F.when(F.col("doc.text").isNotNull(), F.decode("kept", "UTF-8"))
+    columns = [text.alias(c) if c == "text" else F.char_length(text).cast("long").alias(c) if c == "n_chars"
+               else F.col(f"doc.{c}") for c in docs.columns]
+    return found.select(*columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that hold ten consecutive words of a benchmark item, or all of a shorter one.
+
+    Rows that share the id of such a document go with it; rows without an id stay.
+    """
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    gone = found.filter("contaminated").select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their places in a mixture in which every source has the same weight."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality", keep_good), ("near-copies", drop_near_copies), ("repeats", cut_repeats),
+    ("benchmark", drop_contaminated), ("mixture", mix_sources)]
 
 #: The stages are not expressible in SQL; tests compare them with brute force.
 ORACLE_SQL = None
