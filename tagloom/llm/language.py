@@ -69,8 +69,9 @@ class SuffixAutomaton:
             stuck = np.flatnonzero(to == 0)
             if len(stuck):
                 # The phrase ends here; the next one starts with this byte. A byte the language never has is a phrase.
-                count[stuck] += 1
-                to[stuck] = flat[symbols[stuck]]
+                again = flat[symbols[stuck]]
+                count[stuck] += (state[stuck] > 0).astype(np.int64) + (again == 0)
+                to[stuck] = again
             state[:m] = to
         return count + (state > 0)
 

@@ -55,7 +55,8 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
         "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-X-Payload-Length: {len(payload)}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {_one_line(url)}")
+        broken = "\r" in url or "\n" in url
+        head += [f"WARC-Target-URI: {_one_line(url) if broken else url}", *["WARC-X-Escaped-URI: yes"] * broken]
     if revisit:
         head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{ID_PREFIX}{_name(refers_to)}>"]
     head.append(f"Content-Length: {len(http) + len(body)}")
@@ -72,12 +73,12 @@ def _number(text: str) -> int | None:
 
 
 def _one_line(url: str) -> str:
-    """Header values hold no line breaks; ``%`` stays as it is unless it would read as one of the escapes."""
-    return url.replace("%0D", "%250D").replace("%0A", "%250A").replace("\r", "%0D").replace("\n", "%0A")
+    """Header values hold no line breaks."""
+    return url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
 
 
 def _back(url: str) -> str:
-    return url.replace("%0D", "\r").replace("%0A", "\n").replace("%25\r", "%0D").replace("%25\n", "%0A")
+    return url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
 
 
 def read_record(data: bytes, at: int) -> tuple[dict, int]:
@@ -93,7 +94,7 @@ def read_record(data: bytes, at: int) -> tuple[dict, int]:
     revisit = head["WARC-Type"] == "revisit"
     return {
         "page_id": _number(head["WARC-Record-ID"]),
-        "url": _back(head["WARC-Target-URI"]) if "WARC-Target-URI" in head else None,
+        "url": _back(head["WARC-Target-URI"]) if "WARC-X-Escaped-URI" in head else head.get("WARC-Target-URI"),
         "payload_bytes": int(head["WARC-X-Payload-Length"]) if revisit else len(body),
         "payload_digest": head["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else digest(body),
         "record_type": head["WARC-Type"], "refers_to": _number(head["WARC-Refers-To"]) if revisit else None,
