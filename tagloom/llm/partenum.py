@@ -4,7 +4,9 @@ A document is the set of its word shingles. Set sizes fall into bands such that
 neighbouring ones; in a band, sets of Jaccard similarity t differ in at most k shingles. The shingle domain (64-bit
 hashes) is cut into parts and every part into subparts. Two sets that differ in at most k places must agree on all but
 ``spare`` subparts of some part, so each set emits a signature for every choice of the other subparts: sets that agree
-there share one. Only sets that share a signature, directly or over others, are compared exactly.
+there share one. Pairs that share a signature are first held against their parity sketches: a set is folded into a bit
+vector by exclusive or, so two sketches never differ in more bits than the sets in shingles, and a pair whose sketches
+differ too much is out for certain. The pairs left over form clusters, within which sets are compared exactly.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, hot_join, mix64, saved, text_bytes
@@ -109,47 +111,123 @@ def set_hash(shingles: np.ndarray) -> int:
     return int(mix64(total).view(np.int64)[0])
 
 
-def star(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per signature its smallest node, and links from there to the other nodes: (signature, node, a, b)."""
+def sketch_words(size: np.ndarray, bands: Bands) -> np.ndarray:
+    """Length of the sketches (in 64-bit words, a power of 2): at least three bits per shingle that may differ."""
+    bits = 6 * size * (bands.den - bands.num) // (bands.den + bands.num)
+    return 1 << np.ceil(np.log2(np.maximum(1, bits / 64))).astype(np.int64)
+
+
+def sketch(shingles: np.ndarray, words: int) -> np.ndarray:
+    """Parity of the number of shingles that fall on each bit."""
+    places = (mix64(shingles + np.uint64(0x3C6EF372FE94F82B)) & np.uint64(64 * words - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=64 * words) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+class Sketches:
+    """Nodes with their sizes and sketches; sketches of different lengths are compared at the shorter one."""
+
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, flat: np.ndarray, bands: Bands):
+        self.sizes, self.words, self.bands = sizes, words, bands
+        begin = np.concatenate(([0], np.cumsum(words)))[:-1]
+        self.rows, self.row_of = {}, {}
+        longer, owners = np.zeros((0, 0), np.uint64), np.zeros(0, np.int64)
+        for w in sorted(set(words.tolist()), reverse=True):
+            while len(owners) and longer.shape[1] > w:
+                half = longer.shape[1] // 2
+                longer = longer[:, :half] ^ longer[:, half:]
+            own = np.flatnonzero(words == w)
+            mine = flat[begin[own][:, None] + np.arange(w)]
+            longer = np.concatenate((longer, mine)) if len(owners) else mine
+            owners = np.concatenate((owners, own))
+            row_of = np.full(len(sizes), -1)
+            row_of[owners] = np.arange(len(owners))
+            self.rows[w], self.row_of[w] = longer, row_of
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs may be similar, by sizes and sketches."""
+        num, den = self.bands.num, self.bands.den
+        out = np.zeros(len(a), bool)
+        shorter = np.minimum(self.words[a], self.words[b])
+        for w in set(shorter.tolist()):
+            at = np.flatnonzero(shorter == w)
+            x, y = self.row_of[w][a[at]], self.row_of[w][b[at]]
+            differ = np.concatenate([
+                np.bitwise_count(self.rows[w][x[i:i + 65536]] ^ self.rows[w][y[i:i + 65536]]).sum(axis=1, dtype=np.int64)
+                for i in range(0, len(at), 65536)])
+            n, m = self.sizes[a[at]], self.sizes[b[at]]
+            out[at] = ((differ * (den + num) <= (n + m) * (den - num))
+                       & (np.minimum(n, m) * den >= np.maximum(n, m) * num))
+        return out
+
+
+def close_links(sigs: np.ndarray, nodes: np.ndarray, sketches: Sketches) -> np.ndarray:
+    """Links (rows of two node numbers) that connect all close pairs of nodes with a common signature."""
     order = np.lexsort((nodes, sigs))
     sigs, nodes = sigs[order], nodes[order]
-    first = np.concatenate(([True], sigs[1:] != sigs[:-1])) if len(sigs) else np.zeros(0, bool)
-    centre = nodes[np.flatnonzero(first)][np.cumsum(first) - 1]
-    other = centre != nodes
-    if other.any():
-        pairs = np.unique(np.stack((centre[other], nodes[other]), 1), axis=0)
-    else:
-        pairs = np.zeros((0, 2), np.int64)
-    return sigs[first], nodes[first], pairs[:, 0], pairs[:, 1]
+    if len(sigs):
+        fresh = np.concatenate(([True], (sigs[1:] != sigs[:-1]) | (nodes[1:] != nodes[:-1])))
+        sigs, nodes = sigs[fresh], nodes[fresh]
+    begin = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1]))) if len(sigs) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(begin, len(sigs)))
+    two = begin[counts == 2]
+    pairs = np.unique(np.stack((nodes[two], nodes[two + 1]), 1), axis=0)
+    out = [pairs[sketches.close(pairs[:, 0], pairs[:, 1])]]
+    seen: set[bytes] = set()
+    for start, n in zip(begin[counts > 2].tolist(), counts[counts > 2].tolist()):
+        rest = nodes[start:start + n]
+        name = rest.tobytes()
+        if name in seen:  # the same sets often share many signatures
+            continue
+        seen.add(name)
+        # Every node in turn takes out the nodes that are close to it, so families of near copies shrink fast.
+        front: list[int] = []
+        while len(rest):
+            if not front:
+                front, rest = [int(rest[0])], rest[1:]
+                continue
+            node = front.pop()
+            hit = sketches.close(np.full(len(rest), node), rest)
+            if hit.any():
+                out.append(np.stack((np.full(int(hit.sum()), node), rest[hit]), 1))
+                front += rest[hit].tolist()
+                rest = rest[~hit]
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def candidates(docs: DataFrame, n: int, bands: Bands, buckets: int, flush: int = 1 << 19) -> DataFrame:
     """Digests (``a`` doc_id, ``b`` node, ``n`` set size) and candidate links (``a``, ``b`` nodes) of ``doc_id, text``.
 
-    A task keeps one node per signature and links the other ones to it right away, so that a signature of very many
-    documents reaches the shuffle at most once per task and ``flush`` signatures.
+    Signatures go to buckets; with them go, once per bucket, the sizes and sketches of their sets.
     """
-    def chunks(kind: int, keys: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(keys, kind="stable")
-        cuts = np.searchsorted(keys[order], np.arange(buckets + 1))
-        rows = [(b, *[c[order[cuts[b]:cuts[b + 1]]].tobytes() for c in columns])
-                for b in range(buckets) if cuts[b] < cuts[b + 1]]
+    def chunks(kind: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if rows:
-            fields = [*zip(*rows)]
-            fields += [[None] * len(rows)] * (4 - len(fields))
+            columns = [*zip(*rows)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(fields[0], pa.int32()), pa.array([kind] * len(rows), pa.int32()),
-                 *(pa.array(f, pa.binary()) for f in fields[1:])], names=["bucket", "kind", "x", "y", "z"])
+                [pa.array(columns[0], pa.int32()), pa.array([kind] * len(rows), pa.int32()),
+                 *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "kind", "x", "y", "z"])
 
-    def emit(sigs: list, nodes: list, sizes: list) -> Iterator[pa.RecordBatch]:
+    def emit(sigs: list, nodes: list, sizes: list, drawn: list) -> Iterator[pa.RecordBatch]:
         if not sigs:
             return
-        sig, node, a, b = star(np.concatenate(sigs), np.repeat(np.array(nodes, np.int64), sizes))
-        yield from chunks(SIGNATURES, (sig % np.uint64(buckets)).astype(np.int64), [sig, node])
-        yield from chunks(EDGES, a % buckets, [a, b])
+        sig, owner = np.concatenate(sigs), np.repeat(np.arange(len(nodes)), [len(x) for x in sigs])
+        words, flat = np.array([len(x) for x in drawn]), np.concatenate(drawn)
+        begin = np.concatenate(([0], np.cumsum(words)))
+        node, size = np.array(nodes, np.int64), np.array(sizes, np.int64)
+        bucket = (sig % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        sig, owner, cuts = sig[order], owner[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = []
+        for k in range(buckets):
+            part = slice(cuts[k], cuts[k + 1])
+            if cuts[k] < cuts[k + 1]:
+                used, local = np.unique(owner[part], return_inverse=True)
+                table = [np.array([len(used)]), node[used], size[used],
+                         np.concatenate([flat[begin[i]:begin[i + 1]] for i in used]).view(np.int64)]
+                rows.append((k, sig[part].tobytes(), local.astype(np.int32).tobytes(), np.concatenate(table).tobytes()))
+        yield from chunks(SIGNATURES, rows)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, nodes, sizes, seen, held = [], [], [], set(), 0
+        sigs, nodes, sizes, drawn, seen, held = [], [], [], [], set(), 0
         for batch in batches:
             offsets, data = buffers(batch.column("text"))
             ids = batch.column("doc_id")
@@ -166,28 +244,44 @@ def candidates(docs: DataFrame, n: int, bands: Bands, buckets: int, flush: int =
                 if len(found):
                     sigs.append(found)
                     nodes.append(node)
-                    sizes.append(len(found))
+                    sizes.append(len(shingles))
+                    drawn.append(sketch(shingles, int(sketch_words(np.array(len(shingles)), bands))))
                     held += len(found)
                 if held >= flush:
-                    yield from emit(sigs, nodes, sizes)
-                    sigs, nodes, sizes, seen, held = [], [], [], set(), 0
+                    yield from emit(sigs, nodes, sizes, drawn)
+                    sigs, nodes, sizes, drawn, seen, held = [], [], [], [], set(), 0
             given = np.array([x.is_valid for x in ids], np.int64)
-            doc_ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield from chunks(DIGEST, digest[:, 0] % buckets, [doc_ids * given, np.ascontiguousarray(digest[:, 0]),
-                                                               digest[:, 1] * 2 + given])
-        yield from emit(sigs, nodes, sizes)
+            doc_ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) * given
+            columns = [doc_ids, digest[:, 0], digest[:, 1] * 2 + given]
+            bucket = digest[:, 0] % buckets
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            yield from chunks(DIGEST, [(k, *(c[order[cuts[k]:cuts[k + 1]]].tobytes() for c in columns))
+                                       for k in range(buckets) if cuts[k] < cuts[k + 1]])
+        yield from emit(sigs, nodes, sizes, drawn)
 
     def meet(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
 
-        def column(kind: int, name: str, dtype: type) -> np.ndarray:
-            found = [np.frombuffer(table.column(name)[int(i)].as_buffer(), dtype) for i in np.flatnonzero(kinds == kind)]
-            return np.concatenate(found) if found else np.zeros(0, dtype)
-
-        doc, node, size = (column(DIGEST, c, np.int64) for c in "xyz")
-        _, _, a, b = star(column(SIGNATURES, "x", np.uint64), column(SIGNATURES, "y", np.int64))
-        links = np.unique(np.concatenate((np.stack((a, b), 1), np.stack(
-            (column(EDGES, "x", np.int64), column(EDGES, "y", np.int64)), 1))), axis=0)
+        def parts(kind: int, name: str, dtype: type) -> list[np.ndarray]:
+            return [np.frombuffer(table.column(name)[int(i)].as_buffer(), dtype) for i in np.flatnonzero(kinds == kind)]
+
+        doc, node, size = (np.concatenate([np.zeros(0, np.int64), *parts(DIGEST, c, np.int64)]) for c in "xyz")
+        links = np.zeros((0, 2), np.int64)
+        sig, local, tables = (parts(SIGNATURES, *x) for x in (("x", np.uint64), ("y", np.int32), ("z", np.int64)))
+        if sig:
+            counts = np.array([t[0] for t in tables])
+            first = np.concatenate(([0], np.cumsum(counts)))[:-1]
+            names = np.concatenate([t[1:1 + c] for t, c in zip(tables, counts)])
+            sizes = np.concatenate([t[1 + c:1 + 2 * c] for t, c in zip(tables, counts)])
+            flat = np.concatenate([t[1 + 2 * c:] for t, c in zip(tables, counts)]).view(np.uint64)
+            owner = np.concatenate([x + f for x, f in zip(local, first)])
+            names, one, number = np.unique(names, return_index=True, return_inverse=True)
+            words = sketch_words(sizes, bands)
+            begin = np.concatenate(([0], np.cumsum(words)))
+            flat = np.concatenate([flat[begin[i]:begin[i + 1]] for i in one])
+            found = close_links(np.concatenate(sig), number[owner], Sketches(sizes[one], words[one], flat, bands))
+            links = names[found]
         return pa.table({
             "kind": pa.array(np.repeat(np.array([DIGEST, EDGES], np.int32), [len(doc), len(links)])),
             "a": pa.array(np.concatenate((doc, links[:, 0]))), "b": pa.array(np.concatenate((node, links[:, 1]))),
@@ -276,17 +370,22 @@ def _compare(rows: DataFrame, nodes: DataFrame, clusters: DataFrame, n: int, ban
     whole = F.col("weight") <= task_shingles
     keys = F.array(F.concat_ws(":", "cluster"))
     if any_large:
-        band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(bands.den / bands.num)) + 1e-9).cast("int")
-        blocks = F.ceil(2 * F.col("weight") / task_shingles).cast("int")
-        mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        every = F.sequence(F.lit(0), blocks - 1)
-        # Block i of band b meets the blocks of its own band, and those of the bands next to it (equal number of blocks).
-        same = F.transform(every, lambda j: F.concat_ws(":", "cluster", "band", "band", F.least("mine", j), F.greatest("mine", j)))
-        up = F.flatten(F.transform(F.array(F.lit(1), F.lit(2)), lambda s: F.transform(
-            every, lambda j: F.concat_ws(":", "cluster", "band", F.col("band") + s, "mine", j))))
-        down = F.flatten(F.transform(F.array(F.lit(1), F.lit(2)), lambda s: F.transform(
-            every, lambda j: F.concat_ws(":", "cluster", F.col("band") - s, "band", j, "mine"))))
-        placed = placed.withColumns({"band": band, "mine": mine})
+        band = F.size(F.filter(F.array(*map(F.lit, bands.low)), lambda low: low <= F.col("n")))
+        placed = placed.withColumn("band", band)
+        blocks = (placed.filter(~whole).groupBy("cluster", "band").agg(F.ceil(2 * F.sum("n") / task_shingles).cast("int").alias("blocks"))
+                  .groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks")))
+        placed = placed.join(blocks, "cluster", "left")
+        placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")[F.col("band")]).cast("int"))
+
+        def every(of: Column) -> Column:
+            return F.when(F.col("blocks")[of].isNull(), F.array().cast("array<int>")).otherwise(
+                F.sequence(F.lit(0), F.col("blocks")[of] - 1))
+
+        # A block meets the blocks of its own band (once each) and those of the bands next to it.
+        here = F.col("band")
+        same = F.transform(every(here), lambda j: F.concat_ws(":", "cluster", here, F.least("mine", j), F.greatest("mine", j)))
+        up = F.transform(every(here + 1), lambda j: F.concat_ws(":", "cluster", here, here + 1, "mine", j))
+        down = F.transform(every(here - 1), lambda j: F.concat_ws(":", "cluster", here - 1, here, j, "mine"))
         keys = F.when(whole, keys).otherwise(F.concat(same, up, down))
     placed = placed.select(F.col("first_id").alias("doc_id"), "node", whole.alias("whole"), keys.alias("keys"))
 
