@@ -23,9 +23,9 @@ from .common import buffers, hot_join, mix64, saved, text_bytes
 from .components import components
 from .shingles import shingle_sets
 
-DIGEST, SIGNATURES, EDGES = 0, 1, 2
-CHUNK_SCHEMA = "bucket int, kind int, x binary, y binary, z binary"
-FOUND_SCHEMA = "kind int, a long, b long, n long, given boolean"
+DIGEST, SIGNATURES, GROUPS = 0, 1, 2
+CHUNK_SCHEMA = "bucket int, kind int, x binary, y binary, z binary, w binary"
+FOUND_SCHEMA = "kind int, a long, b long, n long, given boolean, sketch binary"
 
 
 class Bands:
@@ -194,49 +194,65 @@ def close_links(sigs: np.ndarray, nodes: np.ndarray, sketches: Sketches) -> np.n
     return np.unique(np.concatenate(out), axis=0)
 
 
-def candidates(docs: DataFrame, n: int, bands: Bands, buckets: int, flush: int = 1 << 19) -> DataFrame:
-    """Digests (``a`` doc_id, ``b`` node, ``n`` set size) and candidate links (``a``, ``b`` nodes) of ``doc_id, text``.
-
-    Signatures go to buckets; with them go, once per bucket, the sizes and sketches of their sets.
+def shared_groups(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, node) of all nodes that share a signature with others; signatures of the same nodes are one group."""
+    order = np.lexsort((nodes, sigs))
+    sigs, nodes = sigs[order], nodes[order]
+    if len(sigs):
+        fresh = np.concatenate(([True], (sigs[1:] != sigs[:-1]) | (nodes[1:] != nodes[:-1])))
+        sigs, nodes = sigs[fresh], nodes[fresh]
+    begin = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1]))) if len(sigs) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(begin, len(sigs)))
+    begin, counts = begin[counts > 1], counts[counts > 1]
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(mix64(nodes))))
+    groups = mix64(sums[begin + counts] - sums[begin] + counts.astype(np.uint64)).view(np.int64)
+    groups, one = np.unique(groups, return_index=True)
+    begin, counts = begin[one], counts[one]
+    places = np.repeat(begin - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+    return np.repeat(groups, counts), nodes[places]
+
+
+def candidates(docs: DataFrame, n: int, bands: Bands, buckets: int, flush: int = 1 << 18) -> DataFrame:
+    """What is known of ``doc_id, text`` after one pass, in two kinds of rows.
+
+    Digests: ``a`` doc_id, ``b`` node, ``n`` set size, and the sketch with one row of each node. Groups: ``a`` group,
+    ``b`` node, for nodes that share a signature. Only numbers travel with a signature; most are of one node and end here.
     """
-    def chunks(kind: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def chunks(kind: int, key: np.ndarray, columns: list[np.ndarray], sketches: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(key, kind="stable")
+        cuts = np.searchsorted(key[order], np.arange(buckets + 1))
+        rows = []
+        for k in range(buckets):
+            mine = order[cuts[k]:cuts[k + 1]]
+            if len(mine):
+                fields = [c[mine].tobytes() for c in columns] + [None] * (3 - len(columns))
+                rows.append((k, *fields, b"".join(sketches[i] for i in mine) if sketches else None))
         if rows:
             columns = [*zip(*rows)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int32()), pa.array([kind] * len(rows), pa.int32()),
-                 *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "kind", "x", "y", "z"])
-
-    def emit(sigs: list, nodes: list, sizes: list, drawn: list) -> Iterator[pa.RecordBatch]:
-        if not sigs:
-            return
-        sig, owner = np.concatenate(sigs), np.repeat(np.arange(len(nodes)), [len(x) for x in sigs])
-        words, flat = np.array([len(x) for x in drawn]), np.concatenate(drawn)
-        begin = np.concatenate(([0], np.cumsum(words)))
-        node, size = np.array(nodes, np.int64), np.array(sizes, np.int64)
-        bucket = (sig % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        sig, owner, cuts = sig[order], owner[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = []
-        for k in range(buckets):
-            part = slice(cuts[k], cuts[k + 1])
-            if cuts[k] < cuts[k + 1]:
-                used, local = np.unique(owner[part], return_inverse=True)
-                table = [np.array([len(used)]), node[used], size[used],
-                         np.concatenate([flat[begin[i]:begin[i + 1]] for i in used]).view(np.int64)]
-                rows.append((k, sig[part].tobytes(), local.astype(np.int32).tobytes(), np.concatenate(table).tobytes()))
-        yield from chunks(SIGNATURES, rows)
+                 *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "kind", "x", "y", "z", "w"])
+
+    def emit(sigs: list, nodes: list) -> Iterator[pa.RecordBatch]:
+        if sigs:
+            sig = np.concatenate(sigs)
+            owner = np.repeat(np.array(nodes, np.int64), [len(x) for x in sigs])
+            yield from chunks(SIGNATURES, (sig % np.uint64(buckets)).astype(np.int64), [sig, owner])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, nodes, sizes, drawn, seen, held = [], [], [], [], set(), 0
+        sigs, nodes, seen, held = [], [], set(), 0
         for batch in batches:
             offsets, data = buffers(batch.column("text"))
             ids = batch.column("doc_id")
-            digest = np.zeros((batch.num_rows, 2), np.int64)
+            digest, drawn = np.zeros((batch.num_rows, 2), np.int64), [b""] * batch.num_rows
             for i, shingles in enumerate(shingle_sets(data, offsets, n)):
                 if not len(shingles):
                     continue
                 node = set_hash(shingles)
                 digest[i] = node, len(shingles)
+                drawn[i] = sketch(shingles, int(sketch_words(np.array(len(shingles)), bands))).tobytes()
                 if node in seen or not ids[i].is_valid:
                     continue
                 seen.add(node)
@@ -244,53 +260,56 @@ def candidates(docs: DataFrame, n: int, bands: Bands, buckets: int, flush: int =
                 if len(found):
                     sigs.append(found)
                     nodes.append(node)
-                    sizes.append(len(shingles))
-                    drawn.append(sketch(shingles, int(sketch_words(np.array(len(shingles)), bands))))
                     held += len(found)
                 if held >= flush:
-                    yield from emit(sigs, nodes, sizes, drawn)
-                    sigs, nodes, sizes, drawn, seen, held = [], [], [], [], set(), 0
+                    yield from emit(sigs, nodes)
+                    sigs, nodes, seen, held = [], [], set(), 0
             given = np.array([x.is_valid for x in ids], np.int64)
             doc_ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) * given
-            columns = [doc_ids, digest[:, 0], digest[:, 1] * 2 + given]
-            bucket = digest[:, 0] % buckets
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            yield from chunks(DIGEST, [(k, *(c[order[cuts[k]:cuts[k + 1]]].tobytes() for c in columns))
-                                       for k in range(buckets) if cuts[k] < cuts[k + 1]])
-        yield from emit(sigs, nodes, sizes, drawn)
+            yield from chunks(DIGEST, digest[:, 0] % buckets, [doc_ids, digest[:, 0], digest[:, 1] * 2 + given], drawn)
+        yield from emit(sigs, nodes)
 
     def meet(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
 
-        def parts(kind: int, name: str, dtype: type) -> list[np.ndarray]:
-            return [np.frombuffer(table.column(name)[int(i)].as_buffer(), dtype) for i in np.flatnonzero(kinds == kind)]
-
-        doc, node, size = (np.concatenate([np.zeros(0, np.int64), *parts(DIGEST, c, np.int64)]) for c in "xyz")
-        links = np.zeros((0, 2), np.int64)
-        sig, local, tables = (parts(SIGNATURES, *x) for x in (("x", np.uint64), ("y", np.int32), ("z", np.int64)))
-        if sig:
-            counts = np.array([t[0] for t in tables])
-            first = np.concatenate(([0], np.cumsum(counts)))[:-1]
-            names = np.concatenate([t[1:1 + c] for t, c in zip(tables, counts)])
-            sizes = np.concatenate([t[1 + c:1 + 2 * c] for t, c in zip(tables, counts)])
-            flat = np.concatenate([t[1 + 2 * c:] for t, c in zip(tables, counts)]).view(np.uint64)
-            owner = np.concatenate([x + f for x, f in zip(local, first)])
-            names, one, number = np.unique(names, return_index=True, return_inverse=True)
-            words = sketch_words(sizes, bands)
-            begin = np.concatenate(([0], np.cumsum(words)))
-            flat = np.concatenate([flat[begin[i]:begin[i + 1]] for i in one])
-            found = close_links(np.concatenate(sig), number[owner], Sketches(sizes[one], words[one], flat, bands))
-            links = names[found]
+        def column(kind: int, name: str, dtype: type) -> np.ndarray:
+            found = [np.frombuffer(table.column(name)[int(i)].as_buffer(), dtype) for i in np.flatnonzero(kinds == kind)]
+            return np.concatenate([np.zeros(0, dtype), *found])
+
+        doc, node, size = (column(DIGEST, c, np.int64) for c in "xyz")
+        words = np.where(size > 1, sketch_words(size // 2, bands), 0)
+        begin, flat = np.concatenate(([0], np.cumsum(words))), column(DIGEST, "w", np.uint64)
+        drawn: list[bytes | None] = [None] * len(doc)
+        for i in np.unique(node, return_index=True)[1]:
+            drawn[i] = flat[begin[i]:begin[i + 1]].tobytes()
+        group, member = shared_groups(column(SIGNATURES, "x", np.uint64), column(SIGNATURES, "y", np.int64))
         return pa.table({
-            "kind": pa.array(np.repeat(np.array([DIGEST, EDGES], np.int32), [len(doc), len(links)])),
-            "a": pa.array(np.concatenate((doc, links[:, 0]))), "b": pa.array(np.concatenate((node, links[:, 1]))),
-            "n": pa.array(np.concatenate((size // 2, np.zeros(len(links), np.int64)))),
-            "given": pa.array(np.concatenate((size % 2 == 1, np.ones(len(links), bool))))})
+            "kind": pa.array(np.repeat(np.array([DIGEST, GROUPS], np.int32), [len(doc), len(group)])),
+            "a": pa.array(np.concatenate((doc, group))), "b": pa.array(np.concatenate((node, member))),
+            "n": pa.array(np.concatenate((size // 2, np.zeros(len(group), np.int64)))),
+            "given": pa.array(np.concatenate((size % 2 == 1, np.ones(len(group), bool)))),
+            "sketch": pa.array(drawn + [None] * len(group), pa.binary())})
 
     return docs.mapInArrow(read, CHUNK_SCHEMA).groupBy("bucket").applyInArrow(meet, FOUND_SCHEMA)
 
 
+def close_pairs(found: DataFrame, bands: Bands, buckets: int) -> DataFrame:
+    """Links (``a, b``, nodes) that connect all nodes of a group whose sketches are close."""
+    sketches = found.filter((F.col("kind") == DIGEST) & F.col("sketch").isNotNull() & (F.col("n") > 0)) \
+        .select("b", "n", "sketch")
+    groups = found.filter(F.col("kind") == GROUPS).select(F.col("a").alias("group"), "b").distinct()
+    rows = groups.join(sketches, "b").select(F.pmod("group", F.lit(buckets)).cast("int").alias("bucket"), "group", "b", "n", "sketch")
+
+    def compare(table: pa.Table) -> pa.Table:
+        group, node, size = (table.column(c).to_numpy() for c in ("group", "b", "n"))
+        names, one, number = np.unique(node, return_index=True, return_inverse=True)
+        flat = np.frombuffer(b"".join(table.column("sketch").take(pa.array(one)).to_pylist()), np.uint64)
+        links = names[close_links(group, number, Sketches(size[one], sketch_words(size[one], bands), flat, bands))]
+        return pa.table({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1])})
+
+    return rows.groupBy("bucket").applyInArrow(compare, "a long, b long")
+
+
 def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Component (smallest index) of every set; sets come in order of size. Pairs of one component are not compared."""
     forest, m = Forest(len(sets)), len(sets)
@@ -340,13 +359,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     rows = docs.select(F.col(id_name).cast("long").alias("doc_id"), text_bytes(text_name).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bands = Bands(num, den)
-    found = saved(candidates(rows, n, bands, max(16, -(-size // bucket_bytes))), "signatures")
+    buckets = max(16, -(-size // bucket_bytes))
+    found = saved(candidates(rows, n, bands, buckets), "signatures")
     digest = found.filter(F.col("kind") == DIGEST).select(
         F.when(F.col("given"), F.col("a")).alias("doc_id"), F.col("b").alias("node"), F.col("n"))
     part = digest.filter("doc_id IS NOT NULL AND n > 0")
     nodes = part.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.any_value("n").alias("n"))
-    links = found.filter(F.col("kind") == EDGES).select("a", "b")
-    labels = _compare(rows, nodes, components(links), n, bands, task_shingles)
+    labels = _compare(rows, nodes, components(close_pairs(found, bands, buckets)), n, bands, task_shingles)
     named = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = saved(named, "nodes")
     roots = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
