@@ -9,6 +9,10 @@ from ..functions.text import model_tag
 from ..spec import RULE_NAMES
 
 
+SMALL_CATALOG = 10_000
+SALTS = 16
+
+
 def first_entries(catalog: DataFrame, by: str, order: str) -> DataFrame:
     """One entry per ``by`` value: the first in catalog order."""
     rest = [c for c in catalog.columns if c != by]
@@ -18,16 +22,25 @@ def first_entries(catalog: DataFrame, by: str, order: str) -> DataFrame:
 def catalog_lookup(df: DataFrame, catalog: DataFrame, on: str = "name", order: str = "position") -> DataFrame:
     """Catalog entry per row by name or id, first match; rows without one stay.
 
-    Without a broadcast hint: Spark sends the catalog around when its size allows that, and splits hot names otherwise.
+    A catalog of at most ``SMALL_CATALOG`` rows is sent around, so a hot name stays where its rows are. A larger one is
+    shuffled together with rows and entries that carry a salt, which splits every name over ``SALTS`` tasks.
     """
-    return df.join(first_entries(catalog, on, order), on, "left")
+    return _join_entries(df, first_entries(catalog, on, order), on)
+
+
+def _join_entries(df: DataFrame, entries: DataFrame, on: str) -> DataFrame:
+    if entries.limit(SMALL_CATALOG + 1).count() <= SMALL_CATALOG:
+        return df.join(F.broadcast(entries), on, "left")
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
+    salted = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("_salt", salt).join(salted, [on, "_salt"], "left").drop("_salt")
 
 
 def with_model_tag(df: DataFrame, catalog: DataFrame, name: str, out: str = "model_tag",
                    order: str = "position") -> DataFrame:
     entries = first_entries(catalog.select(F.col("name").alias("_name"), F.col("id").alias("_id"), order),
                             "_name", order).select("_name", "_id")
-    joined = df.join(entries, F.col(name) == F.col("_name"), "left")
+    joined = _join_entries(df.withColumn("_name", F.col(name)), entries, "_name")
     return joined.select(*df.columns, model_tag(F.col("_id"), F.col(name)).alias(out))
 
 

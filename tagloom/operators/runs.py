@@ -16,6 +16,8 @@ from ..functions.text import output_name
 
 # States and outcomes.
 FINISHED = ("completed", "failed")
+#: A worker's number is its own only within a run and a file.
+WORKER_KEYS = ("run_id", "label", "worker_id")
 NO_ERROR_TEXT = "Unknown error"
 
 
@@ -25,8 +27,15 @@ def latest_by(log: DataFrame, keys: Sequence[str], order: Sequence[str], keep: S
     return log.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
 
 
-def status_latest(events: DataFrame, keys: Sequence[str] = ("run_id", "worker_id"),
+def worker_keys(*tables: DataFrame) -> list[str]:
+    """Those of run, file and worker that all the tables have."""
+    return [k for k in WORKER_KEYS if all(k in t.columns for t in tables)]
+
+
+def status_latest(events: DataFrame, keys: Sequence[str] | None = None,
                   order: Sequence[str] = ("updated_at", "event_id")) -> DataFrame:
+    """Newest status per worker; workers are told apart by run, file and number."""
+    keys = keys or worker_keys(events)
     keep = [c for c in events.columns if c not in keys]
     return latest_by(events, keys, order, keep)
 
@@ -74,9 +83,12 @@ def with_progress(status: DataFrame) -> DataFrame:
 
 def all_done(planned: DataFrame, status: DataFrame, by: Sequence[str] = ("label",),
              worker: str = "worker_id") -> DataFrame:
-    """Whether every planned worker has completed or failed; one that never reported counts as not done."""
-    states = status.select(worker, "state")
-    joined = planned.join(states, worker, "left")
+    """Whether every planned worker has completed or failed; one that never reported counts as not done.
+
+    Both tables are matched by run, file and worker, as far as both have these.
+    """
+    keys = list(dict.fromkeys([*worker_keys(planned, status), worker]))
+    joined = planned.join(status.select(*keys, "state"), keys, "left")
     finished = F.coalesce(F.col("state").isin(*FINISHED), F.lit(False))
     return joined.groupBy(*by).agg(F.bool_and(finished).alias("all_done"), F.count("*").alias("workers"),
                                    F.sum(finished.cast("long")).alias("finished"))
@@ -101,9 +113,10 @@ def run_rollup(status: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:
 
 
 def failed_ranges(status: DataFrame, ranges: DataFrame, worker: str = "worker_id") -> DataFrame:
-    """Failed workers with their planned range and error text."""
+    """Failed workers with their planned range and error text, matched by run, file and worker as far as both have these."""
+    keys = list(dict.fromkeys([*worker_keys(status, ranges), worker]))
     failed = status.filter(F.col("state") == "failed")
-    joined = failed.join(ranges.select(worker, "start", "end"), worker, "left")
+    joined = failed.join(ranges.select(*keys, "start", "end"), keys, "left")
     return joined.select(worker, "label", "start", "end", F.coalesce("last_error", F.lit(NO_ERROR_TEXT)).alias("error"))
 
 
@@ -120,14 +133,16 @@ def merge_gate(rollup: DataFrame, condition: str) -> DataFrame:
 
 def missing_outputs(run_files: DataFrame, listing: DataFrame) -> DataFrame:
     """Planned outputs (label, path) that are not among the files found."""
-    expected = run_files.select("label", F.explode("expected_outputs").alias("path"))
-    return expected.join(listing.select("path"), "path", "left_anti").select("label", "path")
+    keys = [k for k in ("run_id", "label") if k in run_files.columns]
+    expected = run_files.select(*keys, F.explode("expected_outputs").alias("path"))
+    return expected.join(listing.select("path"), "path", "left_anti").select(*keys, "path")
 
 
 def unplanned_files(queue: DataFrame, run_files: DataFrame) -> DataFrame:
     """Queue entries the manifest does not know, as pending entries without ranges."""
-    rest = queue.join(run_files.select("label"), "label", "left_anti")
-    return rest.select("label", "input_file", F.lit("pending").alias("status"))
+    keys = [k for k in ("run_id", "label") if k in run_files.columns and k in queue.columns]
+    rest = queue.join(run_files.select(*keys), keys, "left_anti")
+    return rest.select(*keys, "input_file", F.lit("pending").alias("status"))
 
 
 def run_summary(runs: DataFrame) -> DataFrame:
@@ -142,10 +157,11 @@ def run_summary(runs: DataFrame) -> DataFrame:
 
 def manifest_summary(run_files: DataFrame, listing: DataFrame) -> DataFrame:
     """Per file: status, input, number of ranges, merged output, or else how many outputs are expected and missing."""
-    gone = missing_outputs(run_files, listing).groupBy("label").agg(F.count("*").alias("_missing"))
+    keys = [k for k in ("run_id", "label") if k in run_files.columns]
+    gone = missing_outputs(run_files, listing).groupBy(*keys).agg(F.count("*").alias("_missing"))
     merged = F.col("merged_output").isNotNull()
-    return run_files.join(gone, "label", "left").select(
-        "label", F.coalesce("status", F.lit("pending")).alias("status"), "input_file",
+    return run_files.join(gone, keys, "left").select(
+        *keys, F.coalesce("status", F.lit("pending")).alias("status"), "input_file",
         F.size("ranges").alias("n_ranges"), "merged_output",
         F.when(~merged, F.size("expected_outputs")).alias("expected"),
         F.when(~merged, F.coalesce("_missing", F.lit(0))).cast("int").alias("missing"))

@@ -27,7 +27,11 @@ class ModelClient(Protocol):
 
 class Caller(Protocol):
     def __call__(self, units: DataFrame, attempt: int) -> DataFrame:
-        """``units`` without the prompt, with content, error and counters, for one attempt."""
+        """``units`` with content, error and counters, for one attempt."""
+        ...
+
+    def describe(self) -> str:
+        """What decides the answers, as text that is the same whenever the run is started again."""
         ...
 
     def partitions(self, spark: SparkSession) -> int | None:
@@ -55,7 +59,7 @@ class ClientCaller:
         if units.sparkSession.conf.get("spark.speculation", "false") == "true":
             warnings.warn("spark.speculation is on: slow tasks would call the model twice", stacklevel=2)
         client, model, system, threads = self.client, self.model, self.system, self.threads
-        passed = [f for f in units.schema.fields if f.name != "prompt"]
+        passed = list(units.schema.fields)
         texts = [T.StructField(c, T.StringType()) for c in ("content", "error")]
         schema = T.StructType(passed + texts + [T.StructField(c, T.LongType()) for c in COUNTERS])
 
@@ -78,6 +82,10 @@ class ClientCaller:
 
         return units.mapInArrow(call, schema)
 
+    def describe(self) -> str:
+        kind = type(self.client)
+        return f"{kind.__module__}.{kind.__qualname__} {self.model!r} {self.system!r}"
+
     def partitions(self, spark: SparkSession) -> int:
         return self.tasks or 4 * spark.sparkContext.defaultParallelism
 
@@ -92,7 +100,10 @@ class ColumnCaller:
     def __call__(self, units: DataFrame, attempt: int) -> DataFrame:
         content = F.when(F.col("kind") == "batch", self.batch(attempt)).otherwise(self.row(attempt))
         empty = {c: F.lit(None).cast("long") for c in COUNTERS}
-        return units.drop("prompt").withColumns({"content": content, "error": F.lit(None).cast("string"), **empty})
+        return units.withColumns({"content": content, "error": F.lit(None).cast("string"), **empty})
+
+    def describe(self) -> str:
+        return f"{self.batch(1)} {self.row(1)}"
 
     def partitions(self, spark: SparkSession) -> None:
         return None

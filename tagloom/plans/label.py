@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,28 +98,57 @@ def _placed_steps(messages: DataFrame, plan: RunPlan, stats: KeyStats, folder: s
     return [saved.filter(F.col("step") == n).drop("step") for n in range(len(steps))]
 
 
-def _units(rows: DataFrame, kind: str, plan: RunPlan, keep: Sequence[str], wording: Wording, partitions: int | None,
-           only: DataFrame | None) -> DataFrame:
-    """Units of one kind; with ``only`` just those, cut down before anything is shuffled."""
-    if only is not None:
-        keys = list(UNIT_KEYS)
-        if kind == "row":
-            only, keys = only.withColumnRenamed("row_id", "RowID"), [*keys, "RowID"]
-        rows = rows.join(only.select(*keys), keys, "left_semi")
+def _units(rows: DataFrame, kind: str, plan: RunPlan, keep: Sequence[str], wording: Wording,
+           partitions: int | None) -> DataFrame:
+    """All units of one kind."""
     if kind == "batch":
         return batch_units(rows, plan.batch_size, keep, wording, partitions)
     return single_units(rows, keep, wording, partitions)
 
 
+def _again(failed: DataFrame, kind: str, partitions: int | None) -> DataFrame:
+    """Units of the next wave from the failed ones of the last: their prompts were saved, so nothing is read or joined."""
+    units = failed.withColumn("kind", F.lit(kind))
+    return units.repartition(partitions, *UNIT_KEYS, "row_id") if partitions else units
+
+
 def _wave(units: DataFrame, caller: Caller, reader: AnswerReader, attempt: int, path: str) -> DataFrame:
-    """One attempt for all given units: call, read, write. A wave that was written before is not called again."""
+    """One attempt for all given units: call, read, write. A wave that was written before is not called again.
+
+    Units that are not ok are written with their prompts.
+    """
     spark = units.sparkSession
     read = reader(caller(units, attempt)).drop("kind")
+    read = read.withColumn("prompt", F.when(~F.col("ok"), F.col("prompt")))
     if not path_exists(spark, f"{path}/_SUCCESS"):
         read.write.mode("overwrite").parquet(path)
     return spark.read.schema(read.schema).parquet(path)
 
 
+def _description(caller: Caller) -> str:
+    described = getattr(caller, "describe", None)
+    return described() if described else type(caller).__qualname__
+
+
+def _claim(messages: DataFrame, folder: str, facts: dict[str, object]) -> None:
+    """Write down what the waves in a folder belong to; a folder of another run is refused.
+
+    The input is told by its number of rows, its extent, and a hash over all ids.
+    """
+    spark, path = messages.sparkSession, f"{folder}/run"
+    ids = messages.agg(F.count("*"), F.sum(F.xxhash64("RowID").cast("decimal(38,0)"))).first()
+    text = json.dumps({**facts, "rows": ids[0], "ids": str(ids[1])}, sort_keys=True)
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        if path_exists(spark, f"{folder}/waves"):
+            raise ValueError(f"{folder} holds waves of an unknown run")
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    before, now = json.loads(spark.read.text(path).first()[0]), json.loads(text)
+    changed = sorted(k for k in {*before, *now} if before.get(k) != now.get(k))
+    if changed:
+        raise ValueError(f"{folder} belongs to a run with other {', '.join(changed)}; use a new folder")
+
+
 @dataclass(frozen=True)
 class LabelRun:
     """Result of a run: ``rows`` (one per message and range) and ``log`` (one per response)."""
@@ -134,8 +164,9 @@ def label_run(messages: DataFrame, spec: PromptSpec, caller: Caller, plan: RunPl
     """Label every row of ``messages``.
 
     Each wave is written to ``folder`` (shared storage) and read back, so no call is made twice, and a run that is
-    started again with the same folder goes on after the last full wave. Waves after the first read and shuffle only
-    the rows of open units. Batches that use up their attempts are asked for row by row. ``extra`` names row columns
+    started again with the same folder goes on after the last full wave. A folder that belongs to another input, spec,
+    plan or caller is refused. Failed units are written with their prompts, so a retry reads these and nothing else.
+    Batches that use up their attempts are asked for row by row, for which their rows are read once more. ``extra`` names row columns
     that a Column caller needs.
     """
     spark = prepare(messages.sparkSession)
@@ -144,6 +175,9 @@ def label_run(messages: DataFrame, spec: PromptSpec, caller: Caller, plan: RunPl
     stats = stats or key_stats(messages, "RowID")
     kept = list(dict.fromkeys([*keep, "pos_in_worker", "part"]))
     packed = list(dict.fromkeys([*kept, *extra]))
+    _claim(messages, folder, {
+        "spec": repr(spec), "plan": repr(replace(plan, delay_sec=0.0)), "caller": _description(caller), "wording": repr(wording),
+        "columns": repr(packed), "low": str(stats.low), "high": str(stats.high)})
     readers = {kind: AnswerReader(spec, kind, rules) for kind in ("batch", "row")}
 
     for step, rows in enumerate(_placed_steps(messages, plan, stats, folder)):
@@ -153,10 +187,13 @@ def label_run(messages: DataFrame, spec: PromptSpec, caller: Caller, plan: RunPl
                 rows = rows.join(failed.select(*UNIT_KEYS), list(UNIT_KEYS), "left_semi")
             failed = None
             for attempt in range(1, plan.retries + 1):
-                units = _units(rows, kind, plan, packed, wording, caller.partitions(spark), failed)
+                if failed is None:
+                    units = _units(rows, kind, plan, packed, wording, caller.partitions(spark))
+                else:
+                    units = _again(failed, kind, caller.partitions(spark))
                 path = f"{folder}/waves/step={step}/kind={kind}/attempt={attempt}"
                 wave = _wave(units, caller, readers[kind], attempt, path)
-                failed = wave.filter(~F.col("ok")).select(*UNIT_KEYS, "row_id")
+                failed = wave.filter(~F.col("ok")).select(*UNIT_KEYS, "row_id", "rows", "prompt")
                 if failed.isEmpty():
                     failed = None
                     break
@@ -171,7 +208,7 @@ def label_run(messages: DataFrame, spec: PromptSpec, caller: Caller, plan: RunPl
     out_of_attempts = (F.col("kind") == "row") & (F.col("attempt") == plan.retries) & ~F.col("ok")
     lost = log.filter(out_of_attempts).select(*carry, F.inline("rows"))
     labelled = coded_rows(log, spec, kept, carry).unionByName(terminal_fill(lost, spec, kept, carry))
-    return LabelRun(rows=labelled, log=log.drop("answers", "rows"))
+    return LabelRun(rows=labelled, log=log.drop("answers", "rows", "prompt"))
 
 
 def label_table(messages: DataFrame, spec: PromptSpec, caller: Caller, plan: RunPlan = RunPlan(),

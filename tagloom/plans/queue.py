@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -66,11 +67,16 @@ class QueueRun:
                               [c for c in log.columns if c not in ("run_id", "label", "worker_id")])
 
 
+def folder_name(label: str) -> str:
+    """A label as a folder name, escaped in Spark's way for partition folders, so that reading gives the label back."""
+    return re.sub(r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", label)
+
+
 def _note(spark: SparkSession, run: QueueRun, label: str, status: str, path: str, ranges: list | None = None,
           merged: str | None = None) -> None:
     # A folder per label, so that files handled side by side do not append to the same one.
     entry = [(run.run_id, datetime.now(timezone.utc), status, path, ranges, merged)]
-    ledger.append_run_file(spark.createDataFrame(entry, ENTRY_SCHEMA), f"{run.out}/files/label={label}")
+    ledger.append_run_file(spark.createDataFrame(entry, ENTRY_SCHEMA), f"{run.out}/files/label={folder_name(label)}")
 
 
 def _worker_status(run: QueueRun, label: str, rows: DataFrame, planned: DataFrame, n_rows: int) -> DataFrame:
@@ -84,7 +90,7 @@ def _worker_status(run: QueueRun, label: str, rows: DataFrame, planned: DataFram
     total = F.greatest(F.least(F.col("end"), F.lit(n_rows).cast("long")) - F.col("start") + 1, F.lit(0))
     joined = planned.join(done, "worker_id", "left").fillna(0, ["rows_processed", "errors"])
     full = F.col("rows_processed") == total
-    part = F.concat(F.lit(f"{run.out}/parts/run_id={run.run_id}/label={label}/worker_id="), F.col("worker_id").cast("string"))
+    part = F.concat(F.lit(f"{run.out}/parts/run_id={run.run_id}/label={folder_name(label)}/worker_id="), F.col("worker_id").cast("string"))
     return joined.select(
         F.lit(run.run_id).alias("run_id"), "worker_id", F.current_timestamp().alias("updated_at"),
         F.when(full, "completed").otherwise("failed").alias("state"), "rows_processed", total.alias("total_rows"),
@@ -101,17 +107,17 @@ def _label_file(spark: SparkSession, run: QueueRun, path: str, label: str) -> No
     # One entry per worker of the plan.
     _note(spark, run, label, "pending", path, [tuple(r) for r in planned.orderBy("worker_id").collect()])
 
-    labelled = label_run(messages, run.spec, run.caller, run.plan, folder=f"{run.out}/waves/{run.run_id}/{label}", stats=stats)
+    labelled = label_run(messages, run.spec, run.caller, run.plan, folder=f"{run.out}/waves/{run.run_id}/{folder_name(label)}", stats=stats)
     meta = {"Model_Name": F.lit(run.model), "Batch_Size": F.lit(run.plan.batch_size)}
     write_parts(labelled.rows.withColumns(meta), f"{run.out}/parts", run.run_id, label, run.parts_per_folder)
     saved = read_parts(spark, f"{run.out}/parts", run.run_id, label)
-    ledger.append(_worker_status(run, label, saved, planned, stats.rows), f"{run.out}/status/label={label}")
+    ledger.append(_worker_status(run, label, saved, planned, stats.rows), f"{run.out}/status/label={folder_name(label)}")
 
     rollup = runs.run_rollup(run.status(spark).filter(F.col("label") == label))
     gate = runs.merge_gate(rollup, run.merge_when).first()
     merged = None
     if gate["merge"]:
-        merged = f"{run.out}/merged/{run.run_id}/{label}"
+        merged = f"{run.out}/merged/{run.run_id}/{folder_name(label)}"
         good = saved.filter(F.col("worker_id").isin(gate["successful"])) if gate["failed"] else saved
         write_output(merge_outputs(good.drop("part_group"), run.sort_by), merged, run.form)
         _analytics(spark, run, label, good.drop("part_group", "label"), labelled.log)
@@ -125,7 +131,7 @@ def _analytics(spark: SparkSession, run: QueueRun, label: str, rows: DataFrame,
     coded = rows.select("RowID", *[c for c in rows.columns if c in run.spec.output_columns or c.startswith("Validated_")])
     facts = {"run_id": run.run_id, "file_label": label, "model": run.model, "batch_size": run.plan.batch_size,
              "api_calls": log.count(), "tokens_total": used["total_tokens"] if used else 0}
-    write_output(analytics_row(coded, facts), f"{run.out}/analytics/{run.run_id}/{label}", "parquet")
+    write_output(analytics_row(coded, facts), f"{run.out}/analytics/{run.run_id}/{folder_name(label)}", "parquet")
 
 
 def run_queue(spark: SparkSession, run: QueueRun, queue: Sequence[tuple[str, str]],

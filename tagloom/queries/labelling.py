@@ -35,7 +35,7 @@ def with_answer(rows):
                    .when(lang == "de", "Billing").when(lang == "es", "[Custom]")).alias("Topic")
     n = F.col("n_chars") % 3
     tone = F.when(n == 0, "Positive").when(n == 1, "Negative").otherwise("so_so").alias("Tone")
-    note = F.left("source", F.lit(20)).alias("Note")
+    note = F.col("source").alias("Note")
     number = F.to_json(F.struct(relevant, topic, F.lit(7).alias("Tone"), note))
     text = F.to_json(F.struct(relevant, topic, tone, note))
     return rows.withColumn("answer", F.when(r % 31 == 0, number).otherwise(text))
@@ -170,7 +170,7 @@ a AS (SELECT *, (worker_id - 1) * 1000 + batch_id AS g,
              CASE WHEN RowID % 29 = 0 THEN 'ERROR_MISSING_KEY' WHEN lang = 'en' THEN 'Product'
                   WHEN lang = 'fr' THEN 'Support' WHEN lang = 'de' THEN 'Billing' ELSE '[Custom]' END AS topic,
              CASE n_chars % 3 WHEN 0 THEN 'Positive' WHEN 1 THEN 'Negative' ELSE 'so_so' END AS tone,
-             left(source, 20) AS note FROM placed),
+             source AS note FROM placed),
 b AS (SELECT *, NOT (g % 23 = 9 OR g % 19 = 8 OR g % 13 = 6 OR g % 11 = 5) AND g % 7 = 3 AND is_last AS cut,
              RowID % 31 = 0 AND rel = 'Y' AS bad FROM a),
 c AS (SELECT *, bool_or(g % 23 = 9 OR (bad AND NOT cut)) OVER (PARTITION BY worker_id, batch_id) AS alone FROM b),

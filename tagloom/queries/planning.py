@@ -29,7 +29,9 @@ def read_queue(spark, sf_dir):
     folder = work_folder(spark, "queue")
     docs = table(spark, sf_dir, "documents")
     as_messages(docs, "lang").write.partitionBy("lang").parquet(folder)
-    queue = [(f"{folder}/lang={lang}", lang) for lang in ("en", "fr", "de", "es")] + [(f"{folder}/lang=xx", "none")]
+    # One entry per language that the table has, as many as there are files.
+    langs = [r[0] for r in docs.select("lang").distinct().orderBy("lang").collect()]
+    queue = [(f"{folder}/lang={lang}", lang) for lang in langs] + [(f"{folder}/lang=xx", "none")]
     rows, status = read_queue_files(spark, queue)
     counts = rows.groupBy("label").agg(F.count("*").alias("rows"), F.sum("RowID").alias("id_sum"))
     return status.select("label", "status").join(counts, "label", "left")
@@ -107,7 +109,7 @@ ORACLES = {
         FROM messages""",
     "read_queue": """
         SELECT lang AS label, 'found' AS status, count(*) AS rows, CAST(sum(doc_id + 1) AS BIGINT) AS id_sum
-        FROM documents WHERE lang IN ('en', 'fr', 'de', 'es') GROUP BY lang
+        FROM documents GROUP BY lang
         UNION ALL SELECT 'none', 'file_not_found', NULL, NULL""",
     "row_position": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS position FROM orders",
     "slice_position": """SELECT o_orderkey, o_totalprice FROM (

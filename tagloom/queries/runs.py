@@ -80,6 +80,31 @@ def all_done(spark, sf_dir):
     return runs.all_done(_planned(spark, sf_dir), _latest(spark, sf_dir))
 
 
+def _repeated(spark, sf_dir):
+    """Status events in which every file numbers its workers from 0 to 4."""
+    return status_events(spark, sf_dir).withColumn("worker_id", F.col("worker_id") % 5)
+
+
+def status_latest_files(spark, sf_dir):
+    latest = runs.status_latest(_repeated(spark, sf_dir))
+    return latest.select("run_id", "label", "worker_id", "state", "event_id")
+
+
+def all_done_files(spark, sf_dir):
+    """Seven workers planned in every file and run; five of them report."""
+    latest = runs.status_latest(_repeated(spark, sf_dir))
+    planned = latest.select("run_id", "label").distinct().withColumn("worker_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
+    return runs.all_done(planned, latest, ("run_id", "label"))
+
+
+def failed_ranges_files(spark, sf_dir):
+    """Ranges of ten rows, at another place in every file."""
+    latest = runs.status_latest(_repeated(spark, sf_dir))
+    start = F.col("worker_id") * 10 + F.substring("label", 5, 9).cast("long") * 1000 + 1
+    planned = latest.select("run_id", "label", "worker_id", start.alias("start"), (start + 9).alias("end"))
+    return runs.failed_ranges(latest, planned)
+
+
 def progress_eta(spark, sf_dir):
     figures = runs.with_progress(_latest(spark, sf_dir))
     return figures.select("worker_id", "progress_pct", "worker_eta", "monitor_eta")
@@ -193,10 +218,25 @@ gone AS (SELECT label, w, concat('r_', label, '_w', w, '.csv') AS path FROM expe
          WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = k AND l_linenumber = w))"""
 
 QUERIES = {f.__name__: f for f in (
-    status_latest, read_status, manifest_entries, manifest_upsert, manifest_patch, failed_ranges, all_done, progress_eta, run_rollup, merge_gate,
+    status_latest, read_status, manifest_entries, manifest_upsert, manifest_patch, failed_ranges, all_done,
+    status_latest_files, all_done_files, failed_ranges_files, progress_eta, run_rollup, merge_gate,
     final_summary, run_summary, missing_outputs, manifest_summary, unplanned_files, resume_files)}
 
+_REPEATED = f"""WITH {STATUS_SQL}, w AS (SELECT * EXCLUDE (worker_id), worker_id % 5 AS worker_id FROM status),
+newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, label, worker_id
+                                                      ORDER BY updated_at DESC, event_id DESC) AS rn FROM w) WHERE rn = 1)"""
+
 ORACLES = {
+    "status_latest_files": f"{_REPEATED} SELECT run_id, label, worker_id, state, event_id FROM newest",
+    "all_done_files": f"""{_REPEATED}, planned AS (
+          SELECT run_id, label, worker_id FROM (SELECT DISTINCT run_id, label FROM newest), range(0, 7) t(worker_id))
+        SELECT run_id, label, bool_and(coalesce(state IN ('completed', 'failed'), false)) AS all_done, count(*) AS workers,
+               count(*) FILTER (state IN ('completed', 'failed')) AS finished
+        FROM planned LEFT JOIN newest USING (run_id, label, worker_id) GROUP BY run_id, label""",
+    "failed_ranges_files": f"""{_REPEATED}
+        SELECT worker_id, label, worker_id * 10 + CAST(substr(label, 5) AS BIGINT) * 1000 + 1 AS start,
+               worker_id * 10 + CAST(substr(label, 5) AS BIGINT) * 1000 + 10 AS "end",
+               coalesce(last_error, 'Unknown error') AS error FROM newest WHERE state = 'failed'""",
     "status_latest": f"""{_PER_RUN}
         SELECT run_id, worker_id, state, rows_processed, event_id, last_error FROM per_run""",
     "read_status": f"""{_WITH}

@@ -59,7 +59,7 @@ ORACLES = {
                      CASE WHEN r % 29 = 0 THEN 'ERROR_MISSING_KEY' WHEN lang = 'en' THEN 'Product'
                           WHEN lang = 'fr' THEN 'Support' WHEN lang = 'de' THEN 'Billing' ELSE '[Custom]' END AS topic,
                      CASE n_chars % 3 WHEN 0 THEN 'Positive' WHEN 1 THEN 'Negative' ELSE 'so_so' END AS tone,
-                     left(source, 20) AS note FROM a),
+                     source AS note FROM a),
         c AS (SELECT *, CASE WHEN k = 'Y' AND r % 31 = 0 THEN 'ERROR_ALL_RETRIES_FAILED' END AS e FROM b)
         SELECT r AS RowID, coalesce(e, CASE k WHEN 'na' THEN 'NOT_APPLICABLE' ELSE k END) AS Relevant,
                coalesce(e, CASE k WHEN 'na' THEN 'Other'

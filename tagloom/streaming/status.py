@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.runs import latest_by
+from ..operators.runs import latest_by, worker_keys
 
 
-def status_stream(events: DataFrame, out: str, checkpoint: str, keys: Sequence[str] = ("run_id", "worker_id"),
+def status_stream(events: DataFrame, out: str, checkpoint: str, keys: Sequence[str] | None = None,
                   order: Sequence[str] = ("updated_at", "event_id"), keep: Sequence[str] = ("state",),
                   **trigger) -> StreamingQuery:
-    """Keep the newest event per worker as streaming state, one entry per worker, and log every change to ``out``."""
+    """Keep the newest event per worker (of a run and file) as streaming state, one entry per worker, and log every change to ``out``."""
+    keys = keys or worker_keys(events)
     newest = F.max_by(F.struct(*order, *keep), F.struct(*order)).alias("_newest")
     latest = events.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
 
@@ -26,8 +27,9 @@ def status_stream(events: DataFrame, out: str, checkpoint: str, keys: Sequence[s
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def read_status_table(spark: SparkSession, out: str, keys: Sequence[str] = ("run_id", "worker_id"),
+def read_status_table(spark: SparkSession, out: str, keys: Sequence[str] | None = None,
                       order: Sequence[str] = ("updated_at", "event_id")) -> DataFrame:
     """Current state per worker from the change log."""
     changes = spark.read.parquet(out).drop("stream_batch")
+    keys = keys or worker_keys(changes)
     return latest_by(changes, keys, order, [c for c in changes.columns if c not in keys])

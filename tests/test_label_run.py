@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.position import key_stats
 from tagloom.plans.calls import ClientCaller, ColumnCaller
-from tagloom.plans.label import RunPlan, _placed_steps, label_run, label_table
+from tagloom.plans.label import RunPlan, _again, _placed_steps, label_run, label_table
 from tagloom.session import work_folder
 from tagloom.sources.messages import require_columns
 from tagloom.spec import PromptSpec
@@ -121,7 +121,7 @@ def test_steps_are_saved_one_by_one(spark, tmp_path, gap):
     good = ClientCaller(Client(str(calls), bad=[4 * gap]), tasks=2)
 
     class Broken:
-        partitions = good.partitions
+        partitions, describe = good.partitions, good.describe
 
         def __call__(self, units, attempt):
             if not units.filter("worker_id > 2").isEmpty():
@@ -148,3 +148,32 @@ def test_a_step_reads_only_its_ids(spark):
     assert [s.count() for s in steps] == [25] * 4
     text = steps[1]._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(RowID,26)" in text and "LessThanOrEqual(RowID,50)" in text
+
+
+def test_folder_of_another_run_is_refused(spark, tmp_path, tmp_path_factory):
+    folder = str(tmp_path / "waves")
+    client = Client(str(tmp_path_factory.mktemp("calls")))
+    caller = ClientCaller(client, tasks=1)
+
+    def run(n, plan=RunPlan(n_workers=2, batch_size=3), model=caller):
+        return label_table(_messages(spark, n), SPEC, model, plan, folder=folder).count()
+
+    assert run(20) == 20 == run(20)
+    for change in ({"n": 40}, {"n": 20, "plan": RunPlan(n_workers=4, batch_size=3)},
+                   {"n": 20, "model": ClientCaller(client, model="other", tasks=1)}):
+        with pytest.raises(ValueError, match="belongs to a run with other"):
+            run(**change)
+    assert run(20) == 20
+
+
+def test_retries_read_saved_prompts_only(spark, tmp_path):
+    client = Client(str(tmp_path), bad=[7])
+    folder = work_folder(spark, "run")
+    run = label_run(_messages(spark, 20), SPEC, ClientCaller(client, tasks=2), RunPlan(n_workers=2, batch_size=5, retries=2),
+                    folder=folder)
+    assert run.rows.count() == 20
+    first = spark.read.parquet(f"{folder}/waves/step=0/kind=batch/attempt=1")
+    assert first.filter("ok").filter("prompt IS NOT NULL").count() == 0
+    assert first.filter("NOT ok").filter("prompt IS NULL").count() == 0
+    plan = _again(first.filter("NOT ok"), "batch", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 1

@@ -55,3 +55,15 @@ def test_ranges_may_reach_beyond_the_file(spark, tmp_path):
     assert spark.read.option("header", True).csv(row["merged_output"]).count() == 6
     status = {r["worker_id"]: (r["state"], r["total_rows"], r["output_file"] is None) for r in run.status(spark).collect()}
     assert status == {1: ("completed", 4, False), 2: ("completed", 2, False), 3: ("completed", 0, True)}
+
+
+def test_labels_that_are_no_folder_names(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    run = QueueRun(run_id="run1", out=str(tmp_path / "out"), spec=SPEC, caller=ClientCaller(Client(str(calls)), tasks=2),
+                   plan=RunPlan(n_workers=2, batch_size=4, retries=2, interval=8))
+    labels = ["a/b", "50% = é: x", "{x}"]
+    queue = [(_write(tmp_path / f"{i}.csv", range(1, 6)), label) for i, label in enumerate(labels)]
+    rows = {r["label"]: r for r in run_queue(spark, run, queue).collect()}
+    assert {k: (r["status"], r["total_rows"]) for k, r in rows.items()} == {x: ("completed", 5) for x in labels}
+    assert all(spark.read.parquet(r["merged_output"]).count() == 5 for r in rows.values())
