@@ -172,25 +172,26 @@ def close_links(sigs: np.ndarray, nodes: np.ndarray, sketches: Sketches) -> np.n
     two = begin[counts == 2]
     pairs = np.unique(np.stack((nodes[two], nodes[two + 1]), 1), axis=0)
     out = [pairs[sketches.close(pairs[:, 0], pairs[:, 1])]]
-    seen: set[bytes] = set()
-    for start, n in zip(begin[counts > 2].tolist(), counts[counts > 2].tolist()):
-        rest = nodes[start:start + n]
-        name = rest.tobytes()
-        if name in seen:  # the same sets often share many signatures
-            continue
-        seen.add(name)
-        # Every node in turn takes out the nodes that are close to it, so families of near copies shrink fast.
-        front: list[int] = []
-        while len(rest):
-            if not front:
-                front, rest = [int(rest[0])], rest[1:]
+    forest = Forest(len(sketches.sizes))
+    for a, b in out[0].tolist():
+        forest.join(a, b)
+    # Nodes that are connected already are not compared again, so families of near copies are soon done with.
+    for start, n in sorted(zip(begin[counts > 2].tolist(), counts[counts > 2].tolist()), key=lambda x: x[1]):
+        members = nodes[start:start + n]
+        roots = np.array([forest.root(i) for i in members.tolist()])
+        for i in range(n - 1):
+            later = np.flatnonzero(roots[i + 1:] != roots[i]) + i + 1
+            if not len(later):
+                if (roots == roots[i]).all():
+                    break
                 continue
-            node = front.pop()
-            hit = sketches.close(np.full(len(rest), node), rest)
-            if hit.any():
-                out.append(np.stack((np.full(int(hit.sum()), node), rest[hit]), 1))
-                front += rest[hit].tolist()
-                rest = rest[~hit]
+            hit = later[sketches.close(np.full(len(later), members[i]), members[later])]
+            if len(hit):
+                joined, one = np.unique(roots[hit], return_index=True)
+                out.append(np.stack((np.full(len(one), members[i]), members[hit[one]]), 1))
+                for other in joined.tolist():
+                    forest.join(int(roots[i]), other)
+                roots[np.isin(roots, np.append(joined, roots[i]))] = forest.root(int(roots[i]))
     return np.unique(np.concatenate(out), axis=0)
 
 
