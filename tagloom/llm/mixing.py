@@ -107,7 +107,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     """
     source = F.coalesce(F.col(source_name), F.lit(""))
     order = F.xxhash64(F.col(id_name), text_key(text_name))
-    rows = docs.withColumns({"mix_source": source, "_order": order})
+    rows = docs.withColumns({"mix_source": source, "_order": order, "_tie": F.xxhash64(F.lit("tie"), F.col(text_name))})
     counts = {r[0]: r[1] for r in rows.groupBy("mix_source").count().limit(period + 1).collect()}
     if len(counts) > period:
         raise ValueError(f"at most {period} sources can be mixed")
@@ -123,7 +123,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     sizes = rows.groupBy("mix_source", "_part").count()
     before = F.sum("count").over(Window.partitionBy("mix_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     begins = saved(sizes.select("mix_source", "_part", F.coalesce(before, F.lit(0)).alias("_begin")), "begins")
-    number = F.row_number().over(Window.partitionBy("mix_source", "_part").orderBy("_order", F.col(id_name), F.col(text_name)))
+    number = F.row_number().over(Window.partitionBy("mix_source", "_part").orderBy("_order", F.col(id_name), "_tie"))
     placed = rows.withColumn("_number", number).join(begins, ["mix_source", "_part"])
     place = F.col("_begin") + F.col("_number") - 1
     placed = placed.withColumns({"mix_block": F.floor(place / block_rows).cast("long"), "mix_place": (place % block_rows).cast("int")})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, partenum, quality, suffix_dedup, topk, toxicity, url_filter, warc
+from . import decontaminate, language, mixing, partenum, quality, suffix_dedup, topk, toxicity, url_filter, warc
 from .common import table
 
 RULES = [
@@ -27,6 +27,12 @@ def op3_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document stands in a mixture of all sources with equal weights."""
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "mix_source", "mix_block", "mix_slot", "mix_place")
+
+
 def op5_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -146,6 +152,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_positional_index": op2_positional_index,
     "op3_bit_sliced_top_k": op3_bit_sliced_top_k,
+    "op4_pfair_mixing": op4_pfair_mixing,
     "op5_positive_unlabelled": op5_positive_unlabelled,
     "op6_cross_parsing": op6_cross_parsing,
     "op7_warc_bundles": op7_warc_bundles,

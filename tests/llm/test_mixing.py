@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tagloom.llm.mixing import mix, one_period, phases, whole_weights
+from tagloom.llm.queries import QUERIES
 
 from .common import frame
 
@@ -63,6 +64,29 @@ def test_mix(spark, bucket_rows):
         assert all(abs(got[x] - w * (i + 1)) < Fraction(11, 10) for x, w in shares.items())
 
 
+def test_query_against_brute_force(spark):
+    """Every slot goes to the waiting source that is due first, by the definition of the schedule."""
+    rows = QUERIES["op4_pfair_mixing"](spark, "/root/testdata/sf0.1").collect()
+    documents = {r.doc_id: r.source for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source").collect()}
+    assert {r.doc_id: r.mix_source for r in rows} == documents and len(rows) == len(documents)
+    blocks = defaultdict(list)
+    for r in rows:
+        blocks[r.mix_source, r.mix_block, r.mix_slot].append(r.mix_place)
+    order = [s for s, _, _ in sorted(blocks, key=lambda b: b[2])]
+    assert [b[2] for b in sorted(blocks, key=lambda b: b[2])] == list(range(len(blocks)))
+    sizes = Counter(documents.values())
+    assert Counter(order) == {s: -(-n // 64) for s, n in sizes.items()}
+    assert all(sorted(p) == list(range(len(p))) for p in blocks.values())
+    left, weights = Counter(order), {s: Fraction(1, len(sizes)) for s in sizes}
+    got: Counter = Counter()
+    for i, s in enumerate(order):
+        if min(left.values()) == 0:
+            break
+        left[s] -= 1
+        got[s] += 1
+        assert all(abs(got[x] - w * (i + 1)) < 1 for x, w in weights.items())
+
+
 def test_empty_table_and_bad_weights(spark):
     assert mix(frame(spark, [])).collect() == []
     with pytest.raises(ValueError):
