@@ -7,7 +7,7 @@ import numpy as np
 from .common import _BASE, _BYTE_CODES, _INVERSE, _powers, mix64
 
 #: Positions are told apart within a piece by this many low bits of the sort key.
-PLACE_BITS = 22
+PLACE_BITS = 20
 
 
 class Anchors:

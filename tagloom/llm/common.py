@@ -16,12 +16,24 @@ from ..session import prepare, work_folder
 HOT_SHARE = 0.001
 
 
+#: Rows that Spark hands to Python at once: texts are long, and both sides hold a batch.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) != BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return prepare(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to shared storage and read it back: cuts the lineage, and nothing is computed twice."""
+    small_batches(df.sparkSession)
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

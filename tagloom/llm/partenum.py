@@ -344,7 +344,7 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_name: str = "doc_id",
-                       text_name: str = "text", bucket_bytes: int = 1 << 24, task_shingles: int = 1 << 21) -> DataFrame:
+                       text_name: str = "text", bucket_bytes: int = 1 << 23, task_shingles: int = 1 << 21) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: documents link if num/den of their shingles are common.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. A set holds the distinct runs of ``n`` words;

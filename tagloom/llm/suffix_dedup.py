@@ -73,7 +73,7 @@ def _settle(found: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
     return spans, one, counts
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 40, bucket_bytes: int = 1 << 24,
+def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 40, bucket_bytes: int = 1 << 23,
                    flush: int = 1 << 17, run_rows: int = 1 << 15) -> DataFrame:
     """``doc_id, doc_key, starts, ends``: for every document with repeated strings its maximal removed runs (int64 bytes).
 
