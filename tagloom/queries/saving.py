@@ -51,8 +51,10 @@ def merge_outputs(spark, sf_dir):
 
 
 def resume_high_water(spark, sf_dir):
-    """Labelled documents as saved rows; what follows the last of them is left."""
-    saved = table(spark, sf_dir, "labels").select((F.col("doc_id") + 1).alias("RowID"))
+    """Labelled documents of the lower half as saved rows of a run that broke off; what follows the last of them is left."""
+    labels = table(spark, sf_dir, "labels")
+    half = labels.agg(F.max("doc_id") / 2).first()[0]
+    saved = labels.filter(F.col("doc_id") < half).select((F.col("doc_id") + 1).alias("RowID"))
     saved = batches.part_number(placed(saved, workers=1), BATCH, INTERVAL)
     return resume.resume_high_water(as_messages(table(spark, sf_dir, "documents")), saved).select("RowID")
 
@@ -89,7 +91,9 @@ ORACLES = {
                CASE WHEN worker_id = 2 THEN o_totalprice END AS o_totalprice,
                CASE WHEN worker_id = 3 THEN o_orderstatus END AS o_orderstatus
         FROM placed ORDER BY o_orderpriority, worker_id, pos_in_worker""",
-    "resume_high_water": "SELECT doc_id + 1 AS RowID FROM documents WHERE doc_id > (SELECT max(doc_id) FROM labels)",
+    "resume_high_water": """
+        SELECT doc_id + 1 AS RowID FROM documents
+        WHERE doc_id > (SELECT max(doc_id) FROM labels WHERE doc_id < (SELECT max(doc_id) / 2.0 FROM labels))""",
     "resume_missing": """
         SELECT doc_id + 1 AS RowID, source AS Title FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "latest_run": f"SELECT max({RUN_ID_SQL}) AS run_id FROM orders",
