@@ -160,6 +160,26 @@ class Sketches:
         return out
 
 
+    def close_rows(self, members: np.ndarray, first: int, last: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For the members ``first`` to ``last - 1`` of a group those behind them that may be similar (places in the group)."""
+        num, den = self.bands.num, self.bands.den
+        w = int(self.words[members].min())
+        rows, sizes = self.rows[w][self.row_of[w][members[first:]]], self.sizes[members[first:]]
+        few = last - first
+        for a in range(0, len(rows), 4096):
+            differ = np.zeros((few, len(rows[a:a + 4096])), np.int64)
+            for k in range(w):
+                differ += np.bitwise_count(rows[:few, k, None] ^ rows[None, a:a + 4096, k])
+            n, m = sizes[:few, None], sizes[None, a:a + 4096]
+            close = ((differ * (den + num) <= (n + m) * (den - num))
+                     & (np.minimum(n, m) * den >= np.maximum(n, m) * num))
+            for i in np.flatnonzero(close.any(axis=1)).tolist():
+                hit = np.flatnonzero(close[i]) + a
+                hit = hit[hit > i]
+                if len(hit):
+                    yield first + i, first + hit
+
+
 def close_links(sigs: np.ndarray, nodes: np.ndarray, sketches: Sketches) -> np.ndarray:
     """Links (rows of two node numbers) that connect all close pairs of nodes with a common signature."""
     order = np.lexsort((nodes, sigs))
@@ -175,23 +195,21 @@ def close_links(sigs: np.ndarray, nodes: np.ndarray, sketches: Sketches) -> np.n
     forest = Forest(len(sketches.sizes))
     for a, b in out[0].tolist():
         forest.join(a, b)
-    # Nodes that are connected already are not compared again, so families of near copies are soon done with.
     for start, n in sorted(zip(begin[counts > 2].tolist(), counts[counts > 2].tolist()), key=lambda x: x[1]):
         members = nodes[start:start + n]
         roots = np.array([forest.root(i) for i in members.tolist()])
-        for i in range(n - 1):
-            later = np.flatnonzero(roots[i + 1:] != roots[i]) + i + 1
-            if not len(later):
-                if (roots == roots[i]).all():
-                    break
-                continue
-            hit = later[sketches.close(np.full(len(later), members[i]), members[later])]
-            if len(hit):
-                joined, one = np.unique(roots[hit], return_index=True)
-                out.append(np.stack((np.full(len(one), members[i]), members[hit[one]]), 1))
-                for other in joined.tolist():
-                    forest.join(int(roots[i]), other)
-                roots[np.isin(roots, np.append(joined, roots[i]))] = forest.root(int(roots[i]))
+        for i in range(0, n, 64):
+            # Nodes that are connected already need not be compared, so families of near copies are soon done with.
+            if (roots == roots[0]).all():
+                break
+            for row, hit in sketches.close_rows(members, i, min(i + 64, n)):
+                hit = hit[roots[hit] != roots[row]]
+                if len(hit):
+                    joined, one = np.unique(roots[hit], return_index=True)
+                    out.append(np.stack((np.full(len(one), members[row]), members[hit[one]]), 1))
+                    for other in joined.tolist():
+                        forest.join(int(roots[row]), other)
+                    roots[np.isin(roots, np.append(joined, roots[row]))] = forest.root(int(roots[row]))
     return np.unique(np.concatenate(out), axis=0)
 
 
