@@ -20,7 +20,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without an id are no one's copy and stay; of rows that repeat the smallest id all stay that have the same text.
     """
-    found = partenum.jaccard_components(docs, n=5, num=80, den=100)
+    found = partenum.jaccard_components(docs, n=5, num=80, den=100, task_shingles=1 << 22)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
