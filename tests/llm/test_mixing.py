@@ -91,3 +91,50 @@ def test_empty_table_and_bad_weights(spark):
     assert mix(frame(spark, [])).collect() == []
     with pytest.raises(ValueError):
         mix(frame(spark, [(1, "a", None, "s")]), {"s": 0.0})
+
+
+@pytest.mark.parametrize("weights", [dict.fromkeys("abc", 1), {"a": 0.9999, "b": 0.0001}, {"a": 0.1, "b": 0.2, "c": 0.7},
+                                     {f"s{i}": 1 for i in range(1500)}])
+def test_exact_weights(weights):
+    """Less than one block off the weights as given, however long a phase is."""
+    n = max(3, 100_000 // len(weights))
+    plan = phases(dict.fromkeys(weights, n), weights)
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total, p = sum(exact.values()), plan[0]
+    for s, w in exact.items():
+        for b in range(next((x.first[s] for x in plan[1:] if s in x.first), n)):
+            slot = p.slot(s, b)
+            # Before its slot a source has b blocks, after it b + 1.
+            assert -1 < b - slot * w / total and (b + 1) - (slot + 1) * w / total < 1
+
+
+def test_phases_end_where_a_source_runs_out():
+    """A phase that is no whole period places every block once, too."""
+    rng = random.Random(2)
+    for _ in range(200):
+        blocks = {s: rng.randrange(0, 60) for s in "abcdef"[:rng.randrange(1, 7)]}
+        plan = phases(blocks, {s: rng.choice([1, 2, 0.1, 0.3, 1e-4]) for s in blocks})
+        slots = [[p for p in plan if s in p.weights and p.first[s] <= b][-1].slot(s, b) for s, n in blocks.items() for b in range(n)]
+        assert sorted(slots) == list(range(sum(blocks.values())))
+
+
+@pytest.mark.parametrize("weights", [None, {"s0": 0.5, "s1": 0.3, "s2": 0.2}])
+def test_mix_stays_with_unrounded_weights(spark, weights):
+    """Blocks of one row: the schedule is longer than a thousand slots, and than a run of slots."""
+    rows = mix(frame(spark, [(i, f"t{i}", None, f"s{i % 3}") for i in range(3 * 1500)]), weights, block_rows=1).collect()
+    order = [r.mix_source for r in sorted(rows, key=lambda r: r.mix_slot)]
+    assert [r.mix_slot for r in sorted(rows, key=lambda r: r.mix_slot)] == list(range(4500))
+    shares = {s: Fraction(weights[s]) if weights else Fraction(1) for s in ("s0", "s1", "s2")}
+    total, got = sum(shares.values()), Counter()
+    for i, s in enumerate(order):
+        if max(got.values(), default=0) == 1500:
+            break
+        got[s] += 1
+        assert all(abs(got[x] - w * (i + 1) / total) < 1 for x, w in shares.items())
+    assert i >= 2999
+
+
+def test_more_sources_than_a_thousand(spark):
+    rows = mix(frame(spark, [(i, f"t{i}", None, f"s{i % 1100}") for i in range(2200)]), block_rows=1).collect()
+    order = [r.mix_source for r in sorted(rows, key=lambda r: r.mix_slot)]
+    assert len(set(order[:1100])) == len(set(order[1100:])) == 1100
