@@ -6,7 +6,7 @@ repeated string may begin before the anchor.
 
 1. Every task hashes its anchors' grams and surroundings. Anchors meet by gram hash (64 bits); those that are alone
    cannot lie in a repeated string, and those with equal surroundings are repeated as a whole. Copies within a task are
-   settled there, so a passage of very many documents arrives once per task.
+   settled there, so a passage of very many documents arrives once per task, and the spans of a document as few rows.
 2. The rest, whose surroundings agree in part, is sorted: tasks send front-coded sorted runs, loser trees merge them
    without comparing known prefixes again, and the common prefixes that come out tell which strings are repeated.
 3. The spans found are brought together per document and cut out.
@@ -53,7 +53,23 @@ def _rows(table: pa.Table, kind: int, width: int) -> np.ndarray:
 
 
 def _part(rows: np.ndarray, count: int) -> np.ndarray:
-    return (mix64(rows[:, 2]) % np.uint64(count)).astype(np.int64)
+    """By id and text, so copies of a text are dealt to all parts."""
+    return (mix64(rows[:, 2] ^ mix64(rows[:, 0])) % np.uint64(count)).astype(np.int64)
+
+
+def _merged(spans: np.ndarray) -> np.ndarray:
+    """The spans of every document as disjoint ones; rows equal in id and text have the same spans, and so count once."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans[:, DOC], spans[:, 0], spans[:, 1], spans[:, 2]))]
+    cuts = np.append(np.flatnonzero(np.concatenate(([True], (spans[1:, :DOC] != spans[:-1, :DOC]).any(axis=1)))), len(spans))
+    # Documents one behind the other on a common axis: one union does for all of them.
+    starts, ends = spans[:, DOC].astype(np.int64), spans[:, DOC + 1].astype(np.int64)
+    longest = np.maximum.reduceat(ends, cuts[:-1])
+    shift = np.repeat(np.concatenate(([0], np.cumsum(longest + 1)[:-1])), np.diff(cuts))
+    begin, end = union(starts + shift, ends + shift)
+    first = np.searchsorted(starts + shift, begin)
+    return np.column_stack((spans[first, :DOC], (begin - shift[first]).astype(np.uint64), (end - shift[first]).astype(np.uint64)))
 
 
 def _settle(found: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,6 +106,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 40, bucket_by
 
         def emit() -> Iterator[pa.RecordBatch]:
             spans, one, _ = _settle(np.concatenate(held), length)
+            spans = _merged(spans)
             part = _part(spans, count)
             yield from _chunks(SPANS, spans, part, part, count)
             yield from _chunks(ANCHORS, one, (one[:, DOC] % np.uint64(count)).astype(np.int64), np.zeros(len(one), np.int64), count)
@@ -128,7 +145,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 40, bucket_by
         unsure = np.bincount(group, weights=(one[:, DOC + 5] == 0), minlength=0) > 0
         wanted = one[(sizes[group] > 1) & unsure[group]] if len(one) else one
         out = []
-        for kind, rows in ((SPANS, np.concatenate(spans)), (WANTED, np.delete(wanted, DOC + 1, axis=1))):
+        for kind, rows in ((SPANS, _merged(np.concatenate(spans))), (WANTED, np.delete(wanted, DOC + 1, axis=1))):
             part = _part(rows, count)
             out += _chunks(kind, rows, part, part, count)
         return pa.Table.from_batches(out) if out else table.slice(0, 0)
@@ -188,6 +205,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 40, bucket_by
             place = own[hit, DOC + 1].astype(np.int64)
             spans = np.column_stack((own[hit, :DOC], (place - high[hit]).astype(np.uint64),
                                      (place - low[hit] + length).astype(np.uint64)))
+            spans = _merged(spans)
             part = _part(spans, count)
             out.extend(_chunks(SPANS, spans, part, part, count))
 

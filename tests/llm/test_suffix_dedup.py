@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tagloom.llm.merge import LoserTree, decode, front_code
-from tagloom.llm.suffix_dedup import kept_hash, remove_repeats
+from tagloom.llm.suffix_dedup import _merged, _part, kept_hash, remove_repeats, union
 
 from .common import frame, prose, rows
 
@@ -88,3 +88,27 @@ def test_loser_tree_merges_and_knows_prefixes(runs):
 def test_gram_must_fit(spark):
     with pytest.raises(ValueError):
         remove_repeats(frame(spark, []), length=10, gram=11)
+
+
+def test_copies_of_a_text_are_dealt_to_all_parts():
+    spans = np.zeros((10_000, 5), np.uint64)
+    spans[:, 0], spans[:, 1], spans[:, 2] = np.arange(10_000), 1, 77
+    assert np.bincount(_part(spans, 16), minlength=16).max() < 1000
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 1), st.integers(0, 1), st.integers(0, 60), st.integers(1, 20)), max_size=40))
+def test_merged_spans(found):
+    """Every document has the union of its spans, however often they come, and no span more."""
+    got = _merged(np.array([(a, b, c, s, s + n) for a, b, c, s, n in found], np.uint64).reshape(-1, 5))
+    want = []
+    for doc in {f[:3] for f in found}:
+        mine = sorted((s, s + n) for *d, s, n in found if tuple(d) == doc)
+        starts, ends = union(np.array([s for s, _ in mine]), np.array([e for _, e in mine]))
+        want += [(*doc, *x) for x in zip(starts.tolist(), ends.tolist())]
+    assert sorted(map(tuple, got.tolist())) == sorted(want)
+
+
+def test_many_copies_with_and_without_ids(spark):
+    docs = [(i, prose(7, 60)) for i in range(120)] + [(None, prose(7, 60))] * 60 + [(500 + i, prose(100 + i, 40)) for i in range(20)]
+    assert found(spark, docs, length=40, gram=12, bucket_bytes=2000) == expected(docs, 40)
