@@ -7,7 +7,7 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,14 +130,25 @@ def _description(caller: Caller) -> str:
     return described() if described else type(caller).__qualname__
 
 
-def _claim(messages: DataFrame, folder: str, facts: dict[str, object]) -> None:
+def _row_hash(messages: DataFrame, columns: Sequence[str]) -> Column:
+    """Hash of a row; which columns are null is part of it, as Spark's hash passes over nulls."""
+    named = [F.col(f"`{c}`") for c in columns]
+    # Maps have no hash, and within nested values nulls would be passed over.
+    nested = (T.MapType, T.ArrayType, T.StructType, T.VariantType)
+    plain = [F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if isinstance(messages.schema[name].dataType, nested) else c
+             for name, c in zip(columns, named)]
+    return F.xxhash64(*plain, *[c.isNull() for c in named])
+
+
+def _claim(messages: DataFrame, folder: str, facts: dict[str, object], columns: Sequence[str]) -> None:
     """Write down what the waves in a folder belong to; a folder of another run is refused.
 
-    The input is told by its number of rows, its extent, and a hash over all ids.
+    The input is told by its number of rows, its extent, and order-free hashes over all ids and over the rows' ``columns``.
     """
     spark, path = messages.sparkSession, f"{folder}/run"
-    ids = messages.agg(F.count("*"), F.sum(F.xxhash64("RowID").cast("decimal(38,0)"))).first()
-    text = json.dumps({**facts, "rows": ids[0], "ids": str(ids[1])}, sort_keys=True)
+    hashes = F.xxhash64("RowID"), _row_hash(messages, columns)
+    ids = messages.agg(F.count("*"), *[F.sum(h.cast("decimal(38,0)")) for h in hashes]).first()
+    text = json.dumps({**facts, "rows": ids[0], "ids": str(ids[1]), "texts": str(ids[2])}, sort_keys=True)
     if not path_exists(spark, f"{path}/_SUCCESS"):
         if path_exists(spark, f"{folder}/waves"):
             raise ValueError(f"{folder} holds waves of an unknown run")
@@ -177,7 +188,8 @@ def label_run(messages: DataFrame, spec: PromptSpec, caller: Caller, plan: RunPl
     packed = list(dict.fromkeys([*kept, *extra]))
     _claim(messages, folder, {
         "spec": repr(spec), "plan": repr(replace(plan, delay_sec=0.0)), "caller": _description(caller), "wording": repr(wording),
-        "columns": repr(packed), "low": str(stats.low), "high": str(stats.high)})
+        "columns": repr(packed), "low": str(stats.low), "high": str(stats.high)},
+        [c for c in dict.fromkeys(["RowID", "Message", "Title", "Sentiment", *packed]) if c in messages.columns])
     readers = {kind: AnswerReader(spec, kind, rules) for kind in ("batch", "row")}
 
     for step, rows in enumerate(_placed_steps(messages, plan, stats, folder)):

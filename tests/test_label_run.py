@@ -177,3 +177,19 @@ def test_retries_read_saved_prompts_only(spark, tmp_path):
     assert first.filter("NOT ok").filter("prompt IS NULL").count() == 0
     plan = _again(first.filter("NOT ok"), "batch", 2)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("FileScan") == 1
+
+
+def test_folder_of_other_texts_under_the_same_ids_is_refused(spark, tmp_path, tmp_path_factory):
+    caller = ClientCaller(Client(str(tmp_path_factory.mktemp("calls"))), tasks=1)
+    plan, folder, first = RunPlan(n_workers=2, batch_size=3), str(tmp_path / "waves"), require_columns(_messages(spark, 20))
+    first = first.withColumns({"Note": F.lit("a"), "More": F.array(F.lit(1), F.lit(None))})
+
+    def run(messages):
+        return label_table(messages, SPEC, caller, plan, folder=folder, keep=("RowID", "Sentiment", "Note", "More")).count()
+
+    assert run(first) == 20 == run(first.orderBy(F.desc("RowID")))
+    seventh = F.col("RowID") == 7
+    for name, value in (("Message", F.lit("corrected")), ("Title", F.lit("new")), ("Sentiment", F.lit("new")),
+                        ("Note", F.lit(None).cast("string")), ("More", F.array(F.lit(None), F.lit(1)))):
+        with pytest.raises(ValueError, match="belongs to a run with other texts"):
+            run(first.withColumn(name, F.when(seventh, value).otherwise(F.col(name))))
