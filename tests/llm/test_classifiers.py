@@ -128,3 +128,26 @@ def test_phrases_against_brute_force():
         table[i, :len(b)] = b
     found = model.automata[0].phrases(table, np.array([len(b) for b in blocks]))
     assert found.tolist() == [phrases(t, clean) for t in sorted(texts, key=len, reverse=True)]
+
+
+def _many_languages(n):
+    """Each language has twelve words of its own; all languages are equally frequent."""
+    words = {}
+    for k in range(n):
+        rng = random.Random(k)
+        words[f"l{k:03}"] = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(12)]
+    return [(8 * k + i, " ".join(random.Random(i).choices(w, k=30)), name, "s")
+            for k, (name, w) in enumerate(words.items()) for i in range(8)]
+
+
+def test_more_languages_than_two_hundred(spark):
+    docs = _many_languages(210)
+    rows = language.identify(frame(spark, docs), block=70).collect()
+    assert {r.doc_id: r.lang_pred for r in rows} == {d[0]: d[2] for d in docs} and len(rows) == len(docs)
+
+
+def test_blocks_of_languages_judge_alike(spark):
+    docs = _many_languages(7) + [(1, None, "l000", "s"), (1, "..", "l000", "s"), (None, "abc", None, "s"), (None, "abc", None, "s"), (3, "xyz", None, "s"), (3, "xyz", None, "s")]
+    def found(**options):
+        return sorted((repr(r.doc_id), r.held_out, r.lang_pred, round(r.score, 9)) for r in language.identify(frame(spark, docs), **options).collect())
+    assert found(block=3) == found() and len(found()) == len(docs)
