@@ -8,7 +8,8 @@
 * anything else that can be ordered: the same, with block bounds taken from a sample of the keys.
 
 Blocks are a pure function of the key, so a lost executor recomputes exactly the same result and nothing is cached. The
-offset table has at most ``MAX_BLOCKS`` rows and is the only thing that is broadcast or summed over all blocks.
+offset table has one row per block and is the only thing that is broadcast or summed over all blocks. Rows with
+equal keys stand in the order of a hash of their other columns, so theirs is the same in every run, too.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from ..functions.numbers import whole_div
 
 BLOCK_ROWS = 1 << 18
 MAX_BLOCKS = 1 << 17
-MAX_BOUNDS = 4096
 SAMPLES_PER_BOUND = 20
 # Whole-number keys with more gaps than this take the sampled bounds.
 MAX_SPREAD = 8
@@ -68,11 +68,13 @@ def key_stats(df: DataFrame, key: str, verify: bool = True) -> KeyStats:
 
 
 def _sample_bounds(df: DataFrame, key: str, rows: int) -> list[str]:
-    """At most ``MAX_BOUNDS - 1`` key values (as text) that cut the data into blocks of about equal size."""
-    n_bounds = min(MAX_BOUNDS, math.ceil(rows / BLOCK_ROWS)) - 1
+    """Key values (as text) that cut the data into blocks of about ``BLOCK_ROWS`` rows."""
+    n_bounds = math.ceil(rows / BLOCK_ROWS) - 1
+    if not n_bounds:
+        return []
     fraction = min(1.0, (n_bounds + 1) * SAMPLES_PER_BOUND / rows)
     sampled = df.select(F.col(key).alias("k")).sample(fraction=fraction, seed=17)
-    # The sample is bounded by its fraction, whatever the table size.
+    # The sample is bounded by its fraction: so many keys for each block.
     keys = sampled.agg(F.transform(F.array_sort(F.collect_set("k")), lambda k: k.cast("string"))).first()[0]
     step = max(1, len(keys) // (n_bounds + 1))
     return keys[step::step][:n_bounds]
@@ -89,6 +91,15 @@ def _block_from_bounds(key: Column, bounds: list[str], key_type: str) -> Column:
     return F.when(group == 0, F.lit(0)).otherwise((group - 1) * width + inside).cast("long")
 
 
+def _tie(df: DataFrame) -> Column:
+    """Hash of a row; which columns are null is part of it, as Spark's hash passes over nulls."""
+    # Maps have no hash, and within nested values nulls would be passed over.
+    nested = (T.MapType, T.ArrayType, T.StructType, T.VariantType)
+    named = [(F.col(f"`{f.name}`"), isinstance(f.dataType, nested)) for f in df.schema.fields]
+    plain = [F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if deep else c for c, deep in named]
+    return F.xxhash64(*plain, *[c.isNull() for c, _ in named])
+
+
 def block_column(df: DataFrame, key: str, stats: KeyStats) -> tuple[Column, int]:
     """Block of a row, a pure function of its key with blocks in key order, and the most rows a block can hold."""
     if stats.integral:
@@ -98,30 +109,30 @@ def block_column(df: DataFrame, key: str, stats: KeyStats) -> tuple[Column, int]
             return whole_div(F.col(key).cast("long") - F.lit(stats.low).cast("long"), width), width
     bounds = _sample_bounds(df, key, stats.rows)
     if not bounds:
-        raise ValueError(f"order key {key} is not unique")
+        return F.lit(0).cast("long"), stats.rows
     return _block_from_bounds(F.col(key), bounds, df.schema[key].dataType.simpleString()), stats.rows
 
 
 def with_position(df: DataFrame, key: str, out: str = "position", stats: KeyStats | None = None) -> DataFrame:
-    """Add the 1-based position in the order of the unique column ``key``."""
+    """Add the 1-based position in the order of the unique column ``key``; equal keys in the order of the row's hash.
+
+    A block of whole-number keys with more rows than key values is an error.
+    """
     stats = stats or key_stats(df, key)
     if stats.rows == 0:
         return df.withColumn(out, F.lit(None).cast("long"))
     if stats.dense:
         return df.withColumn(out, F.col(key).cast("long") - F.lit(stats.low).cast("long") + 1)
-    if stats.rows <= BLOCK_ROWS:
-        # Counted above: few enough rows for one task.
-        return df.withColumn(out, F.row_number().over(Window.orderBy(key)).cast("long"))
     block, most = block_column(df, key, stats)
     counts = df.select(block.alias("_block")).groupBy("_block").agg(F.count("*").alias("_n"))
-    # A block with more rows than key values has repeated keys, which have no definite order.
+    # So many repeated keys are no order key.
     n = F.when(F.col("_n") > most, F.raise_error(F.lit(f"order key {key} is not unique")).cast("long")).otherwise(F.col("_n"))
-    # One row per block, at most MAX_BLOCKS: the sum over all blocks and the broadcast stay small.
+    # One row per block: the sum over all blocks and the broadcast stay small.
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_block", n.alias("_n")).select(
         "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_block").orderBy(key)
-    numbered = df.withColumn("_block", block).withColumn("_rank", F.row_number().over(inside))
+    inside = Window.partitionBy("_block").orderBy(key, "_tie")
+    numbered = df.withColumns({"_block": block, "_tie": _tie(df)}).withColumn("_rank", F.row_number().over(inside))
     placed = numbered.join(F.broadcast(offsets), "_block")
     return placed.select(*df.columns, (F.col("_offset") + F.col("_rank")).cast("long").alias(out))
 

@@ -191,3 +191,22 @@ def test_prompts_keep_order_and_fields(spark):
     assert {r["kind"] for r in singles.collect()} == {"row"}
     one = batches.batch_units(df.filter("RowID = 1"), 5).first()
     assert one["kind"] == "batch" and "exactly 1 objects" in one["prompt"]
+
+
+@pytest.mark.parametrize("block_rows", [1 << 18, 100])
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_equal_keys_have_one_order_at_any_size(spark, monkeypatch, kind, block_rows):
+    """However the rows are dealt out, each gets the same position."""
+    monkeypatch.setattr(position, "BLOCK_ROWS", block_rows)
+    rows = spark.range(300).select(
+        F.floor(F.col("id") / 3 * 5).cast(kind).alias("k"), F.col("id").alias("v"), F.array("id").alias("a"))
+    rows = rows.withColumn("k", F.when(F.col("v") % 50 < 5, F.lit(100).cast(kind)).otherwise(F.col("k")))
+    orders = [{r.v: r.position for r in position.with_position(df, "k").collect()}
+              for df in (rows.coalesce(1).orderBy("v"), rows.coalesce(1).orderBy(F.desc("v")), rows.repartition(7, F.hash("v")))]
+    assert orders[0] == orders[1] == orders[2] and sorted(orders[0].values()) == list(range(1, 301))
+
+
+def test_as_many_sampled_blocks_as_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(position, "BLOCK_ROWS", 1)
+    keys = spark.range(4600).select(F.concat(F.lit("k"), F.col("id")).alias("k"))
+    assert len(position._sample_bounds(keys, "k", 4600)) > 4500
