@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, partenum, quality, suffix_dedup, topk, toxicity, url_filter, warc
+from . import compression_bands, decontaminate, language, mixing, partenum, quality, suffix_dedup, topk, toxicity, url_filter, warc
 from .common import table
 
 RULES = [
@@ -57,6 +57,12 @@ def op10_partenum_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op11_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts, repetition and the verdict on every document; a null text has no words and is not kept."""
+    found = compression_bands.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc.doc_id", *compression_bands.COUNTS, "base_failed", "kept", "ratio", "n_chunks", "n_bad_chunks", "reason")
+
+
 OP2_SQL = r"""
 WITH doc_words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -159,6 +165,7 @@ QUERIES = {
     "op8_url_globs": op8_url_globs,
     "op9_subword_softmax": op9_subword_softmax,
     "op10_partenum_components": op10_partenum_components,
+    "op11_compression_bands": op11_compression_bands,
 }
 ORACLES = {"op2_positional_index": OP2_SQL, "op3_bit_sliced_top_k": OP3_SQL, "op7_warc_bundles": OP7_SQL, "op8_url_globs": OP8_SQL,
            "op10_partenum_components": OP10_SQL}
