@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression_bands, decontaminate, language, mixing, partenum, quality, suffix_dedup, topk, toxicity, url_filter, warc
+from . import compression_bands, decontaminate, equal_average, language, mixing, partenum, quality, suffix_dedup, topk, toxicity, url_filter, warc
 from .common import table
 
 RULES = [
@@ -63,6 +63,11 @@ def op11_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", *compression_bands.COUNTS, "base_failed", "kept", "ratio", "n_chunks", "n_bad_chunks", "reason")
 
 
+def op12_equal_average_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every usable vector, and the digest of the codebooks."""
+    return equal_average.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 OP2_SQL = r"""
 WITH doc_words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -154,6 +159,39 @@ roots AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM roots LEFT JOIN sizes USING (doc_id)
 """
 
+_NEAREST = """
+  SELECT vec_id, label, p, x, m % 64 AS e, m // 64 AS dist FROM (
+    SELECT vec_id, label, a.p, x, min(64 * CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))
+                                            AS BIGINT) + e) AS m
+    FROM parts a JOIN {books} b ON a.p = b.p GROUP BY ALL)"""
+_MEANS = """
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM {books} b LEFT JOIN (
+    SELECT p, e, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (
+      SELECT p, e, i, sum(x[i]) AS s, count(*) AS n FROM {coded}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY p, e, i)
+    GROUP BY p, e) m ON m.p = b.p AND m.e = b.e"""
+OP12_SQL = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, label, p, list_slice(v, p * d + 1, (p + 1) * d) AS x
+  FROM (SELECT *, len(v) // 16 AS d FROM kept), range(0, 16) AS t(p)),
+books0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+coded0 AS MATERIALIZED ({_NEAREST.format(books="books0")}),
+books1 AS MATERIALIZED ({_MEANS.format(books="books0", coded="coded0")}),
+coded1 AS MATERIALIZED ({_NEAREST.format(books="books1")}),
+books2 AS MATERIALIZED ({_MEANS.format(books="books1", coded="coded1")}),
+coded2 AS MATERIALIZED ({_NEAREST.format(books="books2")}),
+codes AS (
+  SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error
+  FROM coded2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM books2) AS codebooks_sha256
+FROM codes
+"""
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_positional_index": op2_positional_index,
@@ -166,6 +204,7 @@ QUERIES = {
     "op9_subword_softmax": op9_subword_softmax,
     "op10_partenum_components": op10_partenum_components,
     "op11_compression_bands": op11_compression_bands,
+    "op12_equal_average_codes": op12_equal_average_codes,
 }
 ORACLES = {"op2_positional_index": OP2_SQL, "op3_bit_sliced_top_k": OP3_SQL, "op7_warc_bundles": OP7_SQL, "op8_url_globs": OP8_SQL,
-           "op10_partenum_components": OP10_SQL}
+           "op10_partenum_components": OP10_SQL, "op12_equal_average_codes": OP12_SQL}
