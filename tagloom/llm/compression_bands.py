@@ -19,8 +19,6 @@ from pyspark.sql import types as T
 
 from .common import buffers, mix64, pieces, span_hashes, text_bytes, translated, word_spans, words_table
 
-#: Texts of so many bytes are looked at together.
-PIECE_BYTES = 1 << 20
 SYMBOLS = b"#*$%&|<>"
 _WORDS = words_table("visible", lower=False)
 _IS_SYMBOL = np.isin(np.arange(256, dtype=np.uint8), np.frombuffer(SYMBOLS, np.uint8))
@@ -136,12 +134,12 @@ def compression(text: memoryview, rules: Rules, press: zstandard.ZstdCompressor)
     return ratio, len(chunks), len(bad), why
 
 
-def judge(docs: DataFrame, rules: Rules = Rules(), text_name: str = "text") -> DataFrame:
+def judge(docs: DataFrame, rules: Rules = Rules(), text_name: str = "text", piece_bytes: int = 1 << 20) -> DataFrame:
     """Every row of ``docs`` as ``doc`` (a struct, so names cannot clash) with the counts, ratio, reason and verdict.
 
     A null text is an empty one: no words, no ratio, not kept. ``reason`` is the first rule that a text breaks: ``short``,
     ``repeated`` (these two are ``base_failed``), ``repetitive``, ``incompressible`` or ``chunks``; null if it is kept. Texts
-    are compressed whole, however long. Rows are judged one by one, so repeated ones get equal results; an empty table
+    are compressed whole, however long; ``piece_bytes`` of texts are counted together. Rows are judged one by one, so repeated ones get equal results; an empty table
     gives an empty table.
     """
     if rules.bands[-1].upto != float("inf") or [b.upto for b in rules.bands] != sorted(b.upto for b in rules.bands):
@@ -153,7 +151,7 @@ def judge(docs: DataFrame, rules: Rules = Rules(), text_name: str = "text") -> D
         for batch in batches:
             offsets, data = buffers(batch.column("text"))
             counts = [text_counts(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], rules.window)
-                      for a, b in pieces(offsets, PIECE_BYTES)]
+                      for a, b in pieces(offsets, piece_bytes)]
             found = {c: np.concatenate([x[c] for x in counts]) if counts else np.zeros(0, np.int64) for c in COUNTS}
             short = found["n_words"] < rules.min_words
             failed = short | (100 * found["n_repeat_words"] > rules.max_repeats * found["n_words"])

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression_bands, decontaminate, equal_average, language, mixing, partenum, quality, suffix_dedup, topk, toxicity, url_filter, warc
+from . import (
+    compression_bands, conversation_trie, decontaminate, equal_average, language, mixing, partenum, quality, suffix_dedup, topk,
+    toxicity, url_filter, warc)
 from .common import table
 
 RULES = [
@@ -68,6 +70,12 @@ def op12_equal_average_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return equal_average.compress(table(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    turns = conversation_trie.numbered(table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(*conversation_trie.rebuilt(turns))
+
+
 OP2_SQL = r"""
 WITH doc_words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -192,6 +200,45 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 FROM codes
 """
 
+OP13_SQL = """
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS idx
+  FROM conversations WHERE conv_id IS NOT NULL),
+counts AS (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS family, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, bit: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 9 AS h FROM counts),
+taken AS (SELECT c.conv_id, family, h, least(h, coalesce(n, 0)) AS m FROM convs c LEFT JOIN counts f ON f.conv_id = c.family),
+turns AS (
+  SELECT t.conv_id, o.idx AS pos, role, text FROM taken t JOIN own o ON o.conv_id = t.family AND o.idx <= t.h
+  UNION ALL SELECT t.conv_id, m + o.idx - h, role, text FROM taken t JOIN own o ON o.conv_id = t.conv_id AND o.idx > t.h),
+seqs AS (
+  SELECT c.conv_id, coalesce(s, []) AS s FROM convs c
+  LEFT JOIN (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY pos) AS s FROM turns GROUP BY conv_id) t USING (conv_id)),
+places AS (
+  SELECT conv_id, d, len(s) AS n_turns, list_slice(s, 1, d) AS path, coalesce(strlen(s[d].text), 0) AS size
+  FROM seqs, LATERAL (SELECT unnest(range(0, len(s) + 1)) AS d)),
+members AS (
+  SELECT conv_id, d, n_turns, size, min(conv_id) OVER (PARTITION BY d, path) AS node, count(*) OVER (PARTITION BY d, path) AS n FROM places),
+nodes AS (
+  SELECT node, d, any_value(n) AS n, any_value(size) AS size, max(n_turns) = d AS childless,
+         string_agg(CASE WHEN n_turns = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends
+  FROM members GROUP BY node, d),
+parents AS (
+  SELECT u.node, u.d, p.node AS parent FROM nodes u JOIN members p ON p.conv_id = u.node AND p.d = u.d - 1),
+kids AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM parents GROUP BY 1, 2),
+below AS (
+  SELECT a.node, a.d, sum((u.n - 1) * u.size) AS saved, count(*) FILTER (WHERE childless) AS leaves
+  FROM nodes u JOIN members a ON a.conv_id = u.node AND a.d <= u.d GROUP BY a.node, a.d)
+SELECT node AS conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM nodes LEFT JOIN parents USING (node, d) LEFT JOIN kids USING (node, d) JOIN below USING (node, d)
+"""
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_positional_index": op2_positional_index,
@@ -205,6 +252,7 @@ QUERIES = {
     "op10_partenum_components": op10_partenum_components,
     "op11_compression_bands": op11_compression_bands,
     "op12_equal_average_codes": op12_equal_average_codes,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 ORACLES = {"op2_positional_index": OP2_SQL, "op3_bit_sliced_top_k": OP3_SQL, "op7_warc_bundles": OP7_SQL, "op8_url_globs": OP8_SQL,
-           "op10_partenum_components": OP10_SQL, "op12_equal_average_codes": OP12_SQL}
+           "op10_partenum_components": OP10_SQL, "op12_equal_average_codes": OP12_SQL, "op13_conversation_trie": OP13_SQL}

@@ -71,11 +71,10 @@ def test_counts_of_random_texts(spark, seed):
     assert got == {i: plain(t) for i, t in enumerate(texts)}
 
 
-def test_pieces_do_not_matter(spark, monkeypatch):
+def test_pieces_do_not_matter(spark):
     docs = frame(spark, list(enumerate(TEXTS)))
     before = rows(cb.judge(docs).drop("doc"))
-    monkeypatch.setattr(cb, "PIECE_BYTES", 10)
-    assert rows(cb.judge(docs).drop("doc")) == before
+    assert rows(cb.judge(docs, piece_bytes=10).drop("doc")) == before
 
 
 def test_chunks_reject_what_the_whole_text_hides(spark):
