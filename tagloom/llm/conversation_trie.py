@@ -103,7 +103,7 @@ class Sizes:
     """Turns of a piece and of a shard, and bytes of joined ids that travel as one row. Results do not depend on them."""
 
     piece: int = 4096
-    shard: int = 200_000
+    shard: int = 20_000
     chunk: int = 1 << 16
 
 
@@ -346,7 +346,6 @@ def prefix_trie(rows: DataFrame, convs: DataFrame, sizes: Sizes = Sizes()) -> Da
     Per node: ``conv_id`` (smallest member), ``depth``, ``parent_conv_id``, ``n_convs``, ``n_children``, ``n_leaves``,
     ``saved_tokens`` and ``ends_sha256``. Without conversations there is no node, not even a root.
     """
-    spark = convs.sparkSession
     root = convs.agg(F.count("*").alias("n"), F.min("conv_id").alias("low")).first()
     pieces = saved(_pieces(rows, convs, sizes), "named")
     nodes = saved(_shards(pieces, sizes).groupBy("shard").applyInArrow(lambda shard: _pack(sizes.piece, shard), NODES), "nodes")
@@ -361,13 +360,14 @@ def prefix_trie(rows: DataFrame, convs: DataFrame, sizes: Sizes = Sizes()) -> Da
         found = _joined(found, tops).select(*columns)
     first = found.filter("top AND k = 0").withColumn("parent_conv_id", F.lit(root["low"]).cast("long"))
     later = found.filter("NOT (top AND k = 0)")
-    start = spark.range(1 if root["n"] else 0).select(
+    # One row, also without any tops.
+    start = tops.filter("k = 0").agg(*[F.sum(c).alias(c) for c in ("kids", "leaves", "saved")]).filter(F.lit(root["n"] > 0)).select(
         F.lit(0).cast("long").alias("k"), F.lit("").alias("q"), F.lit(False).alias("top"), F.lit(0).cast("long").alias("depth"),
         F.lit(root["n"]).cast("long").alias("n"), F.lit(root["low"]).cast("long").alias("conv_id"),
-        F.lit(None).cast("long").alias("parent_conv_id"), F.lit(EMPTY_PIECE).alias("digest"), F.lit(None).cast("string").alias("next_q"))
-    start = start.join(tops.select("k", "q", F.col("kids").alias("children"), "leaves", "saved"), ["k", "q"], "left").fillna(
-        {"children": 0, "leaves": 1, "saved": 0})
-    whole = later.unionByName(first).unionByName(start.select(*columns))
+        F.lit(None).cast("long").alias("parent_conv_id"), F.coalesce("kids", F.lit(0)).alias("children"),
+        F.coalesce("leaves", F.lit(1)).alias("leaves"), F.coalesce("saved", F.lit(0)).alias("saved"), F.lit(EMPTY_PIECE).alias("digest"),
+        F.lit(None).cast("string").alias("next_q"))
+    whole = later.unionByName(first).unionByName(start)
     ended = whole.filter("digest IS NOT NULL").withColumn("end", F.concat_ws("|", *PIECE)).join(_end_hashes(pieces, sizes), "end", "left")
     rest = whole.filter("digest IS NULL").withColumn("sha", F.lit(None).cast("string"))
     return ended.drop("end").unionByName(rest).select(
