@@ -1,21 +1,19 @@
 """Row positions without a global sort in one task.
 
-``with_position`` gives the 1-based position of every row in the order of a unique key. Three ways, best first:
+``with_position`` gives the 1-based position of every row in the order of a key. There are two ways:
 
 * keys that are whole numbers without gaps: position is ``key - low + 1``, no shuffle at all;
-* whole numbers with some gaps: rows fall into fixed blocks of key values; a count per block gives the offset of each
-  block, and rows are numbered inside their block;
-* anything else that can be ordered: the same, with block bounds taken from a sample of the keys.
+* every other key, of whatever type, size and spread: rows are sorted in ranges of (key, hash of the row), saved, and each
+  brings its place in its range; the sizes of the ranges before it give the rest.
 
-Blocks are a pure function of the key, so a lost executor recomputes exactly the same result and nothing is cached. The
-offset table has one row per block and is the only thing that is broadcast or summed over all blocks. Rows with
-equal keys stand in the order of a hash of their other columns, so theirs is the same in every run, too.
+Ranges are bounded by key and row hash together, so a key of very many rows is spread over many ranges. Rows with equal keys
+stand in the order of that hash, at every size and in every run; only rows that are equal in all columns cannot be told
+apart. Saving cuts the lineage: a lost executor does not move a row. The table of ranges has a row per shuffle
+partition and is the only thing that is summed up in one task and broadcast.
 """
 
 from __future__ import annotations
 
-import json
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -24,12 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import whole_div
+from ..session import work_folder
 
-BLOCK_ROWS = 1 << 18
-MAX_BLOCKS = 1 << 17
-SAMPLES_PER_BOUND = 20
-# Whole-number keys with more gaps than this take the sampled bounds.
-MAX_SPREAD = 8
+# Spark's increasing ids have the number of the partition above this many bits and the place in it below.
+PLACE_BITS = 33
 
 
 @dataclass(frozen=True)
@@ -67,28 +63,15 @@ def key_stats(df: DataFrame, key: str, verify: bool = True) -> KeyStats:
     return KeyStats(row["rows"], row["low"], row["high"], dense)
 
 
-def _sample_bounds(df: DataFrame, key: str, rows: int) -> list[str]:
-    """Key values (as text) that cut the data into blocks of about ``BLOCK_ROWS`` rows."""
-    n_bounds = math.ceil(rows / BLOCK_ROWS) - 1
-    if not n_bounds:
-        return []
-    fraction = min(1.0, (n_bounds + 1) * SAMPLES_PER_BOUND / rows)
-    sampled = df.select(F.col(key).alias("k")).sample(fraction=fraction, seed=17)
-    # The sample is bounded by its fraction: so many keys for each block.
-    keys = sampled.agg(F.transform(F.array_sort(F.collect_set("k")), lambda k: k.cast("string"))).first()[0]
-    step = max(1, len(keys) // (n_bounds + 1))
-    return keys[step::step][:n_bounds]
-
-
-def _block_from_bounds(key: Column, bounds: list[str], key_type: str) -> Column:
-    """Number of bounds not above the key, found in two steps of about sqrt(n) comparisons each."""
-    width = max(1, math.isqrt(len(bounds)))
-    groups = [bounds[i:i + width] for i in range(0, len(bounds), width)]
-    heads = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<string>").cast(f"array<{key_type}>")
-    tails = F.from_json(F.lit(json.dumps(groups)), "array<array<string>>").cast(f"array<array<{key_type}>>")
-    group = F.size(F.filter(heads, lambda b: b <= key))
-    inside = F.size(F.filter(F.get(tails, group - 1), lambda b: b <= key))
-    return F.when(group == 0, F.lit(0)).otherwise((group - 1) * width + inside).cast("long")
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def _tie(df: DataFrame) -> Column:
@@ -100,52 +83,58 @@ def _tie(df: DataFrame) -> Column:
     return F.xxhash64(*plain, *[c.isNull() for c, _ in named])
 
 
-def block_column(df: DataFrame, key: str, stats: KeyStats) -> tuple[Column, int]:
-    """Block of a row, a pure function of its key with blocks in key order, and the most rows a block can hold."""
-    if stats.integral:
-        span = stats.high - stats.low + 1
-        width = max(BLOCK_ROWS, math.ceil(span / MAX_BLOCKS))
-        if span <= MAX_SPREAD * stats.rows and span < 1 << 62:
-            return whole_div(F.col(key).cast("long") - F.lit(stats.low).cast("long"), width), width
-    bounds = _sample_bounds(df, key, stats.rows)
-    if not bounds:
-        return F.lit(0).cast("long"), stats.rows
-    return _block_from_bounds(F.col(key), bounds, df.schema[key].dataType.simpleString()), stats.rows
+def sorted_ranges(df: DataFrame, key: str, at: str, part: str, partitions: int | None = None) -> DataFrame:
+    """``df`` sorted by key and row hash, saved, with the place ``at`` (rising in that order) and range ``part`` of every row."""
+    tie, = free_names(df, "tie")
+    order = [F.col(f"`{key}`"), F.col(tie)]
+    rows = df.withColumn(tie, _tie(df))
+    ranged = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    ranged = ranged.sortWithinPartitions(*order).drop(tie).withColumn(at, F.monotonically_increasing_id())
+    path = work_folder(df.sparkSession, "positions")
+    ranged.write.parquet(path)
+    return df.sparkSession.read.schema(ranged.schema).parquet(path).withColumn(part, F.shiftright(at, PLACE_BITS))
+
 
+def _offsets(counts: DataFrame, part: str, n: str, out: str) -> DataFrame:
+    """Rows in all parts before each one, for one row per part."""
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(out))
 
-def with_position(df: DataFrame, key: str, out: str = "position", stats: KeyStats | None = None) -> DataFrame:
-    """Add the 1-based position in the order of the unique column ``key``; equal keys in the order of the row's hash.
 
-    A block of whole-number keys with more rows than key values is an error.
+def with_position(df: DataFrame, key: str, out: str = "position", stats: KeyStats | None = None,
+                  partitions: int | None = None) -> DataFrame:
+    """Add the 1-based position in the order of ``key``; equal keys in the order of the row's hash.
+
+    Keys that are no gap-free whole numbers are sorted and saved when this is called, in ``partitions`` ranges or as many as
+    the session shuffles into. Columns may have any names; one with the name ``out`` is replaced. An empty table
+    stays empty; a null key is an error of ``key_stats``.
     """
     stats = stats or key_stats(df, key)
+    kept = [F.col(f"`{c}`") for c in df.columns if c != out]
     if stats.rows == 0:
-        return df.withColumn(out, F.lit(None).cast("long"))
+        return df.select(*kept, F.lit(None).cast("long").alias(out))
     if stats.dense:
-        return df.withColumn(out, F.col(key).cast("long") - F.lit(stats.low).cast("long") + 1)
-    block, most = block_column(df, key, stats)
-    counts = df.select(block.alias("_block")).groupBy("_block").agg(F.count("*").alias("_n"))
-    # So many repeated keys are no order key.
-    n = F.when(F.col("_n") > most, F.raise_error(F.lit(f"order key {key} is not unique")).cast("long")).otherwise(F.col("_n"))
-    # One row per block: the sum over all blocks and the broadcast stay small.
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_block", n.alias("_n")).select(
-        "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_block").orderBy(key, "_tie")
-    numbered = df.withColumns({"_block": block, "_tie": _tie(df)}).withColumn("_rank", F.row_number().over(inside))
-    placed = numbered.join(F.broadcast(offsets), "_block")
-    return placed.select(*df.columns, (F.col("_offset") + F.col("_rank")).cast("long").alias(out))
+        return df.select(*kept, (F.col(f"`{key}`").cast("long") - F.lit(stats.low).cast("long") + 1).alias(out))
+    at, part, n, before = free_names(df, "at", "part", "n", "before")
+    placed = sorted_ranges(df, key, at, part, partitions)
+    offsets = _offsets(placed.groupBy(part).agg(F.count("*").alias(n)), part, n, before)
+    inside = F.col(at).bitwiseAND((1 << PLACE_BITS) - 1) + 1
+    return placed.join(F.broadcast(offsets), part).select(*kept, (inside + F.col(before)).cast("long").alias(out))
 
 
 def slice_by_position(df: DataFrame, key: str, start: int, end: int, stats: KeyStats | None = None) -> DataFrame:
-    """Rows ``start`` to ``end``, both included, by position."""
-    placed = with_position(df, key, "_position", stats)
-    return placed.filter(F.col("_position").between(start, end)).drop("_position")
+    """Rows ``start`` to ``end``, both included, by position. With gap-free keys this reaches the scan as a pushed filter."""
+    stats = stats or key_stats(df, key)
+    if stats.dense:
+        return slice_by_id(df, stats.low + start - 1, stats.low + end - 1, key)
+    position, = free_names(df, "position")
+    placed = with_position(df, key, position, stats)
+    return placed.filter(F.col(position).between(start, end)).drop(position)
 
 
 def slice_by_id(df: DataFrame, start: int, end: int, key: str = "RowID") -> DataFrame:
     """Rows with ``start <= key <= end``; gaps in the ids give fewer rows. Reaches the scan as a pushed filter."""
-    return df.filter(F.col(key).between(start, end))
+    return df.filter(F.col(f"`{key}`").between(start, end))
 
 
 def assign_row_id(df: DataFrame, order_key: str, start: int = 1, out: str = "RowID",

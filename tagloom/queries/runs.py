@@ -70,14 +70,15 @@ def failed_ranges(spark, sf_dir):
 
 
 def _planned(spark, sf_dir):
-    """One planned worker per customer; only some ever report."""
+    """One planned worker per customer, in the run and file in which a user of that number reports; only some ever do."""
     key = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
-        key.alias("worker_id"), F.concat(F.lit("file"), (key % 4 + F.floor(key / 100) * 4).cast("string")).alias("label"))
+        key.alias("worker_id"), F.concat(F.lit("run"), (key % 3).cast("string")).alias("run_id"),
+        F.concat(F.lit("file"), (key % 4).cast("string")).alias("label"))
 
 
 def all_done(spark, sf_dir):
-    return runs.all_done(_planned(spark, sf_dir), _latest(spark, sf_dir))
+    return runs.all_done(_planned(spark, sf_dir), runs.status_latest(status_events(spark, sf_dir)), ("run_id", "label"))
 
 
 def _repeated(spark, sf_dir):
@@ -266,11 +267,13 @@ ORACLES = {
                                FROM n, range(1, 121) t(w)) ON w = worker_id
         WHERE state = 'failed'""",
     "all_done": f"""{_WITH},
-        p AS (SELECT c_custkey AS k, 'file' || (c_custkey % 4 + c_custkey // 100 * 4) AS label FROM customer),
-        f AS (SELECT p.label, coalesce(state IN ('completed', 'failed'), false) AS fin
-              FROM p LEFT JOIN latest ON worker_id = k)
-        SELECT label, bool_and(fin) AS all_done, count(*) AS workers, count(*) FILTER (fin) AS finished
-        FROM f GROUP BY label""",
+        n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, label, worker_id
+                                                          ORDER BY updated_at DESC, event_id DESC) AS rn FROM status) WHERE rn = 1),
+        p AS (SELECT c_custkey AS worker_id, 'run' || (c_custkey % 3) AS run_id, 'file' || (c_custkey % 4) AS label FROM customer),
+        f AS (SELECT run_id, label, coalesce(state IN ('completed', 'failed'), false) AS fin
+              FROM p LEFT JOIN n USING (run_id, label, worker_id))
+        SELECT run_id, label, bool_and(fin) AS all_done, count(*) AS workers, count(*) FILTER (fin) AS finished
+        FROM f GROUP BY run_id, label""",
     "progress_eta": f"""{_WITH}
         SELECT worker_id, round(rows_processed / 100 * 100, 1) AS progress_pct,
                CASE WHEN rows_processed > 0

@@ -35,5 +35,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         app = spark.conf.get("spark.app.id", "local")
-        root = _local_roots.setdefault(app, tempfile.mkdtemp(prefix="tagloom-"))
+        if app not in _local_roots:
+            _local_roots[app] = tempfile.mkdtemp(prefix="tagloom-")
+        root = _local_roots[app]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

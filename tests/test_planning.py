@@ -6,20 +6,13 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tagloom.operators import batches, position, ranges
 
 
-@pytest.fixture
-def small_blocks(monkeypatch):
-    monkeypatch.setattr(position, "BLOCK_ROWS", 50)
-    monkeypatch.setattr(position, "MAX_BLOCKS", 200)
-
-
-def _positions(df, key):
-    return [r["position"] for r in position.with_position(df, key).orderBy(key).collect()]
+def _positions(df, key, **options):
+    return [r["position"] for r in position.with_position(df, key, **options).orderBy(key).collect()]
 
 
 def _plan(df):
@@ -41,12 +34,12 @@ def test_count_equal_to_extent_is_not_enough(spark):
     assert sorted(_positions(df, "id")) == [1, 2, 3]
 
 
-def test_gaps_fall_into_blocks(spark, small_blocks):
+def test_gaps_take_ranges(spark):
     keys = random.Random(1).sample(range(10_000), 3000)
     df = spark.createDataFrame([(k,) for k in keys], "id long")
-    assert _positions(df, "id") == list(range(1, 3001))
+    assert _positions(df, "id", partitions=50) == list(range(1, 3001)) == _positions(df, "id")
     text = _plan(position.with_position(df, "id"))
-    assert "Window" in text and "Broadcast" in text
+    assert "BroadcastHashJoin" in text and "NestedLoop" not in text and "rangepartitioning" not in text
 
 
 @pytest.mark.parametrize("make", [
@@ -55,22 +48,44 @@ def test_gaps_fall_into_blocks(spark, small_blocks):
     lambda i: i / 7.0 if i % 3 else -i * 1000.0,
     lambda i: (1 << 62) + i if i % 2 else -(1 << 62) - i,
 ])
-def test_sparse_keys_take_sampled_bounds(spark, small_blocks, make):
+def test_keys_of_any_type_and_spread(spark, make):
     keys = sorted({make(i) for i in range(2000)})
     df = spark.createDataFrame([(k,) for k in keys], ["id"]).repartition(6)
-    assert _positions(df, "id") == list(range(1, len(keys) + 1))
+    assert _positions(df, "id", partitions=40) == list(range(1, len(keys) + 1))
 
 
-def test_clustered_keys(spark, small_blocks):
+def test_clustered_keys(spark):
     keys = list(range(2900)) + [10 ** 12 + i * 10 ** 9 for i in range(100)]
     df = spark.createDataFrame([(k,) for k in keys], "id long")
-    assert _positions(df, "id") == list(range(1, 3001))
+    assert _positions(df, "id", partitions=20) == list(range(1, 3001))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_a_hot_key_is_spread_over_ranges(spark, kind):
+    """A key that holds half of all rows is numbered by many tasks, and repeated keys are no error of any type."""
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 500).otherwise(F.col("id")).cast(kind).alias("k"), "id")
+    placed = position.with_position(df, "k", partitions=16)
+    assert sorted(r.position for r in placed.collect()) == list(range(1, 4001))
+    sizes = [r["count"] for r in position.sorted_ranges(df, "k", "at", "part", 16).groupBy("part").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) < 4 * 4000 / 16
+    known = {r.k: (r.low, r.high, r.n) for r in placed.groupBy("k").agg(
+        F.min("position").alias("low"), F.max("position").alias("high"), F.count("*").alias("n")).collect()}
+    low, high, n = known[500 if kind == "long" else "500"]
+    assert n == 2000 and high - low + 1 == n
 
 
-def test_repeated_keys_are_reported(spark, small_blocks):
-    df = spark.createDataFrame([(i if i < 1000 else 500,) for i in range(2000)], "id long")
-    with pytest.raises(PySparkException, match="not unique"):
-        position.with_position(df, "id").collect()
+def test_rows_equal_in_all_columns(spark):
+    df = spark.createDataFrame([(i if i < 1000 else 500,) for i in range(2000)], "id long").repartition(5)
+    assert _positions(df, "id", partitions=9) == list(range(1, 2001))
+
+
+def test_helper_columns_do_not_clash(spark):
+    df = spark.createDataFrame([(i * 3, i, i, i, i, i, i) for i in range(20)],
+                               "k long, tie long, at long, part long, n long, before long, `a.b` long")
+    got = position.with_position(df, "k")
+    assert got.columns == [*df.columns, "position"]
+    assert all(tuple(r) == (i * 3, *[i] * 6, i + 1) for i, r in enumerate(got.orderBy("k").collect()))
+    assert position.slice_by_position(df, "k", 2, 3).columns == df.columns
 
 
 def test_null_keys_are_reported(spark):
@@ -193,20 +208,13 @@ def test_prompts_keep_order_and_fields(spark):
     assert one["kind"] == "batch" and "exactly 1 objects" in one["prompt"]
 
 
-@pytest.mark.parametrize("block_rows", [1 << 18, 100])
+@pytest.mark.parametrize("partitions", [None, 13])
 @pytest.mark.parametrize("kind", ["int", "string"])
-def test_equal_keys_have_one_order_at_any_size(spark, monkeypatch, kind, block_rows):
+def test_equal_keys_have_one_order_at_any_size(spark, kind, partitions):
     """However the rows are dealt out, each gets the same position."""
-    monkeypatch.setattr(position, "BLOCK_ROWS", block_rows)
     rows = spark.range(300).select(
         F.floor(F.col("id") / 3 * 5).cast(kind).alias("k"), F.col("id").alias("v"), F.array("id").alias("a"))
     rows = rows.withColumn("k", F.when(F.col("v") % 50 < 5, F.lit(100).cast(kind)).otherwise(F.col("k")))
-    orders = [{r.v: r.position for r in position.with_position(df, "k").collect()}
+    orders = [{r.v: r.position for r in position.with_position(df, "k", partitions=partitions).collect()}
               for df in (rows.coalesce(1).orderBy("v"), rows.coalesce(1).orderBy(F.desc("v")), rows.repartition(7, F.hash("v")))]
     assert orders[0] == orders[1] == orders[2] and sorted(orders[0].values()) == list(range(1, 301))
-
-
-def test_as_many_sampled_blocks_as_rows_need(spark, monkeypatch):
-    monkeypatch.setattr(position, "BLOCK_ROWS", 1)
-    keys = spark.range(4600).select(F.concat(F.lit("k"), F.col("id")).alias("k"))
-    assert len(position._sample_bounds(keys, "k", 4600)) > 4500
