@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import whole_div
+from .position import free_names
 
-# Range pieces that are sent to every executor; a longer list is joined without a broadcast.
+# Pieces of ranges that are sent to every executor; those of a longer list are joined without a broadcast.
 MAX_PIECES = 1 << 17
+# Positions have 63 bits.
+MAX_LEVEL = 62
 
 
 def plan_ranges(df: DataFrame, n_workers: int, by: Sequence[str] = ()) -> DataFrame:
@@ -90,20 +93,47 @@ def assign_worker(df: DataFrame, n_rows: int, n_workers: int, position: str = "p
     return df.withColumns({"worker_id": worker, "pos_in_worker": inside})
 
 
-def range_join(df: DataFrame, ranges: Sequence[tuple[int, int]], position: str = "position") -> DataFrame:
-    """Rows with the user-given range(s) that hold them; a row in two ranges appears twice.
+def dyadic_pieces(ranges: DataFrame) -> DataFrame:
+    """Every range as the fewest aligned blocks of 2^level positions: at most two per level.
 
-    Ranges are cut into pieces of equal width and matched by piece number, so this is a hash join with a few candidates
-    per row and not a comparison of every row with every range. The width follows the total length of the ranges, which
-    bounds the number of pieces that are broadcast.
+    At each level the rest of a range lies between two block borders; a block that its neighbour does not pair with belongs to
+    no larger block inside the range, so it is a piece.
+    """
+    level, low, high = F.col("level"), F.col("low"), F.col("high")
+    levels = ranges.filter("start <= end").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL))))
+    # Block numbers from the first whole block on, up to but without ``high``.
+    cut = levels.withColumns({
+        "low": -F.call_function("shiftright", -F.col("start"), level), "high": F.call_function("shiftright", F.col("end") + 1, level)})
+    cut = cut.filter("low < high")
+    odd = [F.when(low.bitwiseAND(F.lit(1)) == 1, low), F.when(high.bitwiseAND(F.lit(1)) == 1, high - 1)]
+    blocks = cut.withColumn("block", F.explode(F.array_compact(F.array(*odd))))
+    return blocks.select(*ranges.columns, level.cast("int").alias("level"), "block")
+
+
+def range_join(df: DataFrame, ranges: Sequence[tuple[int, int]], position: str = "position", most: int = MAX_PIECES) -> DataFrame:
+    """Rows with the user-given range(s) that hold them, as ``worker_id, start, end, pos_in_worker``; a row in two ranges appears twice.
+
+    Ranges are cut into aligned blocks of 1, 2, 4, ... positions, so that ranges of very unlike lengths are matched by
+    equality: a row looks up one block per level that occurs, at most log2 of the longest range. Blocks are broadcast
+    from the largest level down as long as there are at most ``most``; smaller blocks, which hold few positions each, are
+    joined by a shuffle.
     """
     spark = df.sparkSession
-    total = sum(max(0, end - start + 1) for start, end in ranges)
-    width = max(1024, math.ceil(2 * total / MAX_PIECES))
-    plan = plan_manual(spark, ranges).filter("start <= end")
-    pieces = plan.withColumn("_piece", F.explode(F.sequence(whole_div(F.col("start"), width), whole_div(F.col("end"), width))))
-    if len(ranges) <= MAX_PIECES // 2:
-        pieces = F.broadcast(pieces)
-    rows = df.withColumn("_piece", whole_div(F.col(position), width))
-    joined = rows.join(pieces, "_piece").filter(F.col(position).between(F.col("start"), F.col("end")))
-    return joined.withColumn("pos_in_worker", F.col(position) - F.col("start") + 1).drop("_piece")
+    level, block = free_names(df, "level", "block")
+    pieces = dyadic_pieces(plan_manual(spark, ranges)).withColumnsRenamed({"level": level, "block": block})
+    # One entry per level, 63 at most.
+    counts = {r[0]: r[1] for r in pieces.groupBy(level).count().collect()}
+    sent, shuffled = [], []
+    for n in sorted(counts, reverse=True):
+        fits = not shuffled and sum(counts[x] for x in sent) + counts[n] <= most
+        (sent if fits else shuffled).append(n)
+    joined = []
+    for levels, large in ((sent, False), (shuffled, True)):
+        if levels or not (large or counts):
+            keys = F.array(*[F.struct(F.lit(n).cast("int").alias(level), F.call_function("shiftright", F.col(f"`{position}`"), F.lit(n)).alias(block))
+                             for n in levels or [0]])
+            rows = df.select("*", F.inline(keys))
+            held = pieces.filter(F.col(level).isin(*levels) if levels else F.lit(False))
+            joined.append(rows.join(held if large else F.broadcast(held), [level, block]))
+    found = reduce(DataFrame.unionByName, joined)
+    return found.withColumn("pos_in_worker", F.col(f"`{position}`") - F.col("start") + 1).drop(level, block)

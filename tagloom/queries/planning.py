@@ -12,7 +12,14 @@ from ..sources.parts import write_output
 from .common import BATCH, MESSAGES_SQL, WORKERS, as_messages, messages, placed, placed_sql, table
 
 PLACED = f"WITH {MESSAGES_SQL}, {placed_sql()}"
-MANUAL = ((1, 4000), (4001, 9000), (9500, 15000), (12000, 20000))
+TINY = 2000
+
+
+def manual(n: int) -> list[tuple[int, int]]:
+    """Ranges over ``n`` rows: all of them, three with a gap and an overlap, and thousands of tiny ones over the whole table."""
+    step = max(1, n // TINY)
+    wide = [(1, n), (1, n // 5), (n // 4, n // 2), (n // 3, n)]
+    return wide + [(i * step + 1, i * step + 3) for i in range(TINY)]
 
 
 def read_messages(spark, sf_dir):
@@ -50,6 +57,19 @@ def slice_id(spark, sf_dir):
     return position.slice_by_id(table(spark, sf_dir, "labels"), 100, 600, "doc_id")
 
 
+def position_sparse(spark, sf_dir):
+    """Ids with gaps, over many ranges."""
+    return position.with_position(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", partitions=32)
+
+
+def position_hot_keys(spark, sf_dir):
+    """Line items in the order of a flag with three values: each flag's positions, over many ranges."""
+    placed = position.with_position(table(spark, sf_dir, "lineitem"), "l_returnflag", partitions=32)
+    at = F.col("position")
+    return placed.groupBy("l_returnflag").agg(
+        F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("rows"), F.sum(at).cast("double").alias("position_sum"))
+
+
 def assign_row_id(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_name", "c_acctbal")
     return position.assign_row_id(customers, "c_name", start=501)
@@ -59,11 +79,18 @@ def plan_ranges(spark, sf_dir):
     return ranges.plan_ranges(table(spark, sf_dir, "documents"), 7)
 
 
+def _orders(spark, sf_dir):
+    """Positions of all orders, and ranges over them."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    stats = position.key_stats(orders, "o_orderkey")
+    return position.with_position(orders, "o_orderkey", stats=stats), manual(stats.rows)
+
+
 def plan_manual(spark, sf_dir):
     """User ranges with gaps and overlaps, and the orders in each."""
-    orders = position.with_position(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
-    counts = ranges.range_join(orders, MANUAL).groupBy("worker_id").agg(F.count("*").alias("rows"))
-    checked = ranges.check_ranges(ranges.plan_manual(spark, MANUAL))
+    orders, given = _orders(spark, sf_dir)
+    counts = ranges.range_join(orders, given).groupBy("worker_id").agg(F.count("*").alias("rows"))
+    checked = ranges.check_ranges(ranges.plan_manual(spark, given))
     return checked.join(counts, "worker_id", "left").fillna(0, ["rows"])
 
 
@@ -80,8 +107,8 @@ def assign_worker(spark, sf_dir):
 
 
 def range_join(spark, sf_dir):
-    orders = position.with_position(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
-    return ranges.range_join(orders, MANUAL).select("o_orderkey", "worker_id", "pos_in_worker")
+    orders, given = _orders(spark, sf_dir)
+    return ranges.range_join(orders, given).select("o_orderkey", "worker_id", "pos_in_worker")
 
 
 def chunk_batches(spark, sf_dir):
@@ -93,14 +120,16 @@ def estimate_calls(spark, sf_dir):
     return batches.estimate_calls(placed(as_messages(table(spark, sf_dir, "documents"))), BATCH)
 
 
-_RANGES = ", ".join(f"({i}, {s}, {e})" for i, (s, e) in enumerate(MANUAL, 1))
-_MANUAL = f"r(worker_id, s, e) AS (VALUES {_RANGES})"
+_MANUAL = f"""n AS (SELECT count(*) AS n FROM orders),
+        r AS (SELECT 1 AS worker_id, 1 AS s, n AS e FROM n UNION ALL SELECT 2, 1, n // 5 FROM n
+              UNION ALL SELECT 3, n // 4, n // 2 FROM n UNION ALL SELECT 4, n // 3, n FROM n
+              UNION ALL SELECT 5 + i, i * greatest(1, n // {TINY}) + 1, i * greatest(1, n // {TINY}) + 3 FROM n, range({TINY}) t(i))"""
 _EVEN = """
   w, CASE WHEN w <= n % {k} THEN (w - 1) * (n // {k} + 1) ELSE (w - 1) * (n // {k}) + n % {k} END + 1 AS s,
   n // {k} + CASE WHEN w <= n % {k} THEN 1 ELSE 0 END AS size"""
 
 QUERIES = {f.__name__: f for f in (
-    read_messages, read_queue, row_position, slice_position, slice_id, assign_row_id, plan_ranges, plan_manual,
+    read_messages, read_queue, row_position, position_sparse, position_hot_keys, slice_position, slice_id, assign_row_id, plan_ranges, plan_manual,
     preview_plan, assign_worker, range_join, chunk_batches, estimate_calls)}
 
 ORACLES = {
@@ -112,6 +141,9 @@ ORACLES = {
         FROM documents GROUP BY lang
         UNION ALL SELECT 'none', 'file_not_found', NULL, NULL""",
     "row_position": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS position FROM orders",
+    "position_sparse": "SELECT doc_id, toxic, row_number() OVER (ORDER BY doc_id) AS position FROM labels",
+    "position_hot_keys": """SELECT l_returnflag, min(p) AS first, max(p) AS last, count(*) AS rows, CAST(sum(p) AS DOUBLE) AS position_sum
+        FROM (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag) AS p FROM lineitem) GROUP BY l_returnflag""",
     "slice_position": """SELECT o_orderkey, o_totalprice FROM (
         SELECT *, row_number() OVER (ORDER BY o_orderkey) AS p FROM orders) WHERE p BETWEEN 101 AND 5000""",
     "slice_id": "SELECT doc_id, quality, toxic FROM labels WHERE doc_id >= 100 AND doc_id <= 600",

@@ -161,6 +161,35 @@ def test_range_join_keeps_overlaps_and_gaps(spark):
     assert [(r["gap"], r["overlap"]) for r in checked] == [(0, 0), (0, 2), (999, 0)]
 
 
+@pytest.mark.parametrize("most", [1 << 17, 40, 0])
+def test_ranges_of_very_unlike_lengths(spark, most):
+    """One huge range and many tiny ones, with blocks broadcast, in part, or not at all."""
+    rng = random.Random(7)
+    given_ranges = [(-5, 1 << 40), (1, 1), (0, 0)] + [(s, s + rng.randrange(-2, 9)) for s in rng.sample(range(-3, 600), 200)]
+    rows = spark.range(1, 501).select(F.col("id").alias("position"), F.lit(1).alias("level"), F.lit(2).alias("block"))
+    df = ranges.range_join(rows, given_ranges, most=most)
+    got = sorted((r["position"], r["worker_id"], r["pos_in_worker"]) for r in df.collect())
+    assert got == sorted((p, w, p - s + 1) for w, (s, e) in enumerate(given_ranges, 1) for p in range(max(s, 1), min(e, 500) + 1))
+    assert df.columns == ["position", "level", "block", "worker_id", "start", "end", "pos_in_worker"]
+    text = _plan(df)
+    assert "NestedLoop" not in text and "Cartesian" not in text and text.count("HashJoin") >= 1
+
+
+def test_dyadic_pieces_are_few_and_exact(spark):
+    plan = ranges.plan_manual(spark, [(1, (1 << 40) - 1), (3, 3), (5, 4), (-7, 9), (6, 11)])
+    held, count = {}, {}
+    for r in ranges.dyadic_pieces(plan).collect():
+        count[r.worker_id] = count.get(r.worker_id, 0) + 1
+        if r.worker_id > 1:
+            held.setdefault(r.worker_id, []).extend(range(r.block << r.level, (r.block + 1) << r.level))
+    assert count[1] <= 80 and {w: sorted(p) for w, p in held.items()} == {2: [3], 4: list(range(-7, 10)), 5: list(range(6, 12))}
+
+
+def test_no_ranges(spark):
+    rows = spark.range(1, 9).withColumnRenamed("id", "position")
+    assert ranges.range_join(rows, []).count() == 0 == ranges.range_join(rows, [(4, 2)]).count()
+
+
 def test_batches_and_calls(spark):
     rows = ranges.assign_worker(spark.range(1, 24).withColumnRenamed("id", "position"), 23, 2)
     calls = batches.estimate_calls(batches.chunk_batches(rows, 10), 10).orderBy("worker_id").collect()
