@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import whole_div
 from ..functions.text import Wording, batch_prompt, row_body, single_prompt
+from ..sources.commits import slice_number
 
 UNIT_KEYS = ("worker_id", "batch_id")
 
@@ -34,34 +35,41 @@ def estimate_calls(df: DataFrame, size: int, by: Sequence[str] = ("worker_id",))
 
 
 def batch_units(df: DataFrame, size: int, keep: Sequence[str] = ("RowID", "Sentiment"), wording: Wording = Wording(),
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, slices: int | None = None) -> DataFrame:
     """One row per batch: its rows in order (``keep`` columns only) and its prompt.
 
     A group holds at most ``size`` rows. The texts travel through one shuffle, into ``partitions`` partitions if that is
-    given, and leave as part of the prompt. With batch size 1 the single-row prompt is used; a one-row rest of a larger
+    given, and leave as part of the prompt. With ``slices`` the units have a number of their ``slice`` below that, and those of
+    one slice share a partition. With batch size 1 the single-row prompt is used; a one-row rest of a larger
     size keeps the batch form.
     """
     if size == 1:
-        return single_units(df, keep, wording, partitions)
+        return single_units(df, keep, wording, partitions, slices)
+    sliced = ["slice"] if slices else []
+    if slices:
+        df = df.withColumn("slice", slice_number(UNIT_KEYS, slices))
     if partitions:
-        df = df.repartition(partitions, *UNIT_KEYS)
+        df = df.repartition(partitions, *(sliced or UNIT_KEYS))
     body = row_body(F.col("RowID"), F.col("Sentiment"), F.col("Title"), F.col("Message"), wording)
     item = F.struct("pos", F.struct(*keep).alias("row"), body.alias("body"))
-    groups = df.groupBy(*UNIT_KEYS).agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    groups = df.groupBy(*sliced, *UNIT_KEYS).agg(F.sort_array(F.collect_list(item)).alias("_items"))
     return groups.select(
-        *UNIT_KEYS, F.lit("batch").alias("kind"), F.lit(None).cast("long").alias("row_id"),
+        *sliced, *UNIT_KEYS, F.lit("batch").alias("kind"), F.lit(None).cast("long").alias("row_id"),
         F.col("_items.row").alias("rows"), batch_prompt(F.col("_items.body"), wording).alias("prompt"),
     )
 
 
 def single_units(df: DataFrame, keep: Sequence[str] = ("RowID", "Sentiment"), wording: Wording = Wording(),
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, slices: int | None = None) -> DataFrame:
     """One row per message with the single-row prompt; no shuffle unless ``partitions`` is given."""
+    sliced = ["slice"] if slices else []
+    if slices:
+        df = df.withColumn("slice", slice_number([*UNIT_KEYS, "RowID"], slices))
     if partitions:
-        df = df.repartition(partitions, *UNIT_KEYS, "RowID")
+        df = df.repartition(partitions, *(sliced or [*UNIT_KEYS, "RowID"]))
     prompt = single_prompt(F.col("RowID"), F.col("Sentiment"), F.col("Title"), F.col("Message"), wording)
     return df.select(
-        *UNIT_KEYS, F.lit("row").alias("kind"), F.col("RowID").cast("long").alias("row_id"),
+        *sliced, *UNIT_KEYS, F.lit("row").alias("kind"), F.col("RowID").cast("long").alias("row_id"),
         F.array(F.struct(*keep)).alias("rows"), prompt.alias("prompt"),
     )
 

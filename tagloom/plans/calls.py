@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import time
 import warnings
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -13,8 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.batches import UNIT_KEYS
+from ..sources.commits import SliceLog, by_slice
+
 COUNTERS = ("prompt_eval_count", "prompt_tokens", "eval_count", "completion_tokens",
             "total_duration", "prompt_eval_duration", "eval_duration")
+#: When a call began and ended, in microseconds since 1970.
+TIMES = ("started_us", "ended_us")
+#: Column of units that says in which slice of the commit log they are.
+SLICE = "slice"
 
 
 class ModelClient(Protocol):
@@ -25,8 +34,12 @@ class ModelClient(Protocol):
         ...
 
 
+class GiveUp(Exception):
+    """Raised by a client when no call can succeed (quota used up, key revoked): the run stops instead of noting an error."""
+
+
 class Caller(Protocol):
-    def __call__(self, units: DataFrame, attempt: int) -> DataFrame:
+    def __call__(self, units: DataFrame, attempt: int, log: SliceLog | None = None) -> DataFrame:
         """``units`` with content, error and counters, for one attempt."""
         ...
 
@@ -34,19 +47,21 @@ class Caller(Protocol):
         """What decides the answers, as text that is the same whenever the run is started again."""
         ...
 
-    def partitions(self, spark: SparkSession) -> int | None:
-        """In how many partitions the units should come, if that matters."""
+    def partitions(self, spark: SparkSession, units: int | None = None) -> int | None:
+        """In how many partitions that many units should come, if that matters."""
         ...
 
 
 @dataclass(frozen=True)
 class ClientCaller:
-    """Calls a client from tasks, Arrow batch by Arrow batch; the only place where Python sees data.
-
-    Calls at one time are at most ``threads`` per running task; fewer ``tasks`` than slots cap them further. More and
-    smaller tasks (the default is four per slot) lose fewer calls when an executor is lost. The units bring that many
-    partitions from the shuffle that makes them. Write the result before using it twice, because a recomputation would
-    call again.
+    """Calls a client from tasks, slice by slice; the only place where Python sees data.
+
+    Calls at one time are at most ``threads`` per running task; fewer ``tasks`` than slots cap them further. Without
+    ``tasks`` there are four per slot, and more if a task would have over ``calls_per_task`` units. With a log, the
+    answers of every ``slice_units`` or so units are put away as soon as they are there: neither a lost executor nor a run that
+    breaks off pays again for them. Write the result before using it twice, because a recomputation would call again.
+    ``settings`` names what else decides the answers (temperature, address), so that a run with others is told apart;
+    ``name`` stands for the client where its class does not say which one it is.
     """
 
     client: ModelClient
@@ -54,40 +69,64 @@ class ClientCaller:
     system: str = ""
     tasks: int | None = None
     threads: int = 1
+    slice_units: int = 64
+    calls_per_task: int = 2000
+    settings: str = ""
+    name: str = ""
 
-    def __call__(self, units: DataFrame, attempt: int) -> DataFrame:
+    def __call__(self, units: DataFrame, attempt: int, log: SliceLog | None = None) -> DataFrame:
         if units.sparkSession.conf.get("spark.speculation", "false") == "true":
             warnings.warn("spark.speculation is on: slow tasks would call the model twice", stacklevel=2)
-        client, model, system, threads = self.client, self.model, self.system, self.threads
-        passed = list(units.schema.fields)
+        client, model, system, threads, size = self.client, self.model, self.system, self.threads, self.slice_units
+        number = SLICE if SLICE in units.columns else None
+        keys = [c for c in (*UNIT_KEYS, "row_id") if c in units.columns]
+        if number:
+            units = units.sortWithinPartitions(SLICE, *keys)
+        passed = [f for f in units.schema.fields if f.name != SLICE]
         texts = [T.StructField(c, T.StringType()) for c in ("content", "error")]
-        schema = T.StructType(passed + texts + [T.StructField(c, T.LongType()) for c in COUNTERS])
+        schema = T.StructType(passed + texts + [T.StructField(c, T.LongType()) for c in (*COUNTERS, *TIMES)])
+        kinds = {**{c: pa.string() for c in ("content", "error")}, **{c: pa.int64() for c in (*COUNTERS, *TIMES)}}
 
         def ask(prompt: str) -> dict:
+            start = time.time_ns()
             try:
-                return client.complete(model, system, prompt)
+                answer = client.complete(model, system, prompt)
+            except GiveUp:
+                raise
             except Exception as problem:
-                return {"error": f"{type(problem).__name__}: {problem}"}
+                answer = {"error": f"{type(problem).__name__}: {problem}"}
+            return {**answer, "started_us": start // 1000, "ended_us": time.time_ns() // 1000}
 
         def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with ThreadPoolExecutor(threads) as pool:
-                for batch in batches:
-                    answers = list(pool.map(ask, batch.column("prompt").to_pylist()))
-                    columns = {f.name: batch.column(f.name) for f in passed}
-                    for name in ("content", "error"):
-                        columns[name] = pa.array([a.get(name) for a in answers], pa.string())
-                    for name in COUNTERS:
-                        columns[name] = pa.array([a.get(name) for a in answers], pa.int64())
+                for part, rows in by_slice(batches, number, size):
+                    known = {c: rows.column(c) for c in keys}
+                    done = log.read(part) if log and number else None
+                    if done is None or any(done.column(c).to_pylist() != known[c].to_pylist() for c in keys):
+                        found = list(pool.map(ask, rows.column("prompt").to_pylist()))
+                        done = pa.table({**known, **{c: pa.array([a.get(c) for a in found], kind) for c, kind in kinds.items()}})
+                        if log and number:
+                            log.write(part, done)
+                    done = done.combine_chunks()
+                    columns = {f.name: rows.column(f.name) for f in passed}
+                    for c, kind in kinds.items():
+                        columns[c] = pa.array(done.column(c).to_pylist(), kind)
                     yield pa.RecordBatch.from_pydict(columns)
 
         return units.mapInArrow(call, schema)
 
     def describe(self) -> str:
         kind = type(self.client)
-        return f"{kind.__module__}.{kind.__qualname__} {self.model!r} {self.system!r}"
+        name = self.name or f"{kind.__module__}.{kind.__qualname__}"
+        more = f" {self.settings!r}" if self.settings else ""
+        return f"{name} {self.model!r} {self.system!r}{more}"
+
+    def partitions(self, spark: SparkSession, units: int | None = None) -> int:
+        return self.tasks or max(4 * spark.sparkContext.defaultParallelism, math.ceil((units or 0) / self.calls_per_task))
 
-    def partitions(self, spark: SparkSession) -> int:
-        return self.tasks or 4 * spark.sparkContext.defaultParallelism
+    def slices(self, units: int) -> int:
+        """In how many slices that many units are put away."""
+        return max(1, math.ceil(units / self.slice_units))
 
 
 @dataclass(frozen=True)
@@ -97,13 +136,13 @@ class ColumnCaller:
     batch: Callable[[int], Column]
     row: Callable[[int], Column]
 
-    def __call__(self, units: DataFrame, attempt: int) -> DataFrame:
+    def __call__(self, units: DataFrame, attempt: int, log: SliceLog | None = None) -> DataFrame:
         content = F.when(F.col("kind") == "batch", self.batch(attempt)).otherwise(self.row(attempt))
-        empty = {c: F.lit(None).cast("long") for c in COUNTERS}
+        empty = {c: F.lit(None).cast("long") for c in (*COUNTERS, *TIMES)}
         return units.withColumns({"content": content, "error": F.lit(None).cast("string"), **empty})
 
     def describe(self) -> str:
         return f"{self.batch(1)} {self.row(1)}"
 
-    def partitions(self, spark: SparkSession) -> None:
+    def partitions(self, spark: SparkSession, units: int | None = None) -> None:
         return None

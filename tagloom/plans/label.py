@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
@@ -19,9 +20,10 @@ from ..operators.batches import UNIT_KEYS, batch_units, chunk_batches, part_numb
 from ..operators.position import KeyStats, key_stats, with_position
 from ..operators.ranges import assign_worker, range_join
 from ..session import prepare, work_folder
+from ..sources.commits import SliceLog, slice_number
 from ..sources.messages import path_exists, require_columns
 from ..spec import PromptSpec
-from .calls import Caller
+from .calls import SLICE, Caller
 
 KEEP = ("RowID", "Sentiment")
 
@@ -99,26 +101,29 @@ def _placed_steps(messages: DataFrame, plan: RunPlan, stats: KeyStats, folder: s
 
 
 def _units(rows: DataFrame, kind: str, plan: RunPlan, keep: Sequence[str], wording: Wording,
-           partitions: int | None) -> DataFrame:
+           partitions: int | None, slices: int | None = None) -> DataFrame:
     """All units of one kind."""
     if kind == "batch":
-        return batch_units(rows, plan.batch_size, keep, wording, partitions)
-    return single_units(rows, keep, wording, partitions)
+        return batch_units(rows, plan.batch_size, keep, wording, partitions, slices)
+    return single_units(rows, keep, wording, partitions, slices)
 
 
-def _again(failed: DataFrame, kind: str, partitions: int | None) -> DataFrame:
+def _again(failed: DataFrame, kind: str, partitions: int | None, slices: int | None = None) -> DataFrame:
     """Units of the next wave from the failed ones of the last: their prompts were saved, so nothing is read or joined."""
     units = failed.withColumn("kind", F.lit(kind))
-    return units.repartition(partitions, *UNIT_KEYS, "row_id") if partitions else units
+    if slices:
+        units = units.withColumn(SLICE, slice_number([*UNIT_KEYS, "row_id"], slices))
+    return units.repartition(partitions, *([SLICE] if slices else [*UNIT_KEYS, "row_id"])) if partitions else units
 
 
-def _wave(units: DataFrame, caller: Caller, reader: AnswerReader, attempt: int, path: str) -> DataFrame:
-    """One attempt for all given units: call, read, write. A wave that was written before is not called again.
+def _wave(units: DataFrame, caller: Caller, reader: AnswerReader, attempt: int, path: str, log: SliceLog | None = None) -> DataFrame:
+    """One attempt for all given units: call, read, write. A wave that was written before is not called again, and of one that
+    broke off only those slices that are not in its log.
 
     Units that are not ok are written with their prompts.
     """
     spark = units.sparkSession
-    read = reader(caller(units, attempt)).drop("kind")
+    read = reader(caller(units, attempt, log) if log else caller(units, attempt)).drop("kind")
     read = read.withColumn("prompt", F.when(~F.col("ok"), F.col("prompt")))
     if not path_exists(spark, f"{path}/_SUCCESS"):
         read.write.mode("overwrite").parquet(path)
@@ -174,8 +179,8 @@ def label_run(messages: DataFrame, spec: PromptSpec, caller: Caller, plan: RunPl
               stats: KeyStats | None = None) -> LabelRun:
     """Label every row of ``messages``.
 
-    Each wave is written to ``folder`` (shared storage) and read back, so no call is made twice, and a run that is
-    started again with the same folder goes on after the last full wave. A folder that belongs to another input, spec,
+    Each wave is written to ``folder`` (shared storage) and read back, so no call is made twice. While it runs, tasks put away the
+    answers of each slice of calls, so a run that is started again with the same folder goes on after the last slice. A folder that belongs to another input, spec,
     plan or caller is refused. Failed units are written with their prompts, so a retry reads these and nothing else.
     Batches that use up their attempts are asked for row by row, for which their rows are read once more. ``extra`` names row columns
     that a Column caller needs.
@@ -192,21 +197,30 @@ def label_run(messages: DataFrame, spec: PromptSpec, caller: Caller, plan: RunPl
         [c for c in dict.fromkeys(["RowID", "Message", "Title", "Sentiment", *packed]) if c in messages.columns])
     readers = {kind: AnswerReader(spec, kind, rules) for kind in ("batch", "row")}
 
+    # What a caller puts away while a wave runs is told apart by the number of units, which is the same in every start.
+    slices = getattr(caller, "slices", None)
+    workers = len(plan.ranges) or plan.n_workers
     for step, rows in enumerate(_placed_steps(messages, plan, stats, folder)):
-        failed = None
+        failed, first, last = None, *plan.steps()[step]
+        start, end = plan.extent(first, last, stats.rows)
+        n_units = sum(max(0, e - s + 1) for s, e in plan.ranges[first - 1:last]) if plan.ranges else max(0, end - start + 1)
+        n_units = math.ceil(n_units / plan.batch_size) + workers
         for kind in ("batch", "row") if plan.batch_size > 1 else ("row",):
             if failed is not None:
-                rows = rows.join(failed.select(*UNIT_KEYS), list(UNIT_KEYS), "left_semi")
+                rows, n_units = rows.join(failed.select(*UNIT_KEYS), list(UNIT_KEYS), "left_semi"), n_units * plan.batch_size
             failed = None
             for attempt in range(1, plan.retries + 1):
+                n_slices = slices(n_units) if slices else None
                 if failed is None:
-                    units = _units(rows, kind, plan, packed, wording, caller.partitions(spark))
+                    units = _units(rows, kind, plan, packed, wording, caller.partitions(spark, n_units), n_slices)
                 else:
-                    units = _again(failed, kind, caller.partitions(spark))
+                    units = _again(failed, kind, caller.partitions(spark, n_units), n_slices)
                 path = f"{folder}/waves/step={step}/kind={kind}/attempt={attempt}"
-                wave = _wave(units, caller, readers[kind], attempt, path)
+                log = SliceLog(f"{folder}/calls/step={step}/kind={kind}/attempt={attempt}") if slices else None
+                wave = _wave(units, caller, readers[kind], attempt, path, log)
                 failed = wave.filter(~F.col("ok")).select(*UNIT_KEYS, "row_id", "rows", "prompt")
-                if failed.isEmpty():
+                n_units = failed.count()
+                if not n_units:
                     failed = None
                     break
                 if attempt < plan.retries and plan.delay_sec:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ..operators import answers, attempts
 from ..operators.batches import batch_units, single_units
 from ..operators.usage import stamp_metadata
-from ..plans.calls import ClientCaller, ColumnCaller
+from ..plans.calls import ClientCaller, ColumnCaller, GiveUp
 from ..plans.label import RunPlan, label_table
 from ..session import work_folder
 from ..spec import PromptSpec
@@ -110,6 +112,36 @@ def infer_rows(spark, sf_dir):
     return _called(single_units(rows, partitions=ECHO.partitions(spark)), "row")
 
 
+def tired_client(calls: int):
+    """An echo client that gives up after so many calls of a process."""
+    echo, done = echo_client(), []
+
+    class TiredClient:
+        def complete(self, model, system, prompt):
+            done.append(1)
+            if len(done) > calls:
+                raise GiveUp("quota used up")
+            return echo.complete(model, system, prompt)
+
+    return TiredClient()
+
+
+def resume_calls(spark, sf_dir):
+    """A run whose client gives up on the way, started again with another: every document once, nothing asked twice."""
+    rows, folder = messages(spark, sf_dir), work_folder(spark, "resumed")
+
+    def caller(client):
+        return replace(ECHO, client=client, name="echo", slice_units=4, tasks=4)
+
+    try:
+        label_table(rows, ECHO_SPEC, caller(tired_client(10)), PLAN, folder=folder)
+    except PySparkException as problem:
+        if "quota used up" not in str(problem):
+            raise
+    return label_table(rows, ECHO_SPEC, caller(echo_client()), PLAN, folder=folder).select(
+        "RowID", "Sentiment", "Topic", "Key", "kind", "attempt")
+
+
 def retry_pending(spark, sf_dir):
     return attempts.retry_pending(response_log(spark, sf_dir), RETRIES + 1)
 
@@ -194,13 +226,14 @@ _ECHO = f"""WITH {MESSAGES_SQL}
            'k' || RowID AS Key FROM messages"""
 
 QUERIES = {f.__name__: f for f in (
-    label_documents, infer_batches, infer_rows, retry_pending, resolve_attempts, fallback_rows, terminal_fill,
+    label_documents, infer_batches, infer_rows, resume_calls, retry_pending, resolve_attempts, fallback_rows, terminal_fill,
     prefer_batch, zip_results)} | {"stamp_metadata": stamp_metrics}
 
 ORACLES = {
     "label_documents": _FLAGSHIP,
     "infer_batches": _ECHO,
     "infer_rows": _ECHO,
+    "resume_calls": f"SELECT *, 'batch' AS kind, 1 AS attempt FROM ({_ECHO})",
     "retry_pending": f"""WITH {LOG_SQL}
         SELECT unit_id, CAST(max(attempt) + 1 AS INTEGER) AS next_attempt FROM log GROUP BY unit_id
         HAVING NOT bool_or(ok)""",

@@ -1,16 +1,21 @@
 """The whole run: every row once, attempts within the budget, no call made twice."""
 
 import json
+import math
 import os
 import re
 
+import pyarrow as pa
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tagloom.operators.position import key_stats
-from tagloom.plans.calls import ClientCaller, ColumnCaller
+from tagloom.operators.batches import single_units
+from tagloom.plans.calls import ClientCaller, ColumnCaller, GiveUp
 from tagloom.plans.label import RunPlan, _again, _placed_steps, label_run, label_table
 from tagloom.session import work_folder
+from tagloom.sources.commits import SliceLog, by_slice
 from tagloom.sources.messages import require_columns
 from tagloom.spec import PromptSpec
 
@@ -193,3 +198,71 @@ def test_folder_of_other_texts_under_the_same_ids_is_refused(spark, tmp_path, tm
                         ("Note", F.lit(None).cast("string")), ("More", F.array(F.lit(None), F.lit(1)))):
         with pytest.raises(ValueError, match="belongs to a run with other texts"):
             run(first.withColumn(name, F.when(seventh, value).otherwise(F.col(name))))
+
+
+class Tired(Client):
+    """Gives up after so many calls of all tasks."""
+
+    def __init__(self, folder, calls):
+        super().__init__(folder)
+        self.calls = calls
+
+    def complete(self, model, system, prompt):
+        if len(os.listdir(self.folder)) >= self.calls:
+            raise GiveUp("quota used up")
+        return super().complete(model, system, prompt)
+
+
+@pytest.mark.parametrize("size", [1, 3])
+def test_a_wave_that_breaks_off_is_not_paid_again(spark, tmp_path, size):
+    """The second start calls only units whose slices were not put away."""
+    folder, slice_units = work_folder(spark, "broken"), 3
+    plan = RunPlan(n_workers=3, batch_size=size, retries=2)
+    total = sum(math.ceil(n / size) for n in (18, 18, 17))
+
+    def run(client, tasks):
+        caller = ClientCaller(client, tasks=tasks, name="model", slice_units=slice_units)
+        return label_run(_messages(spark), SPEC, caller, plan, folder=folder).rows
+
+    with pytest.raises(PySparkException, match="quota used up"):
+        run(Tired(str(tmp_path), total * 2 // 3), 2)
+    before = _calls(tmp_path)
+    assert len(before) >= total // 2 and set(before.values()) == {1}
+    # Also with another number of tasks.
+    rows = {r["RowID"]: r["Topic"] for r in run(Client(str(tmp_path)), 3).collect()}
+    assert rows == {i: f"t{i}" for i in range(1, 54)}
+    after = _calls(tmp_path)
+    again = [k for k, n in after.items() if n > 1]
+    assert len(after) == total and len(again) < len(before) / 2 and max(after.values()) == 2
+
+
+def test_answers_of_another_unit_are_not_taken(spark, tmp_path):
+    """A file in the log that does not hold the units of its slice is as good as none."""
+    log = SliceLog(str(tmp_path / "log"))
+    caller = ClientCaller(Client(str(tmp_path / "calls")), slice_units=4)
+    (tmp_path / "calls").mkdir()
+    units = single_units(spark.createDataFrame([(i, None, f"m{i}", None, 1, 0) for i in range(1, 9)],
+                                               "RowID long, Title string, Message string, Sentiment string, worker_id int, batch_id long"),
+                         partitions=1, slices=2)
+    first = {r.row_id: r.content for r in caller(units, 1, log).collect()}
+    assert len(first) == 8 and sum(_calls(tmp_path / "calls").values()) == 8
+    assert {r.row_id: r.content for r in caller(units, 1, log).collect()} == first
+    assert sum(_calls(tmp_path / "calls").values()) == 8
+    log.write(0, log.read(1))
+    assert {r.row_id: r.content for r in caller(units, 1, log).collect()} == first
+    assert 8 < sum(_calls(tmp_path / "calls").values()) < 16
+
+
+def test_slices_are_cut_from_any_batches():
+    numbers = [0, 0, 0, 2, 2, 5, 5, 5, 5, 7]
+    table = pa.table({"slice": numbers, "v": list(range(10))})
+    for sizes in (1, 3, 10):
+        found = [(n, b.column("v").to_pylist()) for n, b in by_slice(iter(table.to_batches(sizes)), "slice", 1)]
+        assert found == [(0, [0, 1, 2]), (2, [3, 4]), (5, [5, 6, 7, 8]), (7, [9])]
+    assert [b.num_rows for _, b in by_slice(iter(table.to_batches()), None, 4)] == [4, 4, 2]
+    assert list(by_slice(iter([]), "slice", 1)) == []
+
+
+def test_every_call_has_its_time(spark, tmp_path):
+    run = label_run(_messages(spark, 9), SPEC, ClientCaller(Client(str(tmp_path)), tasks=2), RunPlan(n_workers=1, batch_size=2))
+    assert run.log.count() == 5 and run.log.filter("started_us <= ended_us AND started_us > 1e15").count() == 5
