@@ -39,6 +39,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """Columns (all of them) as one struct, whatever their names: nothing beside it can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in (df.columns if columns is None else columns)])
+
+
 def text_bytes(name: str = "text") -> Column:
     """The UTF-8 bytes of a text column; null is empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
@@ -149,6 +154,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
 
 
+def sized(df: DataFrame, most: int = 1 << 17) -> DataFrame:
+    """``df`` as the side of a join that is sent around if it has at most ``most`` (short) rows, else shuffled and hashed."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("shuffle_hash")
+
+
 def hot_join(left: DataFrame, groups: DataFrame, on: list[str], rows: str) -> DataFrame:
     """Inner join of ``left`` with one row per key of ``groups``; ``groups.rows`` counts the left rows of the key.
 

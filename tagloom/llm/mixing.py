@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, text_key
+from .common import saved, text_key, whole_row
 
 #: Slots of a source that stand together in one row (a power of two), and how many slots are sent to every task.
 RUN = 1 << 10
@@ -136,6 +136,10 @@ def phases(blocks: dict[str, int], weights: dict[str, float | Fraction], period:
     return out
 
 
+#: The columns that are added.
+NEW = ("mix_source", "mix_block", "mix_slot", "mix_place")
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 64,
         id_name: str = "doc_id", source_name: str = "source", text_name: str = "text", bucket_rows: int = 50_000) -> DataFrame:
     """All columns of ``docs`` with ``mix_source, mix_block, mix_slot, mix_place``: the order to read the mixture in.
@@ -149,12 +153,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     source, and eight bytes per block at most (fewer where a period is shorter than its phase).
 
     A null source is a source of its own (``mix_source`` is empty). Ids and texts may be null or repeated; equal rows
-    get different places. Every row is kept once. An empty table gives an empty table. Columns of ``docs`` that are
-    called like the new ones are not allowed.
+    get different places. Every row is kept once. An empty table gives an empty table. A column of ``docs`` that is called
+    like a new one is replaced by it; all others stay as they are.
     """
     source = F.coalesce(F.col(source_name), F.lit(""))
     order = F.xxhash64(F.col(id_name), text_key(text_name))
-    rows = docs.withColumns({"mix_source": source, "_order": order, "_tie": F.xxhash64(F.lit("tie"), F.col(text_name))})
+    kept = [c for c in docs.columns if c.lower() not in NEW]
+    # The row travels as one column, so that no name can clash with those used here.
+    rows = docs.select(whole_row(docs, kept).alias("_row"), F.col(id_name).alias("_id"), source.alias("mix_source"), order.alias("_order"),
+                       F.xxhash64(F.lit("tie"), F.col(text_name)).alias("_tie"))
     counts = {r[0]: r[1] for r in rows.groupBy("mix_source").count().collect()}
     given = {s: Fraction(weights[s]) for s in counts if weights and s in weights}
     mean = sum(given.values()) / len(given) if given else Fraction(1)
@@ -168,7 +175,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     sizes = rows.groupBy("mix_source", "_part").count()
     before = F.sum("count").over(Window.partitionBy("mix_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     begins = saved(sizes.select("mix_source", "_part", F.coalesce(before, F.lit(0)).alias("_begin")), "begins")
-    number = F.row_number().over(Window.partitionBy("mix_source", "_part").orderBy("_order", F.col(id_name), "_tie"))
+    number = F.row_number().over(Window.partitionBy("mix_source", "_part").orderBy("_order", "_id", "_tie"))
     placed = rows.withColumn("_number", number).join(begins, ["mix_source", "_part"])
     place = F.col("_begin") + F.col("_number") - 1
     placed = placed.withColumns({"mix_block": F.floor(place / block_rows).cast("long"), "mix_place": (place % block_rows).cast("int")})
@@ -195,4 +202,4 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     met = met.join(F.broadcast(by_run) if len(flat) <= SENT_SLOTS else by_run, F.col("_run") == F.col("_r"))
     slot = (F.col("_phase._start") + F.col("_turn") * F.col("_phase._length")
             + F.element_at("_slots", (F.col("_nth") % RUN).cast("int") + 1))
-    return met.select(*docs.columns, "mix_source", "mix_block", slot.alias("mix_slot"), "mix_place")
+    return met.select(*[F.col(f"_row.`{c}`") for c in kept], "mix_source", "mix_block", slot.alias("mix_slot"), "mix_place")

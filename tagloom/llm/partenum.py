@@ -23,9 +23,13 @@ from .common import buffers, hot_join, mix64, saved, text_bytes
 from .components import components
 from .shingles import shingle_sets
 
-DIGEST, SIGNATURES, GROUPS = 0, 1, 2
+DIGEST, SIGNATURES, GROUPS, SKETCHES = 0, 1, 2, 3
+#: Sets of every band of a large cluster with which all of the band and its neighbours are compared first.
+PIVOTS = 4
+#: Up to so many candidate documents are sent to the texts; more are joined with them by a shuffle.
+SENT_ROWS = 1 << 17
 CHUNK_SCHEMA = "bucket int, kind int, x binary, y binary, z binary, w binary"
-FOUND_SCHEMA = "kind int, a long, b long, n long, given boolean, sketch binary"
+FOUND_SCHEMA = "kind int, a long, b long, n long, given boolean, key long, sketch binary"
 
 
 class Bands:
@@ -234,10 +238,11 @@ def shared_groups(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def candidates(docs: DataFrame, n: int, bands: Bands, buckets: int, flush: int = 1 << 18) -> DataFrame:
-    """What is known of ``doc_id, text`` after one pass, in two kinds of rows.
+    """What is known of ``doc_id, key, text`` after one pass, in two kinds of rows.
 
-    Digests: ``a`` doc_id, ``b`` node, ``n`` set size, and the sketch with one row of each node. Groups: ``a`` group,
-    ``b`` node, for nodes that share a signature. Only numbers travel with a signature; most are of one node and end here.
+    Digests: ``a`` doc_id, ``b`` node, ``n`` set size, ``key`` of the text. Sketches: ``b`` node, ``n``, its sketch, once per node. Groups: ``a``
+    group, ``b`` node, for nodes that share a signature. Only numbers travel with a signature; most are of one node and
+    end here. Documents are dealt by id, so copies of a text do not meet; a task sends the sketch of a node once.
     """
     def chunks(kind: int, key: np.ndarray, columns: list[np.ndarray], sketches: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
         order = np.argsort(key, kind="stable")
@@ -246,8 +251,10 @@ def candidates(docs: DataFrame, n: int, bands: Bands, buckets: int, flush: int =
         for k in range(buckets):
             mine = order[cuts[k]:cuts[k + 1]]
             if len(mine):
-                fields = [c[mine].tobytes() for c in columns] + [None] * (3 - len(columns))
-                rows.append((k, *fields, b"".join(sketches[i] for i in mine) if sketches else None))
+                fields = [c[mine].tobytes() for c in columns]
+                if sketches:
+                    fields.append(b"".join(sketches[i] for i in mine))
+                rows.append((k, *fields, *[None] * (4 - len(fields))))
         if rows:
             columns = [*zip(*rows)]
             yield pa.RecordBatch.from_arrays(
@@ -265,16 +272,17 @@ def candidates(docs: DataFrame, n: int, bands: Bands, buckets: int, flush: int =
         for batch in batches:
             offsets, data = buffers(batch.column("text"))
             ids = batch.column("doc_id")
-            digest, drawn = np.zeros((batch.num_rows, 2), np.int64), [b""] * batch.num_rows
+            digest, fresh, drawn = np.zeros((batch.num_rows, 2), np.int64), [], []
             for i, shingles in enumerate(shingle_sets(data, offsets, n)):
                 if not len(shingles):
                     continue
                 node = set_hash(shingles)
                 digest[i] = node, len(shingles)
-                drawn[i] = sketch(shingles, int(sketch_words(np.array(len(shingles)), bands))).tobytes()
                 if node in seen or not ids[i].is_valid:
                     continue
                 seen.add(node)
+                fresh.append(i)
+                drawn.append(sketch(shingles, int(sketch_words(np.array(len(shingles)), bands))).tobytes())
                 found = bands.signatures(shingles)
                 if len(found):
                     sigs.append(found)
@@ -285,7 +293,11 @@ def candidates(docs: DataFrame, n: int, bands: Bands, buckets: int, flush: int =
                     sigs, nodes, seen, held = [], [], set(), 0
             given = np.array([x.is_valid for x in ids], np.int64)
             doc_ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) * given
-            yield from chunks(DIGEST, digest[:, 0] % buckets, [doc_ids, digest[:, 0], digest[:, 1] * 2 + given], drawn)
+            spread = (mix64(doc_ids.view(np.uint64) + np.arange(len(ids), dtype=np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            keys = batch.column("key").to_numpy()
+            yield from chunks(DIGEST, spread, [doc_ids, digest[:, 0], digest[:, 1] * 2 + given, keys])
+            new = digest[fresh]
+            yield from chunks(SKETCHES, new[:, 0] % buckets, [new[:, 0], new[:, 1]], drawn)
         yield from emit(sigs, nodes)
 
     def meet(table: pa.Table) -> pa.Table:
@@ -295,27 +307,27 @@ def candidates(docs: DataFrame, n: int, bands: Bands, buckets: int, flush: int =
             found = [np.frombuffer(table.column(name)[int(i)].as_buffer(), dtype) for i in np.flatnonzero(kinds == kind)]
             return np.concatenate([np.zeros(0, dtype), *found])
 
-        doc, node, size = (column(DIGEST, c, np.int64) for c in "xyz")
-        words = np.where(size > 1, sketch_words(size // 2, bands), 0)
-        begin, flat = np.concatenate(([0], np.cumsum(words))), column(DIGEST, "w", np.uint64)
-        drawn: list[bytes | None] = [None] * len(doc)
-        for i in np.unique(node, return_index=True)[1]:
-            drawn[i] = flat[begin[i]:begin[i + 1]].tobytes()
+        doc, node, size, key = (column(DIGEST, c, np.int64) for c in "xyzw")
+        named, large = (column(SKETCHES, c, np.int64) for c in "xy")
+        begin, flat = np.concatenate(([0], np.cumsum(sketch_words(large, bands)))), column(SKETCHES, "z", np.uint64)
+        one = np.unique(named, return_index=True)[1]
+        drawn = [flat[begin[i]:begin[i + 1]].tobytes() for i in one]
         group, member = shared_groups(column(SIGNATURES, "x", np.uint64), column(SIGNATURES, "y", np.int64))
+        counts, none = [len(doc), len(group), len(one)], np.zeros(len(one), np.int64)
         return pa.table({
-            "kind": pa.array(np.repeat(np.array([DIGEST, GROUPS], np.int32), [len(doc), len(group)])),
-            "a": pa.array(np.concatenate((doc, group))), "b": pa.array(np.concatenate((node, member))),
-            "n": pa.array(np.concatenate((size // 2, np.zeros(len(group), np.int64)))),
-            "given": pa.array(np.concatenate((size % 2 == 1, np.ones(len(group), bool)))),
-            "sketch": pa.array(drawn + [None] * len(group), pa.binary())})
+            "kind": pa.array(np.repeat(np.array([DIGEST, GROUPS, SKETCHES], np.int32), counts)),
+            "a": pa.array(np.concatenate((doc, group, none))), "b": pa.array(np.concatenate((node, member, named[one]))),
+            "n": pa.array(np.concatenate((size // 2, np.zeros(len(group), np.int64), large[one]))),
+            "given": pa.array(np.concatenate((size % 2 == 1, np.ones(len(group) + len(one), bool)))),
+            "key": pa.array(np.concatenate((key, np.zeros(len(group) + len(one), np.int64)))),
+            "sketch": pa.array([None] * (len(doc) + len(group)) + drawn, pa.binary())})
 
     return docs.mapInArrow(read, CHUNK_SCHEMA).groupBy("bucket").applyInArrow(meet, FOUND_SCHEMA)
 
 
 def close_pairs(found: DataFrame, bands: Bands, buckets: int) -> DataFrame:
     """Links (``a, b``, nodes) that connect all nodes of a group whose sketches are close."""
-    sketches = found.filter((F.col("kind") == DIGEST) & F.col("sketch").isNotNull() & (F.col("n") > 0)) \
-        .select("b", "n", "sketch")
+    sketches = found.filter(F.col("kind") == SKETCHES).select("b", "n", "sketch")
     groups = found.filter(F.col("kind") == GROUPS).select(F.col("a").alias("group"), "b").distinct()
     rows = groups.join(sketches, "b").select(F.pmod("group", F.lit(buckets)).cast("int").alias("bucket"), "group", "b", "n", "sketch")
 
@@ -329,9 +341,16 @@ def close_pairs(found: DataFrame, bands: Bands, buckets: int) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(compare, "a long, b long")
 
 
-def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Component (smallest index) of every set; sets come in order of size. Pairs of one component are not compared."""
+def linked(sets: list[np.ndarray], num: int, den: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Component (smallest index) of every set; sets come in order of size. Pairs of one component are not compared.
+
+    Sets with equal numbers in ``known`` are in one component from the start.
+    """
     forest, m = Forest(len(sets)), len(sets)
+    if known is not None:
+        order = np.argsort(known, kind="stable")
+        for a, b in zip(order[:-1][known[order[1:]] == known[order[:-1]]], order[1:][known[order[1:]] == known[order[:-1]]]):
+            forest.join(int(a), int(b))
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(m), sizes)
     shingles = np.concatenate(sets)
@@ -363,25 +382,28 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_name: str = "doc_id",
                        text_name: str = "text", bucket_bytes: int = 1 << 23, task_shingles: int = 1 << 21) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row: documents link if num/den of their shingles are common.
+    """``doc_id, n_shingles, component_id, doc_key, root`` for every row: documents link if num/den of their shingles are common.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. A set holds the distinct runs of ``n`` words;
     a text of fewer words is one shingle. Null texts and texts without words are empty sets: they link with nothing and
-    are their own component. ``component_id`` is the smallest doc_id that links lead to. Equal sets are one node, named
+    are their own component. ``component_id`` is the smallest doc_id that links lead to. ``doc_key`` (xxhash64 of the text's bytes)
+    tells rows with one id apart, ``root`` names the component also where ids repeat (null: empty or without id). Equal sets are one node, named
     by a 64-bit hash, so copies cost nothing. Rows that repeat an id are judged by their own text. Rows without an id
     get their set size and no component, and link nothing. An empty table gives an empty table; only id and text are
     read.
 
-    Candidates form clusters; a cluster of up to ``task_shingles`` shingles is compared in one task. Larger ones are cut
-    into blocks by set size and hash, and only blocks of neighbouring sizes meet.
+    Candidates form clusters; a cluster of up to ``task_shingles`` shingles is compared in one task. Of larger ones all sets are
+    first compared with a few; most are connected by that. What is not connected with the most is cut into blocks by set
+    size and hash and meets the blocks of all others of neighbouring sizes.
     """
     rows = docs.select(F.col(id_name).cast("long").alias("doc_id"), text_bytes(text_name).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    rows = rows.select("doc_id", F.xxhash64("text").alias("key"), "text")
     bands = Bands(num, den)
     buckets = max(16, -(-size // bucket_bytes))
     found = saved(candidates(rows, n, bands, buckets), "signatures")
     digest = found.filter(F.col("kind") == DIGEST).select(
-        F.when(F.col("given"), F.col("a")).alias("doc_id"), F.col("b").alias("node"), F.col("n"))
+        F.when(F.col("given"), F.col("a")).alias("doc_id"), F.col("b").alias("node"), F.col("n"), F.col("key").alias("doc_key"))
     part = digest.filter("doc_id IS NOT NULL AND n > 0")
     nodes = part.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.any_value("n").alias("n"))
     labels = _compare(rows, nodes, components(close_pairs(found, bands, buckets)), n, bands, task_shingles)
@@ -389,43 +411,24 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     named = saved(named, "nodes")
     roots = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
     alone, several = roots.filter("members = 1"), roots.filter("members > 1")
-    known = hot_join(named, several, ["root"], "members") \
-        .select("node", "component_id", "copies")
-    known = known.unionByName(named.join(alone, "root").select("node", "component_id", "copies"))
+    known = hot_join(named, several, ["root"], "members").select("node", "component_id", "copies", "root")
+    known = known.unionByName(named.join(alone, "root").select("node", "component_id", "copies", "root"))
     outside = digest.filter("doc_id IS NULL OR n = 0").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return (hot_join(part, known, ["node"], "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-            .unionByName(outside))
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "doc_key", F.lit(None).cast("long").alias("root"))
+    return hot_join(part, known, ["node"], "copies").select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", "doc_key", "root").unionByName(outside)
 
 
 def _compare(rows: DataFrame, nodes: DataFrame, clusters: DataFrame, n: int, bands: Bands, task_shingles: int) -> DataFrame:
     """``node, root``: exact components within the candidate clusters (``node, root``)."""
     members = saved(clusters.withColumnRenamed("root", "cluster").join(nodes, "node"), "members")
     weight = members.groupBy("cluster").agg(F.sum("n").alias("weight"))
-    large = weight.filter(F.col("weight") > task_shingles)
-    any_large = bool(large.take(1))
-    placed = members.join(weight, "cluster")
-    whole = F.col("weight") <= task_shingles
-    keys = F.array(F.concat_ws(":", "cluster"))
-    if any_large:
-        band = F.size(F.filter(F.array(*map(F.lit, bands.low)), lambda low: low <= F.col("n")))
-        placed = placed.withColumn("band", band)
-        blocks = (placed.filter(~whole).groupBy("cluster", "band").agg(F.ceil(2 * F.sum("n") / task_shingles).cast("int").alias("blocks"))
-                  .groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks")))
-        placed = placed.join(blocks, "cluster", "left")
-        placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")[F.col("band")]).cast("int"))
-
-        def every(of: Column) -> Column:
-            return F.when(F.col("blocks")[of].isNull(), F.array().cast("array<int>")).otherwise(
-                F.sequence(F.lit(0), F.col("blocks")[of] - 1))
-
-        # A block meets the blocks of its own band (once each) and those of the bands next to it.
-        here = F.col("band")
-        same = F.transform(every(here), lambda j: F.concat_ws(":", "cluster", here, F.least("mine", j), F.greatest("mine", j)))
-        up = F.transform(every(here + 1), lambda j: F.concat_ws(":", "cluster", here, here + 1, "mine", j))
-        down = F.transform(every(here - 1), lambda j: F.concat_ws(":", "cluster", here - 1, here, j, "mine"))
-        keys = F.when(whole, keys).otherwise(F.concat(same, up, down))
-    placed = placed.select(F.col("first_id").alias("doc_id"), "node", whole.alias("whole"), keys.alias("keys"))
+    any_large = bool(weight.filter(F.col("weight") > task_shingles).take(1))
+    band = F.size(F.filter(F.array(*map(F.lit, bands.low)), lambda low: low <= F.col("n")))
+    placed = members.join(weight, "cluster").select(
+        F.col("first_id").alias("doc_id"), "node", "cluster", (F.col("weight") <= task_shingles).alias("whole"), band.alias("band"))
+    few = members.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    placed = F.broadcast(placed) if few else placed.hint("shuffle_hash")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -437,26 +440,115 @@ def _compare(rows: DataFrame, nodes: DataFrame, clusters: DataFrame, n: int, ban
                     out.append(shingles.tobytes())
                     keep.append(i)
             part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("keys"), part.column("node"), part.column("whole"),
-                                              pa.array(out, pa.binary())], names=["keys", "node", "whole", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cluster", "node", "whole", "band")),
+                                              pa.array(out, pa.binary())], names=["cluster", "node", "whole", "band", "shingles"])
 
-    with_text = rows.join(placed.hint("shuffle_hash"), "doc_id").select("keys", "node", "whole", "text")
-    found = with_text.mapInArrow(sets, "keys array<string>, node long, whole boolean, shingles binary")
-    found = found.select(F.explode("keys").alias("key"), "node", "whole", "shingles")
+    with_text = rows.join(placed, "doc_id").select("cluster", "node", "whole", "band", "text")
+    found = with_text.mapInArrow(sets, "cluster long, node long, whole boolean, band int, shingles binary")
     num, den = bands.num, bands.den
+    if any_large:
+        found = saved(found, "sets")
 
     def compare(table: pa.Table) -> pa.Table:
-        named = {node: i for i, node in enumerate(table.column("node").to_pylist())}  # copies of a repeated id: once
-        picked = [(node, np.frombuffer(table.column("shingles")[i].as_buffer(), np.uint64)) for node, i in named.items()]
-        picked.sort(key=lambda x: (len(x[1]), x[0]))
-        ids = np.array([x[0] for x in picked], np.int64)
-        roots = ids[linked([x[1] for x in picked], num, den)]
-        whole = table.column("whole")[0].as_py()
-        return pa.table({"node": pa.array(ids), "root": pa.array(roots), "whole": pa.array([whole] * len(ids))})
-
-    pairs = found.groupBy("key").applyInArrow(compare, "node long, root long, whole boolean")
+        ids, picked = _picked(table)
+        return pa.table({"node": pa.array(ids), "root": pa.array(ids[linked(picked, num, den)])})
+
+    pairs = found.filter("whole").select("cluster", "node", "shingles").groupBy("cluster").applyInArrow(compare, "node long, root long")
     if not any_large:
-        return pairs.select("node", "root")
-    pairs = saved(pairs, "pairs")
-    joined = components(pairs.filter("NOT whole").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return pairs.filter("whole").select("node", "root").unionByName(joined)
+        return pairs
+    # A repeated id gives a set more than once.
+    large = found.filter("NOT whole").dropDuplicates(["node"]).withColumn("n", F.length("shingles") / 8)
+    return pairs.unionByName(_compare_large(saved(large, "large"), bands, task_shingles))
+
+
+def _picked(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Nodes of a group and their sets, in order of size."""
+    named = {node: i for i, node in enumerate(table.column("node").to_pylist())}  # copies of a repeated id: once
+    picked = [(node, np.frombuffer(table.column("shingles")[i].as_buffer(), np.uint64)) for node, i in named.items()]
+    picked.sort(key=lambda x: (len(x[1]), x[0]))
+    return np.array([x[0] for x in picked], np.int64), [x[1] for x in picked]
+
+
+def similar_to(pivot: np.ndarray, flat: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the sets that stand one after another in ``flat`` are similar to ``pivot`` (sorted)."""
+    at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
+    hits = np.concatenate(([0], np.cumsum(pivot[at] == flat)))
+    ends = np.cumsum(sizes)
+    common = hits[ends] - hits[ends - sizes]
+    return common * den >= num * (sizes + len(pivot) - common)
+
+
+def _compare_large(large: DataFrame, bands: Bands, task_shingles: int) -> DataFrame:
+    """``node, root`` of clusters that do not fit one task (``cluster, band, node, n, shingles``, one row per node).
+
+    Similar sets are of the same band or of neighbouring ones. A block meets the pivots of these; then only sets outside the
+    largest component so found have pairs left to compare, with each other and with that component's blocks.
+    """
+    num, den = bands.num, bands.den
+    on = ["cluster", "band"]
+    counts = large.groupBy(*on).agg(F.ceil(F.sum("n") / task_shingles).cast("int").alias("blocks"))
+    blocks = counts.select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    least = F.min(F.struct(F.xxhash64("node"), "node")).alias("first")
+    pivots = large.groupBy(*on, F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("slot")).agg(least).select(F.col("first.node").alias("node"))
+    # A few sets per band and cluster, for each of the blocks that they meet.
+    sets = large.join(pivots, "node").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    sent = sets.join(blocks, on).select(*on, "block", "node", "shingles", F.lit(True).alias("pivot"))
+    mine = hot_join(large, counts.join(large.groupBy(*on).agg(F.count("*").alias("n_rows")), on), on, "n_rows").select(
+        *on, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "shingles", F.lit(False).alias("pivot"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        marks = table.column("pivot").to_numpy(zero_copy_only=False)
+        ids, texts = table.column("node").to_numpy(), table.column("shingles")
+        held = np.flatnonzero(~marks)
+        out = [np.zeros((0, 2), np.int64)]
+        if len(held):
+            flat = np.concatenate([np.frombuffer(texts[int(i)].as_buffer(), np.uint64) for i in held])
+            sizes = np.array([len(texts[int(i)].as_buffer()) // 8 for i in held])
+            for p in np.flatnonzero(marks):
+                close = similar_to(np.frombuffer(texts[int(p)].as_buffer(), np.uint64), flat, sizes, num, den)
+                hit = ids[held[close]]
+                out.append(np.stack((hit, np.full(len(hit), ids[p])), 1))
+        links = np.concatenate(out)
+        return pa.table({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1])})
+
+    links = saved(sent.unionByName(mine).groupBy(*on, "block").applyInArrow(meet, "a long, b long"), "pivots")
+    first = components(links)
+    named = large.select("cluster", "node", "n").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = saved(named, "first")
+    heavy = named.groupBy("cluster", "root").agg(F.sum("n").alias("n")).groupBy("cluster").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    if not heavy.take(1):
+        return named.select("node", "root")
+    # Band q has the codes 2 q (sets of the largest component) and 2 q + 1 (the others).
+    rest = large.join(named.select("node", "root"), "node").join(F.broadcast(heavy) if heavy.limit(SENT_ROWS + 1).count() <= SENT_ROWS else heavy, "cluster")
+    rest = saved(rest.select("cluster", "node", "n", "root", "shingles", (
+        2 * F.col("band") + (F.col("root") != F.col("main")).cast("int")).alias("code")), "rest")
+    blocks = (rest.groupBy("cluster", "code").agg(F.ceil(2 * F.sum("n") / task_shingles).cast("int").alias("blocks"), F.count("*").alias("n_rows"))
+              .groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("code", "blocks"))).alias("blocks"), F.sum("n_rows").alias("n_rows")))
+    rest = hot_join(rest, blocks, ["cluster"], "n_rows")
+    here, of = F.col("code"), F.col("blocks")
+    rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), of[here]).cast("int"))
+
+    def every(code: Column) -> Column:
+        return F.when(of[code].isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), of[code] - 1))
+
+    def keys(low: Column, high: Column, code: Column, upward: bool) -> Column:
+        """Keys of this block with all blocks of ``code``; the lower code and its block come first."""
+        return F.transform(every(code), lambda j: F.concat_ws(":", "cluster", low, high, *(("mine", j) if upward else (j, "mine"))))
+
+    same = F.transform(every(here), lambda j: F.concat_ws(":", "cluster", here, here, F.least("mine", j), F.greatest("mine", j)))
+    others = F.concat(same, keys(here, here + 2, here + 2, True), keys(here - 2, here, here - 2, False),
+                      *[keys(here + d, here, here + d, False) for d in (-3, -1)], keys(here, here + 1, here + 1, True))
+    most = F.concat(keys(here, here + 1, here + 1, True), keys(here, here + 3, here + 3, True), keys(here - 1, here, here - 1, False))
+    dealt = rest.select("node", "root", "shingles", F.explode(F.when(here % 2 == 1, others).otherwise(most)).alias("key"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, picked = _picked(table)
+        root_of = dict(zip(table.column("node").to_pylist(), table.column("root").to_pylist()))
+        known = np.array([root_of[i] for i in ids.tolist()], np.int64)
+        return pa.table({"a": pa.array(ids), "b": pa.array(ids[linked(picked, num, den, known)])})
+
+    more = dealt.groupBy("key").applyInArrow(compare, "a long, b long").filter("a <> b")
+    joined = components(more.unionByName(named.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return named.select("node", "root").join(joined.withColumnRenamed("root", "last"), "node", "left").select(
+        "node", F.coalesce("last", "root").alias("root"))

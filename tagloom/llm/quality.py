@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, held_out, mix64, pieces, span_hashes, text_bytes, translated, word_spans, words_table
+from .common import buffers, held_out, mix64, pieces, span_hashes, text_bytes, translated, word_spans, words_table, whole_row
 
 WORDS = words_table("visible", lower=False)
 _CLASSES = np.zeros(256, np.int64)
@@ -154,7 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_name: s
 
 def score(docs: DataFrame, model: Model, columns: list[str], text_name: str = "text") -> DataFrame:
     """``columns`` of ``docs`` under their names in a struct ``doc``, and the ``score`` of every row."""
-    rows = docs.select(F.struct(*columns).alias("doc"), text_bytes(text_name).alias("text"))
+    rows = docs.select(whole_row(docs, columns).alias("doc"), text_bytes(text_name).alias("text"))
     schema = rows.select("doc").schema.add("score", "double")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,7 +56,9 @@ def op9_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_partenum_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partenum.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+    """Shingle count and component of every document."""
+    found = partenum.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op11_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

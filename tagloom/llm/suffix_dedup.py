@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Anchors
-from .common import buffers, mix64, saved, text_bytes
+from .common import buffers, mix64, saved, text_bytes, whole_row
 from .merge import LoserTree, decode, front_code
 
 ANCHORS, SPANS, WANTED = 0, 1, 2
@@ -315,7 +315,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 40, id_name:
     A null text is empty. Every row counts as a document, so two equal rows are copies of each other; null and repeated
     ids are no special case. An empty table gives an empty table. Columns of ``docs`` may have any names.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_name).cast("long").alias("doc_id"),
+    rows = docs.select(whole_row(docs).alias("doc"), F.col(id_name).cast("long").alias("doc_id"),
                        text_bytes(text_name).alias("text"))
     spans = repeated_spans(rows.select("doc_id", "text"), length, gram, **options)
     keyed = rows.withColumn("doc_key", F.xxhash64("text"))

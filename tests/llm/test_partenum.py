@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 
 from tagloom.llm.components import components
-from tagloom.llm.partenum import Bands, jaccard_components
+from pyspark.sql import functions as F
+
+from tagloom.llm.partenum import DIGEST, SKETCHES, Bands, candidates, jaccard_components, similar_to
 
 from .common import frame, prose, rows
 
@@ -36,6 +38,10 @@ def brute(docs, n, num, den):
     return sorted(out, key=repr)
 
 
+def pick(df):
+    return rows(df.select("doc_id", "n_shingles", "component_id"))
+
+
 def changed(rng, text, share):
     return " ".join(w if rng.random() > share else f"new{rng.randrange(10**6)}" for w in text.split())
 
@@ -60,17 +66,58 @@ def documents():
 @pytest.mark.parametrize("n,num,den", [(4, 85, 100), (5, 80, 100)])
 def test_against_brute_force(spark, n, num, den):
     docs = documents()
-    assert rows(jaccard_components(frame(spark, docs), n, num, den)) == brute(docs, n, num, den)
+    assert pick(jaccard_components(frame(spark, docs), n, num, den)) == brute(docs, n, num, den)
 
 
 def test_large_clusters_in_blocks(spark):
     docs = documents()
     found = jaccard_components(frame(spark, docs), 4, 85, 100, task_shingles=400, bucket_bytes=2000)
-    assert rows(found) == brute(docs, 4, 85, 100)
+    assert pick(found) == brute(docs, 4, 85, 100)
+
+
+@pytest.mark.parametrize("task_shingles", [300, 3000])
+def test_large_clusters_of_several_components(spark, task_shingles):
+    """One origin with very many near copies, others whose copies are near to each other but not to it, chains between them."""
+    rng = random.Random(5)
+    origin = prose(77, 60)
+    docs = [(i, changed(rng, origin, 0.01)) for i in range(60)]
+    far = changed(rng, origin, 0.04)
+    docs += [(100 + i, changed(rng, far, 0.008)) for i in range(40)]
+    step = origin
+    for i in range(25):
+        w = step.split()
+        w[rng.randrange(len(w))] = f"s{i}"
+        step = " ".join(w[:60 + i])
+        docs.append((300 + i, step + f" end{i}" * (i % 3)))
+    docs += [(400 + i, origin) for i in range(20)]
+    found = jaccard_components(frame(spark, docs).repartition(5), 4, 85, 100, task_shingles=task_shingles, bucket_bytes=4000)
+    assert pick(found) == brute(docs, 4, 85, 100)
+
+
+def test_similar_to():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60)).astype(np.uint64)) for _ in range(200)]
+    for pivot in sets[:20]:
+        got = similar_to(pivot, np.concatenate(sets), np.array([len(x) for x in sets]), 3, 5)
+        assert got.tolist() == [5 * len(np.intersect1d(pivot, x)) >= 3 * len(np.union1d(pivot, x)) for x in sets]
+
+
+def test_copies_are_dealt_over_all_groups(spark):
+    """Copies of one text, and texts without words, do not meet in one group; a task sends one sketch of them."""
+    text, bands = prose(1, 30), Bands(85, 100)
+    docs = spark.createDataFrame([(i, (text if i % 2 else "").encode()) for i in range(3000)], "doc_id long, text binary").withColumn("key", F.xxhash64("text")).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = candidates(docs, 4, bands, 16).select("*", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    digests = [r.p for r in found if r.kind == DIGEST]
+    assert len(digests) == 3000 and sum(r.kind == SKETCHES for r in found) == 1
+    assert max(digests.count(p) for p in set(digests)) < 1500
 
 
 def test_empty_table(spark):
-    assert rows(jaccard_components(frame(spark, []))) == []
+    assert pick(jaccard_components(frame(spark, []))) == []
 
 
 def test_similar_sets_share_a_signature():
