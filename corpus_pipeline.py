@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import decontaminate, mixing, partenum, quality, suffix_dedup
-from tagloom.llm.common import saved, table
+from tagloom.llm.common import hot_join, saved, sized, table, text_bytes, whole_row
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,14 +17,37 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, docs.columns).filter("score >= 0.5").select("doc.*")
 
 
+def _without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``docs`` whose id and text (or text alone) are not listed; ``gone`` holds short keys, few or many."""
+    of = {"gone_id": F.col("doc_id"), "gone_key": F.xxhash64(text_bytes())}
+    listed = sized(saved(gone, "gone"))
+    same = [of[k].eqNullSafe(F.col(f"g.{k}")) if k == "gone_id" else of[k] == F.col(f"g.{k}") for k in keys]
+    return docs.join(listed.alias("g"), reduce(Column.__and__, same), "left_anti")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 5-word shingles at a similarity of 0.8 the one with the smallest id stays.
 
-    Rows without an id are no one's copy and stay; of rows that repeat the smallest id all stay that have the same text.
+    Rows are told apart by id and text: where ids repeat, a row goes only if its own text is a copy, and of rows of the smallest id
+    the one with the smallest text hash stays, once. Rows without an id or without words are no one's copy and stay.
     """
-    found = partenum.jaccard_components(docs, n=5, num=80, den=100, task_shingles=1 << 22)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    found = partenum.jaccard_components(docs, n=5, num=80, den=100, task_shingles=1 << 22).filter("root IS NOT NULL")
+    found = saved(found.select("doc_id", "doc_key", "root"), "copies")
+    pair = F.struct("doc_id", "doc_key")
+    groups = found.groupBy("root").agg(F.min(pair).alias("kept"), F.count("*").alias("n_rows")).filter("n_rows > 1")
+    copies = hot_join(found, groups, ["root"], "n_rows")
+    gone = copies.filter(pair != F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("doc_key").alias("gone_key"))
+    left = _without(docs, gone.distinct(), ["gone_id", "gone_key"])
+    again = copies.filter(pair == F.col("kept")).groupBy("doc_id", "doc_key").count().filter("count > 1")
+    again = saved(again.select(F.col("doc_id").alias("gone_id"), F.col("doc_key").alias("gone_key")), "again")
+    if not again.take(1):
+        return left
+    # Rows equal in id and text: one of each.
+    same = [F.col("doc_id") == F.col("g.gone_id"), F.xxhash64(text_bytes()) == F.col("g.gone_key")]
+    one = left.join(sized(again).alias("g"), same, "left_semi")
+    one = one.groupBy("doc_id", F.xxhash64(text_bytes()).alias("gone_key")).agg(
+        F.any_value(whole_row(docs)).alias("row")).select("row.*")
+    return _without(left, again, ["gone_id", "gone_key"]).unionByName(one)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,18 +55,18 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(docs, whole_characters=True)
     text = F.when(F.col("doc.text").isNotNull(), F.decode("kept", "UTF-8"))
     columns = [text.alias(c) if c == "text" else F.char_length(text).cast("long").alias(c) if c == "n_chars"
-               else F.col(f"doc.{c}") for c in docs.columns]
+               else F.col(f"doc.`{c}`") for c in docs.columns]
     return found.select(*columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that hold ten consecutive words of a benchmark item, or all of a shorter one.
 
-    Rows that share the id of such a document go with it; rows without an id stay.
+    That depends on the text alone, so texts are judged and removed by their hash: ids may be null or repeated.
     """
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.filter("contaminated").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    texts = docs.select(F.xxhash64(text_bytes()).alias("doc_id"), "text")
+    found = decontaminate.decontaminate(texts, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.filter("contaminated").select(F.col("doc_id").alias("gone_key")).distinct(), ["gone_key"])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
