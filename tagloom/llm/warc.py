@@ -226,8 +226,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
+#: Most tasks in which an archive is read back.
+MOST_TASKS = 20_000
+
+
 def read_warc(index: DataFrame, payload: bool = False) -> DataFrame:
-    """Every record of the bundles the index names; frames are found through the seek tables of the bundles."""
+    """Every record of the bundles the index names; frames are found through the seek tables of the bundles.
+
+    Every bundle is a task of its own, up to ``MOST_TASKS``. A bundle that is named more than once is read once, an empty index
+    gives no records, and a bundle that is gone is an error.
+    """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("bundle").to_pylist():
@@ -240,7 +248,9 @@ def read_warc(index: DataFrame, payload: bool = False) -> DataFrame:
                             out.append(record)
                         yield _records(out, payload)
 
-    return index.select("bundle").distinct().mapInArrow(read, RECORD_SCHEMA)
+    bundles = index.select("bundle").distinct()
+    # The names are short, but each stands for a bundle to be read: dealt out one by one, however few bytes they have.
+    return bundles.repartition(max(1, min(bundles.count(), MOST_TASKS))).mapInArrow(read, RECORD_SCHEMA)
 
 
 def lookup(index: DataFrame, ids: DataFrame, id_name: str = "page_id") -> DataFrame:
