@@ -116,8 +116,12 @@ def set_hash(shingles: np.ndarray) -> int:
 
 
 def sketch_words(size: np.ndarray, bands: Bands) -> np.ndarray:
-    """Length of the sketches (in 64-bit words, a power of 2): at least three bits per shingle that may differ."""
-    bits = 6 * size * (bands.den - bands.num) // (bands.den + bands.num)
+    """Length of the sketches (in 64-bit words, a power of 2): at least three bits per shingle that may differ, and 64 more.
+
+    Sketches of sets that have nothing in common differ in half their bits, give or take the root; the 64 keep that
+    away from what may differ also for small sets.
+    """
+    bits = 6 * size * (bands.den - bands.num) // (bands.den + bands.num) + 64
     return 1 << np.ceil(np.log2(np.maximum(1, bits / 64))).astype(np.int64)
 
 
@@ -208,6 +212,8 @@ def close_links(sigs: np.ndarray, nodes: np.ndarray, sketches: Sketches) -> np.n
                 break
             for row, hit in sketches.close_rows(members, i, min(i + 64, n)):
                 hit = hit[roots[hit] != roots[row]]
+                # A group is compared at its shortest sketch; what passes there, at the longest that each pair has.
+                hit = hit[sketches.close(np.full(len(hit), members[row]), members[hit])]
                 if len(hit):
                     joined, one = np.unique(roots[hit], return_index=True)
                     out.append(np.stack((np.full(len(one), members[row]), members[hit[one]]), 1))

@@ -6,7 +6,8 @@ import pytest
 from tagloom.llm.components import components
 from pyspark.sql import functions as F
 
-from tagloom.llm.partenum import DIGEST, SKETCHES, Bands, candidates, jaccard_components, similar_to
+from tagloom.llm.partenum import (
+    DIGEST, SKETCHES, Bands, Sketches, candidates, close_links, jaccard_components, similar_to, sketch, sketch_words)
 
 from .common import frame, prose, rows
 
@@ -102,6 +103,19 @@ def test_similar_to():
         assert got.tolist() == [5 * len(np.intersect1d(pivot, x)) >= 3 * len(np.union1d(pivot, x)) for x in sets]
 
 
+def test_unlike_sets_of_one_group_are_not_linked():
+    """Sets that share a signature but nothing else are told apart, though a group holds sketches of two lengths."""
+    rng, bands = np.random.default_rng(1), Bands(80, 100)
+    sets = [np.unique(rng.integers(0, 1 << 62, rng.integers(300, 560)).astype(np.uint64)) for _ in range(400)]
+    sets += [np.append(x[5:], x[:3]) for x in sets[:40]]
+    sizes = np.array([len(x) for x in sets])
+    words = sketch_words(sizes, bands)
+    drawn = Sketches(sizes, words, np.concatenate([sketch(x, int(w)) for x, w in zip(sets, words)]), bands)
+    assert len(set(words.tolist())) == 2
+    links = close_links(np.zeros(len(sets), np.uint64), np.arange(len(sets)), drawn)
+    assert {(i, 400 + i) for i in range(40)} <= {tuple(sorted(x)) for x in links.tolist()} and len(links) <= 42
+
+
 def test_copies_are_dealt_over_all_groups(spark):
     """Copies of one text, and texts without words, do not meet in one group; a task sends one sketch of them."""
     text, bands = prose(1, 30), Bands(85, 100)
