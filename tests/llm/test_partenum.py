@@ -106,7 +106,7 @@ def test_similar_to():
 def test_unlike_sets_of_one_group_are_not_linked():
     """Sets that share a signature but nothing else are told apart, though a group holds sketches of two lengths."""
     rng, bands = np.random.default_rng(1), Bands(80, 100)
-    sets = [np.unique(rng.integers(0, 1 << 62, rng.integers(300, 560)).astype(np.uint64)) for _ in range(400)]
+    sets = [np.unique(rng.integers(0, 1 << 62, rng.integers(200, 400)).astype(np.uint64)) for _ in range(400)]
     sets += [np.append(x[5:], x[:3]) for x in sets[:40]]
     sizes = np.array([len(x) for x in sets])
     words = sketch_words(sizes, bands)
