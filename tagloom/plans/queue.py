@@ -20,7 +20,7 @@ from ..operators.ranges import plan_manual, plan_ranges
 from ..operators.usage import token_usage
 from ..session import prepare
 from ..sources import ledger
-from ..sources.messages import path_exists, read_messages
+from ..sources.messages import land_messages, path_exists
 from ..sources.parts import read_partitioned, read_parts, write_output, write_parts
 from ..spec import RETRIES_FAILED, PromptSpec
 from .calls import Caller
@@ -36,7 +36,8 @@ ENTRY_SCHEMA = (
 class QueueRun:
     """One run: where its tables are and how its files are handled.
 
-    ``out`` is shared storage and holds: runs, files (manifest log), status, waves, parts, merged and analytics. With
+    ``out`` is shared storage and holds: runs, files (manifest log), input (every file landed once; rows without ``RowID`` are numbered in
+    file order), status, waves, parts, merged and analytics. With
     ``files_at_once`` above 1 the jobs of that many files are handed to Spark side by side.
     """
 
@@ -100,7 +101,7 @@ def _worker_status(run: QueueRun, label: str, rows: DataFrame, planned: DataFram
 
 def _label_file(spark: SparkSession, run: QueueRun, path: str, label: str) -> None:
     """Label one file, save its parts and status, and merge if the condition allows it."""
-    messages = read_messages(spark, path, run.na_tokens)
+    messages = land_messages(spark, path, f"{run.out}/input/{run.run_id}/{folder_name(label)}", run.na_tokens)
     stats = key_stats(messages, "RowID")
     given = run.plan.ranges
     planned = plan_manual(spark, given) if given else plan_ranges(messages.select("RowID"), run.plan.n_workers)

@@ -15,6 +15,7 @@ from ..operators.usage import stamp_metadata
 from ..plans.calls import ClientCaller, ColumnCaller, GiveUp
 from ..plans.label import RunPlan, label_table
 from ..session import work_folder
+from ..sources.messages import land_messages
 from ..spec import PromptSpec
 from .common import (BATCH, INTERVAL, LOG_SQL, MESSAGES_SQL, RETRIES, WORKERS, as_messages, messages, placed,
                      placed_sql, response_log, table)
@@ -72,6 +73,16 @@ def label_documents(spark, sf_dir):
     return labelled.select("RowID", "Sentiment", *SPEC.columns, "worker_id", "batch_id", "part", "kind", "attempt")
 
 
+def label_unnumbered(spark, sf_dir):
+    """The whole run over documents without ids: landed once and numbered in file order."""
+    folder = work_folder(spark, "unnumbered")
+    docs = table(spark, sf_dir, "documents").orderBy("doc_id")
+    docs.select(F.col("source").alias("Title"), F.col("text").alias("Message"), "lang", "n_chars", "source").write.parquet(f"{folder}/in")
+    rows = land_messages(spark, f"{folder}/in", f"{folder}/landed")
+    labelled = label_table(with_answer(rows), SPEC, RESPONDER, PLAN, extra=("answer",))
+    return labelled.select("RowID", "Sentiment", *SPEC.columns, "worker_id", "batch_id", "part", "kind", "attempt")
+
+
 def echo_client():
     """Stands for a model: reads the ids out of the prompt and answers one object per message.
 
@@ -226,11 +237,12 @@ _ECHO = f"""WITH {MESSAGES_SQL}
            'k' || RowID AS Key FROM messages"""
 
 QUERIES = {f.__name__: f for f in (
-    label_documents, infer_batches, infer_rows, resume_calls, retry_pending, resolve_attempts, fallback_rows, terminal_fill,
+    label_documents, label_unnumbered, infer_batches, infer_rows, resume_calls, retry_pending, resolve_attempts, fallback_rows, terminal_fill,
     prefer_batch, zip_results)} | {"stamp_metadata": stamp_metrics}
 
 ORACLES = {
     "label_documents": _FLAGSHIP,
+    "label_unnumbered": f"SELECT * REPLACE (CAST(NULL AS VARCHAR) AS Sentiment) FROM ({_FLAGSHIP})",
     "infer_batches": _ECHO,
     "infer_rows": _ECHO,
     "resume_calls": f"SELECT *, 'batch' AS kind, 1 AS attempt FROM ({_ECHO})",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import merge, resume, runs
 from tagloom.sources import ledger, messages, parts
+from tagloom.sources.messages import land_messages
 
 
 def test_csv(spark, tmp_path):
@@ -179,3 +180,40 @@ def test_files_found_and_missing(spark, tmp_path):
     planned = spark.createDataFrame([("a", [f"{base}/a_w1.csv", f"{base}/a_w3.csv"]), ("b", [])],
                                     "label string, expected_outputs array<string>")
     assert [r["path"] for r in runs.missing_outputs(planned, found).collect()] == [f"{base}/a_w3.csv"]
+
+
+def test_rows_without_ids_are_numbered_in_file_order(spark, tmp_path):
+    """Over many files and splits, and the same whenever it is done again."""
+    source = str(tmp_path / "in")
+    texts = [f"m{i:04d} " + "x" * 200 for i in range(4000)]
+    df = spark.createDataFrame([(t, i, i, i) for i, t in enumerate(texts)], "Message string, file long, block long, at long")
+    df.orderBy("file").repartitionByRange(5, "file").sortWithinPartitions("file").write.option("parquet.block.size", 16384).parquet(source)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        landed = land_messages(spark, source, str(tmp_path / "landed"), start=10)
+        rows = sorted((r.RowID, r.Message, r.file, r.block, r.at) for r in landed.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == [(i + 10, t, i, i, i) for i, t in enumerate(texts)]
+    again = land_messages(spark, source, str(tmp_path / "landed"), start=10)
+    assert sorted((r.RowID, r.Message) for r in again.collect()) == [(i + 10, t) for i, t in enumerate(texts)]
+    assert again.columns == ["RowID", "Message", "file", "block", "at", "Title", "Sentiment"]
+
+
+def test_csv_is_landed_once(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text('Message,Title\n"a, ""b""\nc",T\nNA,U\nlast,\n')
+    first = land_messages(spark, str(path), str(tmp_path / "landed"), na_tokens=["NA"])
+    assert [tuple(r) for r in first.select("RowID", "Message", "Title").orderBy("RowID").collect()] == [
+        (1, 'a, "b"\nc', "T"), (2, None, "U"), (3, "last", None)]
+    ids = tmp_path / "ids.csv"
+    ids.write_text("RowID,Message\n7,x\n")
+    assert land_messages(spark, str(ids), str(tmp_path / "l2")).first().RowID == 7
+    path.write_text("Message,Title\nchanged,T\n")
+    assert land_messages(spark, str(path), str(tmp_path / "landed")).count() == 3
+    with pytest.raises(ValueError, match="Message"):
+        path.write_text("Text\nx\n")
+        land_messages(spark, str(path), str(tmp_path / "l3"))
+    empty = tmp_path / "empty.csv"
+    empty.write_text("Message\n")
+    assert land_messages(spark, str(empty), str(tmp_path / "l4")).count() == 0
