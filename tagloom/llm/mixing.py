@@ -141,8 +141,9 @@ NEW = ("mix_source", "mix_block", "mix_slot", "mix_place")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 64,
-        id_name: str = "doc_id", source_name: str = "source", text_name: str = "text", bucket_rows: int = 50_000) -> DataFrame:
-    """All columns of ``docs`` with ``mix_source, mix_block, mix_slot, mix_place``: the order to read the mixture in.
+        id_name: str = "doc_id", source_name: str = "source", text_name: str = "text", bucket_rows: int = 50_000,
+        columns: list[str] | None = None) -> DataFrame:
+    """All columns (or those named in ``columns``) of ``docs`` with ``mix_source, mix_block, mix_slot, mix_place``: the order to read the mixture in.
 
     The rows of a source are put in the order of a hash of id and text, and cut into blocks of ``block_rows`` rows (the
     last one may be shorter). ``mix_block`` counts a source's blocks from 0, ``mix_slot`` is the block's place in the
@@ -158,7 +159,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     """
     source = F.coalesce(F.col(source_name), F.lit(""))
     order = F.xxhash64(F.col(id_name), text_key(text_name))
-    kept = [c for c in docs.columns if c.lower() not in NEW]
+    kept = [c for c in (docs.columns if columns is None else columns) if c.lower() not in NEW]
     # The row travels as one column, so that no name can clash with those used here.
     rows = docs.select(whole_row(docs, kept).alias("_row"), F.col(id_name).alias("_id"), source.alias("mix_source"), order.alias("_order"),
                        F.xxhash64(F.lit("tie"), F.col(text_name)).alias("_tie"))

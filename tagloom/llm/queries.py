@@ -31,8 +31,7 @@ def op3_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every document stands in a mixture of all sources with equal weights."""
-    found = mixing.mix(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "mix_source", "mix_block", "mix_slot", "mix_place")
+    return mixing.mix(table(spark, sf_dir, "documents"), columns=["doc_id"])
 
 
 def op5_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
