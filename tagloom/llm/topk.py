@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Components are integers below this size, so that scores of up to 4096 dimensions fit a long.
-LIMIT = 1 << 25
+#: Components are integers below this size, so that differences of two fit a long. Sums of products may be of any size while they are
+#: compared; only the scores that are returned have to be longs.
+LIMIT = 1 << 61
 INDEX_SCHEMA = "dim int, block long, rows int, ids binary, low binary, bits binary, slices binary"
 
 
@@ -32,7 +33,7 @@ def usable(vectors: DataFrame, id_name: str, vector_name: str, scale: float) ->
                     & (F.abs(x.cast("double")) != float("inf")))
     rows = vectors.filter(F.col(id_name).isNotNull() & F.col(vector_name).isNotNull()).filter(F.coalesce(fine, F.lit(False)))
     whole = rows.select(F.col(id_name).cast("long").alias("vec_id"), quantised(F.col(vector_name), scale).alias("v"))
-    small = F.forall("v", lambda x: F.abs(x) < LIMIT)
+    small = F.forall("v", lambda x: (x > -LIMIT) & (x < LIMIT))
     return whole.select("vec_id", F.when(small, F.col("v")).otherwise(
         F.raise_error(F.lit(f"components must stay below {LIMIT} after scaling"))).alias("v"))
 
@@ -196,12 +197,17 @@ def search_block(q: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, low: np.
         for r in range(left[i], right[i]):
             valid[i, r // 64] &= ~np.uint64(1 << (r % 64))
     who, row = rows_of(select_top(total, valid, k))
-    value = np.zeros(len(who), np.int64)
+    # Where sums could leave a long they are put together as Python's integers.
+    largest = max(map(abs, map(int, low)), default=0) + (1 << int(bits.max(initial=0)))
+    kind = np.int64 if len(bits) * largest * int(np.abs(q).max(initial=0)) < 1 << 62 and len(total) < 63 else object
+    value = np.zeros(len(who), np.int64).astype(kind)
     for i, s in enumerate(total):
-        flag = ((s[who, row // 64] >> (row % 64).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+        flag = ((s[who, row // 64] >> (row % 64).astype(np.uint64)) & np.uint64(1)).astype(np.int64).astype(kind)
         # After a subtraction the top slice is set where the number is not negative.
         value += (flag - 1 if down and i == len(total) - 1 else flag) << i
-    value += (q @ low)[who]
+    value += (q.astype(kind) @ low.astype(kind))[who]
+    if kind is object:
+        return _longs(who, ids[row], value, k)
     order = np.lexsort((ids[row], -value, who))
     who, row, value = who[order], row[order], value[order]
     first = np.searchsorted(who, who, "left")
@@ -209,6 +215,19 @@ def search_block(q: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, low: np.
     return who[keep], ids[row[keep]], value[keep]
 
 
+def _longs(who: np.ndarray, found: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of every query for scores of any size; one among them that is no long is an error."""
+    kept: list[tuple[int, int, int]] = []
+    for number in np.unique(who):
+        mine = np.flatnonzero(who == number)
+        pairs = sorted((-int(v), int(i)) for v, i in zip(value[mine], found[mine]))[:k]
+        kept += [(int(number), i, -v) for v, i in pairs]
+    if any(not -(1 << 63) <= v < 1 << 63 for _, _, v in kept):
+        raise OverflowError("a score among the best does not fit a long")
+    out = np.array(kept, np.int64).reshape(-1, 3)
+    return out[:, 0], out[:, 1], out[:, 2]
+
+
 def subtract(total: list[np.ndarray], down: list[np.ndarray]) -> list[np.ndarray]:
     """total - down in two's complement; the added top slice is the inverted sign, so that larger still sorts higher."""
     width = max(len(total), len(down)) + 1
@@ -230,7 +249,8 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5, id_n
           vector_name: str = "embedding", scale: float = 256.0, block_rows: int = 8192, query_block: int = 64) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k best rows by integer inner product, ties to the smaller id.
 
-    Components x become floor(scale * x). ``queries`` (default: rows of ``vectors`` whose id is divisible by 50) is a
+    Components x become floor(scale * x), which must stay below ``LIMIT`` in size; a score among a block's best that is no long is
+    an error. ``queries`` (default: rows of ``vectors`` whose id is divisible by 50) is a
     table with the same two columns. It is cut into blocks of about ``query_block`` rows, and every block meets every
     block of the index once; no table is broadcast. A row never finds rows with its own id. Vectors that are null, hold
     null, NaN or infinite components, or have no id take no part; only vectors of equal length meet, and those of length

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tagloom.llm.topk import search_block, slice_block, top_k
 
@@ -59,3 +60,22 @@ def test_block_of_equal_rows():
     low, bits, slices = slice_block(v)
     who, found, score = search_block(np.array([[-2, 3, 0]]), np.array([4]), np.arange(70), low, bits, slices, 3)
     assert found.tolist() == [0, 1, 2] and score.tolist() == [-5] * 3
+
+
+def test_large_components(spark):
+    """Sums of products go beyond a long while rows are compared, the scores that are returned do not."""
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([
+        (200000.0, -3.0, 1e6), (1e12, 0.5, -2.0), (-1e13, 1.0, 0.0), (0.25, 0.25, 0.25), (-131072.0, 7.0, 1e6), (4e6, -4e6, 3.0)])]
+    rows += [(50, [0.5, 1.0, -0.25]), (100, [-1.5, 1e4, 2.0])]
+    asked = [r for r in rows if r[0] in (50, 100)]
+    out = top_k(frame(spark, rows), frame(spark, asked), k=3)
+    assert sorted(map(tuple, out.collect())) == brute(rows, asked, 3)
+
+
+def test_scores_beyond_a_long(spark):
+    low, bits, slices = slice_block(np.array([[1 << 60, 0], [-(1 << 60), 5], [3, 4]]))
+    q = np.array([[-8, 1]])
+    who, found, score = search_block(np.array([[0, 1]]), np.array([9]), np.arange(3), low, bits, slices, 2)
+    assert list(zip(found.tolist(), score.tolist())) == [(1, 5), (2, 4)]
+    with pytest.raises(OverflowError, match="long"):
+        search_block(q, np.array([9]), np.arange(3), low, bits, slices, 2)
