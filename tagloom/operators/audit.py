@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import label_class
@@ -13,37 +14,36 @@ from ..functions.text import metric_key
 # Columns that are never counted, and the text that marks an error cell.
 UNCOUNTED = ("RowID", "Message", "Title", "Model_Name", "Batch_Size", "Run_ID")
 ERROR_TEXT = "ERROR"
-# A first estimate of distinct values may be off by this factor without losing a column.
-ESTIMATE_SLACK = 2
-
-
-def _long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]
-    return df.select(F.inline(F.array(*pairs)))
-
-
-def _countable(df: DataFrame, limit: int, skip: Sequence[str]) -> list[str]:
-    """Columns that can have fewer than ``limit`` values, by one estimating pass over all of them."""
-    columns = [c for c in df.columns if c not in skip]
-    if not columns:
-        return []
-    estimates = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    return [c for i, c in enumerate(columns) if estimates[i] < limit * ESTIMATE_SLACK]
 
 
 def category_counts(df: DataFrame, limit: int = 50, skip: Sequence[str] = UNCOUNTED) -> DataFrame:
     """Value counts (column, value, n) of every column with fewer than ``limit`` distinct values, NULLs left out.
 
-    Wide text columns are sorted out by an estimate and are not shuffled; the exact limit is applied to the counts. These
-    are about ``limit * ESTIMATE_SLACK`` rows per column at most, so a window per column stays small.
+    One scan and one aggregation of bounded size. Per column it keeps a sketch of the distinct hashes and one of the
+    values' counts. Both are exact up to ``limit`` values and merge, so no value is shuffled row by row: every task hands on at
+    most some 2 * ``limit`` values per column, and these are merged in two steps. A column leaves only when that many
+    values were really seen. A table without rows or without such columns gives no rows.
     """
-    columns = _countable(df, limit, skip)
+    columns = [c for c in df.columns if c not in skip]
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, value string, n long")
-    counts = _long_form(df, columns).filter(F.col("value").isNotNull()).groupBy("column", "value") \
-        .agg(F.count("*").alias("n"))
-    values = F.count("*").over(Window.partitionBy("column"))
-    return counts.withColumn("_values", values).filter(F.col("_values") < limit).drop("_values")
+    names = [f"c{i}" for i in range(len(columns))]
+    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(n) for c, n in zip(columns, names)])
+    # The hashes' sketch is exact up to 2 ** bits values; one more value is tracked because NULL counts as a value there.
+    bits = max(4, math.ceil(math.log2(2 * limit)))
+    kept = [F.expr(f"theta_sketch_agg(if({n} IS NULL, NULL, xxhash64({n})), {bits})").alias(f"{n}_seen") for n in names]
+    kept += [F.expr(f"approx_top_k_accumulate({n}, {limit + 1})").alias(f"{n}_top") for n in names]
+    kept += [F.count(n).alias(f"{n}_cells") for n in names]
+    by_task = texts.groupBy(F.spark_partition_id().alias("task")).agg(*kept)
+    merged = [F.struct(
+        F.lit(c).alias("column"), F.expr(f"theta_sketch_estimate(theta_union_agg({n}_seen, {bits}))").alias("seen"),
+        F.expr(f"approx_top_k_estimate(approx_top_k_combine({n}_top, {limit + 1}), {limit + 1})").alias("top"),
+        F.sum(f"{n}_cells").alias("cells")) for c, n in zip(columns, names)]
+    found = by_task.agg(F.array(*merged).alias("found")).select(F.inline("found"))
+    counts = F.filter("top", lambda t: t["item"].isNotNull())
+    all_counted = F.aggregate(counts, F.lit(0).cast("long"), lambda n, t: n + t["count"]) == F.col("cells")
+    few = found.filter(F.col("seen") < limit).withColumn("top", counts).filter((F.size("top") < limit) & all_counted)
+    return few.select("column", F.inline("top")).toDF("column", "value", "n")
 
 
 def _error_cells(df: DataFrame) -> Column:

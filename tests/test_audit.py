@@ -25,6 +25,24 @@ def test_a_hot_value_is_counted_like_any_other(spark):
     assert text.count("FileScan") + text.count("Range (0") == 1 and "partial_count" in text
 
 
+def test_counts_need_one_scan_and_no_shuffle_of_values(spark, tmp_path):
+    path = str(tmp_path / "coded")
+    spark.range(20_000).selectExpr(
+        "id AS RowID", "concat('a long text that no other row has ', id) AS Reason", "if(id % 7 = 0, '', concat('k', id % 48)) AS Topic",
+        "if(id % 5 = 0, NULL, id % 2 = 0) AS Flag", "concat('long ', repeat('x', 500), id % 3) AS Wide").repartition(13).write.parquet(path)
+    out = audit.category_counts(spark.read.parquet(path))
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "Window" not in text
+    counts = {}
+    for r in out.collect():
+        counts.setdefault(r["column"], {})[r["value"]] = r["n"]
+    assert set(counts) == {"Topic", "Flag", "Wide"}
+    assert len(counts["Topic"]) == 49 and counts["Topic"][""] == 2858 and sum(counts["Topic"].values()) == 20_000
+    assert counts["Flag"] == {"true": 8000, "false": 8000} and sum(counts["Wide"].values()) == 20_000
+    assert audit.category_counts(spark.read.parquet(path).limit(0)).collect() == []
+    assert {r["column"] for r in audit.category_counts(spark.read.parquet(path), limit=3).collect()} == {"Flag"}
+
+
 def test_metric_names_that_meet_are_added_up(spark):
     df = spark.createDataFrame([("a b", "ERROR_X"), ("a-b", "y ERROR"), ("a_b", None)], "Key_Point string, Other string")
     row = audit.analytics_row(df, {"run_id": "r"}).first()
