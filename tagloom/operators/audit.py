@@ -39,7 +39,8 @@ def category_counts(df: DataFrame, limit: int = 50, skip: Sequence[str] = UNCOUN
         F.lit(c).alias("column"), F.expr(f"theta_sketch_estimate(theta_union_agg({n}_seen, {bits}))").alias("seen"),
         F.expr(f"approx_top_k_estimate(approx_top_k_combine({n}_top, {limit + 1}), {limit + 1})").alias("top"),
         F.sum(f"{n}_cells").alias("cells")) for c, n in zip(columns, names)]
-    found = by_task.agg(F.array(*merged).alias("found")).select(F.inline("found"))
+    # A key, even a constant one, gives no row for an empty table, which the sketches could not be merged for.
+    found = by_task.groupBy(F.lit("all")).agg(F.array(*merged).alias("found")).select(F.inline("found"))
     counts = F.filter("top", lambda t: t["item"].isNotNull())
     all_counted = F.aggregate(counts, F.lit(0).cast("long"), lambda n, t: n + t["count"]) == F.col("cells")
     few = found.filter(F.col("seen") < limit).withColumn("top", counts).filter((F.size("top") < limit) & all_counted)

@@ -38,6 +38,23 @@ def running_throughput(spark, sf_dir):
                           "avg_tokens_per_row")
 
 
+def busy_time(spark, sf_dir):
+    """Calls per kind of event that overlap: how long at least one of a kind was under way."""
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    log = table(spark, sf_dir, "events").select(
+        "event_type", start.alias("started_us"), (start + F.round(F.col("value") * 100).cast("long") * 100_000).alias("ended_us"))
+    return usage.busy_time(log, ["event_type"])
+
+
+def call_figures(spark, sf_dir):
+    """Throughput per group of workers, from calls that overlap."""
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    events = table(spark, sf_dir, "events").select("event_id", start.alias("started_us"))
+    log = response_log(spark, sf_dir).join(events, "event_id").withColumns({
+        "worker_id": F.col("worker_id") % 8, "ended_us": F.col("started_us") + F.col("elapsed_ms") * 100_000})
+    return usage.call_figures(log, log.filter("ok").select("worker_id"))
+
+
 def part_number(spark, sf_dir):
     rows = batches.part_number(placed(as_messages(table(spark, sf_dir, "documents"))), BATCH, INTERVAL)
     return rows.groupBy("worker_id", "part").agg(
@@ -84,8 +101,25 @@ _RATES = """round(rows / greatest(sec, 1e-9), 4) AS rows_per_sec,
     CASE WHEN nanos > 0 THEN round(tokens / (nanos / 1e9), 4) END AS tokens_per_sec,
     CASE WHEN rows > 0 THEN round(tokens / rows, 4) END AS avg_tokens_per_row"""
 
+_CALLS = """calls AS (
+    SELECT event_type, user_id % 8 AS worker, epoch_us(ts) AS started,
+           epoch_us(ts) + CAST(round(value * 100) AS BIGINT) * 100000 AS ended FROM events)"""
+
+
+def _islands(by):
+    """Stretches of overlapping calls: a call that begins after all earlier ones have ended opens a new one."""
+    return f"""
+    marked AS (SELECT *, max(ended) OVER (PARTITION BY {by} ORDER BY started, ended
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until
+               FROM calls WHERE ended > started),
+    numbered AS (SELECT *, sum(CASE WHEN until IS NULL OR until < started THEN 1 ELSE 0 END)
+                             OVER (PARTITION BY {by} ORDER BY started, ended ROWS UNBOUNDED PRECEDING) AS island FROM marked),
+    spans AS (SELECT {by}, island, max(ended) - min(started) AS span FROM numbered GROUP BY ALL),
+    islands AS (SELECT {by}, CAST(sum(span) AS BIGINT) AS busy, count(*) AS stretches FROM spans GROUP BY ALL)"""
+
+
 QUERIES = {f.__name__: f for f in (
-    token_usage, throughput, running_throughput, part_number, progress_points, category_counts, analytics_long,
+    token_usage, throughput, running_throughput, busy_time, call_figures, part_number, progress_points, category_counts, analytics_long,
     analytics_wide, error_cells)}
 
 ORACLES = {
@@ -107,6 +141,16 @@ ORACLES = {
                      CAST(sum(nanos) OVER w AS BIGINT) AS nanos, CAST(sum(ms) OVER w AS BIGINT) / 1000 AS sec
               FROM p WINDOW w AS (PARTITION BY worker_id ORDER BY part))
         SELECT worker_id, part, rows AS rows_so_far, tokens AS tokens_so_far, {_RATES} FROM r""",
+    "busy_time": f"""WITH {_CALLS}, {_islands("event_type")}
+        SELECT event_type, count(*) AS calls, CAST(sum(ended - started) AS BIGINT) AS summed, any_value(busy) AS busy,
+               any_value(stretches) AS stretches FROM calls JOIN islands USING (event_type) GROUP BY event_type""",
+    "call_figures": f"""WITH {LOG_SQL}, {_CALLS}, {_islands("worker")},
+        t AS (SELECT worker_id % 8 AS worker, count(*) FILTER (ok) AS rows, CAST(sum(prompt_tok + completion_tok) AS BIGINT) AS tokens,
+                     CAST(sum(nanos) AS BIGINT) AS nanos FROM used GROUP BY 1),
+        r AS (SELECT *, busy / 1e6 AS sec FROM t JOIN islands USING (worker)),
+        f AS (SELECT worker, tokens, {_RATES} FROM r)
+        SELECT worker AS worker_id, rows_per_sec AS Rows_Per_Sec, tokens_per_sec AS Tokens_Per_Sec,
+               avg_tokens_per_row AS Avg_Tokens_Per_Row, tokens AS Tokens_Total FROM f""",
     "part_number": f"""{_PLACED}
         SELECT CAST(worker_id AS INTEGER) AS worker_id, (pos_in_worker - 1) // 50 + 1 AS part, count(*) AS rows,
                min(RowID) AS first_id, max(RowID) AS last_id FROM placed GROUP BY 1, 2""",

@@ -1,5 +1,7 @@
 """Distributions, analytics and usage on small tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tagloom.operators import audit, usage
@@ -62,3 +64,29 @@ def test_rates_without_time_or_rows(spark):
     df = spark.createDataFrame([(0, 0.0, 5, 0), (10, 2.0, 40, 4_000_000_000)], "rows long, sec double, tokens long, nanos long")
     rows = usage.with_rates(df, "rows", "sec", "tokens", "nanos", 4).orderBy("rows").collect()
     assert [r[4:] for r in rows] == [(0.0, None, None), (5.0, 10.0, 4.0)]
+
+
+def test_calls_that_overlap_count_once(spark):
+    calls = [("a", 10, 20), ("a", 15, 30), ("a", 16, 18), ("a", 30, 35), ("a", 50, 60), ("a", 50, 60), ("a", 70, 70), ("a", 90, 80),
+             ("a", None, 5), ("b", 0, 1000), ("b", 999, 1001), ("c", 4, 4), ("d", 7, None), (None, 1, 3), (None, 2, 9)]
+    df = spark.createDataFrame(calls, "step string, started_us long, ended_us long")
+    wanted = {("a", 8, 52, 35, 2), ("b", 2, 1002, 1001, 1), ("c", 1, 0, 0, 0), (None, 2, 9, 8, 1)}
+    for blocks in (1, 7, 1 << 16):
+        assert {tuple(r) for r in usage.busy_time(df, ["step"], blocks=blocks).collect()} == wanted
+    assert [tuple(r) for r in usage.busy_time(df.filter("step = 'a'")).collect()] == [(8, 52, 35, 2)]
+    assert usage.busy_time(df.filter("step = 'd'"), ["step"]).collect() == [] == usage.busy_time(df.limit(0)).collect()
+
+
+def test_busy_time_against_a_plain_sweep(spark):
+    rng = random.Random(5)
+    calls = [(rng.choice("hhhhx"), t, t + rng.choice([0, 1, 5, 40, 3000])) for t in (rng.randrange(200_000) for _ in range(3000))]
+    wanted = []
+    for group in "hx":
+        mine, busy, until, n = sorted(c[1:] for c in calls if c[0] == group and c[2] > c[1]), 0, -1, 0
+        for a, b in mine:
+            n += a > until
+            busy += max(0, b - max(a, until))
+            until = max(until, b)
+        wanted.append((group, sum(c[0] == group for c in calls), sum(b - a for a, b in mine), busy, n))
+    df = spark.createDataFrame(calls, "worker_id string, started_us long, ended_us long")
+    assert sorted(map(tuple, usage.busy_time(df, ["worker_id"], blocks=50).collect())) == wanted
