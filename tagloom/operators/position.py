@@ -74,7 +74,7 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def _tie(df: DataFrame) -> Column:
+def row_hash(df: DataFrame) -> Column:
     """Hash of a row; which columns are null is part of it, as Spark's hash passes over nulls."""
     # Maps have no hash, and within nested values nulls would be passed over.
     nested = (T.MapType, T.ArrayType, T.StructType, T.VariantType)
@@ -87,7 +87,7 @@ def sorted_ranges(df: DataFrame, key: str, at: str, part: str, partitions: int |
     """``df`` sorted by key and row hash, saved, with the place ``at`` (rising in that order) and range ``part`` of every row."""
     tie, = free_names(df, "tie")
     order = [F.col(f"`{key}`"), F.col(tie)]
-    rows = df.withColumn(tie, _tie(df))
+    rows = df.withColumn(tie, row_hash(df))
     ranged = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
     ranged = ranged.sortWithinPartitions(*order).drop(tie).withColumn(at, F.monotonically_increasing_id())
     path = work_folder(df.sparkSession, "positions")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -17,11 +16,12 @@ from ..operators.audit import analytics_row
 from ..operators.merge import merge_outputs
 from ..operators.position import key_stats
 from ..operators.ranges import plan_manual, plan_ranges
-from ..operators.usage import token_usage
+from ..operators.usage import call_figures, stamp_metadata, token_usage
 from ..session import prepare
 from ..sources import ledger
 from ..sources.messages import land_messages, path_exists
-from ..sources.parts import read_partitioned, read_parts, write_output, write_parts
+from ..sources.checked import checked_parts, write_checked_parts
+from ..sources.parts import folder_name, read_partitioned, write_output
 from ..spec import RETRIES_FAILED, PromptSpec
 from .calls import Caller
 from .label import RunPlan, label_run
@@ -37,7 +37,8 @@ class QueueRun:
     """One run: where its tables are and how its files are handled.
 
     ``out`` is shared storage and holds: runs, files (manifest log), input (every file landed once; rows without ``RowID`` are numbered in
-    file order), status, waves, parts, merged and analytics. With
+    file order), status, waves, parts (with their
+    ledger), notices of parts that were left out, merged and analytics. With
     ``files_at_once`` above 1 the jobs of that many files are handed to Spark side by side.
     """
 
@@ -68,11 +69,6 @@ class QueueRun:
                               [c for c in log.columns if c not in ("run_id", "label", "worker_id")])
 
 
-def folder_name(label: str) -> str:
-    """A label as a folder name, escaped in Spark's way for partition folders, so that reading gives the label back."""
-    return re.sub(r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", label)
-
-
 def _note(spark: SparkSession, run: QueueRun, label: str, status: str, path: str, ranges: list | None = None,
           merged: str | None = None) -> None:
     # A folder per label, so that files handled side by side do not append to the same one.
@@ -109,9 +105,12 @@ def _label_file(spark: SparkSession, run: QueueRun, path: str, label: str) -> No
     _note(spark, run, label, "pending", path, [tuple(r) for r in planned.orderBy("worker_id").collect()])
 
     labelled = label_run(messages, run.spec, run.caller, run.plan, folder=f"{run.out}/waves/{run.run_id}/{folder_name(label)}", stats=stats)
-    meta = {"Model_Name": F.lit(run.model), "Batch_Size": F.lit(run.plan.batch_size)}
-    write_parts(labelled.rows.withColumns(meta), f"{run.out}/parts", run.run_id, label, run.parts_per_folder)
-    saved = read_parts(spark, f"{run.out}/parts", run.run_id, label)
+    meta = {"Model_Name": run.model, "Batch_Size": run.plan.batch_size}
+    figures = call_figures(labelled.log, labelled.rows.select("worker_id"))
+    stamped = stamp_metadata(labelled.rows, meta, figures, ("worker_id",))
+    write_checked_parts(stamped, f"{run.out}/parts", run.run_id, label, run.parts_per_folder)
+    saved, notices = checked_parts(spark, f"{run.out}/parts", run.run_id, label)
+    ledger.append(notices.filter("state <> 'good'"), f"{run.out}/notices/{run.run_id}/{folder_name(label)}")
     ledger.append(_worker_status(run, label, saved, planned, stats.rows), f"{run.out}/status/label={folder_name(label)}")
 
     rollup = runs.run_rollup(run.status(spark).filter(F.col("label") == label))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from ..operators import batches, merge, resume
 from ..session import work_folder
-from ..sources import parts
+from ..sources import ledger, messages, parts
+from ..sources.checked import checked_parts, write_checked_parts
 from .common import BATCH, INTERVAL, MESSAGES_SQL, as_messages, placed, placed_sql, table
 from .text import RUN_ID_SQL, run_ids
 
@@ -33,6 +37,53 @@ def merge_parts(spark, sf_dir):
         "RowID", "Topic", "worker_id", "part", "pos_in_worker", "run_id", "label")
 
 
+def parts_with_damage(spark, sf_dir):
+    """Parts of which one file was cut off and one was lost: what is left, and why the rest was left out."""
+    path = work_folder(spark, "parts")
+    write_checked_parts(_coded(spark, sf_dir), path, "run1", "docs", parts_per_folder=2)
+    harm(path, "run_id=run1/label=docs/worker_id=2/part_group=0", lambda whole: whole[:len(whole) // 2])
+    harm(path, "run_id=run1/label=docs/worker_id=3/part_group=1", None)
+    rows, notices = checked_parts(spark, path, "run1", "docs")
+    left = rows.groupBy("worker_id", "part_group").agg(F.count("*").alias("rows"), F.sum("RowID").alias("id_sum"))
+    return notices.join(left, ["worker_id", "part_group"], "left").select(
+        "worker_id", "part_group", "state", "rows_wanted", "rows", "id_sum")
+
+
+def harm(path, folder, change):
+    """Rewrite the files of one folder by ``change``, or delete them, as a broken disk would."""
+    system, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    for file in system.get_file_info(fs.FileSelector(f"{place}/{folder}")):
+        if file.path.endswith(".parquet"):
+            with system.open_input_stream(file.path) as stream:
+                whole = stream.read()
+            system.delete_file(file.path)
+            if change is not None:
+                with system.open_output_stream(file.path) as stream:
+                    stream.write(change(whole))
+
+
+def record_run(spark, sf_dir):
+    """A run per region is recorded twice: the first entry stays."""
+    path = work_folder(spark, "runs")
+    for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        for model in ("echo", "other"):
+            ledger.record_run(spark, path, {"run_id": f"run{r.r_regionkey}", "model_name": model}, {"region": r.r_name},
+                              datetime(2024, 1, 1 + r.r_regionkey))
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    customers = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = customers.groupBy("r_name").agg(F.count("*").alias("customers"))
+    runs = spark.read.parquet(path).withColumn("region", F.get_json_object("config_snapshot", "$.region"))
+    return runs.join(customers, F.col("region") == F.col("r_name"), "left").select(
+        "run_id", "model_name", "region", "customers", F.date_format("started_at", "yyyy-MM-dd").alias("started"))
+
+
+def require_columns(spark, sf_dir):
+    """Documents without title and sentiment as messages: the missing optional columns are added."""
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("RowID"), F.col("text").alias("Message"), "lang")
+    return messages.require_columns(rows).select(
+        "RowID", F.length("Message").alias("n_chars"), "lang", F.col("Title").isNull().alias("no_title"), "Sentiment")
+
+
 def write_output(spark, sf_dir):
     """Final CSV written and read back."""
     path = work_folder(spark, "output")
@@ -74,7 +125,7 @@ _PLACED = f"WITH {MESSAGES_SQL}, {placed_sql()}"
 _THREE = placed_sql("orders", "o_orderkey", 3)
 
 QUERIES = {f.__name__: f for f in (
-    write_parts, merge_parts, write_output, merge_outputs, resume_high_water, resume_missing, latest_run)}
+    write_parts, merge_parts, parts_with_damage, record_run, require_columns, write_output, merge_outputs, resume_high_water, resume_missing, latest_run)}
 
 ORACLES = {
     "write_parts": f"""{_PLACED}
@@ -83,6 +134,22 @@ ORACLES = {
     "merge_parts": f"""{_PLACED}
         SELECT RowID, lang AS Topic, CAST(worker_id AS INTEGER) AS worker_id, (pos_in_worker - 1) // 50 + 1 AS part,
                pos_in_worker, 'run1' AS run_id, 'docs' AS label FROM placed""",
+    "parts_with_damage": f"""{_PLACED},
+        g AS (SELECT CAST(worker_id AS INTEGER) AS worker_id, CAST((pos_in_worker - 1) // 100 AS INTEGER) AS part_group,
+                     count(*) AS n, CAST(sum(RowID) AS BIGINT) AS ids FROM placed GROUP BY 1, 2),
+        s AS (SELECT *, CASE WHEN worker_id = 2 AND part_group = 0 THEN 'damaged'
+                             WHEN worker_id = 3 AND part_group = 1 THEN 'missing' ELSE 'good' END AS state FROM g)
+        SELECT worker_id, part_group, state, n AS rows_wanted, CASE WHEN state = 'good' THEN n END AS rows,
+               CASE WHEN state = 'good' THEN ids END AS id_sum FROM s""",
+    "record_run": """
+        SELECT 'run' || r_regionkey AS run_id, 'echo' AS model_name, r_name AS region,
+               nullif(count(c_custkey), 0) AS customers,
+               strftime(DATE '2024-01-01' + CAST(r_regionkey AS INTEGER), '%Y-%m-%d') AS started
+        FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey
+        GROUP BY r_regionkey, r_name""",
+    "require_columns": """
+        SELECT doc_id + 1 AS RowID, CAST(length(text) AS INTEGER) AS n_chars, lang, true AS no_title, CAST(NULL AS VARCHAR) AS Sentiment
+        FROM documents""",
     "write_output": f"""{_PLACED}
         SELECT CAST(RowID AS VARCHAR) AS RowID, lang AS Topic, CAST((pos_in_worker - 1) // 50 + 1 AS VARCHAR) AS part
         FROM placed""",

@@ -50,7 +50,18 @@ def status_stream(spark, sf_dir):
         "run_id", "worker_id", "event_id", "state", "rows_processed")
 
 
-QUERIES = {"label_stream": label_stream, "status_stream": status_stream}
+def status_stream_files(spark, sf_dir):
+    """The same with the files that workers belong to, as worker numbers may repeat between files."""
+    folder = work_folder(spark, "status-stream")
+    events = status_from(_stream(spark, sf_dir, "events")).withColumn("worker_id", F.col("worker_id") % 10).select(
+        "run_id", "label", "worker_id", "updated_at", "event_id", "state", "rows_processed")
+    start = partial(start_status, keep=("state", "rows_processed"))
+    start(events, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return read_status_table(spark, f"{folder}/out").select(
+        "run_id", "label", "worker_id", "event_id", "state", "rows_processed")
+
+
+QUERIES = {"label_stream": label_stream, "status_stream": status_stream, "status_stream_files": status_stream_files}
 
 ORACLES = {
     "label_stream": """
@@ -71,4 +82,8 @@ ORACLES = {
         SELECT run_id, worker_id, event_id, state, rows_processed FROM (
           SELECT *, row_number() OVER (PARTITION BY run_id, worker_id ORDER BY updated_at DESC, event_id DESC) AS rn
           FROM status) WHERE rn = 1""",
+    "status_stream_files": f"""WITH {STATUS_SQL}
+        SELECT run_id, label, worker_id % 10 AS worker_id, event_id, state, rows_processed FROM (
+          SELECT *, row_number() OVER (PARTITION BY run_id, label, worker_id % 10
+                                       ORDER BY updated_at DESC, event_id DESC) AS rn FROM status) WHERE rn = 1""",
 }

@@ -27,6 +27,10 @@ def test_queue_run(spark, tmp_path):
     assert [r["RowID"] for r in merged] == list(range(1, 24))
     assert [r["Topic"] for r in merged[3:6]] == ["t4", FAILED, "t6"]
     assert merged[0]["Model_Name"] == "echo" and merged[0]["Batch_Size"] == 4 and merged[0]["run_id"] == "run1"
+    # Figures of the worker's calls are on every row; two tasks call at a time, so their times overlap.
+    figures = {(r["worker_id"], r["Rows_Per_Sec"] > 0, r["Avg_Tokens_Per_Row"] > 0, r["Tokens_Total"] > 0) for r in merged}
+    assert figures == {(1, True, True, True), (2, True, True, True)}
+    assert spark.read.parquet(str(tmp_path / "out/notices/run1/01")).count() == 0
     facts = spark.read.parquet(str(tmp_path / "out/analytics/run1/01")).first()
     assert facts["total_rows"] == 23 and facts["error_count"] == 2 and facts["tokens_total"] > 23
     assert facts["validatedsentiment_Positive"] == 22

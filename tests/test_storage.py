@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import merge, resume, runs
 from tagloom.sources import ledger, messages, parts
+from tagloom.queries.saving import harm
+from tagloom.sources.checked import checked_parts, write_checked_parts
 from tagloom.sources.messages import land_messages
 
 
@@ -217,3 +219,39 @@ def test_csv_is_landed_once(spark, tmp_path):
     empty = tmp_path / "empty.csv"
     empty.write_text("Message\n")
     assert land_messages(spark, str(empty), str(tmp_path / "l4")).count() == 0
+
+
+def test_damaged_parts_are_left_out_with_a_notice(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    rows = _coded(spark)
+    write_checked_parts(rows, path, "r 1", "a/b", parts_per_folder=2)
+    write_checked_parts(rows.limit(0), path, "r 2", "none")
+
+    def states():
+        saved, notices = checked_parts(spark, path, "r 1", "a/b")
+        found = {(n["worker_id"], n["part_group"], n["state"]) for n in notices.collect() if n["state"] != "good"}
+        return sorted(r["RowID"] for r in saved.collect()), found, notices.count()
+
+    assert states() == (list(range(1, 101)), set(), 6)
+    folder = "run_id=r 1/label=a%2Fb/worker_id={}/part_group={}"
+    harm(path, folder.format(1, 0), lambda whole: whole[:-20])
+    harm(path, folder.format(2, 1), None)
+    # A readable file with other rows, and one that the ledger does not know.
+    other = rows.filter("worker_id = 2 AND part > 4").withColumn("Topic", F.lit("changed")).drop("worker_id").coalesce(1)
+    other.write.parquet(str(tmp_path / "other"))
+    text = next((tmp_path / "other").glob("*.parquet")).read_bytes()
+    harm(path, folder.format(2, 2), lambda whole: text)
+    (tmp_path / "parts" / folder.format(1, 2) / "part-x.parquet").write_bytes(text)
+    left = [*range(21, 51), *range(51, 71)]
+    assert states() == (left, {(1, 0, "damaged"), (2, 1, "missing"), (2, 2, "damaged"), (1, 2, "unlisted")}, 7)
+
+    # Written again with one more column, all is there; a folder's newest entries count.
+    more = rows.filter("worker_id = 1").withColumn("Note.1", F.lit("n"))
+    write_checked_parts(more, path, "r 1", "a/b", parts_per_folder=2)
+    write_checked_parts(rows.filter("worker_id = 2"), path, "r 1", "a/b", parts_per_folder=2)
+    assert states() == (list(range(1, 101)), set(), 6)
+    notes = checked_parts(spark, path, "r 1", "a/b")[0].groupBy("worker_id").agg(F.count("`Note.1`")).collect()
+    assert {tuple(r) for r in notes} == {(1, 50), (2, 0)}
+    with pytest.raises(ValueError, match="Topic"):
+        write_checked_parts(rows.withColumn("Topic", F.lit(1)).filter("worker_id = 1"), path, "r 1", "a/b", parts_per_folder=2)
+        checked_parts(spark, path, "r 1", "a/b")
