@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 
 from pyspark import inheritable_thread_target
@@ -28,7 +29,7 @@ from .label import RunPlan, label_run
 
 ENTRY_SCHEMA = (
     "run_id string, updated_at timestamp, status string, input_file string, "
-    "ranges array<struct<worker_id int, start long, end long>>, merged_output string"
+    "ranges array<struct<worker_id int, start long, end long>>, merged_output string, plan string"
 )
 
 
@@ -70,12 +71,20 @@ class QueueRun:
 
 
 def _note(spark: SparkSession, run: QueueRun, label: str, status: str, path: str, ranges: list | None = None,
-          merged: str | None = None) -> None:
+          merged: str | None = None, plan: RunPlan | None = None) -> None:
     # A folder per label, so that files handled side by side do not append to the same one.
-    entry = [(run.run_id, datetime.now(timezone.utc), status, path, ranges, merged)]
+    entry = [(run.run_id, datetime.now(timezone.utc), status, path, ranges, merged, json.dumps(asdict(plan)) if plan else None)]
     ledger.append_run_file(spark.createDataFrame(entry, ENTRY_SCHEMA), f"{run.out}/files/label={folder_name(label)}")
 
 
+def _stored_plan(text: str | None, plan: RunPlan) -> RunPlan:
+    """The plan that a manifest entry holds, with the waiting time of ``plan``; ``plan`` itself where there is none."""
+    if not text:
+        return plan
+    facts = json.loads(text)
+    return RunPlan(**{**facts, "ranges": tuple(map(tuple, facts["ranges"])), "delay_sec": plan.delay_sec})
+
+
 def _worker_status(run: QueueRun, label: str, rows: DataFrame, planned: DataFrame, n_rows: int) -> DataFrame:
     """Status of every planned worker: completed if all rows that its range holds are saved.
 
@@ -95,17 +104,18 @@ def _worker_status(run: QueueRun, label: str, rows: DataFrame, planned: DataFram
         F.when(F.col("rows_processed") > 0, part).alias("output_file"))
 
 
-def _label_file(spark: SparkSession, run: QueueRun, path: str, label: str) -> None:
+def _label_file(spark: SparkSession, run: QueueRun, path: str, label: str, plan: RunPlan) -> None:
     """Label one file, save its parts and status, and merge if the condition allows it."""
+    begun = datetime.now(timezone.utc)
     messages = land_messages(spark, path, f"{run.out}/input/{run.run_id}/{folder_name(label)}", run.na_tokens)
     stats = key_stats(messages, "RowID")
-    given = run.plan.ranges
-    planned = plan_manual(spark, given) if given else plan_ranges(messages.select("RowID"), run.plan.n_workers)
+    planned = plan_manual(spark, plan.ranges) if plan.ranges else plan_ranges(messages.select("RowID"), plan.n_workers)
     # One entry per worker of the plan.
-    _note(spark, run, label, "pending", path, [tuple(r) for r in planned.orderBy("worker_id").collect()])
+    ranges = [tuple(r) for r in planned.orderBy("worker_id").collect()]
+    _note(spark, run, label, "pending", path, ranges, plan=plan)
 
-    labelled = label_run(messages, run.spec, run.caller, run.plan, folder=f"{run.out}/waves/{run.run_id}/{folder_name(label)}", stats=stats)
-    meta = {"Model_Name": run.model, "Batch_Size": run.plan.batch_size}
+    labelled = label_run(messages, run.spec, run.caller, plan, folder=f"{run.out}/waves/{run.run_id}/{folder_name(label)}", stats=stats)
+    meta = {"Model_Name": run.model, "Batch_Size": plan.batch_size}
     figures = call_figures(labelled.log, labelled.rows.select("worker_id"))
     stamped = stamp_metadata(labelled.rows, meta, figures, ("worker_id",))
     write_checked_parts(stamped, f"{run.out}/parts", run.run_id, label, run.parts_per_folder)
@@ -113,24 +123,30 @@ def _label_file(spark: SparkSession, run: QueueRun, path: str, label: str) -> No
     ledger.append(notices.filter("state <> 'good'"), f"{run.out}/notices/{run.run_id}/{folder_name(label)}")
     ledger.append(_worker_status(run, label, saved, planned, stats.rows), f"{run.out}/status/label={folder_name(label)}")
 
-    rollup = runs.run_rollup(run.status(spark).filter(F.col("label") == label))
+    status = run.status(spark).filter(F.col("label") == label)
+    rollup = runs.run_rollup(status)
     gate = runs.merge_gate(rollup, run.merge_when).first()
     merged = None
     if gate["merge"]:
         merged = f"{run.out}/merged/{run.run_id}/{folder_name(label)}"
         good = saved.filter(F.col("worker_id").isin(gate["successful"])) if gate["failed"] else saved
         write_output(merge_outputs(good.drop("part_group"), run.sort_by), merged, run.form)
-        _analytics(spark, run, label, good.drop("part_group", "label"), labelled.log)
-    status = "completed_with_failures" if gate["failed"] else "completed"
-    _note(spark, run, label, status, path, [tuple(r) for r in planned.orderBy("worker_id").collect()], merged)
+        _analytics(spark, run, label, good.drop("part_group", "label"), labelled.log, plan, begun)
+    if gate["failed"]:
+        failed = runs.failed_ranges(status, planned).drop("label")
+        ledger.append_failed_ranges(failed, run.run_id, f"{run.out}/failed_ranges/label={folder_name(label)}")
+    _note(spark, run, label, "completed_with_failures" if gate["failed"] else "completed", path, ranges, merged, plan)
 
 
-def _analytics(spark: SparkSession, run: QueueRun, label: str, rows: DataFrame, log: DataFrame) -> None:
-    """One wide row about the merged output; its columns depend on the labels, so every file has a table of its own."""
+def _analytics(spark: SparkSession, run: QueueRun, label: str, rows: DataFrame, log: DataFrame, plan: RunPlan,
+               begun: datetime) -> None:
+    """One wide row about the merged output, with counts of the given sentiment as well; its columns depend on the labels, so every file has a table of its own."""
     used = token_usage(log.withColumn("_all", F.lit(1)), ["_all"]).first()
-    coded = rows.select("RowID", *[c for c in rows.columns if c in run.spec.output_columns or c.startswith("Validated_")])
-    facts = {"run_id": run.run_id, "file_label": label, "model": run.model, "batch_size": run.plan.batch_size,
-             "api_calls": log.count(), "tokens_total": used["total_tokens"] if used else 0}
+    given = [*run.spec.output_columns, "Sentiment"]
+    coded = rows.select("RowID", *[c for c in rows.columns if c in given or c.startswith("Validated_")])
+    now = datetime.now(timezone.utc)
+    facts = {"run_id": run.run_id, "timestamp": f"{now:%Y-%m-%d %H:%M:%S}", "file_label": label, "model": run.model,
+             "batch_size": plan.batch_size, "total_time_seconds": (now - begun).total_seconds(), "api_calls": log.count(), "tokens_total": used["total_tokens"] if used else 0}
     write_output(analytics_row(coded, facts), f"{run.out}/analytics/{run.run_id}/{folder_name(label)}", "parquet")
 
 
@@ -138,6 +154,9 @@ def run_queue(spark: SparkSession, run: QueueRun, queue: Sequence[tuple[str, str
               meta: Mapping[str, str] | None = None, config: Mapping[str, object] | None = None) -> DataFrame:
     """Handle every file of ``queue`` (path, label); started again, completed files are skipped and others go on.
 
+    A file that was begun goes on with the plan in its manifest entry, whatever ``run.plan`` says by then: its ranges, batches and
+    waves stay those of the first start. Ranges of workers whose rows are not all saved are noted in ``failed_ranges``; the next start
+    writes their parts again, from the saved waves.
     Result: per label its status, rows, failed workers and merged output. A missing file is noted and the others go on.
     """
     prepare(spark)
@@ -145,11 +164,14 @@ def run_queue(spark: SparkSession, run: QueueRun, queue: Sequence[tuple[str, str
                       config or {}, datetime.now(timezone.utc))
     known = run.files(spark)
     # One entry per file of the queue.
-    done = {r["label"]: r["status"] for r in known.select("label", "status").collect()} if known is not None else {}
+    if known is not None and "plan" not in known.columns:
+        known = known.withColumn("plan", F.lit(None).cast("string"))
+    found = known.select("label", "status", "plan").collect() if known is not None else []
+    done, plans = {r["label"]: r["status"] for r in found}, {r["label"]: r["plan"] for r in found}
 
     def handle(path: str, label: str) -> None:
         if path_exists(spark, path):
-            _label_file(spark, run, path, label)
+            _label_file(spark, run, path, label, _stored_plan(plans.get(label), run.plan))
         else:
             _note(spark, run, label, "input_missing", path)
 

@@ -1,8 +1,12 @@
 """A run over a queue of files, and the same run again."""
 
+from dataclasses import replace
+
 from tagloom.plans.calls import ClientCaller
 from tagloom.plans.label import RunPlan
 from tagloom.plans.queue import QueueRun, run_queue
+from tagloom.queries.saving import harm
+from tagloom.sources.checked import write_checked_parts
 from tests.test_label_run import FAILED, SPEC, Client, _calls
 
 
@@ -33,7 +37,8 @@ def test_queue_run(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/notices/run1/01")).count() == 0
     facts = spark.read.parquet(str(tmp_path / "out/analytics/run1/01")).first()
     assert facts["total_rows"] == 23 and facts["error_count"] == 2 and facts["tokens_total"] > 23
-    assert facts["validatedsentiment_Positive"] == 22
+    assert facts["validatedsentiment_Positive"] == 22 and facts["sentiment_Neutral"] == 23
+    assert facts["total_time_seconds"] > 0 and facts["timestamp"].startswith("20")
     status = {(r["label"], r["worker_id"]): (r["state"], r["rows_processed"], r["errors"]) for r in run.status(spark).collect()}
     assert status == {("01", 1): ("completed", 12, 1), ("01", 2): ("completed", 11, 0),
                       ("c", 1): ("completed", 5, 0), ("c", 2): ("completed", 4, 0)}
@@ -71,3 +76,32 @@ def test_labels_that_are_no_folder_names(spark, tmp_path):
     rows = {r["label"]: r for r in run_queue(spark, run, queue).collect()}
     assert {k: (r["status"], r["total_rows"]) for k, r in rows.items()} == {x: ("completed", 5) for x in labels}
     assert all(spark.read.parquet(r["merged_output"]).count() == 5 for r in rows.values())
+
+
+def test_going_on_keeps_the_stored_plan(spark, tmp_path, monkeypatch):
+    """A run that loses a part on its first start is given another plan: it goes on with the first one and pays for nothing again."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    queue = [(_write(tmp_path / "a.csv", range(1, 11)), "a")]
+    run = QueueRun(run_id="r", out=str(tmp_path / "out"), spec=SPEC, caller=ClientCaller(Client(str(calls)), tasks=1),
+                   plan=RunPlan(n_workers=2, batch_size=5, interval=5), parts_per_folder=1)
+
+    def write_and_lose(df, path, run_id, label, parts_per_folder):
+        write_checked_parts(df, path, run_id, label, parts_per_folder)
+        harm(path, f"run_id={run_id}/label={label}/worker_id=2/part_group=0", lambda whole: whole[:100])
+
+    with monkeypatch.context() as patch:
+        patch.setattr("tagloom.plans.queue.write_checked_parts", write_and_lose)
+        row = run_queue(spark, run, queue).first()
+    assert (row["status"], row["failed_workers"], row["merged_output"]) == ("completed_with_failures", 1, None)
+    failed = spark.read.parquet(str(tmp_path / "out/failed_ranges")).collect()
+    assert [(r["worker_id"], r["start"], r["end"], r["error"], r["label"]) for r in failed] == [(2, 6, 10, "rows are missing", "a")]
+    notices = spark.read.parquet(str(tmp_path / "out/notices/r/a")).collect()
+    assert [(r["worker_id"], r["state"], r["rows_wanted"]) for r in notices] == [(2, "damaged", 5)]
+
+    before = _calls(calls)
+    row = run_queue(spark, replace(run, plan=RunPlan(n_workers=5, batch_size=2)), queue).first()
+    assert (row["status"], row["total_rows"], row["failed_workers"]) == ("completed", 10, 0)
+    assert _calls(calls) == before and spark.read.parquet(row["merged_output"]).count() == 10
+    entry = run.files(spark).first()
+    assert [tuple(r) for r in entry["ranges"]] == [(1, 1, 5), (2, 6, 10)]
