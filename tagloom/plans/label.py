@@ -8,7 +8,7 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,10 +150,14 @@ def _claim(messages: DataFrame, folder: str, facts: dict[str, object], columns:
 
     The input is told by its number of rows, its extent, and order-free hashes over all ids and over the rows' ``columns``.
     """
-    spark, path = messages.sparkSession, f"{folder}/run"
     hashes = F.xxhash64("RowID"), _row_hash(messages, columns)
     ids = messages.agg(F.count("*"), *[F.sum(h.cast("decimal(38,0)")) for h in hashes]).first()
-    text = json.dumps({**facts, "rows": ids[0], "ids": str(ids[1]), "texts": str(ids[2])}, sort_keys=True)
+    claim_folder(messages.sparkSession, folder, {**facts, "rows": ids[0], "ids": str(ids[1]), "texts": str(ids[2])})
+
+
+def claim_folder(spark: SparkSession, folder: str, facts: dict[str, object]) -> None:
+    """Write down the facts of a run in its folder; a folder with other facts, or with waves and none, is refused."""
+    path, text = f"{folder}/run", json.dumps(facts, sort_keys=True)
     if not path_exists(spark, f"{path}/_SUCCESS"):
         if path_exists(spark, f"{folder}/waves"):
             raise ValueError(f"{folder} holds waves of an unknown run")

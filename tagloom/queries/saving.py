@@ -11,6 +11,8 @@ from ..operators import batches, merge, resume
 from ..session import work_folder
 from ..sources import ledger, messages, parts
 from ..sources.checked import checked_parts, write_checked_parts
+from ..sources.ordered import merge_sorted as merge_files
+from ..sources.ordered import write_sorted
 from .common import BATCH, INTERVAL, MESSAGES_SQL, as_messages, placed, placed_sql, table
 from .text import RUN_ID_SQL, run_ids
 
@@ -101,6 +103,29 @@ def merge_outputs(spark, sf_dir):
     return merge.merge_outputs(outputs, "o_orderpriority")
 
 
+def merge_sorted(spark, sf_dir):
+    """Orders of three workers, each written as sorted files, in their merged order without another sort."""
+    path = work_folder(spark, "sorted")
+    rows = placed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderkey", workers=3)
+    for w in (3, 1, 2):
+        own = rows.filter(F.col("worker_id") == w).select("o_orderkey", *(["o_orderpriority"] if w < 3 else ["o_totalprice"]))
+        write_sorted(own, f"{path}/outputs", f"worker {w}", ["o_orderkey"])
+    return merge_files(spark, f"{path}/outputs", ["o_orderkey"], f"{path}/merged").select(
+        "merged_pos", "o_orderkey", "o_orderpriority", "o_totalprice")
+
+
+def merge_late(spark, sf_dir):
+    """Urgent orders of the middle tenth of the customers' keys come late: only the files among which they fall are sorted again."""
+    path = work_folder(spark, "late")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
+    high = rows.agg(F.max("o_custkey")).first()[0] or 0
+    late = F.coalesce(F.col("o_custkey").between(high * 0.45, high * 0.55) & (F.col("o_orderpriority") == "1-URGENT"), F.lit(False))
+    order = ["o_custkey", "o_orderkey"]
+    for name, some in (("on time", ~late), ("late", late)):
+        write_sorted(rows.filter(some).withColumn("late", F.lit(name == "late")), f"{path}/outputs", name, order)
+    return merge_files(spark, f"{path}/outputs", order, f"{path}/merged")
+
+
 def resume_high_water(spark, sf_dir):
     """Labelled documents of the lower half as saved rows of a run that broke off; what follows the last of them is left."""
     labels = table(spark, sf_dir, "labels")
@@ -125,7 +150,8 @@ _PLACED = f"WITH {MESSAGES_SQL}, {placed_sql()}"
 _THREE = placed_sql("orders", "o_orderkey", 3)
 
 QUERIES = {f.__name__: f for f in (
-    write_parts, merge_parts, parts_with_damage, record_run, require_columns, write_output, merge_outputs, resume_high_water, resume_missing, latest_run)}
+    write_parts, merge_parts, parts_with_damage, record_run, require_columns, write_output, merge_outputs, merge_sorted, merge_late,
+    resume_high_water, resume_missing, latest_run)}
 
 ORACLES = {
     "write_parts": f"""{_PLACED}
@@ -158,6 +184,15 @@ ORACLES = {
                CASE WHEN worker_id = 2 THEN o_totalprice END AS o_totalprice,
                CASE WHEN worker_id = 3 THEN o_orderstatus END AS o_orderstatus
         FROM placed ORDER BY o_orderpriority, worker_id, pos_in_worker""",
+    "merge_sorted": f"""WITH {_THREE}
+        SELECT row_number() OVER (ORDER BY o_orderkey) AS merged_pos, o_orderkey,
+               CASE WHEN worker_id < 3 THEN o_orderpriority END AS o_orderpriority,
+               CASE WHEN worker_id = 3 THEN o_totalprice END AS o_totalprice FROM placed""",
+    "merge_late": """
+        SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS merged_pos,
+               o_custkey >= 0.45 * (SELECT max(o_custkey) FROM orders) AND o_custkey <= 0.55 * (SELECT max(o_custkey) FROM orders)
+               AND o_orderpriority = '1-URGENT' AS late
+        FROM orders""",
     "resume_high_water": """
         SELECT doc_id + 1 AS RowID FROM documents
         WHERE doc_id > (SELECT max(doc_id) FROM labels WHERE doc_id < (SELECT max(doc_id) / 2.0 FROM labels))""",

@@ -12,6 +12,7 @@ from ..session import work_folder
 from ..streaming.incremental import label_stream as start_labels
 from ..streaming.incremental import read_stream
 from ..streaming.status import read_status_table, status_stream as start_status
+from ..streaming.waves import WaveStream
 from .common import STATUS_SQL, as_messages, status_from, table
 from .labelling import PLAN, SPEC, with_answer
 
@@ -40,6 +41,19 @@ def label_stream(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("RowID", *SPEC.columns)
 
 
+def label_stream_waves(spark, sf_dir):
+    """Documents that arrive as four files, one wave of calls per micro-batch; what failed waits for the next one, the last ones for a drain."""
+    folder = work_folder(spark, "label-waves")
+    docs = table(spark, sf_dir, "documents")
+    docs.repartition(4, F.col("doc_id") % 4).write.parquet(f"{folder}/in")
+    arriving = read_stream(spark, f"{folder}/in", docs.schema, files_per_trigger=1)
+    rows = with_answer(as_messages(arriving, "lang", "n_chars", "source"))
+    stream = WaveStream(SPEC, UNDAMAGED, PLAN, f"{folder}/out", f"{folder}/run", extra=("answer",))
+    stream.start(rows, f"{folder}/state").awaitTermination()
+    stream.drain(spark)
+    return stream.rows(spark).select("RowID", *SPEC.columns)
+
+
 def status_stream(spark, sf_dir):
     folder = work_folder(spark, "status-stream")
     events = status_from(_stream(spark, sf_dir, "events")).select(
@@ -61,10 +75,10 @@ def status_stream_files(spark, sf_dir):
         "run_id", "label", "worker_id", "event_id", "state", "rows_processed")
 
 
-QUERIES = {"label_stream": label_stream, "status_stream": status_stream, "status_stream_files": status_stream_files}
+QUERIES = {"label_stream": label_stream, "label_stream_waves": label_stream_waves,
+           "status_stream": status_stream, "status_stream_files": status_stream_files}
 
-ORACLES = {
-    "label_stream": """
+_LABELLED = """
         WITH a AS (SELECT doc_id + 1 AS r, lang, n_chars, source FROM documents),
         b AS (SELECT r, CASE WHEN r % 17 = 0 THEN 'na' WHEN r % 5 = 0 THEN 'N' ELSE 'Y' END AS k,
                      CASE WHEN r % 29 = 0 THEN 'ERROR_MISSING_KEY' WHEN lang = 'en' THEN 'Product'
@@ -77,7 +91,11 @@ ORACLES = {
                     WHEN 'N' THEN CASE topic WHEN 'ERROR_MISSING_KEY' THEN topic ELSE '-' END ELSE topic END) AS Topic,
                coalesce(e, CASE k WHEN 'na' THEN 'Neutral' WHEN 'N' THEN '-' ELSE tone END) AS Tone,
                coalesce(e, CASE k WHEN 'na' THEN NULL WHEN 'N' THEN '-' ELSE note END) AS Note
-        FROM c""",
+        FROM c"""
+
+ORACLES = {
+    "label_stream": _LABELLED,
+    "label_stream_waves": _LABELLED,
     "status_stream": f"""WITH {STATUS_SQL}
         SELECT run_id, worker_id, event_id, state, rows_processed FROM (
           SELECT *, row_number() OVER (PARTITION BY run_id, worker_id ORDER BY updated_at DESC, event_id DESC) AS rn

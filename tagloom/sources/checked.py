@@ -61,7 +61,7 @@ def write_checked_parts(df: DataFrame, path: str, run_id: str, label: str, parts
            _ledger(path, run_id, label))
 
 
-def _columns(entries: DataFrame) -> T.StructType:
+def stored_columns(entries: DataFrame) -> T.StructType:
     """All columns that were ever written; few distinct texts, one per change of the columns."""
     written = [T.StructType.fromJson(json.loads(r[0])) for r in entries.select("columns").distinct().orderBy("columns").collect()]
     fields = {f.name: f for schema in written for f in schema.fields}
@@ -83,7 +83,7 @@ def checked_parts(spark: SparkSession, path: str, run_id: str, label: str) -> tu
     entries = spark.read.schema(LEDGER_SCHEMA).parquet(_ledger(path, run_id, label))
     newest = entries.groupBy("worker_id", "part_group").agg(F.max("written_at").alias("written_at"))
     entries = entries.join(newest, ["worker_id", "part_group", "written_at"], "left_semi")
-    columns = _columns(entries)
+    columns = stored_columns(entries)
     rows = _rows(spark, path, run_id, label, columns)
 
     # A checksum covers the columns of its own file; columns that came later are not part of it.

@@ -11,7 +11,7 @@ from tagloom.queries.labelling import ECHO
 SF_DIR = "/root/testdata/sf0.001"
 LAZY = sorted(set(QUERIES) - {
     "read_messages", "read_queue", "read_status", "write_parts", "merge_parts", "write_output", "failed_ranges", "label_documents", "label_unnumbered",
-    "infer_batches", "infer_rows", "resume_calls", "label_stream", "status_stream",
+    "infer_batches", "infer_rows", "resume_calls", "label_stream", "label_stream_waves", "status_stream", "merge_sorted", "merge_late",
     "status_stream_files", "parts_with_damage", "record_run"})
 
 

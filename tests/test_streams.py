@@ -1,13 +1,18 @@
 """Streaming results equal batch results, also after a restart in the middle."""
 
+import os
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.plans.calls import ColumnCaller
+from tagloom.plans.calls import ClientCaller, ColumnCaller, GiveUp
 from tagloom.plans.label import RunPlan, label_table
 from tagloom.spec import PromptSpec
 from tagloom.streaming.incremental import label_stream, read_stream
 from tagloom.streaming.status import read_status_table, status_stream
+from tagloom.streaming.waves import WaveStream
+from tests.test_label_run import FAILED, SPEC as WAVE_SPEC, Client, _calls
 
 SPEC = PromptSpec(columns=("Topic",))
 
@@ -64,3 +69,95 @@ def test_status_stream(spark, tmp_path):
         status_stream(stream, out, str(tmp_path / "state")).awaitTermination()
     got = {r["worker_id"]: r["state"] for r in read_status_table(spark, out).collect()}
     assert got == {0: "s5", 1: "s4", 2: "s5"}
+
+
+def _waves(tmp_path, client, **plan):
+    return WaveStream(WAVE_SPEC, ClientCaller(client, tasks=2, slice_units=1), RunPlan(**{"n_workers": 2, "batch_size": 3, "retries": 2, "interval": 6, **plan}),
+                      str(tmp_path / "out"), str(tmp_path / "run"))
+
+
+def _stream_of(spark, tmp_path, n_files=4, per_file=10):
+    folder = str(tmp_path / "in")
+    _files(spark, folder, n_files, per_file)
+    return read_stream(spark, folder, spark.read.parquet(folder).schema, files_per_trigger=1)
+
+
+class _Breaks(Client):
+    """Gives up once when it comes to a row."""
+
+    def __init__(self, folder, at, **more):
+        super().__init__(folder, **more)
+        self.at = at
+
+    def complete(self, model, system, prompt):
+        mark = os.path.join(self.folder, "..", "broke")
+        if f"RowID: {self.at}\n" in prompt and not os.path.exists(mark):
+            open(mark, "w").close()
+            raise GiveUp("quota")
+        return super().complete(model, system, prompt)
+
+
+@pytest.mark.parametrize("at", [None, 14])
+def test_one_wave_per_micro_batch(spark, tmp_path, at):
+    """As a batch run, whether or not a micro-batch breaks off; what fails is asked for as often and no oftener."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    stream = _waves(tmp_path, _Breaks(str(calls), at, bad=[5, 33], crash=[17]))
+    rows = _stream_of(spark, tmp_path)
+    if at:
+        with pytest.raises(Exception, match="quota"):
+            stream.start(rows, str(tmp_path / "state")).awaitTermination()
+    stream.start(rows, str(tmp_path / "state")).awaitTermination()
+    steps = {p.name for p in (tmp_path / "run/waves").iterdir() if p.name.startswith("step")}
+    assert steps == {f"step=b{i}r0" for i in range(4)}
+    # The last file holds row 33 or the first does: at most three waves are left.
+    assert 0 <= stream.drain(spark) <= 3 and stream.drain(spark) == 0
+    found = stream.rows(spark).collect()
+    assert sorted(r["RowID"] for r in found) == list(range(1, 41))
+    assert {r["RowID"]: r["Topic"] for r in found} == {i: FAILED if i in (5, 17, 33) else f"t{i}" for i in range(1, 41)}
+    # A call that was on its way when the stage stopped is made once more.
+    counts, lost = _calls(calls), 1 if at else 0
+    assert all(n <= 2 + lost for n in counts.values()) and all(2 <= counts[f"row-{k}"] <= 2 + lost for k in (5, 17, 33))
+    singles = [k for k in counts if k.startswith("row")]
+    assert len(singles) <= 9 and len(singles) + 3 <= sum(counts[k] for k in singles) <= len(singles) + 3 + 2 * lost
+
+
+def test_waves_go_on_after_a_drain(spark, tmp_path, monkeypatch):
+    """A drain breaks off when its answers are written; the next micro-batch finishes it and nothing comes twice."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    stream = _waves(tmp_path, Client(str(calls), bad=[2]), batch_size=2)
+    rows = _stream_of(spark, tmp_path, 1, 6)
+    assert stream.drain(spark) == 0
+    stream.start(rows, str(tmp_path / "state")).awaitTermination()
+
+    settle = WaveStream._settle
+    with monkeypatch.context() as patch:
+        def half(self, wave, step, name):
+            settle(self, wave, step, name)
+            shutil.rmtree(self._pending(step))
+            raise RuntimeError("lost")
+        patch.setattr(WaveStream, "_settle", half)
+        with pytest.raises(RuntimeError, match="lost"):
+            stream.drain(spark)
+    paid = _calls(calls)
+    spark.createDataFrame([(i, f"m{i}") for i in range(7, 10)], "RowID long, Message string").coalesce(1).write.mode("append").parquet(
+        str(tmp_path / "in"))
+    stream.start(rows, str(tmp_path / "state")).awaitTermination()
+    again = _calls(calls)
+    assert paid["batch-1-2"] == again["batch-1-2"] == 2
+    stream.drain(spark)
+    found = [(r["RowID"], r["Topic"]) for r in stream.rows(spark).collect()]
+    assert sorted(found) == [(i, FAILED if i == 2 else f"t{i}") for i in range(1, 10)]
+    with pytest.raises(ValueError, match="other plan"):
+        _waves(tmp_path, Client(str(calls), bad=[2]), batch_size=3).start(rows, str(tmp_path / "state"))
+
+
+def test_waves_of_empty_files(spark, tmp_path):
+    stream = _waves(tmp_path, Client(str(tmp_path)))
+    folder = str(tmp_path / "in")
+    spark.createDataFrame([], "RowID long, Message string").write.parquet(folder)
+    spark.createDataFrame([(1, None)], "RowID long, Message string").coalesce(1).write.mode("append").parquet(folder)
+    rows = read_stream(spark, folder, spark.read.parquet(folder).schema, files_per_trigger=1)
+    stream.start(rows, str(tmp_path / "state")).awaitTermination()
+    assert stream.drain(spark) == 0 and [r["Topic"] for r in stream.rows(spark).collect()] == ["t1"]
