@@ -28,8 +28,8 @@ from .calls import Caller
 from .label import RunPlan, label_run
 
 ENTRY_SCHEMA = (
-    "run_id string, updated_at timestamp, status string, input_file string, "
-    "ranges array<struct<worker_id int, start long, end long>>, merged_output string, plan string"
+    "run_id string, version long, updated_at timestamp, status string, input_file string, "
+    "ranges array<struct<worker_id int, start long, end long>>, merged_output string, plan string, label string"
 )
 
 
@@ -37,7 +37,7 @@ ENTRY_SCHEMA = (
 class QueueRun:
     """One run: where its tables are and how its files are handled.
 
-    ``out`` is shared storage and holds: runs, files (manifest log), input (every file landed once; rows without ``RowID`` are numbered in
+    ``out`` is shared storage and holds: runs, files (manifest log, a small file per version), input (every file landed once; rows without ``RowID`` are numbered in
     file order), status, waves, parts (with their
     ledger), notices of parts that were left out, merged and analytics. With
     ``files_at_once`` above 1 the jobs of that many files are handed to Spark side by side.
@@ -57,11 +57,12 @@ class QueueRun:
     files_at_once: int = 1
 
     def files(self, spark: SparkSession) -> DataFrame | None:
-        """Current manifest of the run: the newest entry per label."""
-        path = f"{self.out}/files"
+        """Current manifest of the run: the entry of the highest version per label."""
+        path = f"{self.out}/files/{folder_name(self.run_id)}"
         if not path_exists(spark, path):
             return None
-        return runs.upsert_run_file(read_partitioned(spark, path, ("label",)).filter(F.col("run_id") == self.run_id))
+        entries = spark.read.schema(ENTRY_SCHEMA).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+        return runs.upsert_run_file(entries, order=("version",))
 
     def status(self, spark: SparkSession) -> DataFrame:
         """Newest status of every worker and file."""
@@ -70,11 +71,24 @@ class QueueRun:
                               [c for c in log.columns if c not in ("run_id", "label", "worker_id")])
 
 
-def _note(spark: SparkSession, run: QueueRun, label: str, status: str, path: str, ranges: list | None = None,
-          merged: str | None = None, plan: RunPlan | None = None) -> None:
-    # A folder per label, so that files handled side by side do not append to the same one.
-    entry = [(run.run_id, datetime.now(timezone.utc), status, path, ranges, merged, json.dumps(asdict(plan)) if plan else None)]
-    ledger.append_run_file(spark.createDataFrame(entry, ENTRY_SCHEMA), f"{run.out}/files/label={folder_name(label)}")
+class Manifest:
+    """The log of one file of a run. Each entry is a version that only one driver can commit.
+
+    A driver that finds the version it wants to write taken raises ``Conflict``: another one goes on with the file, and its ranges
+    and status are not to be mixed with this one's.
+    """
+
+    def __init__(self, spark: SparkSession, run: QueueRun, label: str, path: str, version: int = 0):
+        self.spark, self.run, self.label, self.path, self.version = spark, run, label, path, version
+
+    def note(self, status: str, ranges: list | None = None, merged: str | None = None, plan: RunPlan | None = None) -> None:
+        entry = {
+            "run_id": self.run.run_id, "version": self.version + 1, "updated_at": datetime.now(timezone.utc).isoformat(), "status": status,
+            "input_file": self.path, "ranges": [dict(zip(("worker_id", "start", "end"), r)) for r in ranges] if ranges is not None else None,
+            "merged_output": merged, "plan": json.dumps(asdict(plan)) if plan else None, "label": self.label}
+        folder = f"{self.run.out}/files/{folder_name(self.run.run_id)}/{folder_name(self.label)}"
+        ledger.commit_once(self.spark, f"{folder}/{self.version + 1:08d}.json", json.dumps(entry))
+        self.version += 1
 
 
 def _stored_plan(text: str | None, plan: RunPlan) -> RunPlan:
@@ -104,15 +118,16 @@ def _worker_status(run: QueueRun, label: str, rows: DataFrame, planned: DataFram
         F.when(F.col("rows_processed") > 0, part).alias("output_file"))
 
 
-def _label_file(spark: SparkSession, run: QueueRun, path: str, label: str, plan: RunPlan) -> None:
+def _label_file(manifest: Manifest, plan: RunPlan) -> None:
     """Label one file, save its parts and status, and merge if the condition allows it."""
+    spark, run, path, label = manifest.spark, manifest.run, manifest.path, manifest.label
     begun = datetime.now(timezone.utc)
     messages = land_messages(spark, path, f"{run.out}/input/{run.run_id}/{folder_name(label)}", run.na_tokens)
     stats = key_stats(messages, "RowID")
     planned = plan_manual(spark, plan.ranges) if plan.ranges else plan_ranges(messages.select("RowID"), plan.n_workers)
     # One entry per worker of the plan.
     ranges = [tuple(r) for r in planned.orderBy("worker_id").collect()]
-    _note(spark, run, label, "pending", path, ranges, plan=plan)
+    manifest.note("pending", ranges, plan=plan)
 
     labelled = label_run(messages, run.spec, run.caller, plan, folder=f"{run.out}/waves/{run.run_id}/{folder_name(label)}", stats=stats)
     meta = {"Model_Name": run.model, "Batch_Size": plan.batch_size}
@@ -135,7 +150,7 @@ def _label_file(spark: SparkSession, run: QueueRun, path: str, label: str, plan:
     if gate["failed"]:
         failed = runs.failed_ranges(status, planned).drop("label")
         ledger.append_failed_ranges(failed, run.run_id, f"{run.out}/failed_ranges/label={folder_name(label)}")
-    _note(spark, run, label, "completed_with_failures" if gate["failed"] else "completed", path, ranges, merged, plan)
+    manifest.note("completed_with_failures" if gate["failed"] else "completed", ranges, merged, plan)
 
 
 def _analytics(spark: SparkSession, run: QueueRun, label: str, rows: DataFrame, log: DataFrame, plan: RunPlan,
@@ -156,7 +171,8 @@ def run_queue(spark: SparkSession, run: QueueRun, queue: Sequence[tuple[str, str
 
     A file that was begun goes on with the plan in its manifest entry, whatever ``run.plan`` says by then: its ranges, batches and
     waves stay those of the first start. Ranges of workers whose rows are not all saved are noted in ``failed_ranges``; the next start
-    writes their parts again, from the saved waves.
+    writes their parts again, from the saved waves. Of two drivers at work on one file the second to write an entry of its manifest stops
+    with ``Conflict``.
     Result: per label its status, rows, failed workers and merged output. A missing file is noted and the others go on.
     """
     prepare(spark)
@@ -164,18 +180,17 @@ def run_queue(spark: SparkSession, run: QueueRun, queue: Sequence[tuple[str, str
                       config or {}, datetime.now(timezone.utc))
     known = run.files(spark)
     # One entry per file of the queue.
-    if known is not None and "plan" not in known.columns:
-        known = known.withColumn("plan", F.lit(None).cast("string"))
-    found = known.select("label", "status", "plan").collect() if known is not None else []
-    done, plans = {r["label"]: r["status"] for r in found}, {r["label"]: r["plan"] for r in found}
+    found = {r["label"]: r for r in known.select("label", "version", "status", "plan").collect()} if known is not None else {}
 
     def handle(path: str, label: str) -> None:
+        before = found.get(label)
+        manifest = Manifest(spark, run, label, path, before["version"] if before else 0)
         if path_exists(spark, path):
-            _label_file(spark, run, path, label, _stored_plan(plans.get(label), run.plan))
+            _label_file(manifest, _stored_plan(before["plan"] if before else None, run.plan))
         else:
-            _note(spark, run, label, "input_missing", path)
+            manifest.note("input_missing")
 
-    todo = [(path, label) for path, label in queue if done.get(label) != "completed"]
+    todo = [(path, label) for path, label in queue if label not in found or found[label]["status"] != "completed"]
     with ThreadPoolExecutor(run.files_at_once) as pool:
         for handled in [pool.submit(inheritable_thread_target(spark)(handle), *item) for item in todo]:
             handled.result()

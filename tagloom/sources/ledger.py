@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,35 @@ def append_run_file(entry: DataFrame, path: str) -> None:
     append(entry, path)
 
 
+class Conflict(RuntimeError):
+    """Somebody else committed the entry that was to be written."""
+
+
+def commit_once(spark: SparkSession, path: str, text: str) -> None:
+    """Create a small file with ``text``, or raise ``Conflict`` if there is one already; it appears whole or not at all.
+
+    It is written beside its place and moved there without overwriting, which HDFS does in one step. A store that has no such move
+    (most object stores) needs a file system layer that adds it, or drivers that do not run at the same time.
+    """
+    jvm = spark.sparkContext._jvm
+    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    system = target.getFileSystem(conf)
+    system.mkdirs(target.getParent())
+    stream = system.create(beside, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), conf)
+    never = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(beside, target, never)
+    except Py4JJavaError as problem:
+        system.delete(beside, False)
+        if "FileAlreadyExistsException" not in str(problem.java_exception.getClass().getName()):
+            raise
+        raise Conflict(f"{path} was committed by another driver") from problem
+
+
 def record_run(spark: SparkSession, path: str, meta: Mapping[str, str], config: Mapping[str, object],
                started_at: datetime) -> bool:
     """Write the metadata of a run once; a run id that is there already is left as it is. True if written."""

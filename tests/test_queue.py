@@ -1,12 +1,16 @@
 """A run over a queue of files, and the same run again."""
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
+import pytest
+
 from tagloom.plans.calls import ClientCaller
 from tagloom.plans.label import RunPlan
-from tagloom.plans.queue import QueueRun, run_queue
+from tagloom.plans.queue import Manifest, QueueRun, run_queue
 from tagloom.queries.saving import harm
 from tagloom.sources.checked import write_checked_parts
+from tagloom.sources.ledger import Conflict, commit_once
 from tests.test_label_run import FAILED, SPEC, Client, _calls
 
 
@@ -105,3 +109,36 @@ def test_going_on_keeps_the_stored_plan(spark, tmp_path, monkeypatch):
     assert _calls(calls) == before and spark.read.parquet(row["merged_output"]).count() == 10
     entry = run.files(spark).first()
     assert [tuple(r) for r in entry["ranges"]] == [(1, 1, 5), (2, 6, 10)]
+
+
+def test_one_of_many_commits_wins(spark, tmp_path):
+    path = str(tmp_path / "log" / "00000001.json")
+
+    def commit(i):
+        try:
+            commit_once(spark, path, f"text {i}")
+        except Conflict:
+            return None
+        return i
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [i for i in pool.map(commit, range(4)) if i is not None]
+    assert won and open(path).read() in {f"text {i}" for i in won}
+    with pytest.raises(Conflict):
+        commit_once(spark, path, "late")
+    assert open(path).read() != "late" and not [p for p in (tmp_path / "log").iterdir() if p.name.endswith(".part")]
+
+
+def test_second_driver_stops(spark, tmp_path):
+    """Two drivers read the same manifest; the one that is late neither overwrites the entry nor goes on."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    run = QueueRun(run_id="r 1", out=str(tmp_path / "out"), spec=SPEC, caller=ClientCaller(Client(str(calls)), tasks=1))
+    one, two = (Manifest(spark, run, "a/b", "in.csv") for _ in range(2))
+    one.note("pending", [(1, 1, 5), (2, 6, 9)], plan=RunPlan(n_workers=2))
+    with pytest.raises(Conflict):
+        two.note("pending", [(1, 1, 9)], plan=RunPlan(n_workers=1))
+    one.note("completed", [(1, 1, 5), (2, 6, 9)], "out.csv", RunPlan(n_workers=2))
+    entry = run.files(spark).first()
+    assert (entry["label"], entry["version"], entry["status"], entry["merged_output"]) == ("a/b", 2, "completed", "out.csv")
+    assert [tuple(r) for r in entry["ranges"]] == [(1, 1, 5), (2, 6, 9)] and replace(run, run_id="r 2").files(spark) is None
