@@ -25,8 +25,8 @@ UNDAMAGED = ColumnCaller(batch=_array, row=lambda attempt: F.col("rows")[0]["ans
 
 
 def _stream(spark, sf_dir, name):
-    schema = table(spark, sf_dir, name).schema
-    return read_stream(spark, sf_dir, schema, glob=f"{name}.parquet")
+    """A table as a stream, whether it is one file or a folder of files."""
+    return read_stream(spark, f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name).schema)
 
 
 def label_stream(spark, sf_dir):
@@ -38,7 +38,8 @@ def label_stream(spark, sf_dir):
         return label_table(batch, SPEC, UNDAMAGED, PLAN, extra=("answer",), folder=wave_folder)
 
     start_labels(rows, label, f"{folder}/out", f"{folder}/state", f"{folder}/waves").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("RowID", *SPEC.columns)
+    columns = ["RowID long", *[f"`{c}` string" for c in SPEC.columns]]
+    return spark.read.schema(", ".join(columns)).parquet(f"{folder}/out").select("RowID", *SPEC.columns)
 
 
 def label_stream_waves(spark, sf_dir):
@@ -60,7 +61,7 @@ def status_stream(spark, sf_dir):
         "run_id", "worker_id", "updated_at", "event_id", "state", "rows_processed")
     start = partial(start_status, keep=("state", "rows_processed"))
     start(events, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return read_status_table(spark, f"{folder}/out").select(
+    return read_status_table(spark, f"{folder}/out", schema=events.schema).select(
         "run_id", "worker_id", "event_id", "state", "rows_processed")
 
 
@@ -71,7 +72,7 @@ def status_stream_files(spark, sf_dir):
         "run_id", "label", "worker_id", "updated_at", "event_id", "state", "rows_processed")
     start = partial(start_status, keep=("state", "rows_processed"))
     start(events, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return read_status_table(spark, f"{folder}/out").select(
+    return read_status_table(spark, f"{folder}/out", schema=events.schema).select(
         "run_id", "label", "worker_id", "event_id", "state", "rows_processed")
 
 

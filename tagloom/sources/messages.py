@@ -111,6 +111,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a single file, on whatever file system it names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.exists(target) and system.getFileStatus(target).isFile()
+
+
 def read_queue(spark: SparkSession, queue: Sequence[tuple[str, str]],
                na_tokens: Sequence[str] | None = None) -> tuple[DataFrame | None, DataFrame]:
     """All files of a queue of (path, label) as one table with ``label``, and a status row per file.

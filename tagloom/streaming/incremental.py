@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.messages import is_file
 
-def read_stream(spark: SparkSession, folder: str, schema: T.StructType, form: str = "parquet",
+
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, form: str = "parquet",
                 files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
-    """Message files of a folder as a stream."""
+    """Message files of a folder, or a single file, as a stream.
+
+    Spark streams no path that is a file, but what a pattern finds; so a file is given as a pattern that finds it alone.
+    """
+    if is_file(spark, path):
+        path = f"{path[:-1]}[{path[-1]}]"
     reader = spark.readStream.schema(schema).format(form)
     if form == "csv":
         reader = reader.options(header=True, multiLine=True, escape='"')
@@ -22,7 +29,7 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, form: st
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(folder)
+    return reader.load(path)
 
 
 def label_stream(messages: DataFrame, label: Callable[[DataFrame, str], DataFrame], out: str, checkpoint: str,

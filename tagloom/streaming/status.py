@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.runs import latest_by, worker_keys
@@ -28,8 +29,9 @@ def status_stream(events: DataFrame, out: str, checkpoint: str, keys: Sequence[s
 
 
 def read_status_table(spark: SparkSession, out: str, keys: Sequence[str] | None = None,
-                      order: Sequence[str] = ("updated_at", "event_id")) -> DataFrame:
-    """Current state per worker from the change log."""
-    changes = spark.read.parquet(out).drop("stream_batch")
+                      order: Sequence[str] = ("updated_at", "event_id"), schema: T.StructType | None = None) -> DataFrame:
+    """Current state per worker from the change log; with the ``schema`` of the events a log without entries can be read too."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    changes = reader.parquet(out).drop("stream_batch")
     keys = keys or worker_keys(changes)
     return latest_by(changes, keys, order, [c for c in changes.columns if c not in keys])

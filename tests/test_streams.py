@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from tagloom.plans.calls import ClientCaller, ColumnCaller, GiveUp
 from tagloom.plans.label import RunPlan, label_table
+from tagloom.queries import ORACLES, QUERIES
 from tagloom.spec import PromptSpec
 from tagloom.streaming.incremental import label_stream, read_stream
 from tagloom.streaming.status import read_status_table, status_stream
 from tagloom.streaming.waves import WaveStream
+from tests.oracle import compare, connect
 from tests.test_label_run import FAILED, SPEC as WAVE_SPEC, Client, _calls
 
 SPEC = PromptSpec(columns=("Topic",))
@@ -161,3 +163,36 @@ def test_waves_of_empty_files(spark, tmp_path):
     rows = read_stream(spark, folder, spark.read.parquet(folder).schema, files_per_trigger=1)
     stream.start(rows, str(tmp_path / "state")).awaitTermination()
     assert stream.drain(spark) == 0 and [r["Topic"] for r in stream.rows(spark).collect()] == ["t1"]
+
+
+@pytest.mark.parametrize("name", ["label_stream", "status_stream", "status_stream_files"])
+@pytest.mark.parametrize("files", [3, None])
+def test_streams_of_tables_in_folders(spark, tmp_path, name, files):
+    """A table may be a file or a folder of files."""
+    source, folder = "/root/testdata/sf0.001", tmp_path / "some"
+    folder.mkdir()
+    for table in ("documents", "events"):
+        if files:
+            spark.read.parquet(f"{source}/{table}.parquet").repartition(files).write.parquet(str(folder / f"{table}.parquet"))
+        else:
+            shutil.copy(f"{source}/{table}.parquet", folder)
+    assert compare(QUERIES[name](spark, str(folder)), connect(source), ORACLES[name]) is None
+
+
+def test_stream_of_one_file(spark, tmp_path):
+    """Only the named file is streamed, whatever lies beside it."""
+    _files(spark, str(tmp_path / "some"), 2, 2)
+    for n, part in enumerate(sorted((tmp_path / "some").glob("*.parquet"))):
+        shutil.copy(part, tmp_path / f"a{n}.parquet")
+    schema = spark.read.parquet(str(tmp_path / "some")).schema
+    for n in range(2):
+        rows, out = read_stream(spark, str(tmp_path / f"a{n}.parquet"), schema), str(tmp_path / f"out{n}")
+        label_stream(rows, lambda batch, folder: batch, out, f"{out}-state", f"{out}-waves").awaitTermination()
+        assert spark.read.parquet(out).count() == 2
+
+
+@pytest.mark.parametrize("name", ["label_stream", "status_stream", "status_stream_files"])
+def test_streams_of_empty_tables(spark, tmp_path, name):
+    for table in ("documents", "events"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
+    assert QUERIES[name](spark, str(tmp_path)).count() == 0
