@@ -17,6 +17,12 @@ from .common import STATUS_SQL, as_messages, status_from, table
 from .labelling import PLAN, SPEC, with_answer
 
 
+#: In how many micro-batches documents arrive.
+LOTS = 4
+#: Columns of the labelled rows, by which an output without rows can be read too.
+LABELLED = ", ".join(["RowID long", *[f"`{c}` string" for c in SPEC.columns]])
+
+
 def _array(attempt):
     return F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["answer"]), ","), F.lit("]"))
 
@@ -38,21 +44,21 @@ def label_stream(spark, sf_dir):
         return label_table(batch, SPEC, UNDAMAGED, PLAN, extra=("answer",), folder=wave_folder)
 
     start_labels(rows, label, f"{folder}/out", f"{folder}/state", f"{folder}/waves").awaitTermination()
-    columns = ["RowID long", *[f"`{c}` string" for c in SPEC.columns]]
-    return spark.read.schema(", ".join(columns)).parquet(f"{folder}/out").select("RowID", *SPEC.columns)
+    return spark.read.schema(LABELLED).parquet(f"{folder}/out").select("RowID", *SPEC.columns)
 
 
 def label_stream_waves(spark, sf_dir):
-    """Documents that arrive as four files, one wave of calls per micro-batch; what failed waits for the next one, the last ones for a drain."""
+    """Documents that arrive in four lots of files, one wave of calls per micro-batch; what failed waits for the next one, the last ones for a drain."""
     folder = work_folder(spark, "label-waves")
     docs = table(spark, sf_dir, "documents")
-    docs.repartition(4, F.col("doc_id") % 4).write.parquet(f"{folder}/in")
-    arriving = read_stream(spark, f"{folder}/in", docs.schema, files_per_trigger=1)
+    # Every task of the scan writes a file for each lot, so none holds more than its split however large the table is.
+    docs.withColumn("lot", F.col("doc_id") % LOTS).write.partitionBy("lot").parquet(f"{folder}/in")
+    arriving = read_stream(spark, f"{folder}/in", docs.schema, files_per_trigger=docs.rdd.getNumPartitions())
     rows = with_answer(as_messages(arriving, "lang", "n_chars", "source"))
     stream = WaveStream(SPEC, UNDAMAGED, PLAN, f"{folder}/out", f"{folder}/run", extra=("answer",))
     stream.start(rows, f"{folder}/state").awaitTermination()
     stream.drain(spark)
-    return stream.rows(spark).select("RowID", *SPEC.columns)
+    return stream.rows(spark, LABELLED).select("RowID", *SPEC.columns)
 
 
 def status_stream(spark, sf_dir):

@@ -101,9 +101,11 @@ class WaveStream:
             self._wave(spark, (batch, step[1] + 1), step, None)
             made += 1
 
-    def rows(self, spark: SparkSession) -> DataFrame:
-        """What is labelled so far."""
-        return spark.read.parquet(self.out)
+    def rows(self, spark: SparkSession, schema: T.StructType | str | None = None) -> DataFrame:
+        """What is labelled so far; with a ``schema`` of the columns that are asked for, also when that is nothing."""
+        if schema and not path_exists(spark, self.out):
+            return spark.createDataFrame([], schema)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(self.out)
 
     # A step is a micro-batch (its number, 0) or a wave of a drain after it (its number, 1 and up).
 

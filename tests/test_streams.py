@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tagloom.plans.calls import ClientCaller, ColumnCaller, GiveUp
 from tagloom.plans.label import RunPlan, label_table
-from tagloom.queries import ORACLES, QUERIES
+from tagloom.queries import ORACLES, QUERIES, streams
 from tagloom.spec import PromptSpec
 from tagloom.streaming.incremental import label_stream, read_stream
 from tagloom.streaming.status import read_status_table, status_stream
@@ -191,8 +191,27 @@ def test_stream_of_one_file(spark, tmp_path):
         assert spark.read.parquet(out).count() == 2
 
 
-@pytest.mark.parametrize("name", ["label_stream", "status_stream", "status_stream_files"])
+@pytest.mark.parametrize("name", ["label_stream", "label_stream_waves", "status_stream", "status_stream_files"])
 def test_streams_of_empty_tables(spark, tmp_path, name):
     for table in ("documents", "events"):
         spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_no_task_holds_a_whole_lot(spark, tmp_path, monkeypatch):
+    """However many files a table has, what arrives in four lots is in files no larger than those that were read."""
+    source = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{source}/documents.parquet").repartition(8, "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    largest = max(spark.read.parquet(str(part)).count() for part in (tmp_path / "documents.parquet").glob("*.parquet"))
+    monkeypatch.setattr(streams, "work_folder", lambda spark, name: str(tmp_path / name))
+    # A split for every file.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        found = compare(QUERIES["label_stream_waves"](spark, str(tmp_path)), connect(source), ORACLES["label_stream_waves"])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found is None
+    arrived = [spark.read.parquet(str(part)).count() for part in (tmp_path / "label-waves/in").rglob("*.parquet")]
+    assert sum(arrived) == 200 and max(arrived) <= largest < 200 / streams.LOTS
+    steps = {p.name for p in (tmp_path / "label-waves/run/waves").iterdir() if p.name.startswith("step=b")}
+    assert {f"step=b{i}r0" for i in range(streams.LOTS)} <= steps and f"step=b{streams.LOTS}r0" not in steps
