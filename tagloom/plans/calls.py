@@ -57,7 +57,7 @@ class ClientCaller:
     """Calls a client from tasks, slice by slice; the only place where Python sees data.
 
     Calls at one time are at most ``threads`` per running task; fewer ``tasks`` than slots cap them further. Without
-    ``tasks`` there are four per slot, and more if a task would have over ``calls_per_task`` units. With a log, the
+    ``tasks`` there are ``least_tasks``, by default four per slot, and more if a task would have over ``calls_per_task`` units. With a log, the
     answers of every ``slice_units`` or so units are put away as soon as they are there: neither a lost executor nor a run that
     breaks off pays again for them. Write the result before using it twice, because a recomputation would call again.
     ``settings`` names what else decides the answers (temperature, address), so that a run with others is told apart;
@@ -71,6 +71,7 @@ class ClientCaller:
     threads: int = 1
     slice_units: int = 64
     calls_per_task: int = 2000
+    least_tasks: int | None = None
     settings: str = ""
     name: str = ""
 
@@ -122,7 +123,8 @@ class ClientCaller:
         return f"{name} {self.model!r} {self.system!r}{more}"
 
     def partitions(self, spark: SparkSession, units: int | None = None) -> int:
-        return self.tasks or max(4 * spark.sparkContext.defaultParallelism, math.ceil((units or 0) / self.calls_per_task))
+        least = self.least_tasks or 4 * spark.sparkContext.defaultParallelism
+        return self.tasks or max(least, math.ceil((units or 0) / self.calls_per_task))
 
     def slices(self, units: int) -> int:
         """In how many slices that many units are put away."""

@@ -142,7 +142,8 @@ def resume_calls(spark, sf_dir):
     rows, folder = messages(spark, sf_dir), work_folder(spark, "resumed")
 
     def caller(client):
-        return replace(ECHO, client=client, name="echo", slice_units=4, tasks=4)
+        # Few tasks for few calls, so that a task comes to the call at which its client gives up; more for more calls.
+        return replace(ECHO, client=client, name="echo", slice_units=4, least_tasks=4, calls_per_task=500)
 
     try:
         label_table(rows, ECHO_SPEC, caller(tired_client(10)), PLAN, folder=folder)

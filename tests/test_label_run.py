@@ -14,6 +14,7 @@ from tagloom.operators.position import key_stats
 from tagloom.operators.batches import single_units
 from tagloom.plans.calls import ClientCaller, ColumnCaller, GiveUp
 from tagloom.plans.label import RunPlan, _again, _placed_steps, label_run, label_table
+from tagloom.queries import labelling
 from tagloom.session import work_folder
 from tagloom.sources.commits import SliceLog, by_slice
 from tagloom.sources.messages import require_columns
@@ -266,3 +267,21 @@ def test_slices_are_cut_from_any_batches():
 def test_every_call_has_its_time(spark, tmp_path):
     run = label_run(_messages(spark, 9), SPEC, ClientCaller(Client(str(tmp_path)), tasks=2), RunPlan(n_workers=1, batch_size=2))
     assert run.log.count() == 5 and run.log.filter("started_us <= ended_us AND started_us > 1e15").count() == 5
+
+
+def test_tasks_grow_with_calls(spark, monkeypatch):
+    """A run that is resumed gives no task more calls the larger its table is; a given number of tasks stays a cap."""
+    callers = []
+
+    def noted(rows, spec, caller, *more, **options):
+        callers.append(caller)
+        return label_table(rows, spec, caller, *more, **options)
+
+    monkeypatch.setattr(labelling, "label_table", noted)
+    assert labelling.resume_calls(spark, "/root/testdata/sf0.001").count() == 200
+    assert len(callers) == 2
+    for caller in callers:
+        assert caller.partitions(spark, 24) == 4
+        assert all(n / caller.partitions(spark, n) <= 500 for n in (5_000, 50_000, 300_000))
+    assert ClientCaller(Client("")).partitions(spark, 24) == 4 * spark.sparkContext.defaultParallelism
+    assert ClientCaller(Client(""), tasks=3).partitions(spark, 300_000) == 3
